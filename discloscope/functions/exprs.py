@@ -98,10 +98,14 @@ def finite(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == F.lit(inf)), None).otherwise(value)
 
 
-def with_globals(df: DataFrame, stats: DataFrame, name: str = "_g") -> DataFrame:
-    """Attach the single row of ``stats`` as a struct column through a scalar subquery.
+def with_globals(df: DataFrame, stats: DataFrame | dict, name: str = "_g") -> DataFrame:
+    """Attach population figures as a struct column, without a join.
 
-    No join: Spark runs the subquery once and hands its row to every task.
+    A one-row DataFrame becomes a scalar subquery, which Spark runs once and hands to
+    every task; a dict of known figures becomes literals.
     """
-    row = stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias(name)).scalar()
+    if isinstance(stats, dict):
+        row = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in stats.items()])
+    else:
+        row = stats.select(F.struct(*[F.col(c) for c in stats.columns]).alias(name)).scalar()
     return df.withColumn(name, row)

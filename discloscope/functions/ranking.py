@@ -9,6 +9,7 @@ units. The cut points only balance the work; the result does not depend on them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,15 +113,77 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dic
     return agg.select(*groups, *out)
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Quantiles of several columns as one row with fields ``<column>_<name>``."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("s")
-    ).select("s.*")
-    per_col = exact_quantiles(long, ["column"], "value", probs)
-    return per_col.agg(*[
-        F.max(F.when(F.col("column") == c, F.col(name))).alias(f"{c}_{name}")
-        for c in columns for name in probs])
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float], accuracy: int = 10_000,
+                     gather: int = 2_000) -> dict[str, float | None]:
+    """Exact quantiles of whole columns, as ``{"<column>_<name>": value}``.
+
+    Selection by narrowing: a sketch brackets each wanted order statistic, one aggregate
+    counts what lies below and inside the brackets, and only once a bracket holds at most
+    ``gather`` values are those values fetched. Rows are never shuffled; each pass shrinks
+    the brackets about ``accuracy``-fold, so even very large inputs need two or three passes.
+    """
+    cols = list(dict.fromkeys(columns))
+    vals = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+    sizes = vals.agg(*[F.count(c).alias(c) for c in cols]).first()
+    inf = float("inf")
+    open_keys, result = {}, {}
+    for c in cols:
+        for name, p in probs.items():
+            n = sizes[c]
+            if n == 0:
+                result[f"{c}_{name}"] = None
+                continue
+            pos = p * (n - 1)
+            open_keys[f"{c}_{name}"] = {"col": c, "a": -inf, "b": inf, "lt": 0, "m": n, "lo": math.floor(pos),
+                                        "hi": math.ceil(pos), "frac": pos - math.floor(pos)}
+
+    def inside(k: dict) -> Column:
+        v = F.col(k["col"])
+        return F.when((v >= F.lit(k["a"])) & (v <= F.lit(k["b"])), v)
+
+    def wide() -> list[tuple[str, dict]]:
+        return [(key, k) for key, k in open_keys.items() if k["m"] > gather and k["a"] < k["b"]]
+
+    while pending := wide():
+        def around(k: dict) -> list[float]:
+            slack = 2.0 / accuracy + 2.0 / k["m"]
+            return [max(0.0, (k["lo"] - k["lt"]) / k["m"] - slack), min(1.0, (k["hi"] - k["lt"] + 1) / k["m"] + slack)]
+
+        guess = vals.agg(*[F.percentile_approx(inside(k), around(k), accuracy).alias(key) for key, k in pending]).first()
+        counts = vals.agg(*[x for key, k in pending for x in (
+            F.count_if(F.col(k["col"]) < F.lit(guess[key][0])).alias(f"{key}|lt"),
+            F.count_if(F.col(k["col"]) <= F.lit(guess[key][1])).alias(f"{key}|le"))]).first()
+        for key, k in pending:
+            before = k["m"]
+            top = k["lt"] + k["m"]
+            # a side is narrowed only where the count proves the wanted ranks stay inside
+            if counts[f"{key}|lt"] <= k["lo"]:
+                k["a"], k["lt"] = guess[key][0], counts[f"{key}|lt"]
+            if counts[f"{key}|le"] > k["hi"]:
+                k["b"], top = guess[key][1], counts[f"{key}|le"]
+            k["m"] = top - k["lt"]
+            if k["m"] >= before and k["a"] < k["b"]:
+                accuracy *= 10  # the sketch was too coarse to narrow; ask for a finer one
+
+    fetch = {key: k for key, k in open_keys.items() if k["a"] < k["b"]}
+    found: dict[str, list[tuple[float, int]]] = {key: [] for key in fetch}
+    if fetch:
+        pairs = vals.select(F.explode(F.array(*[
+            F.struct(F.lit(key).alias("key"), inside(k).alias("v")) for key, k in fetch.items()])).alias("s")).select("s.*")
+        for r in pairs.filter("v is not null").groupBy("key", "v").count().collect():
+            found[r["key"]].append((r["v"], r["count"]))
+    for key, k in open_keys.items():
+        if key not in fetch:
+            result[key] = k["a"]
+            continue
+        at, picked = k["lt"], {}
+        for v, count in sorted(found[key]):
+            for want in ("lo", "hi"):
+                if at <= k[want] < at + count:
+                    picked[want] = v
+            at += count
+        result[key] = picked["lo"] + (picked["hi"] - picked["lo"]) * k["frac"]
+    return result
 
 
 def small_side(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:

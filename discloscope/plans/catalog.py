@@ -2,6 +2,7 @@
 
 from discloscope.plans import (  # noqa: F401
     cleaning_plans,
+    feature_plans,
 )
 from discloscope.plans.registry import QUERIES
 
