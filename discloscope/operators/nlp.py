@@ -1,4 +1,4 @@
-"""Text feature packs. The text is lowered and tokenised once; every pack reads those columns."""
+"""Text feature packs. The text is lowered, tokenised and scanned for phrases once; every pack reads those columns."""
 
 from __future__ import annotations
 
@@ -11,26 +11,33 @@ from discloscope.functions import fixed_values as V
 from discloscope.functions import text as X
 from discloscope.functions.exprs import EPS, argmax, clip, normalized_entropy, row_mean, row_std, squash, total
 
-LOWER, WORDS, SIZE = "_lower", "_words", "_n"
-
-
-def prepare(df: DataFrame, text_column: str = "description") -> DataFrame:
-    """Adds the lowered text, its ``[a-z]+`` tokens and their number (at least 1) as working columns."""
+LOWER, WORDS, SIZE, HITS = "_lower", "_words", "_n", "_hits"
+POLICIES = {"paris_agreement": V.POLICY_PARIS, "eu_taxonomy": V.POLICY_EU, "sec_climate": V.POLICY_SEC, "tcfd": V.POLICY_TCFD,
+            "sdg": V.POLICY_SDG, "gri_standards": V.POLICY_GRI}
+PILLAR_KEYS = {"env": V.KEY_ENV, "social": V.KEY_SOCIAL, "gov": V.KEY_GOV}
+WORDING = {"vague_language": V.VAGUE, "hedge_language": V.HEDGE, "superlative": V.SUPERLATIVE, "future_language": V.FUTURE,
+           "concrete_evidence": V.CONCRETE}
+INTENTS = {"promotional": V.INTENT_PROMOTIONAL, "defensive": V.INTENT_DEFENSIVE, "factual": V.INTENT_FACTUAL,
+           "strategic": V.INTENT_STRATEGIC}
+TENSES = {"past_achievement": V.TENSE_PAST, "present_action": V.TENSE_PRESENT, "specific_future": V.TENSE_DATED_FUTURE,
+          "vague_future": V.TENSE_VAGUE_FUTURE}
+DICTIONARIES = {**PILLAR_KEYS, **WORDING, **POLICIES, **INTENTS, **TENSES}
+
+
+def prepare(df: DataFrame, text_column: str = "description", dictionaries: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Adds the lowered text, its ``[a-z]+`` tokens, their number (at least 1) and all phrase hits as working columns."""
     out = df.withColumn(LOWER, F.lower(X.text_or_empty(F.col(text_column))))
+    out = out.withColumn(HITS, X.phrase_counts(F.col(LOWER), {**DICTIONARIES, **(dictionaries or {})}))
     out = out.withColumn(WORDS, X.ascii_words(F.col(LOWER)))
     return out.withColumn(SIZE, F.greatest(F.size(WORDS), F.lit(1)).cast("double"))
 
 
 def finish(df: DataFrame) -> DataFrame:
-    return df.drop(LOWER, WORDS, SIZE)
-
+    return df.drop(LOWER, WORDS, SIZE, HITS)
 
-def _hits(terms: Sequence[str]) -> Column:
-    return X.phrase_count(F.col(LOWER), terms)
 
-
-def _ratio(a: Column, b: Column) -> Column:
-    return a / b
+def _hits(name: str) -> Column:
+    return F.col(f"{HITS}.{name}")
 
 
 def polarity_pack(df: DataFrame) -> DataFrame:
@@ -86,13 +93,13 @@ def vocabulary_pack(df: DataFrame) -> DataFrame:
         "avg_word_frequency": F.when(unique > 0, n / F.nullif(unique, F.lit(0))).otherwise(0.0)}).drop("_sorted", "_starts", "_freq")
 
 
-def _count_and_density(df: DataFrame, dictionaries: dict[str, Sequence[str]], count: str, density: str) -> DataFrame:
-    out = df.withColumns({count.format(k): _hits(terms) for k, terms in dictionaries.items()})
-    return out.withColumns({density.format(k): F.col(count.format(k)) / F.col(SIZE) for k in dictionaries})
+def _count_and_density(df: DataFrame, names: Sequence[str], count: str, density: str) -> DataFrame:
+    return df.withColumns({
+        **{count.format(k): _hits(k) for k in names}, **{density.format(k): _hits(k) / F.col(SIZE) for k in names}})
 
 
 def keyword_pack(df: DataFrame) -> DataFrame:
-    out = _count_and_density(df, {"env": V.KEY_ENV, "social": V.KEY_SOCIAL, "gov": V.KEY_GOV}, "{}_keyword_count", "{}_keyword_density")
+    out = _count_and_density(df, list(PILLAR_KEYS), "{}_keyword_count", "{}_keyword_density")
     counts = [F.col(f"{p}_keyword_count") for p in ("env", "social", "gov")]
     densities = [F.col(f"{p}_keyword_density") for p in ("env", "social", "gov")]
     return out.withColumns({
@@ -101,10 +108,8 @@ def keyword_pack(df: DataFrame) -> DataFrame:
 
 
 def linguistic_pack(df: DataFrame) -> DataFrame:
-    names = {"vague_language": V.VAGUE, "hedge_language": V.HEDGE, "superlative": V.SUPERLATIVE,
-             "future_language": V.FUTURE, "concrete_evidence": V.CONCRETE}
-    out = _count_and_density(df, names, "{}_count", "{}_density")
-    v, h, s, f, c = (F.col(f"{k}_density") for k in names)
+    out = _count_and_density(df, list(WORDING), "{}_count", "{}_density")
+    v, h, s, f, c = (F.col(f"{k}_density") for k in WORDING)
     return out.withColumns({
         "greenwashing_signal_score": squash(v + h + s + f - 2.0 * c, 10.0),
         "vague_to_concrete_ratio": (F.col("vague_language_count") + F.col("hedge_language_count") + EPS) / (F.col("concrete_evidence_count") + EPS)})
@@ -131,20 +136,13 @@ def structure_pack(df: DataFrame, text_column: str = "description") -> DataFrame
     }).drop("_lens", "_tokens", "_mean", "_pieces")
 
 
-POLICIES = {"paris_agreement": V.POLICY_PARIS, "eu_taxonomy": V.POLICY_EU, "sec_climate": V.POLICY_SEC, "tcfd": V.POLICY_TCFD,
-            "sdg": V.POLICY_SDG, "gri_standards": V.POLICY_GRI}
-
-
 def policy_pack(df: DataFrame) -> DataFrame:
-    """Uses the keyword counts of ``keyword_pack`` when present."""
     n = F.col(SIZE)
-    out = df if "total_esg_keyword_count" in df.columns else df.withColumn(
-        "_all", _hits(V.KEY_ENV) + _hits(V.KEY_SOCIAL) + _hits(V.KEY_GOV))
-    pillar_hits = F.col("total_esg_keyword_count" if "total_esg_keyword_count" in df.columns else "_all")
-    out = out.withColumns({f"_hit_{k}": _hits(t) for k, t in POLICIES.items()})
-    hits = [F.col(f"_hit_{k}") for k in POLICIES]
+    pillar_hits = total([_hits(k) for k in PILLAR_KEYS])
+    hits = [_hits(k) for k in POLICIES]
+    out = df
     out = out.withColumns({
-        **{f"{k}_alignment": F.col(f"_hit_{k}") / n for k in POLICIES},
+        **{f"{k}_alignment": _hits(k) / n for k in POLICIES},
         "regulatory_breadth_index": total([(h > 0).cast("int") for h in hits]) / 6.0,
         "_policy": total(hits), "_dens": F.filter(F.array(*[h / n for h in hits]), lambda d: d > 0)})
     out = out.withColumns({
@@ -158,14 +156,13 @@ def policy_pack(df: DataFrame) -> DataFrame:
     return out.withColumn("regulatory_readiness_score", (
         0.35 * F.col("regulatory_breadth_index") + 0.30 * F.col("policy_specificity_score")
         + 0.20 * F.col("framework_consistency_score") + 0.15 * (1.0 - F.col("policy_esg_gap")))) \
-        .drop("_all", "_policy", "_dens", "_m", *[f"_hit_{k}" for k in POLICIES])
+        .drop("_policy", "_dens", "_m")
 
 
 def intent_pack(df: DataFrame) -> DataFrame:
     """Reads ``text_polarity`` when present (0 otherwise)."""
-    names = {"promotional": V.INTENT_PROMOTIONAL, "defensive": V.INTENT_DEFENSIVE, "factual": V.INTENT_FACTUAL, "strategic": V.INTENT_STRATEGIC}
-    out = df.withColumns({f"{k}_intent_density": _hits(t) / F.col(SIZE) for k, t in names.items()})
-    p, d, f, s = dens = [F.col(f"{k}_intent_density") for k in names]
+    out = df.withColumns({f"{k}_intent_density": _hits(k) / F.col(SIZE) for k in INTENTS})
+    p, d, f, s = dens = [F.col(f"{k}_intent_density") for k in INTENTS]
     polarity = F.coalesce(F.col("text_polarity"), F.lit(0.0)) if "text_polarity" in df.columns else F.lit(0.0)
     out = out.withColumns({
         "narrative_credibility_index": squash((f + s) / (p + d + EPS) - 1.0, 2.0),
@@ -179,10 +176,8 @@ def intent_pack(df: DataFrame) -> DataFrame:
 
 
 def temporal_pack(df: DataFrame) -> DataFrame:
-    names = {"past_achievement": V.TENSE_PAST, "present_action": V.TENSE_PRESENT, "specific_future": V.TENSE_DATED_FUTURE,
-             "vague_future": V.TENSE_VAGUE_FUTURE}
-    out = df.withColumns({f"{k}_density": _hits(t) / F.col(SIZE) for k, t in names.items()})
-    past, _, dated, vague = dens = [F.col(f"{k}_density") for k in names]
+    out = df.withColumns({f"{k}_density": _hits(k) / F.col(SIZE) for k in TENSES})
+    past, _, dated, vague = dens = [F.col(f"{k}_density") for k in TENSES]
     years = F.regexp_count(F.col(LOWER), F.lit(r"(?<![\p{L}\p{N}_])(19|20)\d{2}(?![\p{L}\p{N}_])"))
     out = out.withColumns({
         "temporal_balance_score": normalized_entropy(dens, total(dens)),

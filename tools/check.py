@@ -33,6 +33,9 @@ def duck(sf_dir: str):
     return con
 
 
+SPARK_RUN: list[float] = []
+
+
 def normal(v):
     if isinstance(v, float):
         return "NaN" if math.isnan(v) else repr(v)
@@ -43,7 +46,9 @@ def normal(v):
 
 def compare(df, con, sql):
     cols = df.columns
+    t0 = time.time()
     mine = df.collect()
+    SPARK_RUN.append(time.time() - t0)
     res = con.execute(sql)
     names = [d[0] for d in res.description]
     other = res.fetchall()
@@ -78,6 +83,8 @@ def main() -> int:
         start = time.time()
         try:
             df = q.run(spark, sf_dir)
+            built = time.time() - start
+            SPARK_RUN.clear()
             note = compare(df, con, q.sql) if q.sql else f"ok (no SQL) {len(df.collect())} rows"
         except Exception as e:  # report and go on with the next query
             note = f"ERROR {type(e).__name__}: {str(e)[:600]}"
@@ -85,7 +92,8 @@ def main() -> int:
                 traceback.print_exc(limit=4)
         if not note.startswith("ok"):
             failed += 1
-        print(f"{name:28s} {time.time() - start:6.2f}s {note}", flush=True)
+        spark_s = built + sum(SPARK_RUN) if SPARK_RUN else 0.0
+        print(f"{name:28s} spark {spark_s:6.2f}s total {time.time() - start:6.2f}s {note}", flush=True)
     print("failed", failed)
     return 1 if failed else 0
 
