@@ -15,6 +15,7 @@ from discloscope.functions import fixed_values as V
 # every character Python's str.split() treats as a separator
 SPACE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NON_SPACE = "[^" + SPACE[1:]
+SPACE_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # a run of a-z that is not part of a longer Unicode word
 ASCII_WORD = r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"
 
@@ -24,7 +25,7 @@ def text_or_empty(t: Column) -> Column:
 
 
 def strip_space(t: Column) -> Column:
-    return F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(t, F.lit(SPACE_CHARS))
 
 
 def strip_html(t: Column) -> Column:
@@ -57,6 +58,16 @@ def split_words(t: Column) -> Column:
     return F.filter(F.split(text_or_empty(t), f"{SPACE}+"), lambda w: w != "")
 
 
+def plain_space(t: Column) -> Column:
+    """Every Unicode space as an ASCII one, so that later passes can use the cheap ``\\S``."""
+    return F.regexp_replace(text_or_empty(t), r"[\x{1C}-\x{1F}\x{85}\p{Z}&&[^ ]]", " ")
+
+
+def count_words(plain: Column) -> Column:
+    """Number of whitespace tokens of a ``plain_space`` text, without building them."""
+    return F.regexp_count(plain, F.lit(r"\S++"))
+
+
 def ascii_words(lowered: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(ASCII_WORD), F.lit(0))
 

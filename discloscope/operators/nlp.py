@@ -50,17 +50,23 @@ def polarity_pack(df: DataFrame) -> DataFrame:
 
 
 def readability_pack(df: DataFrame, text_column: str = "description") -> DataFrame:
-    words, n = F.col(WORDS), F.col(SIZE)
-    # vowel runs per word: each run is one syllable
-    runs = F.transform(words, lambda w: F.regexp_count(w, F.lit("[aeiouy]+")))
-    out = df.withColumns({
-        "_chars": F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)), "_runs": runs,
-        "_sent": F.greatest(F.size(X.sentence_pieces(F.col(text_column), 5)), F.lit(1)).cast("double"),
-        "_long": F.size(F.filter(words, lambda w: F.length(w) >= 6))})
+    """Syllables are vowel runs, at least one per word; a complex word has three or more.
+
+    Counted by a few regex passes over the joined tokens rather than word by word.
+    """
+    n, joined = F.col(SIZE), F.col("_joined")
+
+    def matches(rx: str) -> Column:
+        return F.regexp_count(joined, F.lit(rx))
+
+    consonant = "[b-df-hj-np-tv-xz]"
+    out = df.withColumns({"_joined": F.array_join(WORDS, " "),
+                          "_sent": F.greatest(F.size(X.sentence_pieces(F.col(text_column), 5)), F.lit(1)).cast("double")})
     out = out.withColumns({
-        "_complex": F.size(F.filter("_runs", lambda r: r >= 3)),
-        "_syll": F.aggregate("_runs", F.lit(0), lambda a, r: a + F.greatest(r, F.lit(1)))})
-    some = F.size(words) > 0
+        "_chars": F.length(joined) - F.size(WORDS) + 1, "_long": matches("[a-z]{6,}+"),
+        "_complex": matches(f"[aeiouy]++{consonant}++[aeiouy]++{consonant}++[aeiouy][a-z]*+"),
+        "_syll": matches("[aeiouy]++") + matches(f"(?<![a-z]){consonant}++(?![a-z])")})
+    some = F.size(WORDS) > 0
     per_sentence, share = n / F.col("_sent"), F.col("_complex") / n
 
     def guarded(e: Column) -> Column:
@@ -71,13 +77,13 @@ def readability_pack(df: DataFrame, text_column: str = "description") -> DataFra
         "syllable_ratio": guarded(share),
         "flesch_reading_ease": guarded(206.835 - 1.015 * per_sentence - 84.6 * (F.col("_syll") / n)),
         "gunning_fog_index": guarded(0.4 * (per_sentence + 100.0 * share)),
-        "long_word_ratio": guarded(F.col("_long") / n)}).drop("_chars", "_runs", "_sent", "_long", "_complex", "_syll")
+        "long_word_ratio": guarded(F.col("_long") / n)}).drop("_joined", "_chars", "_sent", "_long", "_complex", "_syll")
 
 
 def vocabulary_pack(df: DataFrame) -> DataFrame:
     """Word frequencies come from one sorted pass over the tokens of the row; no explode, no shuffle."""
     words = F.col(WORDS)
-    out = df.withColumn("_sorted", F.array_sort(words))
+    out = df.withColumn("_sorted", F.sort_array(words))
     # lengths of the runs of equal words: positions where a new word starts, then differences
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_sorted"), F.lit(1))),
                       lambda i: (i == 1) | (F.get(F.col("_sorted"), i - 1) != F.get(F.col("_sorted"), i - 2)))
@@ -116,24 +122,26 @@ def linguistic_pack(df: DataFrame) -> DataFrame:
 
 
 def structure_pack(df: DataFrame, text_column: str = "description") -> DataFrame:
-    raw = X.text_or_empty(F.col(text_column))
-    out = df.withColumns({
-        "_lens": F.transform(X.sentence_pieces(F.col(text_column), 3), lambda s: F.size(X.split_words(s)).cast("double")),
-        "_tokens": X.split_words(raw)})
-    out = out.withColumn("_lens", F.when(F.size("_lens") > 0, F.col("_lens")).otherwise(F.array(F.lit(0.0))))
-    count = F.size("_lens").cast("double")
-    mean = X.array_sum(F.col("_lens")) / count
-    out = out.withColumns({"_mean": mean, "_pieces": F.size(X.sentence_pieces(F.col(text_column), 3))})
-    variance = X.array_sum(F.transform("_lens", lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))) / count
-    sentences, tokens = F.greatest("_pieces", F.lit(1)).cast("double"), F.greatest(F.size("_tokens"), F.lit(1)).cast("double")
+    raw = F.col("_plain")
+    out = df.withColumn("_plain", X.plain_space(F.col(text_column)))
+    out = out.withColumns({
+        "_lens": F.transform(X.sentence_pieces(raw, 3), lambda s: X.count_words(s).cast("double")),
+        "_tokens": F.greatest(X.count_words(raw), F.lit(1)),
+        # a match starts at the first digit of a token and takes the rest of it
+        "_digits": F.regexp_count(raw, F.lit(r"\p{Nd}\S*+")),
+        "_capitals": F.regexp_count(raw, F.lit(r"\p{Lu}(?<!\S\p{Lu})"))})
+    out = out.withColumns({"_pieces": F.greatest(F.size("_lens"), F.lit(1)),
+                           "_lens": F.when(F.size("_lens") > 0, F.col("_lens")).otherwise(F.array(F.lit(0.0)))})
+    pieces = F.col("_pieces").cast("double")
+    out = out.withColumn("_mean", X.array_sum(F.col("_lens")) / F.size("_lens"))
+    variance = X.array_sum(F.transform("_lens", lambda x: (x - F.col("_mean")) * (x - F.col("_mean")))) / F.size("_lens")
     return out.withColumns({
-        "sentence_count": F.greatest("_pieces", F.lit(1)).cast("long"), "sentence_length_variance": variance,
-        "short_sentence_ratio": F.size(F.filter("_lens", lambda x: x < 10)) / sentences,
-        "long_sentence_ratio": F.size(F.filter("_lens", lambda x: x > 30)) / sentences,
+        "sentence_count": F.col("_pieces").cast("long"), "sentence_length_variance": variance,
+        "short_sentence_ratio": F.size(F.filter("_lens", lambda x: x < 10)) / pieces,
+        "long_sentence_ratio": F.size(F.filter("_lens", lambda x: x > 30)) / pieces,
         "question_mark_count": X.phrase_count(raw, ["?"]), "exclamation_count": X.phrase_count(raw, ["!"]),
-        "number_density": F.size(F.filter("_tokens", lambda t: t.rlike(r"\p{Nd}"))) / tokens,
-        "capitalized_word_ratio": F.size(F.filter("_tokens", lambda t: t.rlike(r"^\p{Lu}"))) / tokens,
-    }).drop("_lens", "_tokens", "_mean", "_pieces")
+        "number_density": F.col("_digits") / F.col("_tokens"), "capitalized_word_ratio": F.col("_capitals") / F.col("_tokens"),
+    }).drop("_plain", "_lens", "_tokens", "_mean", "_pieces", "_digits", "_capitals")
 
 
 def policy_pack(df: DataFrame) -> DataFrame:
