@@ -3,6 +3,7 @@
 from discloscope.plans import (  # noqa: F401
     cleaning_plans,
     feature_plans,
+    text_plans,
 )
 from discloscope.plans.registry import QUERIES
 
