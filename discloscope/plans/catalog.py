@@ -3,7 +3,9 @@
 from discloscope.plans import (  # noqa: F401
     cleaning_plans,
     feature_plans,
+    relational_plans,
     text_plans,
+    timeseries_plans,
 )
 from discloscope.plans.registry import QUERIES
 

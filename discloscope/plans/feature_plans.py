@@ -117,7 +117,8 @@ def score_inputs(spark, sf):
 
 
 def scored(spark, sf):
-    return L.final_score(L.component_scores(L.proxy_labels(score_inputs(spark, sf))))
+    """Scores with everything that led to them; staged, since most callers read it more than once."""
+    return materialize(L.final_score(L.component_scores(L.proxy_labels(score_inputs(spark, sf)))))
 
 
 LABELS = [*[f"gw_indicator_{i}" for i in range(1, 6)], "gw_proxy_score", "gw_label_binary", "gw_label_multiclass"]
@@ -145,7 +146,7 @@ def final_score_tier(spark, sf):
     ORDER BY risk_score DESC, company_name LIMIT 20""", "scored"), "risk_score sector_mean")
 def risk_leaderboard(spark, sf):
     from discloscope.functions.ranking import attach_group
-    df = materialize(scored(spark, sf).select("company_name", "sector", "risk_score", "risk_tier"))
+    df = scored(spark, sf).select("company_name", "sector", "risk_score", "risk_tier")
     top = df.orderBy(F.desc("risk_score"), "company_name").limit(20)
     by_sector = df.groupBy("sector").agg(F.avg("risk_score").alias("sector_mean"), F.count(F.lit(1)).alias("sector_n"))
     return attach_group(top, by_sector, ["sector"])

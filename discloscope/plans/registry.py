@@ -21,17 +21,22 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+def nudge(places: int) -> float:
+    """Far below the kept places; moves exact decimal ties off the rounding edge."""
+    return 1.37e-3 * 10.0 ** -places
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to a fixed number of places, so sums taken in another order compare equal."""
     return df.select(*[
-        (F.round(F.col(f"`{f.name}`"), places) + F.lit(0.0)).alias(f.name)
+        (F.round(F.col(f"`{f.name}`") + F.lit(nudge(places)), places) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", places: int = 6):
     """Register ``fn(spark, sf_dir)`` under ``name``; ``doubles`` lists the SQL columns to round."""
     if sql is not None and doubles:
-        fixes = ", ".join(f"round(CAST({c} AS DOUBLE), {places}) + 0.0 AS {c}" for c in doubles.split())
+        fixes = ", ".join(f"round(CAST({c} AS DOUBLE) + {nudge(places)!r}::DOUBLE, {places}) + 0.0 AS {c}" for c in doubles.split())
         sql = f"SELECT * REPLACE ({fixes}) FROM ({sql}) AS _q"
 
     def register(fn):
