@@ -92,7 +92,7 @@ def article_feed_parse(spark, sf):
         F.concat(F.lit("<b>"), "event_type", F.lit("</b> headline")).alias("title"),
         F.when(k % 40 != 0, F.col("event_type")).alias("source"), F.concat(F.lit("u"), k).alias("link"),
         F.when(k % 50 == 0, "no date").otherwise(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss")).alias("pub_date"))
-    return R.parse_feed(items, REFERENCE)
+    return R.parse_feed(items, REFERENCE).withColumn("published", F.col("published").cast("timestamp_ntz"))
 
 
 @query("model_reply_parse", """
@@ -301,15 +301,15 @@ PADDED = ["total_esg_risk_score", *PILLARS, "controversy_score", "always_seven",
 PADDED_SQL = "padded AS (SELECT *, 7.0 AS always_seven, NULL::DOUBLE AS never_known, env_risk_score AS env_copy, total_esg_risk_score AS total_copy, gov_risk_score + 1 AS gov_shift FROM profile)"
 
 
-@query("column_profile_quality", cte("SELECT 1", "profile").replace(" SELECT 1", ", " + PADDED_SQL) + " " + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) <= 1 AS is_constant FROM padded" for c in PADDED))
+@query("column_profile_quality", cte(", " + PADDED_SQL + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) <= 1 AS is_constant FROM padded" for c in PADDED), "profile"))
 def column_profile_quality(spark, sf):
     return C.constant_columns(padded(spark, sf), PADDED)
 
 
-@query("duplicate_columns", cte("SELECT 1", "profile").replace(" SELECT 1", ", " + PADDED_SQL) + " SELECT * FROM (" + " UNION ALL ".join(
+@query("duplicate_columns", cte(", " + PADDED_SQL + " SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{a}' AS kept, '{b}' AS dropped, count(*) FILTER (WHERE {a} IS DISTINCT FROM {b}) AS diff FROM padded"
-    for i, a in enumerate(PADDED) for b in PADDED[i + 1:]) + ") WHERE diff = 0")
+    for i, a in enumerate(PADDED) for b in PADDED[i + 1:]) + ") WHERE diff = 0", "profile"))
 def duplicate_columns(spark, sf):
     pairs = C.duplicate_columns(padded(spark, sf), "company_id", PADDED)
     return spark.createDataFrame([(a, b, 0) for a, b in pairs], "kept string, dropped string, diff long")
@@ -321,7 +321,7 @@ def duplicate_columns(spark, sf):
     SELECT company_id, source,
            CASE WHEN source = 'B' THEN (SELECT quantile_cont(text_length, 0.5) FROM f WHERE source = 'A') ELSE text_length END AS text_length,
            CASE WHEN source = 'B' THEN (SELECT quantile_cont(letter_hits, 0.5) FROM f WHERE source = 'A') ELSE letter_hits END AS letter_hits FROM f""",
-                                      "profile").replace(") \n    , f", "), f"), "text_length letter_hits")
+                                      "profile"), "text_length letter_hits")
 def expanded_impute_from_base(spark, sf):
     d = F.col("description")
     size = F.char_length(d)

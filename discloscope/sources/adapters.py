@@ -168,7 +168,7 @@ def articles(events: DataFrame) -> DataFrame:
     slot = (F.col("event_id") % 4 + 1).cast("int")
     template = F.element_at(F.array(*[F.lit(h) for h in HEADLINES]), slot)
     return events.select(
-        F.col("user_id").alias("company_id"), F.col("event_id").alias("article_id"), F.col("ts").alias("published"),
+        F.col("user_id").alias("company_id"), F.col("event_id").alias("article_id"), F.col("ts").cast("timestamp").alias("published"),
         F.col("event_type").alias("source"),
         F.concat(F.lit("u"), (F.col("event_id") % 9000).cast("string")).alias("url"),
         F.replace(template, F.lit("{}"), F.initcap("event_type")).alias("title"))
