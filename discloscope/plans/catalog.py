@@ -3,6 +3,7 @@
 from discloscope.plans import (  # noqa: F401
     cleaning_plans,
     feature_plans,
+    matrix_plans,
     model_plans,
     relational_plans,
     text_plans,

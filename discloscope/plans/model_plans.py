@@ -122,6 +122,7 @@ def overfit_gap(spark, sf):
 RUNS = 20
 
 
+# the resampling half below has no SQL form; this is its aggregation half
 @query("bootstrap_summary", cte(f"""
     SELECT id, avg(p) AS mc_mean, stddev_pop(p) AS mc_std, quantile_cont(p, 0.025) AS ci_low, quantile_cont(p, 0.975) AS ci_high
     FROM (SELECT id, least(1, p1 + ((id * 31 + r * 17) % 41) / 400.0) AS p FROM pred, (SELECT unnest(range(0, {RUNS})) AS r)) GROUP BY id""", "pred"), "mc_mean mc_std ci_low ci_high")
