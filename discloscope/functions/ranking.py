@@ -83,9 +83,12 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def with_value_ranks(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Attach ``below``, ``cnt`` and ``n`` to every row; NULL where the value is NULL."""
-    ranks = value_ranks(df, groups, value)
+def with_value_ranks(df: DataFrame, groups: Sequence[str], value: str, base: DataFrame | None = None) -> DataFrame:
+    """Attach ``below``, ``cnt`` and ``n`` to every row; NULL where the value is NULL.
+
+    ``base`` holds the same rows with a shorter lineage, when there is one.
+    """
+    ranks = value_ranks(df if base is None else base, groups, value)
     return _join_keys(df, ranks, [*groups, value], "left")
 
 
@@ -186,6 +189,22 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, flo
     return result
 
 
+def per_column(df: DataFrame, columns: Sequence[str], figures, chunk: int = 24) -> DataFrame:
+    """One row ``(column, <figures>)`` per column; ``figures(c)`` maps names to aggregates.
+
+    Columns are aggregated in chunks: a columnar source still reads every column once,
+    while one aggregate over hundreds of columns would outgrow code generation.
+    """
+    out = None
+    for i in range(0, len(columns), chunk):
+        part = columns[i:i + chunk]
+        wide = df.agg(*[F.struct(*[a.alias(n) for n, a in figures(c).items()]).alias(c) for c in part])
+        rows = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("f")) for c in part])).alias("s")) \
+            .select("s.column", "s.f.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def small_side(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``limit`` rows.
 

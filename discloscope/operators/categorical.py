@@ -13,11 +13,12 @@ from discloscope.functions.ranking import attach_group
 from discloscope.operators.cleaning import pillar_bin, total_bin
 
 
-def frequency_encode(df: DataFrame, columns: Sequence[str] = ("sector", "industry")) -> DataFrame:
+def frequency_encode(df: DataFrame, columns: Sequence[str] = ("sector", "industry"), base: DataFrame | None = None) -> DataFrame:
     """Category count and share of all rows; a NULL category gives NULL."""
-    out = with_globals(df, df.agg(F.count(F.lit(1)).alias("n")), "_all")
+    base = df if base is None else base
+    out = with_globals(df, base.agg(F.count(F.lit(1)).alias("n")), "_all")
     for c in columns:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias(f"{c}_frequency"))
+        counts = base.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias(f"{c}_frequency"))
         out = attach_group(out, counts, [c]).withColumn(f"{c}_proportion", F.col(f"{c}_frequency") / F.col("_all.n"))
     return out.drop("_all")
 
@@ -31,12 +32,12 @@ def risk_bins(df: DataFrame) -> DataFrame:
         "high_controversy_flag": F.coalesce((F.col("controversy_score") >= 4).cast("int"), F.lit(0))})
 
 
-def first_seen_codes(df: DataFrame, column: str, ordinal: str, out: str) -> DataFrame:
+def first_seen_codes(df: DataFrame, column: str, ordinal: str, out: str, base: DataFrame | None = None) -> DataFrame:
     """Codes 0, 1, ... by first appearance in ingest order; NULL gives -1.
 
     The window runs over one row per distinct value, not over the rows.
     """
-    firsts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(ordinal).alias("_first"))
+    firsts = (df if base is None else base).filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(ordinal).alias("_first"))
     codes = firsts.select(column, (F.row_number().over(Window.orderBy("_first")) - 1).alias(out))
     return attach_group(df, codes, [column]).withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
@@ -45,16 +46,21 @@ def mismatch_flag():
     return F.coalesce(((F.col("esg_risk_bin") <= 1) & (F.col("controversy_bin") >= 3)).cast("int"), F.lit(0))
 
 
-def cross_features(df: DataFrame, ordinal: str = "company_id") -> DataFrame:
-    """Needs ``risk_bins``."""
+def _cross_columns(df: DataFrame) -> DataFrame:
     r, c = F.col("esg_risk_bin"), F.col("controversy_bin")
-    out = df.withColumns({
+    return df.withColumns({
         "esg_controversy_segment": F.concat_ws("_", r.cast("int").cast("string"), c.cast("int").cast("string")),
         "risk_controversy_mismatch": mismatch_flag(), "risk_controversy_gap": c,
         "sector_risk_segment": F.concat("sector", F.lit("_"), r.cast("int").cast("string")),
         "esg_performance_tier": F.when((r <= 1) & (c <= 1), 3).when((r <= 2) & (c <= 2), 2).when((r <= 3) | (c <= 3), 1).otherwise(0)})
+
+
+def cross_features(df: DataFrame, ordinal: str = "company_id", base: DataFrame | None = None) -> DataFrame:
+    """Needs ``risk_bins`` on the rows; ``base`` may be the rows before it."""
+    out = _cross_columns(df)
+    plain = out if base is None else _cross_columns(risk_bins(base))
     for seg in ("esg_controversy_segment", "sector_risk_segment"):
-        out = first_seen_codes(out, seg, ordinal, f"{seg}_encoded")
+        out = first_seen_codes(out, seg, ordinal, f"{seg}_encoded", plain)
     return out
 
 
@@ -78,9 +84,10 @@ def group_profile(df: DataFrame, group: str = "sector") -> DataFrame:
         (F.max(t) - F.min(t)).alias("sector_esg_spread"), F.avg("high_risk_flag").alias("sector_high_risk_ratio"))
 
 
-def all_categorical(df: DataFrame, ordinal: str = "company_id") -> DataFrame:
-    out = issue_flags(cross_features(risk_bins(frequency_encode(df)), ordinal))
-    return attach_group(out, group_profile(out), ["sector"])
+def all_categorical(df: DataFrame, ordinal: str = "company_id", base: DataFrame | None = None) -> DataFrame:
+    base = df if base is None else base
+    out = issue_flags(cross_features(risk_bins(frequency_encode(df, base=base)), ordinal, base))
+    return attach_group(out, group_profile(risk_bins(base)), ["sector"])
 
 
 FEATURES = {

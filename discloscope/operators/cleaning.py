@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from discloscope.functions import fixed_values as V
 from discloscope.functions.exprs import clip, cut, finite, lookup, with_globals
-from discloscope.functions.ranking import attach_group, column_quantiles, exact_quantiles
+from discloscope.functions.ranking import attach_group, column_quantiles, exact_quantiles, per_column
 from discloscope.functions.text import strip_space
 
 
@@ -33,7 +33,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
 
 
 def parse_thousands(c: Column) -> Column:
-    return F.expr("try_cast(x as double)") if c is None else _try_double(F.trim(F.replace(c, F.lit(","), F.lit(""))))
+    return _try_double(F.trim(F.replace(c, F.lit(","), F.lit(""))))
 
 
 def _try_double(c: Column) -> Column:
@@ -91,16 +91,10 @@ def scrub_nonfinite(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def nonfinite_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: infinities and missing values before the scrub, in one aggregate."""
+    """Per column: infinities and missing values before the scrub."""
     inf = F.lit(float("inf"))
-    aggs = []
-    for c in columns:
-        aggs += [F.count_if(F.abs(F.col(c)) == inf).alias(f"{c}|n_infinite"),
-                 F.count_if(F.col(c).isNull() | F.isnan(F.col(c))).alias(f"{c}|n_missing")]
-    wide = df.agg(*aggs)
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}|n_infinite").alias("n_infinite"),
-                 F.col(f"{c}|n_missing").alias("n_missing")) for c in columns])).alias("s")).select("s.*")
+    return per_column(df, columns, lambda c: {
+        "n_infinite": F.count_if(F.abs(F.col(c)) == inf), "n_missing": F.count_if(F.col(c).isNull() | F.isnan(F.col(c)))})
 
 
 def grade_levels(df: DataFrame, grade: str) -> DataFrame:
@@ -142,9 +136,7 @@ def key_lookup_fill(df: DataFrame, known: DataFrame, key: str, value: str, ordin
 
 def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, is_constant): at most one distinct non-NULL value, by min = max."""
-    wide = df.agg(*[F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(c) for c in columns])
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("is_constant")) for c in columns])).alias("s")).select("s.*")
+    return per_column(df, columns, lambda c: {"is_constant": F.coalesce(F.min(c) == F.max(c), F.lit(True))})
 
 
 def drop_constant(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -158,7 +150,8 @@ def duplicate_columns(df: DataFrame, row_id: str, columns: Sequence[str]) -> lis
     One pass fingerprints every column; only columns whose fingerprints collide are
     compared value by value, in one more pass.
     """
-    prints = df.agg(*[F.bit_xor(F.xxhash64(F.col(row_id), F.col(c).cast("double"))).alias(c) for c in columns]).first()
+    found = per_column(df, columns, lambda c: {"print": F.bit_xor(F.xxhash64(F.col(row_id), F.col(c).cast("double")))})
+    prints = {r["column"]: r["print"] for r in found.collect()}  # one row per column
     by_print: dict[int, list[str]] = {}
     for c in columns:
         by_print.setdefault(prints[c], []).append(c)

@@ -24,8 +24,8 @@ def build(profile: DataFrame, key: str = "company_id", scaled: bool = False) ->
     text alone, and the two halves meet in one join on the key.
     """
     base = materialize(profile)
-    numbers = M.all_numeric(base.drop("description"), scaled=scaled)
-    numbers = K.all_categorical(numbers, key)
+    plain = base.drop("description")
+    numbers = K.all_categorical(M.all_numeric(plain, scaled=scaled), key, plain)
     words = N.all_nlp(base.select(key, "description"))
     return materialize(numbers.join(words.drop("description"), key))
 

@@ -74,8 +74,9 @@ def robust_stats(df: DataFrame, columns: Sequence[str] = (TOTAL, CONTROVERSY)) -
     return {**quart, **column_quantiles(deviations, columns, {"mad": 0.5})}
 
 
-def anomaly(df: DataFrame, with_rank: bool = True) -> DataFrame:
-    """Needs the z-scores of ``statistical_moments``."""
+def anomaly(df: DataFrame, with_rank: bool = True, base: DataFrame | None = None) -> DataFrame:
+    """Needs the z-scores of ``statistical_moments``. ``base``: the same rows with a shorter lineage, for the statistics."""
+    base = df if base is None else base
     t, c = F.col(TOTAL), F.col(CONTROVERSY)
 
     def q(col: str, name: str) -> Column:
@@ -87,7 +88,7 @@ def anomaly(df: DataFrame, with_rank: bool = True) -> DataFrame:
 
     # a zero IQR on the controversy scale falls back to "differs from the median"
     controversy_out = F.when(q(CONTROVERSY, "q3") - q(CONTROVERSY, "q1") > 0, outside(c, CONTROVERSY)).otherwise(c != q(CONTROVERSY, "med"))
-    out = with_globals(df, robust_stats(df), "_r").withColumns({
+    out = with_globals(df, robust_stats(base), "_r").withColumns({
         "esg_iqr_outlier": F.coalesce(outside(t, TOTAL).cast("int"), F.lit(0)),
         "controversy_iqr_outlier": F.coalesce(controversy_out.cast("int"), F.lit(0)),
         "esg_mad_score": eps_ratio(F.abs(t - q(TOTAL, "med")), q(TOTAL, "mad")),
@@ -97,7 +98,7 @@ def anomaly(df: DataFrame, with_rank: bool = True) -> DataFrame:
         + 0.20 * F.col("controversy_mad_score") + 0.10 * (F.col("esg_iqr_outlier") + F.col("controversy_iqr_outlier"))))
     if not with_rank:
         return out
-    ranked = with_value_ranks(out, [], TOTAL)
+    ranked = with_value_ranks(out, [], TOTAL, base)
     return ranked.withColumn("esg_percentile_rank", average_percentile()).drop("cnt", "below", "n")
 
 
@@ -107,17 +108,18 @@ def group_stats(df: DataFrame, group: str = "sector") -> DataFrame:
         F.avg(CONTROVERSY).alias("controversy_sector_mean"))
 
 
-def group_zscores(df: DataFrame, group: str = "sector") -> DataFrame:
-    out = attach_group(df, group_stats(df.filter(F.col(group).isNotNull()), group), [group])
+def group_zscores(df: DataFrame, group: str = "sector", base: DataFrame | None = None) -> DataFrame:
+    base = df if base is None else base
+    out = attach_group(df, group_stats(base.filter(F.col(group).isNotNull()), group), [group])
     gap = F.col(TOTAL) - F.col("esg_sector_mean")
     return out.withColumns({
         "esg_vs_sector_mean": gap, "esg_sector_zscore": gap / (F.col("esg_sector_std") + EPS),
         "controversy_vs_sector": F.col(CONTROVERSY) - F.col("controversy_sector_mean")})
 
 
-def group_ranks(df: DataFrame, group: str = "sector", value: str = TOTAL) -> DataFrame:
+def group_ranks(df: DataFrame, group: str = "sector", value: str = TOTAL, base: DataFrame | None = None) -> DataFrame:
     """Competition rank and average-tie percentile inside the group; NULL groups get NULL."""
-    ranked = with_value_ranks(df, [group], value)
+    ranked = with_value_ranks(df, [group], value, base)
     inside = F.col(group).isNotNull()
     return ranked.withColumns({"sector_rank": F.when(inside, F.col("below") + 1),
                                "sector_percentile": F.when(inside, average_percentile())}).drop("cnt", "below", "n")
@@ -209,5 +211,5 @@ ALL_FEATURES = [f for fs in FEATURES.values() for f in fs]
 
 def all_numeric(df: DataFrame, scaled: bool = True) -> DataFrame:
     out = (df.transform(pillar_ratios).transform(risk_decomposition).transform(statistical_moments)
-           .transform(interactions).transform(anomaly).transform(group_zscores).transform(group_ranks))
+           .transform(interactions).transform(anomaly, base=df).transform(group_zscores, base=df).transform(group_ranks, base=df))
     return scale(out, ALL_FEATURES, "robust") if scaled else out

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from discloscope.functions import fixed_values as V
-from discloscope.functions.ranking import attach_group, small_side, value_ranks, _join_keys
+from discloscope.functions.ranking import _join_keys, attach_group, per_column, value_ranks
 
 PANEL_MEASURES = ["revenue", "profit_margin", "market_cap", "growth_rate", "esg_overall", "esg_environmental", "esg_social",
                   "esg_governance", "carbon_emissions", "water_usage", "energy_consumption"]
@@ -123,12 +123,9 @@ def feature_registry(df: DataFrame, declared: DataFrame) -> DataFrame:
     types = dict(df.dtypes)
     names = [r["feature"] for r in declared.select("feature").collect()]  # one row per declared feature
     live = [n for n in names if types.get(n, "string") != "string"]
-    wide = df.agg(*[x for c in live for x in (
-        F.avg(c).alias(f"{c}|mean"), F.stddev_samp(c).alias(f"{c}|std"), F.min(F.col(c).cast("double")).alias(f"{c}|min"),
-        F.max(F.col(c).cast("double")).alias(f"{c}|max"), F.count_if(F.col(c).isNull()).alias(f"{c}|nulls"))])
-    stats = wide.select(F.explode(F.array(*[F.struct(
-        F.lit(c).alias("feature"), F.col(f"{c}|mean").alias("mean"), F.col(f"{c}|std").alias("std"), F.col(f"{c}|min").alias("min"),
-        F.col(f"{c}|max").alias("max"), F.col(f"{c}|nulls").alias("null_count")) for c in live])).alias("s")).select("s.*")
+    stats = per_column(df, live, lambda c: {
+        "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(F.col(c).cast("double")), "max": F.max(F.col(c).cast("double")),
+        "null_count": F.count_if(F.col(c).isNull())}).withColumnRenamed("column", "feature")
     dtype = df.sparkSession.createDataFrame([(n, types.get(n, "removed")) for n in names], "feature string, dtype string")
     return declared.join(dtype, "feature").join(stats, "feature", "left")
 

@@ -112,7 +112,7 @@ def score_inputs(spark, sf):
     """Label and score inputs, staged once because several global statistics read them."""
     base = materialize(clean_profile(spark, sf))
     df = base.transform(M.pillar_ratios).transform(M.risk_decomposition).transform(M.statistical_moments)
-    df = M.anomaly(df, with_rank=False).transform(K.risk_bins).withColumn("risk_controversy_mismatch", K.mismatch_flag())
+    df = M.anomaly(df, with_rank=False, base=base).transform(K.risk_bins).withColumn("risk_controversy_mismatch", K.mismatch_flag())
     return materialize(N.linguistic_pack(N.polarity_pack(N.prepare(df))).select(*INPUTS))
 
 
