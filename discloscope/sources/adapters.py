@@ -28,13 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, scan: DataFrame, key: str) -> DataFrame:
+    """Text work is CPU-bound: rows of a scan with too few splits to keep the cores busy are spread by key.
+
+    Inputs of any size have far more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if scan.rdd.getNumPartitions() < 4 * cores else df
+
+
 def seed_sentence(key: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SEED_SENTENCES]), (key % 12 + 1).cast("int"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a seeded closing sentence, so that every text rule has hits."""
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(docs, docs, "doc_id").select(
         "doc_id", "lang", "source",
         F.concat(F.coalesce("text", F.lit("")), F.lit(" "), seed_sentence(F.col("doc_id"))).alias("description"))
 
@@ -51,7 +61,7 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     size = F.col("p_size").cast("double")
     described = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), seed_sentence(pk))
-    return part.join(docs, pk == F.col("doc_id"), "left").select(
+    out = part.join(docs, pk == F.col("doc_id"), "left").select(
         pk.alias("company_id"),
         F.concat(F.lit("SYM"), pk).alias("symbol"),
         F.upper(F.concat("p_name", F.lit("-"), pk)).alias("company_name"),
@@ -64,6 +74,7 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         (pk % 5 + 1).cast("double").alias("controversy_score"),
         F.when(second, "B").otherwise("A").alias("source"),
     )
+    return spread(out, docs, "company_id")
 
 
 def material_issues(df: DataFrame) -> DataFrame:
