@@ -120,72 +120,70 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, flo
                      gather: int = 2_000) -> dict[str, float | None]:
     """Exact quantiles of whole columns, as ``{"<column>_<name>": value}``.
 
-    Selection by narrowing: a sketch brackets each wanted order statistic, one aggregate
-    counts what lies below and inside the brackets, and only once a bracket holds at most
-    ``gather`` values are those values fetched. Rows are never shuffled; each pass shrinks
-    the brackets about ``accuracy``-fold, so even very large inputs need two or three passes.
+    Selection by narrowing: a sketch proposes two values around each wanted order
+    statistic, one aggregate counts what lies below and at them, and the statistic is
+    either one of the two or strictly inside one of the intervals they cut. Once an
+    interval holds at most ``gather`` rows its values are fetched. Rows are never
+    shuffled. Every pass removes the proposed values themselves, so repeated values
+    cannot stall it, and shrinks the interval about ``accuracy``-fold: very large
+    inputs need two or three passes.
     """
     cols = list(dict.fromkeys(columns))
     vals = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
     sizes = vals.agg(*[F.count(c).alias(c) for c in cols]).first()
-    inf = float("inf")
-    open_keys, result = {}, {}
-    for c in cols:
-        for name, p in probs.items():
-            n = sizes[c]
-            if n == 0:
-                result[f"{c}_{name}"] = None
-                continue
-            pos = p * (n - 1)
-            open_keys[f"{c}_{name}"] = {"col": c, "a": -inf, "b": inf, "lt": 0, "m": n, "lo": math.floor(pos),
-                                        "hi": math.ceil(pos), "frac": pos - math.floor(pos)}
-
-    def inside(k: dict) -> Column:
-        v = F.col(k["col"])
-        return F.when((v >= F.lit(k["a"])) & (v <= F.lit(k["b"])), v)
-
-    def wide() -> list[tuple[str, dict]]:
-        return [(key, k) for key, k in open_keys.items() if k["m"] > gather and k["a"] < k["b"]]
-
-    while pending := wide():
-        def around(k: dict) -> list[float]:
-            slack = 2.0 / accuracy + 2.0 / k["m"]
-            return [max(0.0, (k["lo"] - k["lt"]) / k["m"] - slack), min(1.0, (k["hi"] - k["lt"] + 1) / k["m"] + slack)]
-
-        guess = vals.agg(*[F.percentile_approx(inside(k), around(k), accuracy).alias(key) for key, k in pending]).first()
-        counts = vals.agg(*[x for key, k in pending for x in (
-            F.count_if(F.col(k["col"]) < F.lit(guess[key][0])).alias(f"{key}|lt"),
-            F.count_if(F.col(k["col"]) <= F.lit(guess[key][1])).alias(f"{key}|le"))]).first()
-        for key, k in pending:
-            before = k["m"]
-            top = k["lt"] + k["m"]
-            # a side is narrowed only where the count proves the wanted ranks stay inside
-            if counts[f"{key}|lt"] <= k["lo"]:
-                k["a"], k["lt"] = guess[key][0], counts[f"{key}|lt"]
-            if counts[f"{key}|le"] > k["hi"]:
-                k["b"], top = guess[key][1], counts[f"{key}|le"]
-            k["m"] = top - k["lt"]
-            if k["m"] >= before and k["a"] < k["b"]:
-                accuracy *= 10  # the sketch was too coarse to narrow; ask for a finer one
-
-    fetch = {key: k for key, k in open_keys.items() if k["a"] < k["b"]}
-    found: dict[str, list[tuple[float, int]]] = {key: [] for key in fetch}
+    positions = {(c, name): p * (sizes[c] - 1) for c in cols for name, p in probs.items() if sizes[c]}
+    ranks = {(c, k) for (c, _), pos in positions.items() for k in (math.floor(pos), math.ceil(pos))}
+    # per order statistic: open interval (lo, hi), rows below it, rows inside it
+    spans = {f"{c}|{k}": {"col": c, "k": k, "lo": None, "hi": None, "below": 0, "m": sizes[c]} for c, k in sorted(ranks)}
+    found: dict[str, float] = {}
+
+    def inside(t: dict) -> Column:
+        v = F.col(t["col"])
+        test = v.isNotNull()
+        if t["lo"] is not None:
+            test = test & (v > F.lit(t["lo"]))
+        if t["hi"] is not None:
+            test = test & (v < F.lit(t["hi"]))
+        return F.when(test, v)
+
+    while pending := [(key, t) for key, t in spans.items() if key not in found and t["m"] > gather]:
+        def around(t: dict) -> list[float]:
+            at, slack = (t["k"] - t["below"] + 0.5) / t["m"], 1.0 / accuracy + 1.0 / t["m"]
+            return [max(0.0, at - slack), min(1.0, at + slack)]
+
+        guess = vals.agg(*[F.percentile_approx(inside(t), around(t), accuracy).alias(key) for key, t in pending]).first()
+        counts = vals.agg(*[x for key, t in pending for i in (0, 1) for x in (
+            F.count_if(F.col(t["col"]) < F.lit(guess[key][i])).alias(f"{key}|lt{i}"),
+            F.count_if(F.col(t["col"]) <= F.lit(guess[key][i])).alias(f"{key}|le{i}"))]).first()
+        for key, t in pending:
+            top = t["below"] + t["m"]
+            edges = [(t["below"], t["lo"])]
+            for i in (0, 1):
+                lt, le = counts[f"{key}|lt{i}"], counts[f"{key}|le{i}"]
+                if lt <= t["k"] < le:
+                    found[key] = guess[key][i]
+                edges += [(lt, guess[key][i]), (le, guess[key][i])]
+            edges.append((top, t["hi"]))
+            if key not in found:
+                t["below"], t["lo"] = max((e for e in (edges[0], edges[2], edges[4]) if e[0] <= t["k"]), key=lambda e: e[0])
+                end, t["hi"] = min((e for e in (edges[1], edges[3], edges[5]) if e[0] > t["k"]), key=lambda e: e[0])
+                t["m"] = end - t["below"]
+
+    fetch = {key: t for key, t in spans.items() if key not in found}
     if fetch:
         pairs = vals.select(F.explode(F.array(*[
-            F.struct(F.lit(key).alias("key"), inside(k).alias("v")) for key, k in fetch.items()])).alias("s")).select("s.*")
-        for r in pairs.filter("v is not null").groupBy("key", "v").count().collect():
-            found[r["key"]].append((r["v"], r["count"]))
-    for key, k in open_keys.items():
-        if key not in fetch:
-            result[key] = k["a"]
-            continue
-        at, picked = k["lt"], {}
-        for v, count in sorted(found[key]):
-            for want in ("lo", "hi"):
-                if at <= k[want] < at + count:
-                    picked[want] = v
-            at += count
-        result[key] = picked["lo"] + (picked["hi"] - picked["lo"]) * k["frac"]
+            F.struct(F.lit(key).alias("key"), inside(t).alias("v")) for key, t in fetch.items()])).alias("s")).select("s.*")
+        at = {key: t["below"] for key, t in fetch.items()}
+        rows = pairs.filter("v is not null").groupBy("key", "v").count().collect()
+        for r in sorted(rows, key=lambda r: (r["key"], r["v"])):
+            key = r["key"]
+            if at[key] <= fetch[key]["k"] < at[key] + r["count"]:
+                found[key] = r["v"]
+            at[key] += r["count"]
+    result: dict[str, float | None] = {f"{c}_{name}": None for c in cols for name in probs}
+    for (c, name), pos in positions.items():
+        lo, hi = found[f"{c}|{math.floor(pos)}"], found[f"{c}|{math.ceil(pos)}"]
+        result[f"{c}_{name}"] = lo + (hi - lo) * (pos - math.floor(pos))
     return result
 
 

@@ -60,6 +60,13 @@ def test_column_quantiles_narrowing(skewed, accuracy, gather):
             assert got[f"{c}_{name}"] == pytest.approx(pdf[c].quantile(p), abs=1e-9)
 
 
+def test_quantile_between_two_hot_values(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 1.0).when(F.col("id") % 3 == 1, 2.0).otherwise(F.col("id") / 1e6 + 1.2).alias("v"))
+    want = np.quantile(df.toPandas()["v"], [0.2, 1 / 3, 0.5, 2 / 3, 0.9])
+    got = R.column_quantiles(df, ["v"], {f"p{i}": p for i, p in enumerate([0.2, 1 / 3, 0.5, 2 / 3, 0.9])}, 100, 20)
+    assert np.allclose(list(got.values()), want)
+
+
 def test_empty_column_quantile(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert R.column_quantiles(df, ["v"], {"m": 0.5}) == {"v_m": None}
@@ -122,7 +129,7 @@ def test_metrics_edges(spark):
     df = spark.createDataFrame([("m", "s", y, p) for y, p in ((0, 0.1), (1, 0.2), (0, 0.3))], "model string, split string, y int, p double")
     row = E.classification_metrics(df).first()
     assert row["precision"] == 0 and row["f1"] == 0 and row["roc_auc"] == 0.5
-    tie = spark.createDataFrame([(1, 0.6, 0.6), (0, 0.4, 0.4)], "y int, p1 double, p2 double")
+    tie = spark.createDataFrame([(1, 1.0, 1.0), (0, 0.0, 0.0)], "y int, p1 double, p2 double")
     assert E.best_blend(tie).first()["alpha"] == 0.0
 
 
