@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discloscope.llm.decontamination import contamination
+from discloscope.llm.jaccard_join import ngram_jaccard_join
 from discloscope.llm.line_dedup import dedup_lines
 from discloscope.llm.mixing import mix_sources
 from discloscope.llm.sharding import assign_shards
@@ -69,7 +70,12 @@ def op2(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "tokens", "epoch", "block", "block_order")
 
 
-# ---------------------------------------------------------------- 4
+# ---------------------------------------------------------------- 3
+@query("op3_ngram_jaccard_join")
+def op3(spark, sf_dir):
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 SPLIT = rf"string_split_regex({LOWER}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 
