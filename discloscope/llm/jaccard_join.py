@@ -10,8 +10,8 @@ common order. Each element is a region; its smallest class is the pivot, and dis
 * the rest (beyond 2 t): cannot link with the ball and is joined on its own.
 
 Regions that already lie in one component are done. Small ones are joined inside the windows. Members of large ones
-recur as a corpus of their own, ordered by how rare elements are in it, which takes passages that many documents share
-out of play.
+recur as a corpus of their own, in an order that puts the elements of crowded regions last, which takes passages that
+many documents share out of play.
 """
 
 from __future__ import annotations
@@ -30,10 +30,11 @@ from discloscope.session import materialize
 #: members up to which a region is joined directly
 SMALL_REGION = 48
 #: times that large regions recur; what is then left is joined in blocks
-LEVELS = 3
+LEVELS = 4
 #: for distances, which are quotients; links are decided in whole numbers
 SLACK = 1e-9
-#: document ids up to which a filter is broadcast (8 bytes each)
+#: ids or elements up to which a filter is broadcast (8 bytes each); the most crowded elements are demoted first, and any
+#: choice of them gives an exact join
 BROADCAST_IDS = 1_000_000
 
 
@@ -45,10 +46,6 @@ class Measure:
             raise ValueError("the similarity must lie between 51 and 99 hundredths")
         self.percent, self.twice = percent, max(1, 2 * percent - 100)
 
-    def prefix(self, n: Column) -> Column:
-        """Elements of a set of size n of which a partner must hold one."""
-        return n - F.ceil(n * self.percent / 100).cast("int") + 1
-
     def possible(self, n: Column, m: Column, differ: Column, percent: int) -> Column:
         """Whether sets of these sizes that differ in at least so many elements may reach ``percent``."""
         sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
@@ -81,8 +78,8 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
         build, "doc_id long, n int, cls long, sketch array<long>, prefix array<long>")
 
 
-def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``cls``, ``n`` and ``items`` (all shingles) of the wanted classes, from the text of one document each."""
+def _of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, part=None) -> DataFrame:
+    """``cls`` and ``items`` (all shingles, or what ``part`` takes of them) of the wanted classes, from one text each."""
     ids = materialize(classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("cls", "rep"))
     keep = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
@@ -92,10 +89,10 @@ def _whole_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: i
             found = list(sets(batch.column("text")))
             # an id that several texts share also brings texts of other classes
             own = [i for i, cls in enumerate(batch.column("cls").to_pylist()) if fingerprint(found[i]) == cls]
-            yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(own, pa.int64())), lists([found[i] for i in own])], names=["cls", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(own, pa.int64())), lists([part(found[i]) if part else found[i] for i in own])], names=["cls", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(keep, "rep").select("cls", "text")
-    return materialize(texts.mapInArrow(build, "cls long, items array<long>").dropDuplicates(["cls"]))
+    return texts.mapInArrow(build, "cls long, items array<long>").dropDuplicates(["cls"])
 
 
 def _regions(prefixes: DataFrame) -> DataFrame:
@@ -144,7 +141,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
     full = table.filter("n > 0 and doc_id is not null")
     classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     links = docs.sparkSession.createDataFrame([], "a long, b long")
-    known = docs.sparkSession.createDataFrame([], "a long, b long, distance double")
+    none = docs.sparkSession.createDataFrame([], "a long, b long, distance double, linked boolean")
+    known, demoted = none.drop("linked"), docs.sparkSession.createDataFrame([], "token long, df long")
     labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     prefixes = full.select("cls", F.explode("prefix").alias("token"))
 
@@ -152,11 +150,18 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
         """Distances of pairs that sizes and sketches leave in reach of 2 t."""
         reach = materialize(_with_classes(pairs, classes).filter(measure.possible(
             F.col("n_a"), F.col("n_b"), _differ(F.col("sketch_a"), F.col("sketch_b")), measure.twice)).select("a", "b", "n_a", "n_b"))
-        sets = _whole_sets(docs, classes, reach.select(F.col("a").alias("cls")).union(reach.select("b")), words)
+        if reach.isEmpty():
+            return none
+        sets = materialize(_of_classes(docs, classes, reach.select(F.col("a").alias("cls")).union(reach.select("b")), words))
         found = _measured(reach, sets)
         return materialize(found.select("a", "b", _distance(F.col("common"), F.col("n_a"), F.col("n_b")).alias("distance"),
                                         (F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).alias("linked")))
 
+    def merge(found: DataFrame, known: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        fresh = found.filter("linked").select("a", "b")
+        known, links = known.union(found.drop("linked")), links.union(fresh)
+        return known, links, labels if fresh.isEmpty() else connected_components(links)
+
     def regions_of(regions: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of the regions that hold more than one component."""
         named = materialize(_label(regions, labels, "cls", "comp"))
@@ -180,9 +185,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
             else:
                 asked = _label(_label(asked, labels, "a", "c_a"), labels, "b", "c_b").filter("c_a <> c_b").select("a", "b")
             found = verify(asked.join(known, ["a", "b"], "left_anti"))
-            known, links = known.union(found.drop("linked")), links.union(found.filter("linked").select("a", "b"))
-            if wave != "mixed":
-                labels = connected_components(links)
+            known, links, labels = merge(found, known, links, labels)
 
         # windows: what is left of each region beside its ball; a spoke without a distance is beyond 2 t
         held = mixed.join(known.withColumnsRenamed({"a": "cls", "b": "pivot"}), ["cls", "pivot"], "left").withColumn(
@@ -201,11 +204,12 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
         last = level == LEVELS
         pairs = _window_pairs(left if last else left.filter(F.col("members") <= small), small, t)
         found = verify(pairs.join(known, ["a", "b"], "left_anti"))
-        known, links = known.union(found.drop("linked")), links.union(found.filter("linked").select("a", "b"))
-        labels = connected_components(links)
+        known, links, labels = merge(found, known, links, labels)
         if last or large.isEmpty():
             break
-        prefixes = _rare_prefixes(_whole_sets(docs, classes, large.select("cls"), words), measure, small)
+        crowds = regions.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > small)
+        demoted = materialize(demoted.union(crowds).groupBy("token").agg(F.max("df").alias("df")).orderBy(F.desc("df"), "token").limit(BROADCAST_IDS))
+        prefixes = _demoted_prefixes(docs, classes, large.select("cls"), demoted, words, percent)
 
     comps = _label(classes.select("cls", "rep"), labels, "cls", "comp")
     least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -231,10 +235,12 @@ def _window_pairs(members: DataFrame, block: int, t: float) -> DataFrame:
     return met.filter(~apart & ~far).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
 
-def _rare_prefixes(sets: DataFrame, measure: Measure, often: int) -> DataFrame:
-    """Prefixes in an order that puts elements held by more than ``often`` of these sets last."""
-    items = sets.select("cls", F.size("items").alias("n"), F.explode("items").alias("token"))
-    common = items.groupBy("token").agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df") > often)
-    ranked = items.join(common, "token", "left").groupBy("cls").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "token"))).alias("ranked"))
-    return ranked.select("cls", F.explode(F.slice("ranked", F.lit(1), measure.prefix(F.col("n")))).alias("_e")).select("cls", F.col("_e.token").alias("token"))
+def _demoted_prefixes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, common: DataFrame, words: int, percent: int) -> DataFrame:
+    """Prefixes of the wanted classes in an order that puts the ``common`` elements last."""
+    late = np.sort(np.array([r["token"] for r in common.collect()], np.int64))
+
+    def first(s: np.ndarray) -> np.ndarray:
+        hot = np.isin(s.view(np.int64), late)
+        return np.concatenate((s[~hot], s[hot]))[:len(s) - -(-len(s) * percent // 100) + 1]
+
+    return materialize(_of_classes(docs, classes, wanted, words, first)).select("cls", F.explode("items").alias("token"))
