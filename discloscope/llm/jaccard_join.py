@@ -53,7 +53,16 @@ class Measure:
 
 
 def _differ(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    """Bits in which two sketches differ; the longer one is folded to the length of the other."""
+    def bits(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, i: s + i)
+
+    def folded(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda i, j: i.bitwiseXOR(j))
+
+    # sizes within reach of each other have sketches of equal length or of twice the length
+    return F.when(F.size(a) == F.size(b), bits(a, b)).when(F.size(a) > F.size(b), bits(folded(a), b)).otherwise(bits(a, folded(b)))
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -92,7 +101,7 @@ def _of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: i
             yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(own, pa.int64())), lists([part(found[i]) if part else found[i] for i in own])], names=["cls", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(keep, "rep").select("cls", "text")
-    return texts.mapInArrow(build, "cls long, items array<long>").dropDuplicates(["cls"])
+    return texts.mapInArrow(build, "cls long, items array<long>")
 
 
 def _regions(prefixes: DataFrame) -> DataFrame:
@@ -146,14 +155,14 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
     labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     prefixes = full.select("cls", F.explode("prefix").alias("token"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Distances of pairs that sizes and sketches leave in reach of 2 t."""
+    def verify(pairs: DataFrame, least: int = percent) -> DataFrame:
+        """Distances of the pairs of which sizes and sketches leave open whether they reach ``least``."""
         reach = materialize(_with_classes(pairs, classes).filter(measure.possible(
-            F.col("n_a"), F.col("n_b"), _differ(F.col("sketch_a"), F.col("sketch_b")), measure.twice)).select("a", "b", "n_a", "n_b"))
+            F.col("n_a"), F.col("n_b"), _differ(F.col("sketch_a"), F.col("sketch_b")), least)).select("a", "b", "n_a", "n_b"))
         if reach.isEmpty():
             return none
         sets = materialize(_of_classes(docs, classes, reach.select(F.col("a").alias("cls")).union(reach.select("b")), words))
-        found = _measured(reach, sets)
+        found = _measured(reach, sets).dropDuplicates(["a", "b"])
         return materialize(found.select("a", "b", _distance(F.col("common"), F.col("n_a"), F.col("n_b")).alias("distance"),
                                         (F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).alias("linked")))
 
@@ -172,19 +181,15 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
         regions = _regions(prefixes)
         if regions.isEmpty():
             break
-        spokes = regions.filter("cls <> pivot").groupBy(F.col("cls").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-        spokes = materialize(spokes)
-        # the pivot that a class meets most often settles nearly all; then those that may join components, and at last
-        # those of regions that hold several components, where the windows need every distance
-        best = spokes.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-        for wave in ("best", "all", "mixed"):
-            asked = best if wave == "best" else spokes.select("a", "b")
+        spokes = materialize(regions.filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct())
+        # spokes that may join components; then those of regions that still hold several, where windows need every distance
+        for wave in ("open", "mixed"):
             if wave == "mixed":
                 mixed = regions_of(regions, labels)
                 asked = mixed.filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
             else:
-                asked = _label(_label(asked, labels, "a", "c_a"), labels, "b", "c_b").filter("c_a <> c_b").select("a", "b")
-            found = verify(asked.join(known, ["a", "b"], "left_anti"))
+                asked = _label(_label(spokes, labels, "a", "c_a"), labels, "b", "c_b").filter("c_a <> c_b").select("a", "b")
+            found = verify(asked.join(known, ["a", "b"], "left_anti"), measure.twice if wave == "mixed" else percent)
             known, links, labels = merge(found, known, links, labels)
 
         # windows: what is left of each region beside its ball; a spoke without a distance is beyond 2 t
