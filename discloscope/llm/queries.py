@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from discloscope.llm.decontamination import contamination
 from discloscope.llm.jaccard_join import ngram_jaccard_join
+from discloscope.llm.language_id import held_out, identify, train
 from discloscope.llm.line_dedup import dedup_lines
 from discloscope.llm.mixing import mix_sources
 from discloscope.llm.sharding import assign_shards
@@ -119,6 +120,15 @@ def op7(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+# ---------------------------------------------------------------- 9
+@query("op9_language_id")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"))
+    model = train(docs.filter(~out))
+    return identify(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+
+
 # ---------------------------------------------------------------- 10
 @query("op10_exact_top_k", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
