@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discloscope.llm.decontamination import contamination
+from discloscope.llm.html_wrapper import extract_main_text
 from discloscope.llm.jaccard_join import ngram_jaccard_join
 from discloscope.llm.language_id import held_out, identify, train
 from discloscope.llm.line_dedup import dedup_lines
@@ -120,6 +121,12 @@ def op7(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+# ---------------------------------------------------------------- 8
+@query("op8_html_extraction")
+def op8(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 # ---------------------------------------------------------------- 9
 @query("op9_language_id")
 def op9(spark, sf_dir):
