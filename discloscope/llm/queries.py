@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,12 @@ from discloscope.llm.html_wrapper import extract_main_text
 from discloscope.llm.jaccard_join import ngram_jaccard_join
 from discloscope.llm.language_id import held_out, identify, train
 from discloscope.llm.line_dedup import dedup_lines
-from discloscope.llm.mixing import mix_sources
+from discloscope.llm.mixing import mix_sources, word_count
+from discloscope.llm.preference import format_preferences, reply_swaps
 from discloscope.llm.sharding import assign_shards
+from discloscope.llm.token_rollup import PIECES, TokenRollup, corpus_batches, piece_count
 from discloscope.llm.topk import exact_top_k
+from discloscope.session import materialize, staging_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +41,43 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 TRIM = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+def spans(column: str):
+    return F.array_join(F.transform(column, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+
+
+# ---------------------------------------------------------------- 1
+def _side_sql(name: str, turns: str) -> str:
+    """Completion and spans of the turns after the prompt, with a running length for the spans."""
+    return f"""
+    SELECT conv_id, coalesce(string_agg(head || body, '' ORDER BY i), '') AS {name}_completion,
+           coalesce(string_agg((ends - length(body)) || '-' || ends, ',' ORDER BY i) FILTER (role = 'assistant'), '') AS {name}_spans
+    FROM (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id ORDER BY i) AS ends
+          FROM (SELECT conv_id, i, t.role AS role, '<|' || t.role || '|>' || chr(10) AS head, replace(t.text, '<|', '< |') || '<|end|>' || chr(10) AS body
+                FROM (SELECT conv_id, n, unnest({turns}) AS t, unnest(range(1, len({turns}) + 1)) AS i FROM m) WHERE i > n))
+    GROUP BY conv_id"""
+
+
+@query("op1_preference_format", f"""
+WITH u AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS c FROM u GROUP BY conv_id),
+a AS (SELECT *, len(c) - list_position(list_reverse(list_transform(c, lambda t: t.role)), 'assistant') + 1 AS last FROM l
+      WHERE list_contains(list_transform(c, lambda t: t.role), 'assistant')),
+s AS (SELECT a.conv_id, a.c, list_transform(a.c, lambda t, i: CASE WHEN i = a.last THEN {{'role': t.role, 'text': coalesce(o.c[o.last].text, '')}} ELSE t END) AS r
+      FROM a LEFT JOIN a AS o ON o.conv_id = a.conv_id + 1),
+m AS (SELECT conv_id, c, r, (SELECT coalesce(min(i) - 1, len(c)) FROM unnest(range(1, len(c) + 1)) AS x(i) WHERE c[i] IS DISTINCT FROM r[i]) AS n FROM s),
+p AS (SELECT conv_id, n, coalesce(array_to_string(list_transform(c[1:n], lambda t: '<|' || t.role || '|>' || chr(10) || replace(t.text, '<|', '< |') || '<|end|>' || chr(10)), ''), '') AS prompt
+      FROM m),
+x AS ({_side_sql("chosen", "c")}),
+y AS ({_side_sql("rejected", "r")})
+SELECT conv_id, CAST(n AS INTEGER) AS n_prompt_turns, prompt, coalesce(chosen_completion, '') AS chosen_completion, coalesce(chosen_spans, '') AS chosen_spans,
+       coalesce(rejected_completion, '') AS rejected_completion, coalesce(rejected_spans, '') AS rejected_spans
+FROM p LEFT JOIN x USING (conv_id) LEFT JOIN y USING (conv_id)""")
+def op1(spark, sf_dir):
+    pairs = format_preferences(reply_swaps(table(spark, sf_dir, "conversations")))
+    return pairs.select("conv_id", "n_prompt_turns", "prompt", "chosen_completion", spans("chosen_spans").alias("chosen_spans"),
+                        "rejected_completion", spans("rejected_spans").alias("rejected_spans"))
+
+
 # ---------------------------------------------------------------- 2
 @query("op2_mix_sources", r"""
 WITH RECURSIVE d AS (
@@ -107,6 +148,30 @@ def op5(spark, sf_dir):
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+# ---------------------------------------------------------------- 6
+@query("op6_token_counts", rf"""
+WITH d AS (SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents)
+SELECT source, lang, 'words-1' AS version, count(*) AS docs,
+       CAST(sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS BIGINT) AS tokens
+FROM d WHERE doc_id = first_id GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'pieces-1', count(*), CAST(sum(coalesce(len(regexp_extract_all(text, '{PIECES}')), 0)) AS BIGINT)
+FROM d WHERE doc_id = first_id GROUP BY source, lang""")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    counts = docs.select("doc_id", "source", "lang", F.floor(F.length(text) / 6).alias("rough"), word_count(F.col("text")).alias("words"),
+                         piece_count(F.col("text")).alias("pieces"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    counts = materialize(counts)
+    first = counts.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"))
+    counts = materialize(counts.join(materialize(first), ["h1", "h2"]).drop("h1", "h2"))
+    rollup = TokenRollup(spark, f"{staging_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    batches = corpus_batches(counts)
+    for name in [*batches, "recount"]:  # the batch that comes twice counts once
+        rollup.commit(name, batches[name])
+    return rollup.totals()
+
+
 # ---------------------------------------------------------------- 7
 @query("op7_line_dedup", f"""
 WITH l AS (SELECT doc_id, pos, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {TRIM}) AS k
