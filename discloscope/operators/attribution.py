@@ -29,8 +29,12 @@ def mean_abs_importance(attr: DataFrame) -> DataFrame:
     return attr.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("importance"))
 
 
+#: places to which a contribution counts: what a value equal to the mean leaves is noise of the summation order
+PLACES = 9
+
+
 def attribution_summary(attr: DataFrame, key: str = "company_id") -> DataFrame:
-    v = F.col("attribution")
+    v = F.round("attribution", PLACES)
     return attr.groupBy(key).agg(
         F.sum(v).alias("net"), F.sum(F.when(v > 0, v).otherwise(0.0)).alias("positive_sum"),
         F.sum(F.when(v < 0, v).otherwise(0.0)).alias("negative_sum"), F.count_if(v > 0).alias("n_positive"), F.count_if(v < 0).alias("n_negative"))
@@ -44,7 +48,7 @@ def top_contributors(attr: DataFrame, entities: int = 10, features: int = 10, ke
     return (attr.join(F.broadcast(leaders), key)  # at most ``entities`` rows
             .withColumn("feature_rank", F.row_number().over(order)).filter(F.col("feature_rank") <= features)
             .select(key, "total", "feature_rank", "feature", "attribution",
-                    F.when(F.col("attribution") > 0, "INCREASES").otherwise("DECREASES").alias("direction"),
+                    F.when(F.round("attribution", PLACES) > 0, "INCREASES").otherwise("DECREASES").alias("direction"),
                     F.when(a > 0.1, "strong").when(a > 0.05, "medium").otherwise("weak").alias("strength")))
 
 

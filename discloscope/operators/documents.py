@@ -161,9 +161,10 @@ def claim_strength_stats(claims: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ rule-based report analysis
-def report_claims(df: DataFrame, key: str, column: str, max_sentences: int = 30) -> DataFrame:
-    """Flagged sentences among the first ``max_sentences`` longer than 20 characters (the analysis defines that window)."""
-    rows = df.select(key, F.posexplode(F.slice(X.sentence_pieces(F.col(column), 20), 1, max_sentences)).alias("sentence_no", "s"))
+def report_claims(df: DataFrame, key: str, column: str, max_sentences: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Flagged sentences longer than 20 characters, of the whole text unless limits for a page view are given."""
+    pieces = X.sentence_pieces(F.col(column), 20)
+    rows = df.select(key, F.posexplode(pieces if max_sentences is None else F.slice(pieces, 1, max_sentences)).alias("sentence_no", "s"))
     low = F.lower("s")
     rows = rows.withColumns({"vague": _any_match(low, V.REPORT_VAGUE), "super": _any_match(low, V.REPORT_SUPERLATIVE),
                              "fut": _any_match(low, V.REPORT_FUTURE), "conc": _any_match(low, V.REPORT_CONCRETE)})
@@ -174,7 +175,7 @@ def report_claims(df: DataFrame, key: str, column: str, max_sentences: int = 30)
         return F.when(vague & ~conc, a).when(sup, b).when(fut & ~conc, c).when(conc, d).otherwise(e)
 
     return rows.select(
-        key, "sentence_no", F.substring("s", 1, 200).alias("claim_text"),
+        key, "sentence_no", (F.col("s") if max_chars is None else F.substring("s", 1, max_chars)).alias("claim_text"),
         arm("HIGH", "MEDIUM", "MEDIUM", "LOW", "MEDIUM").alias("risk_level"),
         arm("Uses vague language without measurable commitments", "Superlative claims without supporting evidence",
             "Future promise without past performance data", "Contains measurable data points",
@@ -185,12 +186,12 @@ def report_claims(df: DataFrame, key: str, column: str, max_sentences: int = 30)
 
 
 def report_summary(df: DataFrame, claims: DataFrame, key: str) -> DataFrame:
-    """Document score and band, number of claims kept (15), up to five red flags and positives."""
+    """Document score and band, number of claims, red flags and positives of the whole text."""
     def firsts(level: str) -> Column:
         hits = F.collect_list(F.when(F.col("risk_level") == level, F.struct("sentence_no", "issue")))
-        return F.array_join(F.transform(F.slice(F.array_sort(hits), 1, 5), lambda x: x["issue"]), "|")
+        return F.array_join(F.transform(F.array_sort(hits), lambda x: x["issue"]), "|")
 
-    # at most 30 sentences per document, so the lists are bounded
+    # a list holds sentences of one document only
     per = claims.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_claims"), F.count_if(F.col("risk_level") == "HIGH").alias("n_high"),
         firsts("HIGH").alias("red_flags"), firsts("LOW").alias("positive_signals"))
@@ -198,4 +199,4 @@ def report_summary(df: DataFrame, claims: DataFrame, key: str) -> DataFrame:
     score = F.least(F.lit(100), F.floor(F.col("n_high") / F.greatest("n_claims", F.lit(1)) * 100.0 + 20.0).cast("int"))
     return out.withColumn("overall_score", score).withColumn(
         "overall_risk", F.when(F.col("overall_score") >= 60, "HIGH").when(F.col("overall_score") >= 40, "MEDIUM").otherwise("LOW")) \
-        .withColumn("claims_shown", F.least("n_claims", F.lit(15)).cast("long"))
+        .withColumn("claims_shown", F.col("n_claims").cast("long"))

@@ -112,6 +112,12 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
+def sampling_edge(n: int, sample: int) -> int:
+    """Largest signed 64-bit hash that picks a row, so that about one and a half samples of ``n`` rows are picked."""
+    share = min(1.0, 1.5 * sample / max(n, 1))
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63) - 1)
+
+
 def isolation_forest(df: DataFrame, features: Sequence[str], trees: int = 300, sample: int = 256, contamination: float = 0.15,
                      seed: int = 42, key: str = "company_id") -> DataFrame:
     """Anomaly score per row and the flag of the top ``contamination`` share.
@@ -123,9 +129,9 @@ def isolation_forest(df: DataFrame, features: Sequence[str], trees: int = 300, s
     names = list(features)
     rows = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
     n = rows.count()
-    keep = min(1.0, 1.5 * sample / max(n, 1))
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
-                      lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(keep * 1_000_000)))
+    edge = sampling_edge(n, sample)
+    # the full range of the hash: a share of one row in 10^10 is still more than 10^9 hash values
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.col(key), t, F.lit(seed)) <= F.lit(edge))
     picked = rows.withColumn("tree", F.explode(chosen)).withColumn("_o", F.xxhash64(key, "tree", F.lit(seed + 1)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -81,9 +81,7 @@ REFERENCE = dt.datetime(2024, 2, 1)
     SELECT company_id, item_no, title, source, url, published, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(published)) / 3.6e9 AS age_hours
     FROM (SELECT user_id AS company_id, event_id AS item_no, event_type || ' headline' AS title,
                  CASE WHEN event_id % 40 = 0 THEN 'Unknown' ELSE event_type END AS source, 'u' || event_id AS url,
-                 CASE WHEN event_id % 50 = 0 THEN TIMESTAMP '2024-02-01' ELSE date_trunc('second', ts) END AS published,
-                 row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events)
-    WHERE rn <= 15""", "age_hours")
+                 CASE WHEN event_id % 50 = 0 THEN TIMESTAMP '2024-02-01' ELSE date_trunc('second', ts) END AS published FROM events)""", "age_hours")
 def article_feed_parse(spark, sf):
     e = A.table(spark, sf, "events")
     k = F.col("event_id")

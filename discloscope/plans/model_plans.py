@@ -162,7 +162,7 @@ def mean_abs_importance(spark, sf):
 
 
 @query("top_contributors", cte("""
-    SELECT company_id, total, CAST(rn AS INTEGER) AS feature_rank, feature, attribution, CASE WHEN attribution > 0 THEN 'INCREASES' ELSE 'DECREASES' END AS direction,
+    SELECT company_id, total, CAST(rn AS INTEGER) AS feature_rank, feature, attribution, CASE WHEN round(attribution, 9) > 0 THEN 'INCREASES' ELSE 'DECREASES' END AS direction,
            CASE WHEN abs(attribution) > 0.1 THEN 'strong' WHEN abs(attribution) > 0.05 THEN 'medium' ELSE 'weak' END AS strength
     FROM (SELECT a.*, total, row_number() OVER (PARTITION BY company_id ORDER BY abs(attribution) DESC, feature) AS rn
           FROM attr a JOIN (SELECT company_id, sum(attribution) AS total FROM attr GROUP BY company_id ORDER BY total DESC, company_id LIMIT 10) USING (company_id)) WHERE rn <= 10""", "attr"), "total attribution")
@@ -172,7 +172,7 @@ def top_contributors(spark, sf):
 
 @query("attribution_summary", cte("""
     SELECT company_id, sum(attribution) AS net, sum(CASE WHEN attribution > 0 THEN attribution ELSE 0 END) AS positive_sum, sum(CASE WHEN attribution < 0 THEN attribution ELSE 0 END) AS negative_sum,
-           count(*) FILTER (WHERE attribution > 0) AS n_positive, count(*) FILTER (WHERE attribution < 0) AS n_negative FROM attr GROUP BY company_id""", "attr"), "net positive_sum negative_sum")
+           count(*) FILTER (WHERE attribution > 0) AS n_positive, count(*) FILTER (WHERE attribution < 0) AS n_negative FROM (SELECT company_id, round(attribution, 9) AS attribution FROM attr) GROUP BY company_id""", "attr"), "net positive_sum negative_sum")
 def attribution_summary(spark, sf):
     return X.attribution_summary(attribution(spark, sf))
 
@@ -388,23 +388,29 @@ def sentiment_class_counts(spark, sf):
         F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "sentiment_class", "n")
 
 
-@query("article_timeline", cte("SELECT article_id, company_id, published, title, sentiment FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY published, article_id) AS rn FROM live) WHERE rn = 1", "live"), "sentiment")
+@query("article_timeline", cte("SELECT article_id, company_id, published, title, sentiment FROM (SELECT *, row_number() OVER (PARTITION BY company_id, url ORDER BY published, article_id) AS rn FROM live) WHERE rn = 1", "live"), "sentiment")
 def article_timeline(spark, sf):
-    """First article per URL, in time order."""
-    a = articles(spark, sf)
-    first = a.groupBy("url").agg(F.min_by(F.struct("article_id", "company_id", "published", "title"), F.struct("published", "article_id")).alias("r"))
-    return L.score_articles(first.select("r.*")).select(
+    """First delivery of every article of a company, in time order."""
+    a = A.deliveries(articles(spark, sf))
+    first = a.groupBy("company_id", "url").agg(F.min_by(F.struct("article_id", "published", "title"), F.struct("published", "article_id")).alias("r"))
+    return L.score_articles(first.select("company_id", "r.*")).select(
         "article_id", "company_id", F.col("published").cast("timestamp_ntz").alias("published"), "title", "sentiment").orderBy("published", "article_id")
 
 
-@query("incremental_scoring")
+#: no event comes later than the whole replay takes
+LATE = "400 days"
+
+
+@query("incremental_scoring", cte("""
+    SELECT company_id, count(*) AS n, sum(sentiment * exp(-(epoch_us(newest) - epoch_us(published)) / 3.6e9 / 72)) / count(*) AS mean_weighted, newest AS as_of
+    FROM (SELECT *, max(published) OVER (PARTITION BY company_id) AS newest FROM live) GROUP BY company_id, newest""", "live"), "mean_weighted")
 def incremental_scoring(spark, sf):
     """Replays the events as a stream of daily files and returns the final per-company state."""
     landing, state, mark = scratch(spark), scratch(spark), scratch(spark)
     events = A.table(spark, sf, "events")
     events.withColumn("day", F.to_date("ts")).repartitionByRange("day").write.partitionBy("day").parquet(landing)
     stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(landing)
-    run = L.incremental_scoring(A.articles(stream), state, mark)
+    run = L.incremental_scoring(A.deliveries(A.articles(stream)), state, mark, LATE)
     run.awaitTermination()
     last = max(p["batchId"] for p in run.recentProgress)
     out = L.latest_state(spark, state, last)

@@ -147,7 +147,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         JOIN region ON n_regionkey = r_regionkey"""),
     "articles": ((), f"""
         SELECT user_id AS company_id, event_id AS article_id, ts AS published, event_type AS source,
-               'u' || (event_id % 9000) AS url,
+               'u/' || user_id || '/' || event_id AS url,
                replace({text_list(HEADLINES)}[CAST(event_id % 4 AS INTEGER) + 1], '{{}}',
                        upper(event_type[1]) || lower(event_type[2:])) AS title
         FROM events"""),

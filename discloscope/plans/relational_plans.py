@@ -336,13 +336,18 @@ def melt(spark, sf):
     return R.melt(A.profile(spark, sf), ["company_id"], [T, "controversy_score", "env_risk_score"])
 
 
+SECTORS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query("pivot", cte(f"""
-    SELECT metric, max(value) FILTER (WHERE sector = 'ECONOMY') AS economy, max(value) FILTER (WHERE sector = 'SMALL') AS small, max(value) FILTER (WHERE sector = 'LARGE') AS large
-    FROM ({unpivot_sql('profile', 'sector', [T, 'controversy_score', 'env_risk_score'], 'metric', 'value')}) GROUP BY metric""", "profile"), "economy small large")
+    SELECT metric, {", ".join(f"max(value) FILTER (WHERE sector = '{s}') AS {s.lower()}" for s in SECTORS)}
+    FROM ({unpivot_sql('profile', 'sector', [T, 'controversy_score', 'env_risk_score'], 'metric', 'value')}) GROUP BY metric""", "profile"), " ".join(SECTORS).lower())
 def pivot(spark, sf):
+    """One column per sector; a sector outside the list would be lost, so it raises."""
     long = R.melt(A.profile(spark, sf), ["sector"], [T, "controversy_score", "env_risk_score"])
-    return long.groupBy("metric").pivot("sector", ["ECONOMY", "SMALL", "LARGE"]).agg(F.max("value")).withColumnsRenamed(
-        {"ECONOMY": "economy", "SMALL": "small", "LARGE": "large"})
+    stray = F.raise_error(F.concat(F.lit("unknown sector "), F.coalesce("sector", F.lit("null"))))
+    long = long.withColumn("sector", F.when(F.col("sector").isin(SECTORS), F.col("sector")).otherwise(stray.cast("string")))
+    return long.groupBy("metric").pivot("sector", SECTORS).agg(F.max("value")).withColumnsRenamed({s: s.lower() for s in SECTORS})
 
 
 CMP = ["risk_score", T, "controversy_score", "gw_proxy_score", *PILLARS, "pillar_imbalance_score", "controversy_risk_ratio", "esg_controversy_divergence",

@@ -257,13 +257,13 @@ def arms(a, b, c, d, e):
 
 
 CTES["rep"] = (("corpus",), f"""
-    SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_no, substring(s, 1, 200) AS claim_text, {arms('HIGH', 'MEDIUM', 'MEDIUM', 'LOW', 'MEDIUM')} AS risk_level,
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_no, s AS claim_text, {arms('HIGH', 'MEDIUM', 'MEDIUM', 'LOW', 'MEDIUM')} AS risk_level,
            {arms('Uses vague language without measurable commitments', 'Superlative claims without supporting evidence', 'Future promise without past performance data',
                  'Contains measurable data points', 'Requires further verification')} AS issue,
            {arms('Vague Promise', 'Unverified', 'Vague Promise', 'Credible', 'Unverified')} AS evidence_type,
            CASE WHEN {any_in('lower(s)', V.REPORT_ENVIRONMENTAL)} THEN 'Environmental' WHEN {any_in('lower(s)', V.REPORT_SOCIAL)} THEN 'Social' ELSE 'Governance' END AS category
     FROM (SELECT doc_id, i, s, {VA} AS va, {SU} AS su, {FU} AS fu, {CO} AS co FROM (
-        SELECT doc_id, i, l[i] AS s FROM (SELECT doc_id, l, unnest(range(1, least(len(l), 30) + 1)) AS i FROM (
+        SELECT doc_id, i, l[i] AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (
             SELECT doc_id, {pieces_sql('description', 20)} AS l FROM corpus)))) WHERE va OR su OR fu OR co""")
 
 
@@ -274,12 +274,12 @@ def rule_report_claims(spark, sf):
 
 @query("rule_report_analysis", cte("""
     SELECT doc_id, n_claims, n_high, overall_score, CASE WHEN overall_score >= 60 THEN 'HIGH' WHEN overall_score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS overall_risk,
-           least(n_claims, 15) AS claims_shown, red_flags, positive_signals
+           n_claims AS claims_shown, red_flags, positive_signals
     FROM (SELECT doc_id, coalesce(n, 0) AS n_claims, coalesce(h, 0) AS n_high, CAST(least(100, floor(coalesce(h, 0) / greatest(coalesce(n, 0), 1) * 100 + 20)) AS INTEGER) AS overall_score,
                  coalesce(rf, '') AS red_flags, coalesce(ps, '') AS positive_signals
           FROM corpus LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE risk_level = 'HIGH') AS h,
-               array_to_string((list(issue ORDER BY sentence_no) FILTER (WHERE risk_level = 'HIGH'))[1:5], '|') AS rf,
-               array_to_string((list(issue ORDER BY sentence_no) FILTER (WHERE risk_level = 'LOW'))[1:5], '|') AS ps FROM rep GROUP BY doc_id) USING (doc_id))""", "rep"))
+               array_to_string(list(issue ORDER BY sentence_no) FILTER (WHERE risk_level = 'HIGH'), '|') AS rf,
+               array_to_string(list(issue ORDER BY sentence_no) FILTER (WHERE risk_level = 'LOW'), '|') AS ps FROM rep GROUP BY doc_id) USING (doc_id))""", "rep"))
 def rule_report_analysis(spark, sf):
     docs = A.corpus(spark, sf)
     return D.report_summary(docs, D.report_claims(docs, "doc_id", "description"), "doc_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -40,9 +43,11 @@ def staging_dir(spark: SparkSession) -> str:
     shared = spark.conf.get(_STAGING_KEY, None)
     if shared:
         return shared
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", "local")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
         raise RuntimeError(f"set {_STAGING_KEY} to a folder every executor can reach")
     local = tempfile.mkdtemp(prefix="discloscope-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.conf.set(_STAGING_KEY, local)
     return local
 

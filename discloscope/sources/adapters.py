@@ -175,16 +175,22 @@ HEADLINES = [
 
 
 def articles(events: DataFrame) -> DataFrame:
-    """Headlines from an event table or stream (same columns either way)."""
+    """Headlines from an event table or stream (same columns either way); every event is an article with a URL of its own."""
     slot = (F.col("event_id") % 4 + 1).cast("int")
     template = F.element_at(F.array(*[F.lit(h) for h in HEADLINES]), slot)
     return events.select(
         F.col("user_id").alias("company_id"), F.col("event_id").alias("article_id"), F.col("ts").cast("timestamp").alias("published"),
         F.col("event_type").alias("source"),
-        F.concat(F.lit("u"), (F.col("event_id") % 9000).cast("string")).alias("url"),
+        F.concat_ws("/", F.lit("u"), F.col("user_id"), F.col("event_id")).alias("url"),
         F.replace(template, F.lit("{}"), F.initcap("event_type")).alias("title"))
 
 
+def deliveries(articles: DataFrame) -> DataFrame:
+    """The same articles as a feed delivers them: one in fifty comes twice."""
+    twice = F.when(F.col("article_id") % 50 == 7, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return articles.withColumn("_n", F.explode(twice)).drop("_n")
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled scores of two classifiers, split 3/1/1 by id."""
     k = F.col("doc_id")

@@ -56,17 +56,18 @@ def pattern_table(spark: SparkSession) -> DataFrame:
         rows, "priority int, pattern_name string, regex string, pillar string, claim_type string, description string")
 
 
-def parse_feed(items: DataFrame, reference: dt.datetime, per_company: int = 15) -> DataFrame:
+def parse_feed(items: DataFrame, reference: dt.datetime, per_company: int | None = None) -> DataFrame:
     """Feed items to articles; an unreadable date becomes the reference time.
 
-    Spark cannot parse weekday names, so the weekday is cut off first. The per-company
-    limit is a rank filter, which Spark also applies before the shuffle.
+    Spark cannot parse weekday names, so the weekday is cut off first. All items are
+    kept; the optional per-company limit of a page view is a rank filter, which Spark also applies before the shuffle.
     """
     ref = F.lit(reference)
     published = F.coalesce(F.try_to_timestamp(F.substring("pub_date", 6, 20), F.lit("dd MMM yyyy HH:mm:ss")), ref)
-    order = Window.partitionBy("company_id").orderBy("item_no")
-    return (items.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= per_company)
-            .select("company_id", "item_no",
+    if per_company is not None:
+        order = Window.partitionBy("company_id").orderBy("item_no")
+        items = items.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= per_company)
+    return (items.select("company_id", "item_no",
                     F.regexp_replace(F.coalesce("title", F.lit("")), "<[^>]+>", "").alias("title"),
                     F.coalesce("source", F.lit("Unknown")).alias("source"),
                     F.coalesce("link", F.lit("")).alias("url"), published.alias("published"),

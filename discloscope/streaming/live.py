@@ -65,9 +65,13 @@ def entity_delta(scored: DataFrame, reference: dt.datetime | Column) -> DataFram
         F.avg("weighted").alias("mean_weighted"), F.count(F.lit(1)).alias("n_articles"))
 
 
-def watched(articles: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Event-time watermark and replay-safe de-duplication by URL."""
-    return articles.withWatermark("published", delay).dropDuplicatesWithinWatermark(["url"])
+def watched(articles: DataFrame, delay: str) -> DataFrame:
+    """One article per company and URL.
+
+    ``delay`` is the late-data rule: an article, or its repeat, counts if it comes within that event time of the newest
+    one seen. With a delay that covers the disorder of the input, the result does not depend on micro-batches.
+    """
+    return articles.withWatermark("published", delay).dropDuplicatesWithinWatermark(["company_id", "url"])
 
 
 # ------------------------------------------------------------------ incremental running mean
@@ -107,7 +111,7 @@ def merge_totals(old: DataFrame, new: DataFrame) -> DataFrame:
                        (F.coalesce("o.n", F.lit(0)) + F.coalesce("w.n", F.lit(0))).alias("n"), as_of.alias("as_of"))
 
 
-def incremental_scoring(stream: DataFrame, state_dir: str, checkpoint: str, delay: str = "2 days"):
+def incremental_scoring(stream: DataFrame, state_dir: str, checkpoint: str, delay: str):
     """Score only newly arrived articles and fold them into a per-company decayed sum.
 
     The state is one small row per company, kept as a table version per micro-batch: a
@@ -119,7 +123,9 @@ def incremental_scoring(stream: DataFrame, state_dir: str, checkpoint: str, dela
         spark = batch.sparkSession
         new = batch_totals(score_articles(batch))
         previous = f"{state_dir}/v={batch_id - 1}"
-        old = spark.read.schema(STATE).parquet(previous) if path_exists(spark, previous) else spark.createDataFrame([], STATE)
+        if batch_id > 0 and not path_exists(spark, previous):
+            raise FileNotFoundError(f"the state before batch {batch_id} is missing: {previous}")
+        old = spark.read.schema(STATE).parquet(previous) if batch_id > 0 else spark.createDataFrame([], STATE)
         merge_totals(old, new).write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
 
     return (watched(stream, delay).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
