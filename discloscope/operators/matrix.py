@@ -17,17 +17,15 @@ MODULES = {"numerical": M.ALL_FEATURES, "nlp": N.ALL_FEATURES, "categorical": K.
 DECLARED = [(f, m) for m, fs in MODULES.items() for f in fs]
 
 
-def build(profile: DataFrame, key: str = "company_id", scaled: bool = False) -> DataFrame:
-    """All packs on one staged profile.
+def build(plain: DataFrame, texts: DataFrame, key: str = "company_id", scaled: bool = False) -> DataFrame:
+    """All packs: numeric and categorical ones on the narrow ``plain``, text packs on ``texts`` (key and description).
 
-    Numeric and categorical columns never carry the text; the text packs run on key and
-    text alone, and the two halves meet in one join on the key.
+    Only the narrow side is staged before the packs; texts are read once, from their scan, and the two halves meet in
+    one join on the key.
     """
-    base = materialize(profile)
-    plain = base.drop("description")
-    numbers = K.all_categorical(M.all_numeric(plain, scaled=scaled), key, plain)
-    words = N.all_nlp(base.select(key, "description"))
-    return materialize(numbers.join(words.drop("description"), key))
+    base = materialize(plain)
+    numbers = K.all_categorical(M.all_numeric(base, scaled=scaled), key, base)
+    return materialize(numbers.join(N.all_nlp(texts).drop("description"), key))
 
 
 def quality_pass(matrix: DataFrame, key: str = "company_id") -> tuple[DataFrame, list[tuple[str, str]]]:

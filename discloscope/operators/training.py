@@ -1,4 +1,4 @@
-"""Spark ML training: feature selection, classifiers, grid search, bootstrap, isolation forest, exact neighbours."""
+"""Spark ML training: feature selection, classifiers, grid search, bootstrap, isolation forest, nearest neighbours."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,81 +169,42 @@ def isolation_forest(df: DataFrame, features: Sequence[str], trees: int = 300, s
     return scored.withColumn("is_anomaly", (F.col("anomaly_score") > F.lit(edge)).cast("int"))
 
 
-# ------------------------------------------------------------------ exact nearest neighbours
-def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, pivots: int = 32, chunk: int = 4096) -> DataFrame:
-    """Exact k nearest training rows of every query; inputs have ``id`` and ``vec``, the training side ``label`` too.
+# ------------------------------------------------------------------ nearest neighbours
+def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, max_labelled: int = 20_000, rows: int = 512) -> DataFrame:
+    """The k nearest training rows of every query; inputs have ``id`` and ``vec``, the training side ``label`` too.
 
-    Training rows are blocked around pivots. A query first meets its own block, which
-    bounds its k-th distance; it then visits only blocks that the triangle inequality
-    cannot rule out. Large blocks and their queries are cut into chunks, every chunk
-    keeps k rows per query, and pairs never leave the task.
+    A classifier fitted on at most ``max_labelled`` labelled rows (those with the smallest hash of their id), which
+    is the bound of what goes to the tasks; all queries are then answered in one map-side pass without a shuffle.
+    A matrix product finds candidates, and their distances are taken again from the differences, so ties are exact.
     """
-    spark = train.sparkSession
-    rows = train.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").collect()
-    centres = np.array([r["vec"] for r in rows], dtype=float)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = train.orderBy(F.xxhash64("id"), "id").limit(max_labelled).orderBy("id").select(
+        "id", F.col("vec").cast("array<double>").alias("vec"), "label").toPandas()
+    if held.empty:
+        return train.sparkSession.createDataFrame([], "qid long, tid long, label int, d2 double")
+    x = np.array(held["vec"].tolist(), dtype=float)
+    data = train.sparkSession.sparkContext.broadcast((x, (x * x).sum(1), held["id"].to_numpy(), held["label"].to_numpy()))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, norms, ids, labels = data.value
+        near = min(len(x), k) - 1
         for pdf in batches:
-            if len(pdf):
-                x = np.array(pdf["vec"].tolist(), dtype=float)
-                d = np.sqrt(((x[:, None, :] - centres[None]) ** 2).sum(-1))
-                yield pdf.assign(block=d.argmin(1).astype("int32"), dist=d.min(1), all_dist=list(d))
-
-    shape = "id long, vec array<double>, block int, dist double, all_dist array<double>"
-    t = materialize(train.select("id", F.col("vec").cast("array<double>").alias("vec"), "label").mapInPandas(place, shape + ", label int").drop("all_dist"))
-    q = materialize(queries.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(place, shape))
-    # one row per pivot
-    stats = {r["block"]: (r["n"], r["radius"]) for r in t.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()}
-    chunks = {b: -(-n // chunk) for b, (n, _) in stats.items()}
-    blocks = sorted(stats)
-
-    def by_block(values: dict, c: Column) -> Column:
-        return F.coalesce(*[F.when(c == b, F.lit(v)) for b, v in values.items()])
-
-    def visit(routed: DataFrame) -> DataFrame:
-        """k best per query and chunk, for queries routed to blocks."""
-        load = {r["block"]: -(-r["count"] // chunk) for r in routed.groupBy("block").count().collect()}
-        if not load:
-            return spark.createDataFrame([], "qid long, tid long, label int, d2 double")
-        left = t.filter(F.col("block").isin(list(load))).withColumn("part", F.pmod(F.xxhash64("id"), by_block(chunks, F.col("block"))))
-        left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), by_block(load, F.col("block")) - 1)))
-        right = routed.withColumn("salt", F.pmod(F.xxhash64("id"), by_block(load, F.col("block"))))
-        right = right.withColumn("part", F.explode(F.sequence(F.lit(0), by_block(chunks, F.col("block")) - 1)))
-
-        def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame({"qid": [], "tid": [], "label": [], "d2": []})
-            a = a.sort_values("id")
-            x, y = np.array(a["vec"].tolist()), np.array(b["vec"].tolist())
-            out = []
-            for i in range(0, len(y), 256):
-                d2 = ((y[i:i + 256, None, :] - x[None]) ** 2).sum(-1)
-                order = np.argsort(d2, axis=1, kind="stable")[:, :k]
-                r = np.repeat(np.arange(len(d2)), order.shape[1])
-                c = order.ravel()
-                out.append(pd.DataFrame({"qid": b["id"].to_numpy()[i:i + 256][r], "tid": a["id"].to_numpy()[c],
-                                         "label": a["label"].to_numpy()[c], "d2": d2[r, c]}))
-            return pd.concat(out)
-
-        keys = [F.col("block").cast("long").alias("block"), F.col("part").cast("long").alias("part"), F.col("salt").cast("long").alias("salt")]
-        return (left.select(*keys, "id", "vec", "label").groupBy("block", "part", "salt")
-                .cogroup(right.select(*keys, "id", "vec").groupBy("block", "part", "salt"))
-                .applyInPandas(best, "qid long, tid long, label int, d2 double"))
-
-    order = Window.partitionBy("qid").orderBy("d2", "tid")
-
-    def trim(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-    own = materialize(trim(visit(q.select("id", "vec", "block"))).drop("rank"))
-    bound = own.groupBy(F.col("qid").alias("id")).agg(
-        F.when(F.count(F.lit(1)) == k, F.sqrt(F.max("d2"))).alias("limit"))
-    reach = q.join(bound, "id", "left").select("id", "vec", "limit", F.col("block").alias("own"), F.explode(F.array(*[
-        F.struct(F.lit(b).alias("block"), F.get("all_dist", F.lit(b)).alias("d")) for b in blocks])).alias("s"))
-    radius = {b: float(r) for b, (_, r) in stats.items()}
-    far = F.col("s.d") - by_block(radius, F.col("s.block"))
-    more = reach.filter((F.col("s.block") != F.col("own")) & (F.col("limit").isNull() | (far <= F.col("limit") + 1e-9)))
-    return trim(own.unionByName(visit(materialize(more.select("id", "vec", "s.block")))))
+            for at in range(0, len(pdf), rows):
+                part = pdf.iloc[at:at + rows]
+                q = np.array(part["vec"].tolist(), dtype=float)
+                rough = norms[None] - 2.0 * (q @ x.T)
+                # every row as near as the k-th, give or take rounding, is a candidate
+                edge = np.partition(rough, near, axis=1)[:, near] + 1e-6 * (1.0 + np.abs(rough).max(axis=1))
+                found = []
+                for i in range(len(q)):
+                    c = np.flatnonzero(rough[i] <= edge[i])
+                    d2 = ((q[i] - x[c]) ** 2).sum(-1)
+                    order = np.argsort(d2, kind="stable")[:k]
+                    found.append((c[order], d2[order]))
+                c = np.concatenate([f[0] for f in found])
+                yield pd.DataFrame({"qid": np.repeat(part["id"].to_numpy(), [len(f[0]) for f in found]), "tid": ids[c], "label": labels[c],
+                                    "d2": np.concatenate([f[1] for f in found])})
+
+    return queries.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(best, "qid long, tid long, label int, d2 double")
 
 
 def knn_vote(neighbours: DataFrame) -> DataFrame:

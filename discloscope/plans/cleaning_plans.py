@@ -177,12 +177,17 @@ def fill_constant(spark, sf):
 
 
 def clean_profile(spark, sf):
-    return C.median_impute(A.profile(spark, sf), PILLARS)
+    return C.median_impute(A.profile(spark, sf), PILLARS, A.companies(spark, sf))
+
+
+def clean_companies(spark, sf):
+    """The clean profile without its text."""
+    return C.median_impute(A.companies(spark, sf), PILLARS)
 
 
 @query("median_impute", cte("SELECT company_id, env_risk_score, social_risk_score, gov_risk_score FROM clean", "clean"), " ".join(PILLARS))
 def median_impute(spark, sf):
-    return clean_profile(spark, sf).select("company_id", *PILLARS)
+    return clean_companies(spark, sf).select("company_id", *PILLARS)
 
 
 @query("threshold_label", "SELECT p_partkey AS company_id, CASE WHEN (p_partkey % 81) / 80.0 >= 0.5 THEN 1 ELSE 0 END AS flag FROM part")
@@ -206,7 +211,7 @@ def bins_right_closed(spark, sf):
       CASE WHEN env_risk_score < 0 OR env_risk_score IS NULL THEN 2 WHEN env_risk_score < 3 THEN 0 WHEN env_risk_score < 6 THEN 1
            WHEN env_risk_score < 10 THEN 2 WHEN env_risk_score < 15 THEN 3 ELSE 4 END AS env_bin FROM profile""", "profile"))
 def bins_left_closed(spark, sf):
-    return A.profile(spark, sf).select("company_id", C.total_bin(F.col("total_esg_risk_score")).alias("total_bin"),
+    return A.companies(spark, sf).select("company_id", C.total_bin(F.col("total_esg_risk_score")).alias("total_bin"),
                                        C.pillar_bin(F.col("env_risk_score")).alias("env_bin"))
 
 
@@ -224,7 +229,7 @@ def guarded(spark, sf):
 
 @query("rowwise_spread", cte("SELECT company_id, greatest(env_risk_score, social_risk_score, gov_risk_score) - least(env_risk_score, social_risk_score, gov_risk_score) AS spread FROM profile", "profile"), "spread")
 def rowwise_spread(spark, sf):
-    return A.profile(spark, sf).select("company_id", C.spread([F.col(c) for c in PILLARS]).alias("spread"))
+    return A.companies(spark, sf).select("company_id", C.spread([F.col(c) for c in PILLARS]).alias("spread"))
 
 
 @query("column_delta", cte("SELECT company_id, score_forecast - score_current AS delta FROM raw_rating", "raw_rating"), "delta")
@@ -235,7 +240,7 @@ def column_delta(spark, sf):
 def dirty(spark, sf):
     k, v = F.col("company_id"), F.col("total_esg_risk_score")
     bad = F.when(k % 13 == 0, F.lit(float("inf"))).when(k % 17 == 0, F.lit(float("nan"))).when(k % 19 == 0, F.lit(float("-inf")))
-    return A.profile(spark, sf).select(
+    return A.companies(spark, sf).select(
         "company_id", bad.when(k % 23 == 0, F.lit(None)).otherwise(v).alias("total_value"), F.col("env_risk_score").alias("env_value"))
 
 
@@ -271,25 +276,25 @@ def inverted_rescale(spark, sf):
 
 @query("entity_filter", cte("SELECT company_id, sector, total_esg_risk_score FROM profile WHERE sector = 'ECONOMY' AND total_esg_risk_score BETWEEN 10 AND 30", "profile"), "total_esg_risk_score")
 def entity_filter(spark, sf):
-    df = A.profile(spark, sf).select("company_id", "sector", "total_esg_risk_score")
+    df = A.companies(spark, sf).select("company_id", "sector", "total_esg_risk_score")
     return C.entity_filter(df, sector="ECONOMY", low=10, high=30, score="total_esg_risk_score")
 
 
 @query("clip", cte(f"SELECT company_id, {clip_sql('controversy_score - 1', 0, 4)} AS c, {clip_sql('env_risk_score', 2, 15)} AS e FROM profile", "profile"), "c e")
 def clip_query(spark, sf):
-    return A.profile(spark, sf).select("company_id", clip(F.col("controversy_score") - 1, 0, 4).alias("c"), clip(F.col("env_risk_score"), 2, 15).alias("e"))
+    return A.companies(spark, sf).select("company_id", clip(F.col("controversy_score") - 1, 0, 4).alias("c"), clip(F.col("env_risk_score"), 2, 15).alias("e"))
 
 
 @query("key_lookup_fill", cte("""
     SELECT supplier_id, coalesce(s, 'Unknown') AS sector
     FROM graded LEFT JOIN (SELECT upper(industry) AS k, arg_max(sector, company_id) AS s FROM profile GROUP BY 1) ON upper(graded.industry) = k""", "graded", "profile"))
 def key_lookup_fill(spark, sf):
-    known = A.profile(spark, sf).select("company_id", "industry", "sector")
+    known = A.companies(spark, sf).select("company_id", "industry", "sector")
     return C.key_lookup_fill(A.graded_rating(spark, sf), known, "industry", "sector", "company_id", "Unknown").select("supplier_id", "sector")
 
 
 def padded(spark, sf):
-    p = A.profile(spark, sf).select("company_id", "total_esg_risk_score", *PILLARS, "controversy_score")
+    p = A.companies(spark, sf).select("company_id", "total_esg_risk_score", *PILLARS, "controversy_score")
     return p.withColumns({"always_seven": F.lit(7.0), "never_known": F.lit(None).cast("double"),
                           "env_copy": F.col("env_risk_score"), "total_copy": F.col("total_esg_risk_score") + 0.0,
                           "gov_shift": F.col("gov_risk_score") + 1.0})
@@ -323,6 +328,6 @@ def duplicate_columns(spark, sf):
 def expanded_impute_from_base(spark, sf):
     d = F.col("description")
     size = F.char_length(d)
-    df = A.profile(spark, sf).select("company_id", "source", size.cast("double").alias("text_length"),
+    df = A.companies(spark, sf).select("company_id", "source", size.cast("double").alias("text_length"),
                                      (size - F.char_length(F.replace(d, F.lit("a"), F.lit("")))).cast("double").alias("letter_hits"))
     return C.impute_from_base(df, ["text_length", "letter_hits"], F.col("source") == "B", F.col("source") == "A")

@@ -10,7 +10,7 @@ from discloscope.operators import labels as L
 from discloscope.operators import nlp as N
 from discloscope.operators import numeric as M
 from discloscope.plans import sql_features as S
-from discloscope.plans.cleaning_plans import clean_profile
+from discloscope.plans.cleaning_plans import clean_companies
 from discloscope.plans.registry import cte, query
 from discloscope.session import materialize
 from discloscope.sources import adapters as A
@@ -33,7 +33,7 @@ def pack_query(name, cols, source, build):
 
 
 def num_base(spark, sf):
-    return clean_profile(spark, sf).drop("description")
+    return clean_companies(spark, sf)
 
 
 pack_query("pillar_ratios", M.FEATURES["pillar_ratios"], "num2", lambda s, d: M.pillar_ratios(num_base(s, d)))
@@ -50,8 +50,8 @@ pack_query("all_numeric", M.ALL_FEATURES, "num", lambda s, d: M.all_numeric(mate
 pack_query("risk_bins", K.FEATURES["risk_bins"], "bins", lambda s, d: K.risk_bins(num_base(s, d)))
 pack_query("cross_features", [*K.FEATURES["cross"], "esg_controversy_segment"], "cat",
            lambda s, d: K.cross_features(K.risk_bins(num_base(s, d))))
-pack_query("frequency_encode", K.FEATURES["frequency"], "cat", lambda s, d: K.frequency_encode(A.profile(s, d)))
-pack_query("issue_flags", K.FEATURES["issues"], "cat", lambda s, d: K.issue_flags(A.material_issues(A.profile(s, d))))
+pack_query("frequency_encode", K.FEATURES["frequency"], "cat", lambda s, d: K.frequency_encode(A.companies(s, d)))
+pack_query("issue_flags", K.FEATURES["issues"], "cat", lambda s, d: K.issue_flags(A.material_issues(A.companies(s, d))))
 pack_query("all_categorical", K.ALL_FEATURES, "cat", lambda s, d: K.all_categorical(materialize(A.material_issues(num_base(s, d)))))
 
 SCALED = ["total_esg_risk_score", "controversy_score", "env_risk_score"]
@@ -63,7 +63,7 @@ SCALED = ["total_esg_risk_score", "controversy_score", "env_risk_score"]
     f"(coalesce({c}, 0) - (SELECT quantile_cont(coalesce({c}, 0), 0.5) FROM profile)) / (SELECT quantile_cont(coalesce({c}, 0), 0.75) - quantile_cont(coalesce({c}, 0), 0.25) FROM profile) AS {c}_robust"
     for c in SCALED) + " FROM profile", "profile"), " ".join(f"{c}_{m}" for c in SCALED for m in ("standard", "minmax", "robust")))
 def scaling(spark, sf):
-    df = A.profile(spark, sf).select("company_id", *SCALED)
+    df = A.companies(spark, sf).select("company_id", *SCALED)
     for m in ("standard", "minmax", "robust"):
         df = M.scale(df, SCALED, m).withColumnsRenamed({f"{c}_scaled": f"{c}_{m}" for c in SCALED})
     return df.select("company_id", *[f"{c}_{m}" for c in SCALED for m in ("standard", "minmax", "robust")])
@@ -79,7 +79,7 @@ GRID = [round(-2 + 0.25 * i, 2) for i in range(25)]
     best AS (SELECT arg_max(lam, ll) AS lam FROM (SELECT lam, -count(*) / 2 * ln(var_pop(y)) + (lam - 1) * sum(ln(1 + x)) AS ll FROM t GROUP BY lam))
     SELECT company_id, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS total_esg_risk_score_scaled FROM t JOIN best USING (lam)""", "total_esg_risk_score_scaled")
 def scaling_power(spark, sf):
-    df = A.profile(spark, sf).select("company_id", "total_esg_risk_score")
+    df = A.companies(spark, sf).select("company_id", "total_esg_risk_score")
     return M.power_scale(df, ["total_esg_risk_score"], rounds=1).select("company_id", "total_esg_risk_score_scaled")
 
 
@@ -108,12 +108,19 @@ INPUTS = ["company_id", "company_name", "sector", "industry", "source", "total_e
           "concrete_evidence_count", "text_polarity"]
 
 
+TEXT_INPUTS = ["greenwashing_signal_score", "vague_language_count", "hedge_language_count", "concrete_evidence_count", "text_polarity"]
+
+
 def score_inputs(spark, sf):
-    """Label and score inputs, staged once because several global statistics read them."""
-    base = materialize(clean_profile(spark, sf))
+    """Label and score inputs, staged once because several global statistics read them.
+
+    Texts are read once, straight from the scan, and leave four numbers a company; nothing staged holds text.
+    """
+    base = materialize(clean_companies(spark, sf))
     df = base.transform(M.pillar_ratios).transform(M.risk_decomposition).transform(M.statistical_moments)
     df = M.anomaly(df, with_rank=False, base=base).transform(K.risk_bins).withColumn("risk_controversy_mismatch", K.mismatch_flag())
-    return materialize(N.linguistic_pack(N.polarity_pack(N.prepare(df))).select(*INPUTS))
+    texts = N.linguistic_pack(N.polarity_pack(N.prepare(A.profile(spark, sf).select("company_id", "description")))).select("company_id", *TEXT_INPUTS)
+    return materialize(df.join(texts, "company_id").select(*INPUTS))
 
 
 def scored(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from discloscope.operators import matrix as X
-from discloscope.plans.cleaning_plans import clean_profile, scratch
+from discloscope.plans.cleaning_plans import clean_companies, scratch
 from discloscope.plans.registry import CTES, cte, query
 from discloscope.sources import adapters as A
 from discloscope.sources.readers import write_tables
@@ -25,8 +25,8 @@ CTES["per_feature"] = (("long_matrix",), """
        "mean std min max", 4)
 def feature_matrix(spark, sf):
     """Builds, checks and writes the matrix with its correlated pairs; returns the registry of all features."""
-    profile = clean_profile(spark, sf)
-    kept, dropped = X.quality_pass(X.build(A.material_issues(profile)))
+    texts = A.profile(spark, sf).select("company_id", "description")
+    kept, dropped = X.quality_pass(X.build(A.material_issues(clean_companies(spark, sf)), texts))
     paths = write_tables({"matrix": kept}, scratch(spark))
     matrix = spark.read.parquet(paths["matrix"])
     write_tables({"correlated": X.correlated(matrix)}, scratch(spark))

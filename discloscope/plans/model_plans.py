@@ -10,7 +10,7 @@ from discloscope.functions.exprs import with_globals
 from discloscope.operators import attribution as X
 from discloscope.operators import evaluation as E
 from discloscope.operators import training as TR
-from discloscope.plans.cleaning_plans import clean_profile, scratch
+from discloscope.plans.cleaning_plans import clean_companies, scratch
 from discloscope.plans.feature_plans import scored
 from discloscope.plans.registry import CTES, case_map, cte, query, text
 from discloscope.plans.text_plans import cmp_sql  # noqa: F401  (registers the live-headline CTE)
@@ -148,7 +148,7 @@ CTES["attr"] = (("clean",), " UNION ALL ".join(
 
 
 def attribution(spark, sf):
-    return X.linear_attribution(materialize(clean_profile(spark, sf).select("company_id", *A.NUMERIC_FEATURES)), A.COEFFICIENTS)
+    return X.linear_attribution(materialize(clean_companies(spark, sf).select("company_id", *A.NUMERIC_FEATURES)), A.COEFFICIENTS)
 
 
 @query("linear_attribution", cte("SELECT * FROM attr", "attr"), "value attribution")

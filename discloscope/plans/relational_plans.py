@@ -14,7 +14,7 @@ from discloscope.operators import numeric as M
 from discloscope.operators import relational as R
 from discloscope.operators import rules as U
 from discloscope.plans import text_plans  # noqa: F401  (registers the claim CTEs)
-from discloscope.plans.cleaning_plans import PADDED, PADDED_SQL, PILLARS, accusations, clean_profile, padded, scratch
+from discloscope.plans.cleaning_plans import PADDED, PADDED_SQL, PILLARS, accusations, clean_companies, padded, scratch
 from discloscope.plans.feature_plans import scored, score_inputs
 from discloscope.plans.registry import CTES, cte, query, text_list, unpivot_sql
 from discloscope.session import materialize
@@ -49,13 +49,13 @@ def left_join_latest(spark, sf):
 @query("left_join_group_stats", cte(f"SELECT company_id, avg({T}) OVER s AS esg_sector_mean, stddev_samp({T}) OVER s AS esg_sector_std, avg(controversy_score) OVER s AS controversy_sector_mean FROM profile WINDOW s AS (PARTITION BY sector)", "profile"),
        "esg_sector_mean esg_sector_std controversy_sector_mean")
 def left_join_group_stats(spark, sf):
-    df = A.profile(spark, sf).select("company_id", "sector", T, "controversy_score")
+    df = A.companies(spark, sf).select("company_id", "sector", T, "controversy_score")
     return RK.attach_group(df, M.group_stats(df), ["sector"]).select("company_id", "esg_sector_mean", "esg_sector_std", "controversy_sector_mean")
 
 
 @query("stats_plus_ratio", cte("SELECT company_id, avg(high_risk_flag) OVER s AS sector_high_risk_ratio, count(*) OVER s AS sector_company_count FROM bins WINDOW s AS (PARTITION BY sector)", "bins"), "sector_high_risk_ratio")
 def stats_plus_ratio(spark, sf):
-    df = K.risk_bins(A.profile(spark, sf).drop("description"))
+    df = K.risk_bins(A.companies(spark, sf))
     stats = K.group_profile(df).select("sector", "sector_high_risk_ratio", "sector_company_count")
     return RK.attach_group(df, stats, ["sector"]).select("company_id", "sector_high_risk_ratio", "sector_company_count")
 
@@ -63,17 +63,17 @@ def stats_plus_ratio(spark, sf):
 @query("enrich_predictions", cte(f"SELECT company_id, {T}, quality, toxic FROM profile LEFT JOIN labels ON doc_id = company_id", "profile"), T)
 def enrich_predictions(spark, sf):
     labels = A.table(spark, sf, "labels").withColumnRenamed("doc_id", "company_id")
-    return R.enrich(A.profile(spark, sf).select("company_id", T), labels, "company_id", [T, "quality", "toxic"])
+    return R.enrich(A.companies(spark, sf).select("company_id", T), labels, "company_id", [T, "quality", "toxic"])
 
 
 @query("anti_join_new_entities", cte("SELECT supplier_id, ticker FROM graded WHERE upper(trim(ticker)) NOT IN (SELECT upper(trim(symbol)) FROM profile)", "graded", "profile"))
 def anti_join_new_entities(spark, sf):
-    return R.new_entities(A.graded_rating(spark, sf), A.profile(spark, sf), "ticker", "symbol").select("supplier_id", "ticker")
+    return R.new_entities(A.graded_rating(spark, sf), A.companies(spark, sf), "ticker", "symbol").select("supplier_id", "ticker")
 
 
 @query("key_intersection", cte("SELECT upper(trim(ticker)) AS key FROM graded INTERSECT SELECT upper(trim(symbol)) FROM profile", "graded", "profile"))
 def key_intersection(spark, sf):
-    return R.shared_keys(A.graded_rating(spark, sf), A.profile(spark, sf), "ticker", "symbol")
+    return R.shared_keys(A.graded_rating(spark, sf), A.companies(spark, sf), "ticker", "symbol")
 
 
 @query("multi_entity_assemble", cte(f"SELECT p.company_id, sector, {T}, quality FROM profile p JOIN labels ON doc_id = p.company_id WHERE controversy_score = 5", "profile"), T)
@@ -107,7 +107,7 @@ def metrics_delta_join(spark, sf):
 
 @query("scalar_broadcast", cte(f"SELECT company_id, CASE WHEN {T} > (SELECT avg({T}) + stddev_samp({T}) FROM profile) THEN 1 ELSE 0 END AS high FROM profile", "profile"))
 def scalar_broadcast(spark, sf):
-    df = A.profile(spark, sf).select("company_id", T)
+    df = A.companies(spark, sf).select("company_id", T)
     out = with_globals(df, M.population_moments(df, [T]), "_m")
     return out.select("company_id", (F.col(T) > F.col(f"_m.{T}_mean") + F.col(f"_m.{T}_std")).cast("int").alias("high"))
 
@@ -115,7 +115,7 @@ def scalar_broadcast(spark, sf):
 @query("label_highlight", cte("SELECT company_id, CASE WHEN industry IN ('Brand#1', 'Brand#7') THEN industry ELSE 'Other' END AS label FROM profile", "profile"))
 def label_highlight(spark, sf):
     c = F.col("industry")
-    return A.profile(spark, sf).select("company_id", F.when(c.isin("Brand#1", "Brand#7"), c).otherwise("Other").alias("label"))
+    return A.companies(spark, sf).select("company_id", F.when(c.isin("Brand#1", "Brand#7"), c).otherwise("Other").alias("label"))
 
 
 # ------------------------------------------------------------------ aggregations
@@ -145,7 +145,7 @@ def trend_volatility(spark, sf):
 @query("group_stats", cte(f"SELECT sector, avg({T}) AS esg_sector_mean, coalesce(stddev_samp({T}), 0) AS esg_sector_std, avg(controversy_score) AS controversy_sector_mean FROM profile GROUP BY sector", "profile"),
        "esg_sector_mean esg_sector_std controversy_sector_mean")
 def group_stats(spark, sf):
-    return M.group_stats(A.profile(spark, sf))
+    return M.group_stats(A.companies(spark, sf))
 
 
 GP = ["sector_avg_esg", "sector_avg_controversy", "sector_max_esg", "sector_min_esg", "sector_company_count", "sector_esg_spread", "sector_high_risk_ratio"]
@@ -153,7 +153,7 @@ GP = ["sector_avg_esg", "sector_avg_controversy", "sector_max_esg", "sector_min_
 
 @query("group_profile", cte(f"SELECT DISTINCT sector, {', '.join(GP)} FROM cat", "cat"), " ".join(g for g in GP if g != "sector_company_count"))
 def group_profile(spark, sf):
-    return K.group_profile(K.risk_bins(A.profile(spark, sf).drop("description")))
+    return K.group_profile(K.risk_bins(A.companies(spark, sf)))
 
 
 TIER_VALUES = "(VALUES (0, 'Very Low Risk'), (1, 'Low Risk'), (2, 'Moderate Risk'), (3, 'High Risk'), (4, 'Very High Risk')) AS d(tier_order, risk_tier)"
@@ -196,7 +196,7 @@ def industry_year_average(spark, sf):
 
 @query("robust_stats", cte(f"SELECT quantile_cont({T}, 0.25) AS q1, quantile_cont({T}, 0.5) AS med, quantile_cont({T}, 0.75) AS q3, mad({T}) AS mad, quantile_cont({T}, 0.75) - quantile_cont({T}, 0.25) AS iqr FROM profile", "profile"), "q1 med q3 mad iqr")
 def robust_stats(spark, sf):
-    r = M.robust_stats(A.profile(spark, sf).select(T), [T])
+    r = M.robust_stats(A.companies(spark, sf).select(T), [T])
     row = [r[f"{T}_{k}"] for k in ("q1", "med", "q3", "mad")]
     return spark.createDataFrame([(*row, row[2] - row[0])], "q1 double, med double, q3 double, mad double, iqr double")
 
@@ -204,7 +204,7 @@ def robust_stats(spark, sf):
 @query("population_moments", cte(f"SELECT avg({T}) AS {T}_mean, stddev_samp({T}) AS {T}_std, avg(controversy_score) AS controversy_score_mean, stddev_samp(controversy_score) AS controversy_score_std FROM profile", "profile"),
        f"{T}_mean {T}_std controversy_score_mean controversy_score_std")
 def population_moments(spark, sf):
-    return M.population_moments(A.profile(spark, sf))
+    return M.population_moments(A.companies(spark, sf))
 
 
 CORR = [T, *PILLARS, "controversy_score", "env_copy", "gov_shift"]
@@ -222,7 +222,7 @@ CM = [T, *PILLARS, "controversy_score"]
 @query("correlation_matrix", cte(" UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", corr({a}, {b}) AS r FROM clean" for a in CM for b in CM if a != b)
                                  + "".join(f" UNION ALL SELECT '{a}', '{a}', 1.0" for a in CM), "clean"), "r")
 def correlation_matrix(spark, sf):
-    return R.correlation_matrix(materialize(clean_profile(spark, sf).select(*CM)), CM)
+    return R.correlation_matrix(materialize(clean_companies(spark, sf).select(*CM)), CM)
 
 
 REG = [*M.FEATURES["pillar_ratios"], *M.FEATURES["risk_decomposition"]]
@@ -233,7 +233,7 @@ DECLARED = [(f, "numerical", g) for g in ("pillar_ratios", "risk_decomposition")
     f"SELECT '{f}' AS feature, 'numerical' AS module, '{g}' AS category, 'double' AS dtype, avg({f}) AS mean, stddev_samp({f}) AS std, min({f}) AS min, max({f}) AS max, count(*) - count({f}) AS null_count FROM num2"
     for f, _, g in DECLARED[:-1]) + " UNION ALL SELECT 'dropped_feature', 'numerical', 'none', 'removed', NULL, NULL, NULL, NULL, NULL", "num2"), "mean std min max", 4)
 def feature_registry(spark, sf):
-    df = M.risk_decomposition(M.pillar_ratios(materialize(clean_profile(spark, sf).drop("description"))))
+    df = M.risk_decomposition(M.pillar_ratios(materialize(clean_companies(spark, sf))))
     return R.feature_registry(df, spark.createDataFrame(DECLARED, "feature string, module string, category string"))
 
 
@@ -242,12 +242,12 @@ def feature_registry(spark, sf):
            any_value(lo) + CAST(CASE WHEN any_value(hi) > any_value(lo) THEN least(floor((any_value({T}) - any_value(lo)) / ((any_value(hi) - any_value(lo)) / 25.0)), 24) ELSE 0 END AS INTEGER) * ((any_value(hi) - any_value(lo)) / 25.0) AS bin_start
     FROM profile, (SELECT min({T}) AS lo, max({T}) AS hi FROM profile) GROUP BY 1""", "profile"), "bin_start")
 def histogram(spark, sf):
-    return R.histogram(A.profile(spark, sf).select(T), T, 25)
+    return R.histogram(A.companies(spark, sf).select(T), T, 25)
 
 
 @query("group_quartiles", cte(f"SELECT sector, min({T}) AS min, quantile_cont({T}, 0.25) AS q1, quantile_cont({T}, 0.5) AS median, quantile_cont({T}, 0.75) AS q3, max({T}) AS max FROM profile GROUP BY sector", "profile"), "min q1 median q3 max")
 def group_quartiles(spark, sf):
-    return C.group_quartiles(A.profile(spark, sf).select("sector", T), "sector", T)
+    return C.group_quartiles(A.companies(spark, sf).select("sector", T), "sector", T)
 
 
 @query("proxy_distribution", cte("SELECT CAST(v AS INTEGER) AS gw_proxy_score, count(company_id) AS n, count(company_id) / (SELECT count(*) FROM labelled) * 100 AS pct FROM (SELECT unnest(range(0, 6)) AS v) LEFT JOIN labelled ON gw_proxy_score = v GROUP BY v", "labelled"), "pct")
@@ -276,7 +276,7 @@ def high_indicator_count(spark, sf):
 # ------------------------------------------------------------------ windows, ranking, top-k
 @query("percentile_rank", cte(f"SELECT company_id, (rank() OVER (ORDER BY {T}) + (count(*) OVER (PARTITION BY {T}) - 1) / 2.0) / count(*) OVER () AS pct_rank FROM profile", "profile"), "pct_rank")
 def percentile_rank(spark, sf):
-    df = A.profile(spark, sf).select("company_id", T)
+    df = A.companies(spark, sf).select("company_id", T)
     return RK.with_value_ranks(df, [], T).select("company_id", RK.average_percentile().alias("pct_rank"))
 
 
@@ -294,7 +294,7 @@ def peer_rank(spark, sf):
 
 @query("ecdf_percent", cte(f"SELECT company_id, cume_dist() OVER (ORDER BY {T}) * 100 AS ecdf FROM profile", "profile"), "ecdf")
 def ecdf_percent(spark, sf):
-    df = A.profile(spark, sf).select("company_id", T)
+    df = A.companies(spark, sf).select("company_id", T)
     return RK.with_value_ranks(df, [], T).select("company_id", ((F.col("below") + F.col("cnt")) / F.col("n") * 100.0).alias("ecdf"))
 
 
@@ -328,12 +328,12 @@ def top_uncertainty(spark, sf):
 
 @query("multi_sort", cte(f"SELECT company_id, sector, {T} FROM profile ORDER BY sector, {T} DESC, company_id", "profile"), T)
 def multi_sort(spark, sf):
-    return A.profile(spark, sf).select("company_id", "sector", T).orderBy("sector", F.desc(T), "company_id")
+    return A.companies(spark, sf).select("company_id", "sector", T).orderBy("sector", F.desc(T), "company_id")
 
 
 @query("melt", cte(unpivot_sql("profile", "company_id", [T, "controversy_score", "env_risk_score"], "metric", "value"), "profile"), "value")
 def melt(spark, sf):
-    return R.melt(A.profile(spark, sf), ["company_id"], [T, "controversy_score", "env_risk_score"])
+    return R.melt(A.companies(spark, sf), ["company_id"], [T, "controversy_score", "env_risk_score"])
 
 
 SECTORS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -344,7 +344,7 @@ SECTORS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     FROM ({unpivot_sql('profile', 'sector', [T, 'controversy_score', 'env_risk_score'], 'metric', 'value')}) GROUP BY metric""", "profile"), " ".join(SECTORS).lower())
 def pivot(spark, sf):
     """One column per sector; a sector outside the list would be lost, so it raises."""
-    long = R.melt(A.profile(spark, sf), ["sector"], [T, "controversy_score", "env_risk_score"])
+    long = R.melt(A.companies(spark, sf), ["sector"], [T, "controversy_score", "env_risk_score"])
     stray = F.raise_error(F.concat(F.lit("unknown sector "), F.coalesce("sector", F.lit("null"))))
     long = long.withColumn("sector", F.when(F.col("sector").isin(SECTORS), F.col("sector")).otherwise(stray.cast("string")))
     return long.groupBy("metric").pivot("sector", SECTORS).agg(F.max("value")).withColumnsRenamed({s: s.lower() for s in SECTORS})
@@ -461,7 +461,7 @@ def axis_sql(c):
 
 @query("profile_vs_population", cte(" UNION ALL ".join(axis_sql(c) for c in AXES), "clean"), "value population sector_mean")
 def profile_vs_population(spark, sf):
-    return U.profile_vs_population(materialize(clean_profile(spark, sf).drop("description")), AXES)
+    return U.profile_vs_population(materialize(clean_companies(spark, sf)), AXES)
 
 
 @query("report_vs_model_gap", cte("""

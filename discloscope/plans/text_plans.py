@@ -416,23 +416,23 @@ PT, PE, PS, PG = "total_esg_risk_score", "env_risk_score", "social_risk_score",
 @query("logistic_squash", cte(f"SELECT company_id, {', '.join(f'1 / (1 + exp(-{k} * (controversy_score - 3) / 10)) AS k{n}' for n, k in (('10', 10), ('15', 15), ('2', 2), ('5', 5), ('fifth', 0.2)))} FROM profile", "profile"), "k10 k15 k2 k5 kfifth")
 def logistic_squash(spark, sf):
     x = (F.col("controversy_score") - 3) / 10.0
-    return A.profile(spark, sf).select("company_id", *[squash(x, k).alias(f"k{n}") for n, k in (("10", 10.0), ("15", 15.0), ("2", 2.0), ("5", 5.0), ("fifth", 0.2))])
+    return A.companies(spark, sf).select("company_id", *[squash(x, k).alias(f"k{n}") for n, k in (("10", 10.0), ("15", 15.0), ("2", 2.0), ("5", 5.0), ("fifth", 0.2))])
 
 
 @query("normalized_entropy", cte(f"SELECT company_id, {entropy_sql([PT, PE, PS, PG])} AS entropy FROM profile WHERE env_risk_score IS NOT NULL", "profile"), "entropy")
 def entropy(spark, sf):
     cols = [F.col(c) for c in (PT, PE, PS, PG)]
-    return A.profile(spark, sf).filter(F.col(PE).isNotNull()).select("company_id", normalized_entropy(cols, cols[0] + cols[1] + cols[2] + cols[3]).alias("entropy"))
+    return A.companies(spark, sf).filter(F.col(PE).isNotNull()).select("company_id", normalized_entropy(cols, cols[0] + cols[1] + cols[2] + cols[3]).alias("entropy"))
 
 
 @query("soft_bound", cte(f"SELECT company_id, {PT} / sqrt({PT} * {PT} + 15) AS bounded FROM profile", "profile"), "bounded")
 def soft_bound_query(spark, sf):
-    return A.profile(spark, sf).select("company_id", soft_bound(F.col(PT)).alias("bounded"))
+    return A.companies(spark, sf).select("company_id", soft_bound(F.col(PT)).alias("bounded"))
 
 
 @query("epsilon_ratio", cte(f"SELECT company_id, controversy_score / ({PT} + 1e-8) AS ratio, ({PE} + 1e-8) / ({PG} + 1e-8) AS cross_ratio FROM profile", "profile"), "ratio cross_ratio", 4)
 def epsilon_ratio(spark, sf):
-    return A.profile(spark, sf).select("company_id", eps_ratio(F.col("controversy_score"), F.col(PT)).alias("ratio"),
+    return A.companies(spark, sf).select("company_id", eps_ratio(F.col("controversy_score"), F.col(PT)).alias("ratio"),
                                        eps_ratio(F.col(PE) + 1e-8, F.col(PG)).alias("cross_ratio"))
 
 
@@ -442,6 +442,6 @@ def epsilon_ratio(spark, sf):
            1 - least({pop_std_sql([PE, PS, PG])} / ({mean_sql([PE, PS, PG])} + 1e-8), 1) AS evenness FROM profile WHERE {PE} IS NOT NULL""", "profile"), "mean std evenness")
 def small_vector_stats(spark, sf):
     v = [F.col(c) for c in (PE, PS, PG)]
-    return A.profile(spark, sf).filter(F.col(PE).isNotNull()).select(
+    return A.companies(spark, sf).filter(F.col(PE).isNotNull()).select(
         "company_id", row_mean(v).alias("mean"), row_std(v, sample=False).alias("std"), argmax(v).alias("top"),
         (1.0 - F.least(eps_ratio(row_std(v, sample=False), row_mean(v)), F.lit(1.0))).alias("evenness"))

@@ -49,31 +49,42 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.coalesce("text", F.lit("")), F.lit(" "), seed_sentence(F.col("doc_id"))).alias("description"))
 
 
-def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per company, before imputation (pillars are NULL for source ``B``)."""
+def _company(described: Column | None) -> list[Column]:
+    """Profile columns from ``part``, with the description where the text is at hand."""
     pk = F.col("p_partkey")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    part = table(spark, sf_dir, "part")
     second = pk % 10 == 0
 
     def pillar(mult: int, mod: int) -> Column:
         return F.when(~second, (pk * mult % mod) / 10.0)
 
     size = F.col("p_size").cast("double")
-    described = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), seed_sentence(pk))
-    out = part.join(docs, pk == F.col("doc_id"), "left").select(
+    return [
         pk.alias("company_id"),
         F.concat(F.lit("SYM"), pk).alias("symbol"),
         F.upper(F.concat("p_name", F.lit("-"), pk)).alias("company_name"),
         F.col("p_type").alias("sector"), F.col("p_brand").alias("industry"),
-        F.when(F.col("text").isNotNull() | (pk % 10 != 9), described).alias("description"),
+        *([] if described is None else [described.alias("description")]),
         F.when(pk % 97 == 0, size * 4).otherwise(size).alias("total_esg_risk_score"),
         pillar(7919, 200).alias("env_risk_score"),
         pillar(104729, 180).alias("social_risk_score"),
         pillar(1299709, 150).alias("gov_risk_score"),
         (pk % 5 + 1).cast("double").alias("controversy_score"),
         F.when(second, "B").otherwise("A").alias("source"),
-    )
+    ]
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile without its text: one narrow scan, no join."""
+    return table(spark, sf_dir, "part").select(*_company(None))
+
+
+def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per company, before imputation (pillars are NULL for source ``B``)."""
+    pk = F.col("p_partkey")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    described = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), seed_sentence(pk))
+    out = table(spark, sf_dir, "part").join(docs, pk == F.col("doc_id"), "left").select(
+        *_company(F.when(F.col("text").isNotNull() | (pk % 10 != 9), described)))
     return spread(out, docs, "company_id")
 
 

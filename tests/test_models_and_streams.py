@@ -55,14 +55,14 @@ def test_isolation_forest_finds_outliers(spark):
     assert out.loc[out["company_id"] < 20, "is_anomaly"].mean() > 0.9
 
 
-@pytest.mark.parametrize("chunk", [4096, 37])
-def test_neighbours_match_brute_force(spark, chunk):
+@pytest.mark.parametrize("rows", [512, 37])
+def test_neighbours_match_brute_force(spark, rows):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 8))
     x[:200] = x[0] + rng.normal(scale=0.01, size=(200, 8))  # a third of the rows in one spot
     lab = rng.integers(0, 3, 600)
     df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, lab))], "id long, vec array<double>, label int")
-    got = T.nearest_neighbours(df.filter("id % 4 <> 0"), df.filter("id % 4 = 0"), k=5, pivots=9, chunk=chunk)
+    got = T.nearest_neighbours(df.filter("id % 4 <> 0"), df.filter("id % 4 = 0"), k=5, rows=rows)
     got = got.groupBy("qid").agg(F.sort_array(F.collect_list("tid")).alias("t")).toPandas().set_index("qid")["t"]
     train = np.array([i for i in range(600) if i % 4])
     for q in range(0, 600, 4):
@@ -70,6 +70,19 @@ def test_neighbours_match_brute_force(spark, chunk):
         assert list(got[q]) == sorted(train[np.argsort(d, kind="stable")[:5]])
 
 
+def test_neighbours_of_a_bounded_sample(spark):
+    df = spark.createDataFrame([(i, [float(i)], i % 2) for i in range(50)], "id long, vec array<double>, label int")
+    got = T.nearest_neighbours(df, df, k=3, max_labelled=10).toPandas()
+    assert got["tid"].nunique() == 10 and (got.groupby("qid").size() == 3).all()
+    assert T.nearest_neighbours(df.limit(0), df).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 300, 384_000_000, 10**10, 10**13])
+def test_sampling_share_at_any_size(n):
+    share = (T.sampling_edge(n, 256) + 1 + (1 << 63)) / (1 << 64)
+    assert share == pytest.approx(min(1.0, 1.5 * 256 / n), rel=1e-6)
+
+
 def test_feature_guard(rows):
     df = rows.withColumns({"gw_proxy_score": F.lit(1), "controversy_risk_ratio": F.lit(0.1), "controversy_risk_ratio_scaled": F.lit(0.1)})
     assert T.select_features(df.drop("label")) == ["a", "b", "c"]
