@@ -10,8 +10,8 @@ common order. Each element is a region; its smallest class is the pivot, and dis
 * the rest (beyond 2 t): cannot link with the ball and is joined on its own.
 
 Regions that already lie in one component are done. Small ones are joined inside the windows. Members of large ones
-recur as a corpus of their own, in an order that puts the elements of crowded regions last, which takes passages that
-many documents share out of play.
+recur as a corpus of their own, in an order that puts the elements that many of them hold last, which takes shared passages
+out of play.
 """
 
 from __future__ import annotations
@@ -30,11 +30,14 @@ from discloscope.session import materialize
 #: members up to which a region is joined directly
 SMALL_REGION = 48
 #: times that large regions recur; what is then left is joined in blocks
-LEVELS = 4
+LEVELS = 2
+#: members of a region that meet in one join key
+BLOCK = 1000
+#: comparisons for which large regions do not recur
+FEW_COMPARISONS = 2_000_000
 #: for distances, which are quotients; links are decided in whole numbers
 SLACK = 1e-9
-#: ids or elements up to which a filter is broadcast (8 bytes each); the most crowded elements are demoted first, and any
-#: choice of them gives an exact join
+#: ids or elements up to which a filter is broadcast (8 bytes each)
 BROADCAST_IDS = 1_000_000
 
 
@@ -87,10 +90,13 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
         build, "doc_id long, n int, cls long, sketch array<long>, prefix array<long>")
 
 
-def _of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, part=None) -> DataFrame:
-    """``cls`` and ``items`` (all shingles, or what ``part`` takes of them) of the wanted classes, from one text each."""
-    ids = materialize(classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("cls", "rep"))
-    keep = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, at_most: int, words: int, part=None) -> DataFrame:
+    """``cls`` and ``items`` (all shingles, or what ``part`` takes of them) of the wanted classes, from one text each.
+
+    There are ``at_most`` so many of them; that decides whether their ids are broadcast.
+    """
+    ids = classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("cls", "rep")
+    keep = F.broadcast(ids) if at_most <= BROADCAST_IDS else ids
 
     def build(batches):
         sets = shingle_sets(words)
@@ -104,9 +110,14 @@ def _of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: i
     return texts.mapInArrow(build, "cls long, items array<long>")
 
 
-def _regions(prefixes: DataFrame) -> DataFrame:
-    """Members of every element that two classes or more hold in their prefix: ``token``, ``cls``, ``pivot``."""
-    shared = prefixes.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("_most")).filter("pivot <> _most").drop("_most")
+def _regions(prefixes: DataFrame, own: DataFrame) -> DataFrame:
+    """Members of every element that two classes or more hold in their prefix: ``token``, ``cls``, ``pivot``.
+
+    The pivot is the member with the fewest elements of its own, which is the most central one.
+    """
+    ranked = prefixes.join(own, "cls", "left").groupBy("token").agg(
+        F.min_by("cls", F.struct(F.coalesce("own", F.lit(0)), "cls")).alias("pivot"), F.min("cls").alias("_lo"), F.max("cls").alias("_hi"))
+    shared = ranked.filter("_lo <> _hi").select("token", "pivot")
     return materialize(prefixes.join(shared, "token").groupBy("token", "cls").agg(F.first("pivot").alias("pivot")))
 
 
@@ -151,17 +162,19 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
     classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     none = docs.sparkSession.createDataFrame([], "a long, b long, distance double, linked boolean")
-    known, demoted = none.drop("linked"), docs.sparkSession.createDataFrame([], "token long, df long")
+    known = none.drop("linked")
     labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     prefixes = full.select("cls", F.explode("prefix").alias("token"))
+    own, before = classes.select("cls", F.lit(0).cast("long").alias("own")).limit(0), float("inf")
 
     def verify(pairs: DataFrame, least: int = percent) -> DataFrame:
         """Distances of the pairs of which sizes and sketches leave open whether they reach ``least``."""
         reach = materialize(_with_classes(pairs, classes).filter(measure.possible(
             F.col("n_a"), F.col("n_b"), _differ(F.col("sketch_a"), F.col("sketch_b")), least)).select("a", "b", "n_a", "n_b"))
-        if reach.isEmpty():
+        n = reach.count()
+        if n == 0:
             return none
-        sets = materialize(_of_classes(docs, classes, reach.select(F.col("a").alias("cls")).union(reach.select("b")), words))
+        sets = materialize(_of_classes(docs, classes, reach.select(F.col("a").alias("cls")).union(reach.select("b")), 2 * n, words))
         found = _measured(reach, sets).dropDuplicates(["a", "b"])
         return materialize(found.select("a", "b", _distance(F.col("common"), F.col("n_a"), F.col("n_b")).alias("distance"),
                                         (F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).alias("linked")))
@@ -178,7 +191,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
         return materialize(named.join(several, "token"))
 
     for level in range(LEVELS + 1):
-        regions = _regions(prefixes)
+        regions = _regions(prefixes, own)
         if regions.isEmpty():
             break
         spokes = materialize(regions.filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct())
@@ -197,7 +210,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
             "near", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
         t = 1 - percent / 100
         kind = F.when(F.col("near") <= t + SLACK, "ball").when(F.col("near") <= 2 * t + SLACK, "border").otherwise("rest")
-        held = materialize(held.select("token", "cls", "comp", "near", kind.alias("kind")))
+        held = held.join(classes.select("cls", "n"), "cls").join(own, "cls", "left")
+        held = materialize(held.select("token", "cls", "comp", "near", kind.alias("kind"), "n", F.coalesce("own", F.lit(0)).alias("own")))
         sizes = held.groupBy("token").agg(F.max(F.col("kind") == "border").alias("has_border"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                           F.min(F.when(F.col("kind") != "ball", F.col("comp"))).alias("lo_out"),
                                           F.max(F.when(F.col("kind") != "ball", F.col("comp"))).alias("hi_out"),
@@ -206,15 +220,18 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
         sizes = sizes.select("token", "has_border", F.when(F.col("has_border"), F.col("all")).otherwise(F.col("outside")).alias("members"))
         left = materialize(held.join(sizes, "token").filter((F.col("kind") != "ball") | F.col("has_border")))
         large = left.filter(F.col("members") > small)
-        last = level == LEVELS
-        pairs = _window_pairs(left if last else left.filter(F.col("members") <= small), small, t)
+        # members of a row's region summed over the rows: the comparisons that joining the large ones now would take
+        work = large.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).first()["n"]
+        wanted = materialize(large.select("cls").distinct())
+        n = wanted.count()
+        last = level == LEVELS or work <= FEW_COMPARISONS or 2 * n > before
+        before = n
+        pairs = _window_pairs(left if last else left.filter(F.col("members") <= small), percent)
         found = verify(pairs.join(known, ["a", "b"], "left_anti"))
         known, links, labels = merge(found, known, links, labels)
-        if last or large.isEmpty():
+        if last:
             break
-        crowds = regions.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > small)
-        demoted = materialize(demoted.union(crowds).groupBy("token").agg(F.max("df").alias("df")).orderBy(F.desc("df"), "token").limit(BROADCAST_IDS))
-        prefixes = _demoted_prefixes(docs, classes, large.select("cls"), demoted, words, percent)
+        prefixes, own = _rare_prefixes(docs, classes, wanted, n, words, percent, small)
 
     comps = _label(classes.select("cls", "rep"), labels, "cls", "comp")
     least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -223,29 +240,43 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
                                                    F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _window_pairs(members: DataFrame, block: int, t: float) -> DataFrame:
-    """Pairs of a region from different components that the triangle inequality leaves open.
+def _window_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a region from different components that the triangle inequality and the sizes leave open.
 
-    Regions are cut into blocks of about ``block`` members, and block pairs are the join key, so also a region that
-    recursion could not break up is joined in pieces.
+    Elements that one class alone holds are in no intersection, so such a pair differs in all of them and in the
+    difference of the other parts at least. Regions of more than ``BLOCK`` members are cut, and pairs of blocks are
+    the join key: also what recursion could not break up is joined in pieces.
     """
-    blocks = F.ceil(F.col("members") / block).cast("int")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     cut = members.withColumn("_block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    cut = cut.withColumn("_other", other).withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other"))
-    side = [cut.select("token", "_lo", "_hi", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp", "near", "kind")]) for s in "ab"]
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other"))
+    side = [cut.select("token", "_lo", "_hi", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp", "near", "kind", "n", "own")]) for s in "ab"]
     met = side[0].join(side[1], ["token", "_lo", "_hi"]).filter("cls_a < cls_b and comp_a <> comp_b")
-    apart = F.array_sort(F.array("kind_a", "kind_b")) == F.array(F.lit("ball"), F.lit("rest"))
-    far = F.coalesce(F.abs(F.col("near_a") - F.col("near_b")) > t + SLACK, F.lit(False))
-    return met.filter(~apart & ~far).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    apart = ((F.col("kind_a") == "ball") & (F.col("kind_b") == "rest")) | ((F.col("kind_a") == "rest") & (F.col("kind_b") == "ball"))
+    far = F.coalesce(F.abs(F.col("near_a") - F.col("near_b")) > 1 - percent / 100 + SLACK, F.lit(False))
+    alone = F.col("own_a") + F.col("own_b")
+    differ = alone + F.abs((F.col("n_a") - F.col("own_a")) - (F.col("n_b") - F.col("own_b")))
+    near = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return met.filter(near & ~apart & ~far).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+
 
+def _rare_prefixes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int, words: int, percent: int, often: int) -> tuple[DataFrame, DataFrame]:
+    """Prefixes of the ``n`` wanted classes in an order that puts elements held by more than ``often`` of them last,
+    and for each class how many elements it alone holds.
 
-def _demoted_prefixes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, common: DataFrame, words: int, percent: int) -> DataFrame:
-    """Prefixes of the wanted classes in an order that puts the ``common`` elements last."""
-    late = np.sort(np.array([r["token"] for r in common.collect()], np.int64))
+    Should there be more than ``BROADCAST_IDS`` frequent elements, the most frequent go last; any common order is exact.
+    """
+    counts = materialize(_of_classes(docs, classes, wanted, n, words).select("cls", F.explode("items").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("count"), F.min("cls").alias("cls")).filter(f"count = 1 or count > {often}"))
+    own = materialize(counts.filter("count = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("own")))
+    common = counts.filter(F.col("count") > often).orderBy(F.desc("count"), "token").limit(BROADCAST_IDS).select("token").toArrow()
+    late = docs.sparkSession.sparkContext.broadcast(np.sort(common["token"].to_numpy()))
 
     def first(s: np.ndarray) -> np.ndarray:
-        hot = np.isin(s.view(np.int64), late)
+        at = np.minimum(np.searchsorted(late.value, s.view(np.int64)), max(0, len(late.value) - 1))
+        hot = late.value[at] == s.view(np.int64) if len(late.value) else np.zeros(len(s), bool)
         return np.concatenate((s[~hot], s[hot]))[:len(s) - -(-len(s) * percent // 100) + 1]
 
-    return materialize(_of_classes(docs, classes, wanted, words, first)).select("cls", F.explode("items").alias("token"))
+    prefixes = materialize(_of_classes(docs, classes, wanted, n, words, first))
+    return prefixes.select("cls", F.explode("items").alias("token")), own
