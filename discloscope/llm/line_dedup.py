@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from discloscope.llm.common import BLANKS, ascii_lower, row_key, without
+from discloscope.session import materialize
 
 
 def line_keys(text: Column) -> Column:
@@ -30,8 +31,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     lines = lines.filter(F.length("key") >= min_chars).select(
         "doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     # one row a document first, so a key that a third of all documents hold is spread before it is counted
-    common = (lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2")
-              .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n"))
+    # written, so that the join below reads both its sides from a shuffle and a common line's rows can be split
+    common = materialize(lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2")
+                         .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n"))
     cuts = (lines.join(common, ["h1", "h2"]).filter(F.col("doc_id") < F.col("keeper"))
             .groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("_cut")))
     split = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text"))).join(
