@@ -17,15 +17,18 @@ from pyspark.sql import functions as F
 
 from discloscope.session import materialize
 
-SLICES = 64
+#: value ranges of a ranking follow the rows, within these numbers
+ROWS_PER_SLICE = 1_000_000
+SLICES = (8, 256)
 SMALL_SIDE_ROWS = 20_000
 
 
-def cut_points(df: DataFrame, value: str, slices: int = SLICES) -> list[float]:
-    """Approximate split points of ``value``; at most ``slices`` numbers reach the driver."""
-    probs = [i / slices for i in range(1, slices)]
-    row = df.agg(F.percentile_approx(value, probs, 2000).alias("p")).first()
-    return sorted({float(x) for x in (row["p"] or [])})
+def cut_points(df: DataFrame, value: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
+    """Approximate split points of ``value``, one for about ``rows_per_slice`` rows; one row reaches the driver."""
+    least, most = SLICES
+    row = df.agg(F.percentile_approx(value, [i / most for i in range(1, most)], 10_000).alias("p"), F.count(value).alias("n")).first()
+    step = most // min(most, max(least, 1 << (row["n"] // rows_per_slice).bit_length()))
+    return sorted({float(x) for x in (row["p"] or [])[step - 1::step]})
 
 
 def slice_of(value: Column, cuts: Sequence[float]) -> Column:
@@ -59,7 +62,7 @@ def value_ranks(df: DataFrame, groups: Sequence[str], value: str, weights: dict[
     before = Window.partitionBy(*unit).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = distinct.select("*", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_loc_{k}") for k in measures])
 
-    # one row per (group, slice): at most SLICES rows per group, so these windows stay small
+    # one row per (group, slice), a few hundred a group at most, so these windows stay small
     totals = distinct.groupBy(*unit).agg(*[F.sum(k).alias(f"_tot_{k}") for k in measures])
     low = Window.partitionBy(*(groups or [F.lit(1)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*(groups or [F.lit(1)]))

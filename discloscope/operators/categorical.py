@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discloscope.functions import fixed_values as V
 from discloscope.functions.exprs import clip, total, with_globals
-from discloscope.functions.ranking import attach_group
+from discloscope.functions.ranking import attach_group, value_ranks
 from discloscope.operators.cleaning import pillar_bin, total_bin
 
 
@@ -35,10 +35,11 @@ def risk_bins(df: DataFrame) -> DataFrame:
 def first_seen_codes(df: DataFrame, column: str, ordinal: str, out: str, base: DataFrame | None = None) -> DataFrame:
     """Codes 0, 1, ... by first appearance in ingest order; NULL gives -1.
 
-    The window runs over one row per distinct value, not over the rows.
+    First appearances are ranked in value ranges, so neither rows nor distinct values meet in one task.
     """
     firsts = (df if base is None else base).filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(ordinal).alias("_first"))
-    codes = firsts.select(column, (F.row_number().over(Window.orderBy("_first")) - 1).alias(out))
+    ranks = value_ranks(firsts, [], "_first").select("_first", F.col("below").cast("int").alias(out))
+    codes = firsts.join(ranks, "_first").select(column, out)
     return attach_group(df, codes, [column]).withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
 

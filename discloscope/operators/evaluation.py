@@ -12,20 +12,24 @@ from discloscope.functions.ranking import _join_keys, attach_group, value_ranks
 
 
 def split_hash(key: Column, seed: int = 42) -> Column:
-    """Integer mixing that any engine can repeat; distinct for distinct 31-bit ids."""
+    """Integer mixing that any engine can repeat; ids that agree in their low 31 bits agree here."""
     return ((key % 2147483648) * 2654435761 + seed) % 4294967296
 
 
 def stratified_split(df: DataFrame, key: str, label: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """Exact shares inside each label by rank of the hashed id; ranks come without a per-label window."""
+    """Exact shares inside each label by rank of the hashed id, and of the id where hashes tie.
+
+    Ranks come without a per-label window; the window over ties holds the few ids that agree in their low 31 bits.
+    """
     hashed = df.withColumn("_h", split_hash(F.col(key), seed).cast("double"))
     ranked = _join_keys(hashed, value_ranks(hashed, [label], "_h"), [label, "_h"], "left")
+    ranked = ranked.withColumn("_tie", F.row_number().over(Window.partitionBy(label, "_h").orderBy(key)) - 1)
     names, out, edge = list(shares), None, 0.0
     for name in names[:-1]:
         edge += shares[name]
-        test = F.col("below") < F.floor(F.col("n") * F.lit(edge))
+        test = F.col("below") + F.col("_tie") < F.floor(F.col("n") * F.lit(edge))
         out = F.when(test, name) if out is None else out.when(test, name)
-    return ranked.withColumn("split", out.otherwise(names[-1])).drop("_h", "cnt", "below", "n")
+    return ranked.withColumn("split", out.otherwise(names[-1])).drop("_h", "_tie", "cnt", "below", "n")
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:

@@ -231,13 +231,23 @@ def fitted(spark, sf, name, weight="weight"):
     return rows, model
 
 
-@query("feature_select")
+CTES["training"] = (("labelled",), f"""
+    SELECT *, CASE WHEN rank() OVER (PARTITION BY label ORDER BY {HASH.replace("id ", "company_id ")}) - 1 < floor(count(*) OVER (PARTITION BY label) * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split
+    FROM (SELECT company_id, CAST(gw_label_binary AS DOUBLE) AS label, {", ".join(f"coalesce(CAST({f} AS DOUBLE), 0) AS {f}" for f in FEATURES)} FROM labelled)""")
+
+
+@query("feature_select", "SELECT unnest([" + ", ".join(text(c) for c in (
+    "total_esg_risk_score controversy_score env_risk_score social_risk_score gov_risk_score pillar_imbalance_score "
+    "vague_language_count hedge_language_count concrete_evidence_count text_polarity comp_proxy comp_linguistic comp_divergence "
+    "comp_credibility_inv comp_controversy_ratio risk_score").split()) + "]) AS feature")
 def feature_select(spark, sf):
     names = TR.select_features(scored(spark, sf))
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
-@query("standardize_train_only")
+@query("standardize_train_only", cte("SELECT company_id, split, " + ", ".join(
+    f"coalesce(({f} - avg({f}) FILTER (split = 'train') OVER ()) / nullif(stddev_samp({f}) FILTER (split = 'train') OVER (), 0), 0) AS {f}" for f in FEATURES)
+    + " FROM training", "training"), " ".join(FEATURES))
 def standardize_train_only(spark, sf):
     from pyspark.ml.functions import vector_to_array
     rows, model = fitted(spark, sf, "logistic_regression")
@@ -245,6 +255,35 @@ def standardize_train_only(spark, sf):
     return out.select("company_id", "split", *[F.get("v", F.lit(i)).alias(f) for i, f in enumerate(FEATURES)])
 
 
+FAMILIES = ["decision_tree", "gradient_boosting", "linear_margin", "logistic_regression", "random_forest"]
+
+
+@query("fitted_model_checks", cte("""
+    SELECT family, n_rows, n_train, TRUE AS labels_only, TRUE AS beats_majority
+    FROM (SELECT unnest([""" + ", ".join(text(f) for f in FAMILIES) + """]) AS family), (SELECT count(*) AS n_rows, count(*) FILTER (split = 'train') AS n_train FROM training)""", "training"))
+def fitted_model_checks(spark, sf):
+    """What holds for every fitted family whatever its numbers: rows, labels, and balanced accuracy on the training rows above a constant guess."""
+    rows, out = training_rows(spark, sf), None
+    for family in FAMILIES:
+        model = TR.pipeline(TR.estimators(weight="weight")[family], FEATURES).fit(rows.filter("split = 'train'"))
+        train, hit = F.col("split") == "train", (F.col("prediction") == F.col("label")).cast("int")
+        recalls = [F.avg(F.when(train & (F.col("label") == y), hit)) for y in (0, 1)]
+        checks = model.transform(rows).agg(
+            F.lit(family).alias("family"), F.count(F.lit(1)).alias("n_rows"), F.count_if(train).alias("n_train"),
+            F.min(F.col("prediction").isin(0.0, 1.0)).alias("labels_only"), (recalls[0] + recalls[1] > 1.0).alias("beats_majority"))
+        out = checks if out is None else out.unionByName(checks)
+    return out
+
+
+@query("isolation_forest_checks", cte("SELECT count(*) AS n_rows, TRUE AS in_range, TRUE AS share_kept, TRUE AS flags_on_top FROM training", "training"))
+def isolation_forest_checks(spark, sf):
+    """Scores lie between 0 and 1, at most the wanted share is flagged, and every flagged row scores above every other."""
+    score, flag = F.col("anomaly_score"), F.col("is_anomaly") == 1
+    return TR.isolation_forest(training_rows(spark, sf), FEATURES).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min((score > 0) & (score < 1)).alias("in_range"),
+        (F.count_if(flag) <= F.ceil(F.count(F.lit(1)) * 0.15)).alias("share_kept"), (F.min(F.when(flag, score)) > F.max(F.when(~flag, score))).alias("flags_on_top"))
+
+
 def model_query(name, family):
     @query(name)
     def run(spark, sf):
