@@ -12,6 +12,8 @@ from discloscope.session import materialize
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: windows of the benchmark up to which their set is broadcast: about 100 bytes each, so under 300 MB
 BROADCAST_WINDOWS = 2_000_000
+#: words of a window that are looked up before the whole window
+ANCHOR = 3
 
 
 def words_of(text: Column) -> Column:
@@ -20,35 +22,41 @@ def words_of(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def _windows(length: Column, lengths: list[int]) -> Column:
-    """Hashes of all windows of ``length`` words. Words are hashed before: a window then combines longs only."""
+def _anchors(length: Column, lengths: list[int]) -> Column:
+    """Hash of the first words of every window of ``length`` words; higher-order functions are not compiled, so it is kept short."""
     starts = F.when(F.size("_hashes") >= length, F.sequence(F.lit(0), F.size("_hashes") - length)).otherwise(F.array().cast("array<int>"))
 
     def of(n: int) -> Column:
         return F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("_hashes"), i + k) for k in range(n)]))
 
+    out = F
+    for n in sorted({min(ANCHOR, x) for x in lengths}):
+        out = out.when(F.least(length, F.lit(ANCHOR)) == n, of(n))
+    return out
+
+
+def _window_hash(at: Column, length: Column, lengths: list[int], seed: int = 0) -> Column:
+    """Hash of the ``length`` word hashes from 0-based ``at`` on."""
     out = F
     for n in lengths:
-        out = out.when(length == n, of(n))
+        out = out.when(length == n, F.xxhash64(F.lit(seed), *[F.get(F.col("_hashes"), at + k) for k in range(n)]))
     return out
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """Distinct windows of all items: ``length``, ``hash``, ``gram`` (the words) and the ``items`` that hold it."""
+    """Distinct windows of all items: ``length``, ``gram`` (the words), the ``items`` that hold it and hashes."""
     words = benchmark.select(F.col("item_id"), words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
     words = words.withColumn("length", F.least(F.size("w"), F.lit(n)))
     grams = words.select("item_id", "length", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("w") - F.col("length") + 1), lambda i: F.slice("w", i, F.col("length")))).alias("gram"))
     grams = grams.groupBy("length", "gram").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    return grams.select("length", F.array_join("gram", " ").alias("gram"), "items",
-                        _gram_hash(F.col("gram"), n).alias("hash"))
-
-
-def _gram_hash(gram: Column, longest: int) -> Column:
-    out = F
-    for n in range(1, longest + 1):
-        out = out.when(F.size(gram) == n, F.xxhash64(*[F.xxhash64(F.get(gram, F.lit(k))) for k in range(n)]))
-    return out
+    grams = grams.withColumn("_hashes", F.transform("gram", lambda w: F.xxhash64(w)))
+    lengths = list(range(1, n + 1))
+    anchor = F
+    for k in range(1, ANCHOR + 1):
+        anchor = anchor.when(F.least("length", F.lit(ANCHOR)) == k, F.xxhash64(*[F.get("_hashes", F.lit(j)) for j in range(k)]))
+    return grams.select("length", F.array_join("gram", " ").alias("gram"), "items", anchor.alias("anchor"),
+                        *[_window_hash(F.lit(0), F.col("length"), lengths, seed).alias(f"h{seed}") for seed in (0, 1)])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
@@ -65,27 +73,43 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     grams = materialize(benchmark_windows(benchmark.filter(F.col("item_id").isNotNull()), n))
     lengths = sorted(r["length"] for r in grams.select("length").distinct().collect()) or [n]
     small = grams.count() <= BROADCAST_WINDOWS
-    held = grams.select("length", "gram", "hash")
-    held = F.broadcast(held) if small else held
-
     words = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_row"), words_of(F.col("text")).alias("_words"))
     # the constant explode keeps the optimiser from pasting the split into every use of its result
     words = words.select("*", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("_length"))
     hashed = words.select("doc_id", "_row", "_words", "_length", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
     hashed = hashed.select("*", F.explode(F.array(F.lit(0))).alias("_once"))
-    marks = F.concat(F.array(F.lit(None).cast("long")), _windows(F.col("_length"), lengths))
-    windows = hashed.select("doc_id", "_row", "_words", "_length", F.posexplode(marks).alias("_at", "_hash"))
-    hits = windows.join(held, (F.col("_hash") == F.col("hash")) & (F.col("_length") == F.col("length")), "left")
-    found = F.array_join(F.transform(F.sequence(F.col("_at") - 1, F.col("_at") + F.col("_length") - 2), lambda i: F.get("_words", i)), " ")
     # position 0 carries the document itself, so one scan also counts its words
-    hits = hits.filter((F.col("_at") == 0) | (F.col("gram").isNotNull() & (found == F.col("gram"))))
+    marks = F.concat(F.array(F.lit(None).cast("long")), _anchors(F.col("_length"), lengths))
+    # From here to the hits all is compiled code, so a window does not copy the arrays of its document. The outer form
+    # changes nothing, as there is always a mark, and stops the optimiser from pushing a test of the marks' size down.
+    windows = hashed.withColumn("_marks", marks).select("doc_id", "_row", "_words", "_hashes", "_length", F.posexplode_outer("_marks").alias("_at", "_anchor"))
+    hashes = [_window_hash(F.col("_at") - 1, F.col("_length"), lengths, seed).alias(f"_h{seed}") for seed in (0, 1)]
+    kept = ["doc_id", "_row", "_length", "_at"]
+    if small:
+        starts = F.broadcast(grams.select(F.col("anchor").alias("_anchor"), F.col("length").alias("_length"), F.lit(True).alias("_open")).distinct())
+        found = windows.join(starts, ["_anchor", "_length"], "left").filter((F.col("_at") == 0) | F.col("_open"))
+        held = F.broadcast(grams.select(F.col("h0").alias("_h0"), F.col("length").alias("_length"), "gram"))
+        hits = found.select(*kept, "_words", F.when(F.col("_at") > 0, hashes[0]).alias("_h0")).join(held, ["_h0", "_length"], "left")
+        said = F
+        for x in lengths:
+            said = said.when(F.col("_length") == x, F.concat_ws(" ", *[F.get("_words", F.col("_at") - 1 + k) for k in range(x)]))
+        hits = hits.filter((F.col("_at") == 0) | (F.col("gram").isNotNull() & (said == F.col("gram"))))
+        hits = hits.select(*kept, F.when(F.col("_at") == 0, F.size("_words")).alias("_n"), "gram")
+    else:
+        # too many windows to send everywhere: theirs and the corpus's meet by shuffle, compared by two hashes
+        plain = windows.select(*kept, F.when(F.col("_at") == 0, F.size("_words")).alias("_n"),
+                               *[F.when(F.col("_at") > 0, h).alias(f"_h{i}") for i, h in enumerate(hashes)])
+        held = grams.select(F.col("h0").alias("_h0"), F.col("h1").alias("_h1"), F.col("length").alias("_length"), "gram")
+        hits = plain.filter("_at > 0").join(held, ["_h0", "_h1", "_length"]).select(*kept, "_n", "gram").unionByName(
+            plain.filter("_at = 0").select(*kept, "_n", F.lit(None).cast("string").alias("gram")))
     spans = hits.groupBy("doc_id", "_row").agg(
-        F.max(F.size("_words")).cast("long").alias("n_words"),
+        F.max("_n").cast("long").alias("n_words"),
         F.sort_array(F.collect_set(F.when(F.col("gram").isNotNull(), F.struct(F.col("_at").alias("a"), (F.col("_at") + F.col("_length")).alias("b"))))).alias("_spans"),
         F.collect_set("gram").alias("_grams"))
     covered = F.aggregate("_spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(
         F.greatest(s["end"], x["b"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["end"], x["a"]))).alias("n")))["n"]
-    spans = spans.select("doc_id", "_row", "n_words", covered.alias("n_hit"), "_spans", "_grams")
+    # read twice below; the windows of the corpus are gone through once
+    spans = materialize(spans.select("doc_id", "_row", "n_words", covered.alias("n_hit"), "_spans", "_grams"))
     named = spans.filter(F.size("_grams") > 0).select("_row", "doc_id", F.explode("_grams").alias("gram"))
     items = grams.select("gram", "items")
     named = (named.join(F.broadcast(items) if small else items, "gram").select("_row", "doc_id", F.explode("items").alias("item"))
