@@ -184,7 +184,9 @@ def test_pipeline_takes_odd_rows(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         for table in (docs, docs.limit(0)):
             out = stage(spark, table, sf)
-            assert out.count() <= len(rows) and (name == "sharding" or out.columns == docs.columns), name
+            # mixing may use the rows of a small source twice
+            assert out.count() <= len(rows) * (2 if name == "source_mixing" else 1), name
+            assert name == "sharding" or out.columns == docs.columns, name
 
 
 # ---------------------------------------------------------------- SQL
