@@ -133,6 +133,22 @@ def test_pages_without_article_use_the_wrapper(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def texts_of(spark, pages):
+    rows = [(i, f"https://host.example/{i}", p) for i, p in enumerate(pages)]
+    return [r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_wrapper_decides_inside_articles(spark):
+    page = """<body><nav><a>Home</a></nav><article><h1>Title %d</h1><p>Text %d</p><p>More <b>bold</b> %d</p><p>Subscribe to our <b>letter</b></p>
+    <div class="zz">Printed with care<p>by %d</p></div><ul class="qq"><li><a>See %d</a></li><li><a>Look %d</a></li></ul>
+    <p>By <a>%d</a></p></article></body>"""
+    got = texts_of(spark, [page % ((i,) * 7) for i in range(4)])
+    assert got == [f"Title {i} Text {i} More bold {i} by {i} By {i}" for i in range(4)]
+    # copies of one page tell nothing about its template, and an article that all pages repeat is text
+    assert texts_of(spark, [page % ((7,) * 7)] * 4) == ["Title 7 Text 7 More bold 7 Subscribe to our letter Printed with care by 7 By 7"] * 4
+    assert texts_of(spark, [f"<body><i>{i}</i><article><p>Same</article>" for i in range(4)]) == ["Same"] * 4
+
+
 def test_given_pages(spark, sf):
     rows = Q.QUERIES["op8_html_extraction"](spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in rows:
