@@ -149,6 +149,13 @@ def test_wrapper_decides_inside_articles(spark):
     assert texts_of(spark, [f"<body><i>{i}</i><article><p>Same</article>" for i in range(4)]) == ["Same"] * 4
 
 
+def test_labels_stay_with_their_place(spark):
+    menu = "<body><div><a>One</a> <a>Two</a></div><h1>Title %d</h1><div>The whole article %d</div></body>"
+    assert texts_of(spark, [menu % (i, i) for i in range(2)]) == [f"Title {i} The whole article {i}" for i in range(2)]
+    line = "<body><p>All the news</p><h1>Title %d</h1><p>First %d</p><p>Second %d</p></body>"
+    assert texts_of(spark, [line % (i, i, i) for i in range(5)]) == [f"Title {i} First {i} Second {i}" for i in range(5)]
+
+
 def test_given_pages(spark, sf):
     rows = Q.QUERIES["op8_html_extraction"](spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in rows:
