@@ -156,6 +156,20 @@ def test_labels_stay_with_their_place(spark):
     assert texts_of(spark, [line % (i, i, i) for i in range(5)]) == [f"Title {i} First {i} Second {i}" for i in range(5)]
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='layout has-sidebar'><article><p>Body</article></div>", "Body"),
+    ("<div id=page class='no-comments'><article><p>Body</article></div>", "Body"),
+    ("<article class='post comments-open'><p>Body</article>", "Body"),
+    ("<div class=sidebar><article><p>A whole body</article><aside>x</aside></div>", "A whole body"),
+    ("<form><div><p>A whole body</p></div><div class=ad>x</div></form>", "A whole body"),
+    ("<article><p>A body of text<section id=discussion>Two</section><div class='related-work'>Three</div><div class='search-results'>Four</div></article>",
+     "A body of text Two Three Four"),
+    ("<main><div>Long text that goes on for a while</div><article class=card>teaser</article></main>", "Long text that goes on for a while teaser"),
+    ("<article><p>A whole body of text</article><div class='cookie-notice'>We use</div><div id='sidebar-2'>s</div>", "A whole body of text")])
+def test_names_only_weigh_in(page, text):
+    assert main_text(f"<body>{page}</body>", set()) == text
+
+
 def test_given_pages(spark, sf):
     rows = Q.QUERIES["op8_html_extraction"](spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
     for r in rows:
