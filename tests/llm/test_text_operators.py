@@ -201,6 +201,26 @@ def test_language_odd_rows(spark):
     assert {(r.lang_pred, r.score) for r in identify(df, nothing).collect()} == {("und", 0.0)}
 
 
+def test_every_language_is_known(spark):
+    rng = np.random.default_rng(1)
+    letters = [chr(0x4e00 + i) for i in range(400)]
+    own = [letters[5 * k:5 * k + 5] for k in range(70)]
+    rows = [(100 * k + i, "".join(rng.choice(own[k], 30)), f"l{k:02}") for k in range(70) for i in range(2 if k == 69 else 6)]
+    rows += [(6902, rows[-1][1], "l69")] * 50  # a repeated row takes no more than the places of its language
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=8)
+    assert len(model.langs) == 70 and len(model.weights) == 1 << 16
+    asked = spark.createDataFrame([(k, "".join(rng.choice(own[k], 30))) for k in range(70)], "doc_id long, text string")
+    assert all(r.lang_pred == f"l{r.doc_id:02}" for r in identify(asked, model).collect())
+
+
+def test_document_frequencies_of_all_rows(spark):
+    from discloscope.llm.language_id import FEATURES, _coder, _document_frequencies, _grams
+    df = spark.createDataFrame([("ab",)] * 30 + [("b!",)] * 7 + [("12",)], "text string").repartition(5)
+    got = {r[0]: r[1] for r in df.mapInArrow(_document_frequencies(FEATURES), "feature int, df long").groupBy("feature").sum("df").collect()}
+    a, b = _grams(_coder()("ab"))[0].tolist()
+    assert (got[-1], got[a], got[b]) == (37, 30, 37)
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
