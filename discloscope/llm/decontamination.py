@@ -59,7 +59,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = 13) -> DataFrame:
                         *[_window_hash(F.lit(0), F.col("length"), lengths, seed).alias(f"h{seed}") for seed in (0, 1)])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, unnamed: bool = False) -> DataFrame:
     """One row per document: ``doc_id``, ``_row``, ``n_words``, ``n_hit``, ``n_items``, ``item_ids`` and ``contaminated``.
 
     A window is ``n`` consecutive words of an item; a shorter item that has words is one window. Words inside any
@@ -68,9 +68,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
 
     Rows equal in ``doc_id`` and text give one row; rows that share an id but not the text give one each, told apart
     by ``_row``. Null and empty texts have no words and no hits; items without words have no windows; an empty
-    benchmark hits nothing. Null item ids take no part. Only ``doc_id``, ``text``, ``item_id`` are read.
+    benchmark hits nothing. Items with a null id take no part or, if ``unnamed``, hit without being listed. Only ``doc_id``, ``text``, ``item_id`` are read.
     """
-    grams = materialize(benchmark_windows(benchmark.filter(F.col("item_id").isNotNull()), n))
+    grams = materialize(benchmark_windows(benchmark if unnamed else benchmark.filter(F.col("item_id").isNotNull()), n))
     lengths = sorted(r["length"] for r in grams.select("length").distinct().collect()) or [n]
     small = grams.count() <= BROADCAST_WINDOWS
     words = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("_row"), words_of(F.col("text")).alias("_words"))
@@ -120,9 +120,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
                       ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.col("_spans").alias("spans"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, unnamed: bool = False) -> DataFrame:
     """``docs`` without contaminated documents; all other rows and columns stay as they are."""
-    found = contamination(docs, benchmark, n, share).filter("contaminated").select(F.col("_row").alias("_hit_row"))
+    found = contamination(docs, benchmark, n, share, unnamed).filter("contaminated").select(F.col("_row").alias("_hit_row"))
     docs = without(docs, "_hit_row")
     return docs.join(found, row_key(F.col("doc_id"), F.col("text")) == F.col("_hit_row"), "left_anti")
 

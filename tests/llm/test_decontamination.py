@@ -1,6 +1,9 @@
 import re
 
+from corpus_pipeline import decontamination_stage
+
 from discloscope.llm.decontamination import contamination, remove_contaminated, remove_spans
+from discloscope.llm.queries import QUERIES
 
 DOCS, ITEMS = "doc_id long, text string, n_words string, gram string", "item_id long, text string"
 PASSAGE = " ".join(f"q{i}" for i in range(20))
@@ -57,3 +60,12 @@ def test_removal_keeps_clean_rows(spark):
     assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, want))
     spans = {(r.doc_id, r.text) for r in remove_spans(docs, items).collect()}
     assert (1, "x y") in spans and (9, "lost words here") in spans and (3, None) in spans and (8, "") in spans
+
+
+def test_items_without_an_id_hit_too(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "lost words here"), (2, "lost words here and more"), (3, "clean")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "lost words here"), (4, "and more")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in QUERIES["op4_benchmark_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 3, 0, True), (2, 5, 1, True), (3, 0, 0, False)}
+    assert [r.doc_id for r in decontamination_stage(spark, docs, str(tmp_path)).collect()] == [3]
