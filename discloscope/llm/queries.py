@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from discloscope.llm import bpe
 from discloscope.llm.decontamination import contamination
 from discloscope.llm.html_wrapper import extract_main_text
 from discloscope.llm.jaccard_join import ngram_jaccard_join
@@ -212,3 +213,14 @@ SELECT * FROM (
 def op10(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return exact_top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
+# ---------------------------------------------------------------- 13
+@query("op13_bpe_round_trip")
+def op13(spark, sf_dir):
+    import public_tokenizers
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.json"))
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    both = bpe.decode(coded, vocabulary)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
