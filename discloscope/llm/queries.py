@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from discloscope.llm import bpe
 from discloscope.llm.decontamination import contamination
+from discloscope.llm.hard_negatives import hard_negatives
 from discloscope.llm.html_wrapper import extract_main_text
 from discloscope.llm.jaccard_join import ngram_jaccard_join
 from discloscope.llm.language_id import held_out, identify, train
@@ -215,6 +216,25 @@ def op10(spark, sf_dir):
     return exact_top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+# ---------------------------------------------------------------- 12
+@query("op12_hard_negatives", """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5""")
+def op12(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
+
+
 # ---------------------------------------------------------------- 13
 @query("op13_bpe_round_trip")
 def op13(spark, sf_dir):
