@@ -20,6 +20,7 @@ from discloscope.llm.preference import format_preferences, reply_swaps
 from discloscope.llm.sharding import assign_shards
 from discloscope.llm.token_rollup import PIECES, TokenRollup, corpus_batches, piece_count
 from discloscope.llm.topk import exact_top_k
+from discloscope.llm.word_runs import word_runs
 from discloscope.session import materialize, staging_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,6 +217,27 @@ def op10(spark, sf_dir):
     return exact_top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+# ---------------------------------------------------------------- 11
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    docs = docs.withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    docs = docs.withColumn("a", F.when(n > 0, (g % n).cast("int"))).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    # the words up to a, then the p words from a on again and again
+    turns = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    periodic = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(turns, F.lit(1), n - F.col("a")))
+    docs = docs.select("doc_id", F.when(n > 0, F.array_join(periodic, " ")).otherwise(F.col("text")).alias("text"))
+    found = word_runs(docs)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 # ---------------------------------------------------------------- 12
 @query("op12_hard_negatives", """
 WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
