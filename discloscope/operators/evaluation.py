@@ -16,20 +16,30 @@ def split_hash(key: Column, seed: int = 42) -> Column:
     return ((key % 2147483648) * 2654435761 + seed) % 4294967296
 
 
-def stratified_split(df: DataFrame, key: str, label: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """Exact shares inside each label by rank of the hashed id, and of the id where hashes tie.
+def _label_ranks(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """Adds ``_rank`` from 0 inside each label by the hashed id, and by the id where hashes tie, and ``n``, the label's rows.
 
     Ranks come without a per-label window; the window over ties holds the few ids that agree in their low 31 bits.
     """
     hashed = df.withColumn("_h", split_hash(F.col(key), seed).cast("double"))
     ranked = _join_keys(hashed, value_ranks(hashed, [label], "_h"), [label, "_h"], "left")
-    ranked = ranked.withColumn("_tie", F.row_number().over(Window.partitionBy(label, "_h").orderBy(key)) - 1)
+    tie = F.row_number().over(Window.partitionBy(label, "_h").orderBy(key)) - 1
+    return ranked.withColumn("_rank", F.col("below") + tie).drop("_h", "cnt", "below")
+
+
+def stratified_split(df: DataFrame, key: str, label: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """Exact shares inside each label by rank of the hashed id."""
     names, out, edge = list(shares), None, 0.0
     for name in names[:-1]:
         edge += shares[name]
-        test = F.col("below") + F.col("_tie") < F.floor(F.col("n") * F.lit(edge))
+        test = F.col("_rank") < F.floor(F.col("n") * F.lit(edge))
         out = F.when(test, name) if out is None else out.when(test, name)
-    return ranked.withColumn("split", out.otherwise(names[-1])).drop("_h", "_tie", "cnt", "below", "n")
+    return _label_ranks(df, key, label, seed).withColumn("split", out.otherwise(names[-1])).drop("_rank", "n")
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 7) -> DataFrame:
+    """Adds ``fold``: the ranks of every label are dealt out in turn, so that its rows per fold differ by one at most."""
+    return _label_ranks(df, key, label, seed).withColumn("fold", (F.col("_rank") % folds).cast("int")).drop("_rank", "n")
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -157,3 +167,22 @@ def summarize_runs(runs: DataFrame, key: str = "id", value: str = "p") -> DataFr
     """Mean, population deviation and 95 % interval over repeated predictions (a fixed number of runs per id)."""
     return runs.groupBy(key).agg(F.avg(value).alias("mc_mean"), F.stddev_pop(value).alias("mc_std"),
                                  F.percentile(value, F.lit(0.025)).alias("ci_low"), F.percentile(value, F.lit(0.975)).alias("ci_high"))
+
+
+def summarize_array(df: DataFrame, values: str) -> DataFrame:
+    """Mean, population deviation and 95 % interval of a row's own array of predictions, without a shuffle.
+
+    The array must not be empty and holds no nulls; the interval interpolates between neighbours.
+    """
+    p = F.col(values)
+    n = F.size(p)
+    mean = F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / n
+    out = df.withColumns({"mc_mean": mean, "_sorted": F.sort_array(p)})
+    square = F.aggregate(p, F.lit(0.0), lambda a, x: a + (x - F.col("mc_mean")) * (x - F.col("mc_mean")))
+
+    def quantile(q: float) -> Column:
+        at = (n - 1) * F.lit(q)
+        low, high = F.get("_sorted", F.floor(at).cast("int")), F.get("_sorted", F.ceil(at).cast("int"))
+        return low + (at - F.floor(at)) * (high - low)
+
+    return out.withColumns({"mc_std": F.sqrt(square / n), "ci_low": quantile(0.025), "ci_high": quantile(0.975)}).drop("_sorted")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,11 +62,57 @@ def estimators(label: str = "label", weight: str | None = None, seed: int = 42)
     }
 
 
-def grid_search(train: DataFrame, features: Sequence[str], estimator, grid, label: str = "label", folds: int = 5, parallelism: int = 4):
-    """Cross-validated weighted F1 over a grid, folds taken from column ``fold``."""
-    cv = CrossValidator(estimator=pipeline(estimator, features), estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
-                        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="f1"), parallelism=parallelism)
-    return cv.fit(train)
+@dataclass(frozen=True)
+class Search:
+    """Points tried (family, parameters, mean and deviation of the score over the folds), the best one and its model."""
+
+    points: list[tuple[str, str, float, float]]
+    best: int
+    model: object
+
+
+#: values tried by family; a point is one of each
+GRIDS: dict[str, dict[str, list]] = {
+    "logistic_regression": {"regParam": [0.001, 0.01, 0.1], "elasticNetParam": [0.0, 1.0]},
+    "linear_margin": {"regParam": [0.01, 0.1]},
+    "decision_tree": {"maxDepth": [4, 6]},
+    "random_forest": {"maxDepth": [4, 8], "numTrees": [30]},
+    "gradient_boosting": {"maxDepth": [3, 5], "maxIter": [10]},
+}
+
+
+def grid_search(train: DataFrame, features: Sequence[str], grids: dict[str, dict[str, list]] | None = None, label: str = "label",
+                weight: str | None = None, folds: int = 5, parallelism: int = 4) -> Search:
+    """Cross-validated F1 of class 1 for every point of every family, and the best point refitted on all rows.
+
+    Folds come from column ``fold`` (0 to ``folds`` - 1). One search covers all families, so a fold's rows are cached
+    once for all points; the scaler is part of a point and sees its training folds only. Ties go to the first point.
+    """
+    pipe, points, maps = Pipeline(stages=[]), [], []
+    for family, values in (GRIDS if grids is None else grids).items():
+        base = estimators(label, weight)[family]
+        for chosen in product(*values.values()):
+            point = dict(zip(values, chosen))
+            stages = pipeline(base.copy({base.getParam(k): v for k, v in point.items()}), features).getStages()
+            maps.append({pipe.stages: stages})
+            points.append((family, ", ".join(f"{k}={v}" for k, v in point.items())))
+    score = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel", metricLabel=1.0)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, numFolds=folds, foldCol="fold", evaluator=score, parallelism=parallelism).fit(train)
+    return Search([(*p, float(m), float(d)) for p, m, d in zip(points, cv.avgMetrics, cv.stdMetrics)], int(np.argmax(cv.avgMetrics)), cv.bestModel)
+
+
+def monitored_boosting(rows: DataFrame, features: Sequence[str], estimator: GBTClassifier, validation: str, tolerance: float = 0.01):
+    """Boosted trees that stop when a round lowers the loss on the rows flagged in column ``validation`` by less than
+    ``tolerance`` of it (of 0.01 at least), cut back to the best round. Flagged rows train no tree."""
+    return pipeline(estimator.copy({estimator.validationIndicatorCol: validation, estimator.validationTol: tolerance}), features).fit(rows)
+
+
+def staged_losses(model, rows: DataFrame) -> list[float]:
+    """Loss of a fitted boosting pipeline over ``rows`` after each round; one pass for all rounds."""
+    prepared = rows
+    for stage in model.stages[:-1]:
+        prepared = stage.transform(prepared)
+    return list(model.stages[-1].evaluateEachIteration(prepared))
 
 
 def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
@@ -71,17 +122,42 @@ def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
                                  "feature string, importance double")
 
 
+def poisson_weight(key: Column, run: int, mean: float, seed: int = 42) -> Column:
+    """How often a row is drawn in a resample: Poisson, from a hash of the row's key and the run alone."""
+    uniform = F.shiftrightunsigned(F.xxhash64(key, F.lit(run), F.lit(seed)), 11) * F.lit(2.0 ** -53)
+    edges, term, below = [], math.exp(-mean), math.exp(-mean)
+    while below < 1.0 - 1e-12:
+        edges.append(below)
+        term *= mean / (len(edges))
+        below += term
+    return sum((F.when(uniform >= F.lit(e), 1.0).otherwise(0.0) for e in edges), F.lit(0.0))
+
+
 def bootstrap_predictions(train: DataFrame, everyone: DataFrame, features: Sequence[str], estimator, runs: int = 20,
-                          fraction: float = 0.8, key: str = "company_id") -> DataFrame:
-    """Refit on resamples with replacement and predict all rows; every run is staged, so later runs add no lineage."""
+                          mean: float = 0.8, key: str = "company_id", parallelism: int = 4) -> DataFrame:
+    """``key`` and ``ps``, the probabilities of class 1 by ``runs`` models refitted on resamples with replacement.
+
+    A resample is a weight per row, drawn from the row's key, so it depends on neither partitions nor order. Vectors
+    are made once and staged; every fit reads them and one weight. All models then score in one pass over ``everyone``.
+    """
     from pyspark.ml.functions import vector_to_array
-    pipe = pipeline(estimator, features)
-    out = None
-    for run in range(runs):
-        model = pipe.fit(train.sample(True, fraction, run))
-        p = model.transform(everyone).select(key, F.lit(run).alias("run"), F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-        out = p if out is None else out.unionByName(p)
-    return materialize(out)
+    prepare_ = Pipeline(stages=pipeline(estimator, features).getStages()[:-1]).fit(train)
+    own = F.col(estimator.getWeightCol()) if estimator.isSet(estimator.weightCol) else F.lit(1.0)
+    label = estimator.getLabelCol()
+    drawn = {f"_draw_{r}": own * poisson_weight(F.col(key), r, mean) for r in range(runs)}
+    staged = materialize(prepare_.transform(train).select("features", label, *[c.alias(n) for n, c in drawn.items()]))
+
+    def fit(r: int):
+        names = {estimator.weightCol: f"_draw_{r}", estimator.predictionCol: f"_class_{r}",
+                 estimator.rawPredictionCol: f"_raw_{r}", estimator.probabilityCol: f"_p_{r}"}
+        return estimator.copy(names).fit(staged.select("features", label, f"_draw_{r}"))
+
+    with ThreadPool(min(parallelism, runs)) as pool:
+        models = pool.map(inheritable_thread_target(train.sparkSession)(fit), range(runs))
+    out = prepare_.transform(everyone).select(key, "features")
+    for r, model in enumerate(models):
+        out = model.transform(out).drop(f"_class_{r}", f"_raw_{r}")
+    return out.select(key, F.array(*[F.get(vector_to_array(f"_p_{r}"), F.lit(1)) for r in range(runs)]).alias("ps"))
 
 
 # ------------------------------------------------------------------ isolation forest

@@ -127,9 +127,8 @@ RUNS = 20
     SELECT id, avg(p) AS mc_mean, stddev_pop(p) AS mc_std, quantile_cont(p, 0.025) AS ci_low, quantile_cont(p, 0.975) AS ci_high
     FROM (SELECT id, least(1, p1 + ((id * 31 + r * 17) % 41) / 400.0) AS p FROM pred, (SELECT unnest(range(0, {RUNS})) AS r)) GROUP BY id""", "pred"), "mc_mean mc_std ci_low ci_high")
 def bootstrap_summary(spark, sf):
-    runs = A.predictions(spark, sf).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))))
-    p = F.least(F.lit(1.0), F.col("p1") + ((F.col("id") * 31 + F.col("run") * 17) % 41) / 400.0)
-    return E.summarize_runs(runs.select("id", p.alias("p")))
+    each = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.least(F.lit(1.0), F.col("p1") + ((F.col("id") * 31 + r * 17) % 41) / 400.0))
+    return E.summarize_array(A.predictions(spark, sf).select("id", each.alias("ps")), "ps").drop("ps")
 
 
 @query("predictions_table", cte("""
@@ -299,14 +298,53 @@ model_query("linear_margin", "linear_margin")
 model_query("decision_tree", "decision_tree")
 
 
+#: folds of the search
+FOLDS = 3
+FOLD_HASH = HASH.replace("id ", "company_id ").replace("+ 42", "+ 7")
+
+
+@query("search_folds", cte(f"""
+    SELECT company_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY {FOLD_HASH}, company_id) - 1) % {FOLDS} AS INTEGER) AS fold
+    FROM training WHERE split = 'train'""", "training"))
+def search_folds(spark, sf):
+    return E.stratified_folds(training_rows(spark, sf).filter("split = 'train'"), "company_id", "label", FOLDS).select("company_id", "label", "fold")
+
+
 @query("grid_search_cv")
 def grid_search_cv(spark, sf):
-    rows = training_rows(spark, sf)
-    lr = TR.estimators(weight="weight")["logistic_regression"]
-    grid = TR.ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).addGrid(lr.elasticNetParam, [0.0, 1.0]).build()
-    cv = TR.grid_search(rows.filter("split = 'train'"), FEATURES, lr, grid)
-    out = [(float(m[lr.regParam]), float(m[lr.elasticNetParam]), float(s)) for m, s in zip(grid, cv.avgMetrics)]
-    return spark.createDataFrame(out, "reg_param double, elastic_net double, mean_f1 double")
+    """Every point with its score over the folds; the best one, refitted on all training rows, with its score on the test rows."""
+    rows = materialize(E.stratified_folds(training_rows(spark, sf).drop("fold"), "company_id", "label", FOLDS))
+    search = TR.grid_search(rows.filter("split = 'train'"), FEATURES, weight="weight", folds=FOLDS)
+    hits = F.count_if((F.col("prediction") == 1) & (F.col("label") == 1))
+    tested = search.model.transform(rows.filter("split = 'test'")).agg(
+        F.coalesce(2.0 * hits / F.nullif(F.count_if(F.col("prediction") == 1) + F.count_if(F.col("label") == 1), F.lit(0)), F.lit(0.0)).alias("f1")).first()["f1"]
+    order = sorted(range(len(search.points)), key=lambda i: (-search.points[i][2], i))
+    out = [(*search.points[i], rank, i == search.best, tested if i == search.best else None) for rank, i in enumerate(order, 1)]
+    return spark.createDataFrame(out, "family string, point string, mean_f1 double, std_f1 double, rank int, chosen boolean, test_f1 double")
+
+
+def monitored(spark, sf, name):
+    """Rows in three parts, and a boosted model that the middle part stops."""
+    rows = E.stratified_split(training_rows(spark, sf).drop("split"), "company_id", "label", {"train": 0.6, "val": 0.2, "test": 0.2})
+    rows = materialize(rows.withColumn("held", F.col("split") == "val"))
+    return rows, TR.monitored_boosting(rows.filter("split <> 'test'"), FEATURES, TR.estimators()[name], "held")
+
+
+@query("gradient_boosting_slow")
+def gradient_boosting_slow(spark, sf):
+    """The second configuration, stopped by its validation rows; every row with the rounds that were kept."""
+    rows, model = monitored(spark, sf, "gradient_boosting_slow")
+    return model.transform(rows).select("company_id", "split", "label", "prediction", F.lit(model.stages[-1].getNumTrees).alias("rounds"))
+
+
+@query("boosting_rounds")
+def boosting_rounds(spark, sf):
+    """Loss on the validation rows after every kept round of both configurations."""
+    out = []
+    for name in ("gradient_boosting", "gradient_boosting_slow"):
+        rows, model = monitored(spark, sf, name)
+        out += [(name, i, float(loss)) for i, loss in enumerate(TR.staged_losses(model, rows.filter("split = 'val'")), 1)]
+    return spark.createDataFrame(out, "family string, round int, validation_loss double")
 
 
 @query("feature_importance")
@@ -319,8 +357,8 @@ def feature_importance(spark, sf):
 def bootstrap_uncertainty(spark, sf):
     rows = training_rows(spark, sf)
     est = TR.estimators(weight="weight")["logistic_regression"]
-    runs = TR.bootstrap_predictions(rows.filter("split = 'train'"), rows, FEATURES, est)
-    return E.summarize_runs(runs, "company_id")
+    drawn = TR.bootstrap_predictions(rows.filter("split = 'train'"), rows, FEATURES, est, RUNS)
+    return E.summarize_array(drawn, "ps").drop("ps")
 
 
 @query("isolation_forest")
@@ -348,6 +386,19 @@ def tree_attribution(spark, sf):
     return X.tree_attribution(rows, model.stages[-1], FEATURES)
 
 
+@query("tree_attribution_checks", cte(f"SELECT count(*) AS n_rows, {len(FEATURES)} * count(*) AS n_attributions, TRUE AS adds_up FROM training", "training"))
+def tree_attribution_checks(spark, sf):
+    """Base and attributions of every row add up to the margin of the boosted trees."""
+    from pyspark.ml.functions import vector_to_array
+    rows = training_rows(spark, sf)
+    model = TR.pipeline(TR.estimators()["gradient_boosting"], FEATURES, standardize=False).fit(rows.filter("split = 'train'"))
+    parts = X.tree_attribution(rows, model.stages[-1], FEATURES).groupBy("company_id").agg(
+        (F.first("base") + F.sum("attribution")).alias("total"), F.count(F.lit(1)).alias("n"))
+    margins = model.transform(rows).select("company_id", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("margin"))
+    return margins.join(parts, "company_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_attributions"),
+                                                 (F.max(F.abs(F.col("total") - F.col("margin"))) < 1e-9).alias("adds_up"))
+
+
 WHATIF = ["total_esg_risk_score", "controversy_score", "vague_language_count"]
 
 

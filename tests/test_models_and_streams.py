@@ -1,6 +1,8 @@
 """Training, attribution, neighbours, anomaly scores, and batch = stream."""
 
 import datetime as dt
+import itertools
+import math
 import uuid
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from discloscope.operators import attribution as A
+from discloscope.operators import evaluation as E
 from discloscope.operators import training as T
 from discloscope.session import staging_dir
 from discloscope.sources import adapters as AD
@@ -23,14 +26,114 @@ def rows(spark):
     return spark.createDataFrame(pd.DataFrame({"company_id": range(400), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "label": y}))
 
 
-def test_tree_attribution_adds_up(spark, rows):
+def expected(nodes, x, known, at=0):
+    """A tree's output when only the ``known`` features of ``x`` are."""
+    n = nodes.iloc[at]
+    if n.leftChild < 0:
+        return n.value
+    if n.feature in known:
+        return expected(nodes, x, known, int(n.leftChild if x[int(n.feature)] <= n.threshold else n.rightChild))
+    return sum(nodes.iloc[int(c)].cover / n.cover * expected(nodes, x, known, int(c)) for c in (n.leftChild, n.rightChild))
+
+
+def shapley(trees, x, i):
+    """Brute force over all sets of the other features."""
+    others = [f for f in range(len(x)) if f != i]
+    total = 0.0
+    for size in range(len(x)):
+        weight = math.factorial(size) * math.factorial(len(x) - size - 1) / math.factorial(len(x))
+        for known in itertools.combinations(others, size):
+            total += weight * sum(expected(t, x, {*known, i}) - expected(t, x, set(known)) for t in trees)
+    return total
+
+
+@pytest.mark.parametrize("family", ["gradient_boosting", "random_forest", "decision_tree"])
+def test_tree_attribution_is_exact(spark, rows, family):
+    names = ["a", "b", "c"]
+    estimator = T.estimators()[family].copy({T.estimators()[family].maxDepth: 3})
+    if family != "decision_tree":
+        estimator = estimator.copy({estimator.maxIter if family == "gradient_boosting" else estimator.numTrees: 4})
+    model = T.pipeline(estimator, names, standardize=False).fit(rows)
+    some = rows.filter("company_id < 40").withColumn("a", F.when(F.col("company_id") == 7, float("nan")).otherwise(F.col("a")))
+    attr = A.tree_attribution(some, model.stages[-1], names).toPandas()
+    sums = attr.groupby("company_id")["attribution"].sum() + attr.groupby("company_id")["base"].first()
+    from pyspark.ml.functions import vector_to_array
+    output = "rawPrediction" if family == "gradient_boosting" else "probability"
+    raw = model.transform(some).select("company_id", F.get(vector_to_array(output), F.lit(1)).alias("r")).toPandas().set_index("company_id")["r"]
+    assert np.allclose(sums.sort_index(), raw.sort_index())
+    trees = [t for _, t in A.tree_nodes(model.stages[-1], spark).groupby("treeID")]
+    data = some.toPandas().set_index("company_id")[names]
+    got = attr.set_index(["company_id", "feature"])["attribution"]
+    for company in (0, 7, 11, 39):
+        for i, name in enumerate(names):
+            assert got[company, name] == pytest.approx(shapley(trees, data.loc[company].tolist(), i), abs=1e-9)
+
+
+def test_folds_have_equal_shares(spark):
+    df = spark.createDataFrame([(i, float(i % 7 == 0)) for i in range(331)] + [(2**31 + 5, 0.0), (5 + 2**32, 0.0)], "company_id long, label double")
+    got = E.stratified_folds(df, "company_id", "label", 4).groupBy("label", "fold").count().toPandas()
+    assert got.groupby("label")["count"].agg(lambda c: c.max() - c.min()).max() <= 1 and got["count"].sum() == 333
+
+
+def test_search_covers_families_and_refits_the_best(spark, rows):
+    names = ["a", "b", "c"]
+    data = E.stratified_folds(rows, "company_id", "label", 3).cache()
+    grids = {"decision_tree": {"maxDepth": [1, 4]}, "logistic_regression": {"regParam": [0.01], "elasticNetParam": [0.0, 1.0]}}
+    found = T.grid_search(data, names, grids, folds=3)
+    assert [p[:2] for p in found.points] == [("decision_tree", "maxDepth=1"), ("decision_tree", "maxDepth=4"),
+                                             ("logistic_regression", "regParam=0.01, elasticNetParam=0.0"), ("logistic_regression", "regParam=0.01, elasticNetParam=1.0")]
+    family, point, score, _ = found.points[found.best]
+    assert family == "logistic_regression" and score == max(p[2] for p in found.points) > 0.9
+    # the mean over the folds by hand, and the refit against a direct fit
+    base = T.estimators()[family]
+    direct = base.copy({base.elasticNetParam: float(point[-3:])})
+    by_hand = []
+    for fold in range(3):
+        told = T.pipeline(direct, names).fit(data.filter(f"fold <> {fold}")).transform(data.filter(f"fold = {fold}")).toPandas()
+        tp = ((told.prediction == 1) & (told.label == 1)).sum()
+        by_hand.append(2 * tp / ((told.prediction == 1).sum() + (told.label == 1).sum()))
+    assert score == pytest.approx(np.mean(by_hand))
+    assert np.allclose(found.model.stages[-1].coefficients, T.pipeline(direct, names).fit(data).stages[-1].coefficients)
+
+
+def test_boosting_stops_where_the_loss_does(spark, rows):
+    names = ["a", "b", "c"]
+    noisy = rows.withColumn("label", F.when(F.col("company_id") % 6 == 0, 1 - F.col("label")).otherwise(F.col("label"))).withColumn("held", F.col("company_id") % 4 == 0)
+    est = T.estimators()["gradient_boosting"]
+    est = est.copy({est.subsamplingRate: 1.0, est.maxIter: 15, est.stepSize: 0.4})
+    model = T.monitored_boosting(noisy, names, est, "held", tolerance=0.01)
+    whole = T.pipeline(est, names).fit(noisy.filter("not held"))
+    # the scaler sees all rows in one case; trees do not care
+    losses = T.staged_losses(whole, noisy.filter("held"))
+    best, kept = losses[0], 1
+    for i, loss in enumerate(losses[1:], 2):
+        if best - loss < 0.01 * max(loss, 0.01):
+            break
+        best, kept = loss, i
+    assert model.stages[-1].getNumTrees == kept < 15
+    assert np.allclose(T.staged_losses(model, noisy.filter("held")), losses[:kept])
+
+
+def test_resamples_do_not_depend_on_layout(spark, rows):
     names = ["a", "b", "c"]
-    model = T.pipeline(T.estimators()["gradient_boosting"], names, standardize=False).fit(rows)
-    attr = A.tree_attribution(rows, model.stages[-1], names)
-    sums = attr.groupBy("company_id").agg((F.sum("attribution") + F.first("base")).alias("m")).toPandas().set_index("company_id")["m"].sort_index()
+    est = T.estimators()["logistic_regression"]
+    draws = rows.select(*[T.poisson_weight(F.col("company_id"), r, 0.8).alias(f"d{r}") for r in range(30)]).toPandas().to_numpy()
+    assert abs(draws.mean() - 0.8) < 0.03 and abs(draws.var() - 0.8) < 0.05
+    one = T.bootstrap_predictions(rows.repartition(7), rows, names, est, runs=4)
+    two = T.bootstrap_predictions(rows.orderBy(F.desc("a")), rows.repartition(3), names, est, runs=4)
+    one, two = (E.summarize_array(x, "ps").toPandas().set_index("company_id").sort_index() for x in (one, two))
+    for c in ("mc_mean", "mc_std", "ci_low", "ci_high"):
+        assert np.allclose(one[c], two[c], atol=1e-6)
+    ps = np.array(one["ps"].tolist())
+    assert np.allclose(one["mc_mean"], ps.mean(1)) and np.allclose(one["mc_std"], ps.std(1)) and np.allclose(one["ci_high"], np.quantile(ps, 0.975, axis=1))
+    # the same weights by hand
+    held = rows.withColumn("w", T.poisson_weight(F.col("company_id"), 2, 0.8))
+    prep = T.pipeline(est, names).getStages()[:-1]
+    stage = T.Pipeline(stages=prep).fit(held)
+    direct = est.copy({est.weightCol: "w"}).fit(stage.transform(held))
     from pyspark.ml.functions import vector_to_array
-    raw = model.transform(rows).select("company_id", F.get(vector_to_array("rawPrediction"), F.lit(1)).alias("r")).toPandas().set_index("company_id")["r"].sort_index()
-    assert np.allclose(sums, raw)
+    p = direct.transform(stage.transform(held)).select("company_id", F.get(vector_to_array("probability"), F.lit(1)).alias("p")).toPandas().set_index("company_id")["p"].sort_index()
+    assert np.allclose(ps[:, 2], p, atol=1e-6)
 
 
 def test_what_if_operators(rows):
