@@ -3,8 +3,9 @@
 A page is a stream of elements and texts. Equal neighbours, and equal neighbouring groups, fold into repeated
 groups; pages of a host are aligned one after the other, elements that only one side has become optional, and texts
 that differ become slots. Each page is then aligned with the wrapper again, in an article or not, and every element
-judged by its own place in it: text that all pages repeat there and repeated groups of links go, slots stay. The names
-of elements only weigh in: what holds most of the slot text is never dropped for its name.
+judged by its own place in it: outside of articles, text that all pages repeat there and repeated groups of links go;
+inside, a heading or a sentence that pages share is text, and only groups of links that they share go. The names of
+elements only weigh in: what holds most of the slot text is never dropped for its name.
 """
 
 from __future__ import annotations
@@ -351,16 +352,18 @@ def main_text(page: str, labels: Labels | None) -> str:
 
     def dropped(node: Node, inside: bool) -> bool:
         me = seen[id(node)]
-        if node.tag in NO_TEXT:
+        if node.tag in NO_TEXT or unseen(node):
             return True
         block = me.place is not None and not node.inline
-        if block and me.text is not None and me.text in me.place[TEXT]:
+        constant = block and me.text is not None and me.text in me.place[TEXT]
+        if constant and not inside:
             return True
         if me.place is not None and id(me.place) in labels.protected:
             return False
         if boilerplate(node, inside):
             return True
-        return block and me.links >= MENU_LINKS * me.chars > 0 and labels.menu(me.place, inside)
+        # inside an article what all pages repeat is a menu only if its text is that of links
+        return block and me.links >= MENU_LINKS * me.chars > 0 and (constant or not inside) and labels.menu(me.place, inside)
 
     def weight(tops: list[Node], inside: bool) -> float:
         """Slot text of the places below: how much the host has there, so a short article is one all the same."""
@@ -424,7 +427,7 @@ def main_text(page: str, labels: Labels | None) -> str:
                 todo.append(None)
             children = item.children
             me = seen[id(item)]
-            if me.said is not None and me.said in me.place[SAID] and not item.inline and not any(
+            if not inside and me.said is not None and me.said in me.place[SAID] and not item.inline and not any(
                     isinstance(c, Node) and c.inline and seen[id(c)].chars for c in children):
                 children = [c if isinstance(c, Node) else " " for c in children]
             todo += reversed(children)
@@ -477,9 +480,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """All rows and columns of ``pages`` with ``text``, the main text of ``html``, and ``n_chars``, its code points.
 
     Only boilerplate goes: menus, site headers, footers, sidebars, notices, adverts, forms, scripts, styles, markup and
-    reader comments. Inside and outside of the article these are what the wrapper of the host shows to be text that at
-    least ``TEMPLATE_PAGES`` distinct pages, and all that have the element, repeat, or repeated groups of links; and
-    elements of such names, unless they hold most of the slot text. Character references are decoded, white space inside a block becomes one space, blocks are
+    reader comments. Outside of the article these are what the wrapper of the host shows to be text that at least
+    ``TEMPLATE_PAGES`` distinct pages, and all that have the element, repeat, or repeated groups of links; inside, groups
+    of links that are both; anywhere hidden elements, and elements of such names unless they hold most of the slot text. Character references are decoded, white space inside a block becomes one space, blocks are
     joined by one space. Null and empty pages have the empty text; pages without a host share the wrapper of the
     empty host; repeated pages give equal texts; an empty table gives no rows. Input columns that clash with the
     added names give way.

@@ -139,16 +139,36 @@ def texts_of(spark, pages):
 
 
 def test_wrapper_decides_inside_articles(spark):
-    page = """<body><nav><a>Home</a></nav><article><h1>Title %d</h1><p>Text %d</p><p>More <b>bold</b> %d</p><p>Subscribe to our <b>letter</b></p>
-    <div class="zz">Printed with care<p>by %d</p></div><ul class="qq"><li><a>See %d</a></li><li><a>Look %d</a></li></ul>
+    page = """<body><nav><a>Home</a></nav><article><h1>Title %d</h1><p>Text %d</p><p>More <b>bold</b> %d</p><p>Thanks to <b>all</b></p>
+    <div class="zz">Printed with care<p>by %d</p></div><ul class="qq"><li><a>See this</a></li><li><a>Look there</a></li></ul>
     <p>By <a>%d</a></p></article></body>"""
-    got = texts_of(spark, [page % ((i,) * 7) for i in range(4)])
-    assert got == [f"Title {i} Text {i} More bold {i} by {i} By {i}" for i in range(4)]
-    # copies of one page tell nothing about its template, and an article that all pages repeat is text
-    assert texts_of(spark, [page % ((7,) * 7)] * 4) == ["Title 7 Text 7 More bold 7 Subscribe to our letter Printed with care by 7 By 7"] * 4
+    got = texts_of(spark, [page % ((i,) * 5) for i in range(4)])
+    assert got == [f"Title {i} Text {i} More bold {i} Thanks to all Printed with care by {i} By {i}" for i in range(4)]
     assert texts_of(spark, [f"<body><i>{i}</i><article><p>Same</article>" for i in range(4)]) == ["Same"] * 4
 
 
+@pytest.mark.parametrize("pages", [2, 3, 50])
+def test_articles_keep_what_they_share(spark, pages):
+    """Headings, sentences and lead paragraphs of an article stay however many pages share them."""
+    cake = """<article><h1>Cake %d</h1><p>We bake every week.</p><h2>Ingredients</h2><p>Flour %d</p><h2>Method</h2><p>Mix %d well</p>
+    <ul><li><a>Book %d</a></li><li><a>Page %d</a></li><li><a>Note %d</a></li></ul><p>Serve cold.</p></article>"""
+    got = texts_of(spark, [f"<body><div><p>All cakes</p></div>{cake % ((i,) * 6)}<footer>f</footer></body>" for i in range(pages)])
+    assert got == [f"Cake {i} We bake every week. Ingredients Flour {i} Method Mix {i} well Book {i} Page {i} Note {i} Serve cold." for i in range(pages)]
+
+
+def test_hidden_elements_go_first(spark):
+    page = "<body><article><p>Body %d</p><p style='display:none'>x %d</p><p hidden>y</p></article></body>"
+    assert texts_of(spark, [page % (i, i) for i in range(3)]) == [f"Body {i}" for i in range(3)]
+
+
+def test_wrappers_by_shuffle(spark, monkeypatch):
+    from discloscope.llm import html_wrapper
+    pages = [f"<body><ul><li><a>Home</a><li><a>About</a></ul><div><p>Body text {i}</p></div></body>" for i in range(4)]
+    want = texts_of(spark, pages)
+    monkeypatch.setattr(html_wrapper, "BROADCAST_BYTES", 0)
+    assert texts_of(spark, pages) == want == [f"Body text {i}" for i in range(4)]
+
+
 def test_labels_stay_with_their_place(spark):
     menu = "<body><div><a>One</a> <a>Two</a></div><h1>Title %d</h1><div>The whole article %d</div></body>"
     assert texts_of(spark, [menu % (i, i) for i in range(2)]) == [f"Title {i} The whole article {i}" for i in range(2)]
@@ -233,6 +253,15 @@ def test_pipeline_stages(spark, sf):
     assert all(r.text == texts[r.doc_id] for r in out)
 
 
+def test_near_copies_go_by_row(spark):
+    words = " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(40))
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(3, words), (7, words + " end"), (7, other), (None, words), (None, "alone here"), (None, "alone here"), (8, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(3, words), (7, other), (None, "alone here"), (8, None), (9, None)], key=repr)
+
+
 def test_pipeline_takes_odd_rows(spark, sf):
     words = " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(40))
     rows = [(1, words, "en", None, 5, "x"), (1, words, "en", None, 5, "x"), (2, None, None, "s", None, "x"), (None, "le chat noir", "fr", "s", 1, "x"),
