@@ -119,7 +119,7 @@ def op2(spark, sf_dir):
 # ---------------------------------------------------------------- 3
 @query("op3_ngram_jaccard_join")
 def op3(spark, sf_dir):
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 SPLIT = rf"string_split_regex({LOWER}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
@@ -156,10 +156,10 @@ def op5(spark, sf_dir):
 WITH d AS (SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents)
 SELECT source, lang, 'words-1' AS version, count(*) AS docs,
        CAST(sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS BIGINT) AS tokens
-FROM d WHERE doc_id = first_id GROUP BY source, lang
+FROM d WHERE doc_id = first_id OR doc_id IS NULL GROUP BY source, lang
 UNION ALL
 SELECT source, lang, 'pieces-1', count(*), CAST(sum(coalesce(len(regexp_extract_all(text, '{PIECES}')), 0)) AS BIGINT)
-FROM d WHERE doc_id = first_id GROUP BY source, lang""")
+FROM d WHERE doc_id = first_id OR doc_id IS NULL GROUP BY source, lang""")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))

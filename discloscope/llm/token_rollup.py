@@ -111,13 +111,15 @@ def corpus_batches(docs: DataFrame) -> dict[str, DataFrame]:
     """Change batches of a corpus: rough counts at arrival, exact ones later, copies taken out, a second tokenizer.
 
     ``words-1`` starts from a sixth of the characters, is revised to the words of the whole text, and loses every
-    document whose text an earlier id has; ``pieces-1`` then counts what is left. ``docs`` must be cheap to read
-    again: ``doc_id``, ``source``, ``lang``, ``rough``, ``words``, ``pieces``, ``first_id``.
+    document whose text an earlier id has; ``pieces-1`` then counts what is left. A row with a null id is a document of
+    its own and never a copy; rows that repeat the first id of a text all count; null sources and languages are groups
+    like others. ``docs`` must be cheap to read again: ``doc_id``, ``source``, ``lang``, ``rough``, ``words``, ``pieces``,
+    ``first_id``.
     """
     def events(rows: DataFrame, version: str, op: str, tokens: str, old: str | None = None) -> DataFrame:
         return rows.select("source", "lang", F.lit(version).alias("version"), F.lit(op).alias("op"), F.col(tokens).alias("tokens"),
                            (F.col(old) if old else F.lit(None).cast("long")).alias("old_tokens"))
 
-    copy = F.col("doc_id") > F.col("first_id")
+    copy = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     return {"arrival": events(docs, "words-1", "insert", "rough"), "recount": events(docs, "words-1", "revise", "words", "rough"),
             "copies": events(docs.filter(copy), "words-1", "delete", "words"), "pieces": events(docs.filter(~copy), "pieces-1", "insert", "pieces")}

@@ -82,3 +82,16 @@ def test_counters(spark):
     assert [r[0] for r in df.select(piece_count(df.text)).collect()] == [5, 0, 0]
     bpe = bpe_count(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert [r[0] for r in df.select(bpe("text")).collect()][1:] == [0, 0] and df.select(bpe("text")).first()[0] >= 5
+
+
+def test_null_ids_count_like_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    from discloscope.llm.queries import QUERIES, SQL
+    rows = [(1, "a b", "en", "s"), (2, "a b", "en", "s"), (None, "a b", "en", "s"), (None, "c d e", None, "s"), (1, "a b", "en", "s"), (4, None, "en", None), (5, "", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r[c] for c in ("source", "lang", "version", "docs", "tokens")) for r in QUERIES["op6_token_counts"](spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"SELECT source, lang, version, docs, tokens FROM ({SQL['op6_token_counts']})").fetchall(), key=repr)
+    assert ("s", "en", "words-1", 3, 6) in got and ("s", None, "pieces-1", 1, 3) in got
