@@ -85,22 +85,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     windows = hashed.withColumn("_marks", marks).select("doc_id", "_row", "_words", "_hashes", "_length", F.posexplode_outer("_marks").alias("_at", "_anchor"))
     hashes = [_window_hash(F.col("_at") - 1, F.col("_length"), lengths, seed).alias(f"_h{seed}") for seed in (0, 1)]
     kept = ["doc_id", "_row", "_length", "_at"]
+    said = F
+    for x in lengths:
+        said = said.when(F.col("_length") == x, F.concat_ws(" ", *[F.get("_words", F.col("_at") - 1 + k) for k in range(x)]))
     if small:
         starts = F.broadcast(grams.select(F.col("anchor").alias("_anchor"), F.col("length").alias("_length"), F.lit(True).alias("_open")).distinct())
         found = windows.join(starts, ["_anchor", "_length"], "left").filter((F.col("_at") == 0) | F.col("_open"))
         held = F.broadcast(grams.select(F.col("h0").alias("_h0"), F.col("length").alias("_length"), "gram"))
         hits = found.select(*kept, "_words", F.when(F.col("_at") > 0, hashes[0]).alias("_h0")).join(held, ["_h0", "_length"], "left")
-        said = F
-        for x in lengths:
-            said = said.when(F.col("_length") == x, F.concat_ws(" ", *[F.get("_words", F.col("_at") - 1 + k) for k in range(x)]))
         hits = hits.filter((F.col("_at") == 0) | (F.col("gram").isNotNull() & (said == F.col("gram"))))
         hits = hits.select(*kept, F.when(F.col("_at") == 0, F.size("_words")).alias("_n"), "gram")
     else:
-        # too many windows to send everywhere: theirs and the corpus's meet by shuffle, compared by two hashes
+        # too many windows to send everywhere: theirs and the corpus's meet by shuffle of two hashes; the few that agree
+        # meet the words of their documents again
         plain = windows.select(*kept, F.when(F.col("_at") == 0, F.size("_words")).alias("_n"),
                                *[F.when(F.col("_at") > 0, h).alias(f"_h{i}") for i, h in enumerate(hashes)])
         held = grams.select(F.col("h0").alias("_h0"), F.col("h1").alias("_h1"), F.col("length").alias("_length"), "gram")
-        hits = plain.filter("_at > 0").join(held, ["_h0", "_h1", "_length"]).select(*kept, "_n", "gram").unionByName(
+        agreed = plain.filter("_at > 0").join(held, ["_h0", "_h1", "_length"]).select(*kept, "_n", "gram").distinct()
+        texts = docs.select(F.col("doc_id").alias("_id"), row_key(F.col("doc_id"), F.col("text")).alias("_text_row"), words_of(F.col("text")).alias("_words"))
+        texts = texts.dropDuplicates(["_id", "_text_row"])
+        same = (F.col("_row") == F.col("_text_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+        hits = agreed.join(texts, same).filter(said == F.col("gram")).select(*kept, "_n", "gram").unionByName(
             plain.filter("_at = 0").select(*kept, "_n", F.lit(None).cast("string").alias("gram")))
     spans = hits.groupBy("doc_id", "_row").agg(
         F.max("_n").cast("long").alias("n_words"),

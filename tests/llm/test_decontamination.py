@@ -50,6 +50,17 @@ def test_odd_rows(spark):
     assert got(spark, [], ITEM_ROWS) == set()
 
 
+def test_windows_that_meet_by_shuffle(spark, monkeypatch):
+    """With too many windows to broadcast, and hashes that agree for different words, the words decide."""
+    from pyspark.sql import functions as F
+
+    from discloscope.llm import decontamination
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    assert got(spark, DOC_ROWS, ITEM_ROWS) == brute(DOC_ROWS, ITEM_ROWS)
+    monkeypatch.setattr(decontamination, "_window_hash", lambda at, length, lengths, seed=0: length.cast("long") + F.lit(seed) + 0 * at)
+    assert got(spark, DOC_ROWS, ITEM_ROWS) == brute(DOC_ROWS, ITEM_ROWS)
+
+
 def test_removal_keeps_clean_rows(spark):
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in DOC_ROWS], DOCS)
     items = spark.createDataFrame(ITEM_ROWS, ITEMS)
