@@ -487,21 +487,54 @@ def article_timeline(spark, sf):
         "article_id", "company_id", F.col("published").cast("timestamp_ntz").alias("published"), "title", "sentiment").orderBy("published", "article_id")
 
 
-#: no event comes later than the whole replay takes
-LATE = "400 days"
+#: slices of the events in which they land, and how late an article or its repeat may come
+SLICES, LATE = 6, "3 days"
 
 
-@query("incremental_scoring", cte("""
+def landed(spark, sf):
+    """The events as a stream of files that land in order of time; the feed delivers some of them twice."""
+    folder = scratch(spark)
+    events = A.table(spark, sf, "events")
+    ends = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    for i in range(SLICES):
+        lo, hi = (ends["lo"] + (ends["hi"] - ends["lo"]) * (i + j) / SLICES for j in (0, 1))
+        inside = (F.col("ts") >= lo) & ((F.col("ts") < hi) if i < SLICES - 1 else F.lit(True))
+        events.filter(inside).write.mode("append").parquet(folder)
+    files = spark.read.parquet(folder).inputFiles()
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, len(files) // SLICES)).parquet(folder)
+    return A.deliveries(A.articles(stream))
+
+
+def replayed(spark, sf):
+    """Folder of the changes that a run over all landed events has written."""
+    changes = scratch(spark)
+    L.incremental_scoring(landed(spark, sf), changes, scratch(spark), LATE).awaitTermination()
+    return changes
+
+
+STATE_SQL = """
     SELECT company_id, count(*) AS n, sum(sentiment * exp(-(epoch_us(newest) - epoch_us(published)) / 3.6e9 / 72)) / count(*) AS mean_weighted, newest AS as_of
-    FROM (SELECT *, max(published) OVER (PARTITION BY company_id) AS newest FROM live) GROUP BY company_id, newest""", "live"), "mean_weighted")
+    FROM (SELECT *, max(published) OVER (PARTITION BY company_id) AS newest FROM live) GROUP BY company_id, newest"""
+
+
+@query("incremental_scoring", cte(STATE_SQL, "live"), "mean_weighted")
 def incremental_scoring(spark, sf):
-    """Replays the events as a stream of daily files and returns the final per-company state."""
-    landing, state, mark = scratch(spark), scratch(spark), scratch(spark)
-    events = A.table(spark, sf, "events")
-    events.withColumn("day", F.to_date("ts")).repartitionByRange("day").write.partitionBy("day").parquet(landing)
-    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8).parquet(landing)
-    run = L.incremental_scoring(A.deliveries(A.articles(stream)), state, mark, LATE)
-    run.awaitTermination()
-    last = max(p["batchId"] for p in run.recentProgress)
-    out = L.latest_state(spark, state, last)
+    """Replays the events as a stream of files and returns the final per-company state."""
+    out = L.latest_state(spark, replayed(spark, sf))
     return out.select("company_id", "n", (F.col("weighted_sum") / F.col("n")).alias("mean_weighted"), F.col("as_of").cast("timestamp_ntz").alias("as_of"))
+
+
+@query("alert_stream", cte(f"""
+    SELECT company_id, n, as_of, delta, CASE WHEN delta > 5 THEN 'ALERT' WHEN delta > 2 THEN 'WATCH' WHEN delta < -2 THEN 'IMPROVED' ELSE 'STABLE' END AS status
+    FROM (SELECT *, CAST(round_even(-15 * mean_weighted, 1) AS DOUBLE) AS delta FROM ({STATE_SQL}))""", "live"), "delta")
+def alert_stream(spark, sf):
+    """The latest status of every company after a run over all landed events."""
+    return L.latest_alerts(spark, replayed(spark, sf)).withColumn("as_of", F.col("as_of").cast("timestamp_ntz"))
+
+
+@query("timeline_stream", cte("SELECT article_id, company_id, published, title, sentiment FROM live", "live"), "sentiment")
+def timeline_stream(spark, sf):
+    """Every article once, as a running stream has appended it."""
+    folder = scratch(spark)
+    L.timeline_stream(landed(spark, sf), folder, scratch(spark), LATE).awaitTermination()
+    return spark.read.parquet(folder).select("article_id", "company_id", F.col("published").cast("timestamp_ntz").alias("published"), "title", "sentiment")

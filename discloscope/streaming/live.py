@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from discloscope.operators.sentiment import headline_sentiment
-from discloscope.sources.readers import age_hours, path_exists
+from discloscope.sources.readers import age_hours
 
 DECAY_HOURS = 72.0
 
@@ -75,9 +79,6 @@ def watched(articles: DataFrame, delay: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ incremental running mean
-STATE = "company_id long, weighted_sum double, n long, as_of timestamp"
-
-
 def _at(total: Column, as_of: Column, when: Column) -> Column:
     """Decay composes: a sum known at one time moves to a later one by a single factor."""
     return total * F.exp(-age_hours(as_of, when) / DECAY_HOURS)
@@ -111,26 +112,91 @@ def merge_totals(old: DataFrame, new: DataFrame) -> DataFrame:
                        (F.coalesce("o.n", F.lit(0)) + F.coalesce("w.n", F.lit(0))).alias("n"), as_of.alias("as_of"))
 
 
+#: parts of a company whose state is kept apart, so that one with a third of all articles is no hot spot
+PARTS = 8
+CHANGES = "company_id long, part int, weighted_sum double, n long, as_of timestamp"
+_SCORE_STATE = "weighted_sum double, n long, as_of long, urls array<long>, seen array<long>"
+
+
+class DecayedScore(StatefulProcessor):
+    """Keyed state of one part of a company: its decayed sum, and the articles that may still come again.
+
+    An article counts once: its URL is remembered until the watermark has passed its time, when a repeat would be late
+    and is not taken. A timer drops what is remembered of companies that no longer get articles.
+    """
+
+    def init(self, handle) -> None:
+        self.handle, self.state = handle, handle.getValueState("score", _SCORE_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        late = timerValues.getCurrentWatermarkInMs() * 1000
+        total, n, as_of, urls, seen = self.state.get() if self.state.exists() else (0.0, 0, None, [], [])
+        known = dict(zip(urls, seen))
+        new = new[(new["at"] >= late) & ~new["url_hash"].isin(known.keys())].drop_duplicates("url_hash")
+        if not len(new):
+            return
+        at, newest = new["at"].to_numpy(), int(new["at"].max())
+        newest = newest if as_of is None else max(newest, as_of)
+        hours = 3.6e9 * DECAY_HOURS
+        total = (0.0 if as_of is None else total * float(np.exp((as_of - newest) / hours))) + float((new["sentiment"].to_numpy() * np.exp((at - newest) / hours)).sum())
+        n += len(new)
+        known |= dict(zip(new["url_hash"].tolist(), at.tolist()))
+        known = {u: t for u, t in known.items() if t >= late}
+        self.state.update((total, n, newest, list(known), list(known.values())))
+        self.handle.registerTimer(max(known.values()) // 1000 + 1)
+        yield pd.DataFrame({"company_id": [key[0]], "part": [key[1]], "weighted_sum": [total], "n": [n], "as_of": [pd.Timestamp(newest, unit="us")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        late = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.state.exists():
+            total, n, as_of, urls, seen = self.state.get()
+            known = {u: t for u, t in zip(urls, seen) if t >= late}
+            self.state.update((total, n, as_of, list(known), list(known.values())))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def incremental_scoring(stream: DataFrame, state_dir: str, checkpoint: str, delay: str):
     """Score only newly arrived articles and fold them into a per-company decayed sum.
 
-    The state is one small row per company, kept as a table version per micro-batch: a
-    repeated batch reads the version before it and rewrites its own, so a retry cannot
-    count twice. Articles are pre-aggregated before they meet the state, so a company
-    with a third of all articles is no hot spot.
+    The sums are keyed state of the running query; what each micro-batch changes is written, and nothing else, to a
+    folder of that batch, so a batch that is repeated after a failure replaces its own rows. ``delay`` is the late-data
+    rule: an article, or its repeat, counts if it comes within that event time of the newest one seen.
     """
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch_totals(score_articles(batch))
-        previous = f"{state_dir}/v={batch_id - 1}"
-        if batch_id > 0 and not path_exists(spark, previous):
-            raise FileNotFoundError(f"the state before batch {batch_id} is missing: {previous}")
-        old = spark.read.schema(STATE).parquet(previous) if batch_id > 0 else spark.createDataFrame([], STATE)
-        merge_totals(old, new).write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
-
-    return (watched(stream, delay).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    spark = stream.sparkSession
+    # timers and state per key need the key-value state store
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = score_articles(stream.withWatermark("published", delay)).select(
+        "company_id", F.pmod(F.xxhash64("url"), F.lit(PARTS)).cast("int").alias("part"), F.xxhash64("company_id", "url").alias("url_hash"),
+        "published", F.unix_micros("published").alias("at"), "sentiment")
+    changed = rows.groupBy("company_id", "part").transformWithStateInPandas(DecayedScore(), CHANGES, "Update", "EventTime")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
+
+    return (changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def latest_state(spark: SparkSession, state_dir: str, last_batch: int) -> DataFrame:
-    return spark.read.schema(STATE).parquet(f"{state_dir}/v={last_batch}")
+def latest_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    """One row per company from the last change of each of its parts; parts combine, since decay composes."""
+    rows = spark.read.schema(f"{CHANGES}, batch int").parquet(state_dir)
+    last = rows.groupBy("company_id", "part").agg(F.max_by(F.struct("weighted_sum", "n", "as_of"), "batch").alias("s"))
+    parts = last.groupBy("company_id").agg(F.max("s.as_of").alias("as_of"), F.sum("s.n").alias("n"), F.collect_list("s").alias("parts"))  # PARTS at most
+    total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + _at(p["weighted_sum"], p["as_of"], F.col("as_of")))
+    return parts.select("company_id", total.alias("weighted_sum"), "n", "as_of")
+
+
+def latest_alerts(spark: SparkSession, state_dir: str) -> DataFrame:
+    """The status of every company as of its newest article, from the changes written so far."""
+    delta = risk_delta(F.col("weighted_sum") / F.col("n"))
+    return latest_state(spark, state_dir).select("company_id", "n", "as_of", delta.alias("delta"), alert_status(delta).alias("status"))
+
+
+def timeline_stream(stream: DataFrame, folder: str, checkpoint: str, delay: str):
+    """Appends every article once, scored, to a table of files; repeats within ``delay`` are dropped as they come."""
+    return (score_articles(watched(stream, delay)).writeStream.format("parquet").option("path", folder)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -224,13 +224,61 @@ def test_incremental_state_equals_one_batch(spark, sf, landing):
     state, mark = (f"{staging_dir(spark)}/{uuid.uuid4().hex}" for _ in range(2))
     q = L.incremental_scoring(AD.deliveries(stream_of(spark, landing)), state, mark, delay="40 days")
     q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress)
-    got = L.latest_state(spark, state, last).toPandas().set_index("company_id").sort_index()
+    got = L.latest_state(spark, state).toPandas().set_index("company_id").sort_index()
     whole = L.batch_totals(L.score_articles(AD.articles(AD.table(spark, sf, "events")))).toPandas().set_index("company_id").sort_index()
     assert (got["n"] == whole["n"]).all() and (got["as_of"] == whole["as_of"]).all()
     assert np.allclose(got["weighted_sum"], whole["weighted_sum"])
 
 
+def test_killed_batch_is_replayed(spark, sf, landing, monkeypatch):
+    """A run that dies after writing a batch, and one that dies before, end in the state of a run that does not."""
+    state, mark = (f"{staging_dir(spark)}/{uuid.uuid4().hex}" for _ in range(2))
+    from pyspark.sql.streaming import DataStreamWriter
+    plain, died = DataStreamWriter.foreachBatch, []
+
+    def dying(self, write):
+        def once(batch, batch_id):
+            if batch_id == 2 and "before" not in died:
+                died.append("before")
+                raise RuntimeError("killed before the write")
+            write(batch, batch_id)
+            if batch_id == 4 and "after" not in died:
+                died.append("after")
+                raise RuntimeError("killed after the write")
+        return plain(self, once)
+
+    monkeypatch.setattr(DataStreamWriter, "foreachBatch", dying)
+    for _ in range(3):
+        q = L.incremental_scoring(AD.deliveries(stream_of(spark, landing)), state, mark, delay="40 days")
+        try:
+            q.awaitTermination()
+        except Exception as e:
+            assert "killed" in str(e)
+    assert died == ["before", "after"]
+    got = L.latest_state(spark, state).toPandas().set_index("company_id").sort_index()
+    whole = L.batch_totals(L.score_articles(AD.articles(AD.table(spark, sf, "events")))).toPandas().set_index("company_id").sort_index()
+    assert (got["n"] == whole["n"]).all() and np.allclose(got["weighted_sum"], whole["weighted_sum"])
+    # a batch writes the companies it changes only
+    rows = spark.read.schema(f"{L.CHANGES}, batch int").parquet(state)
+    assert rows.filter("batch = 3").select("company_id").distinct().count() < len(whole)
+
+
+def test_seen_articles_expire(spark):
+    """What the watermark has passed is forgotten, and a repeat of it is late."""
+    t = dt.datetime(2024, 1, 1)
+    folder, state, mark = (f"{staging_dir(spark)}/{uuid.uuid4().hex}" for _ in range(3))
+    schema = "company_id long, url string, title string, published timestamp"
+    batches = [[(1, "a", "growth", t), (1, "a", "growth", t), (2, "z", "scandal", t)], [(1, "b", "growth", t + dt.timedelta(days=9))],
+               [(1, "c", "growth", t + dt.timedelta(days=9, hours=1))], [(1, "a", "growth", t), (1, "b", "growth", t + dt.timedelta(days=9))]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        L.incremental_scoring(stream, state, mark, delay="2 days").awaitTermination()
+    assert {r.company_id: r.n for r in L.latest_state(spark, state).collect()} == {1: 3, 2: 1}
+    held = spark.read.format("statestore").option("path", mark).option("stateVarName", "score").load().select("key.*", "value.*").collect()
+    assert sorted(len(r["urls"]) for r in held if r["company_id"] == 2) == [0]
+
+
 def test_decay_composes(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(1, f"growth {i}", t + dt.timedelta(hours=7 * i)) for i in range(40)]
