@@ -6,6 +6,7 @@ from discloscope.plans import (  # noqa: F401
     matrix_plans,
     model_plans,
     relational_plans,
+    reply_plans,
     text_plans,
     timeseries_plans,
 )

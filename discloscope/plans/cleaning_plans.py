@@ -81,36 +81,32 @@ REFERENCE = dt.datetime(2024, 2, 1)
     SELECT company_id, item_no, title, source, url, published, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(published)) / 3.6e9 AS age_hours
     FROM (SELECT user_id AS company_id, event_id AS item_no, event_type || ' headline' AS title,
                  CASE WHEN event_id % 40 = 0 THEN 'Unknown' ELSE event_type END AS source, 'u' || event_id AS url,
-                 CASE WHEN event_id % 50 = 0 THEN TIMESTAMP '2024-02-01' ELSE date_trunc('second', ts) END AS published FROM events)""", "age_hours")
+                 CASE WHEN event_id % 50 = 0 THEN TIMESTAMP '2024-02-01' ELSE date_trunc('second', ts) END AS published FROM events WHERE event_id % 211 <> 0)""", "age_hours")
 def article_feed_parse(spark, sf):
-    e = A.table(spark, sf, "events")
-    k = F.col("event_id")
-    items = e.select(
-        F.col("user_id").alias("company_id"), k.alias("item_no"),
-        F.concat(F.lit("<b>"), "event_type", F.lit("</b> headline")).alias("title"),
-        F.when(k % 40 != 0, F.col("event_type")).alias("source"), F.concat(F.lit("u"), k).alias("link"),
-        F.when(k % 50 == 0, "no date").otherwise(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss")).alias("pub_date"))
+    items = R.read_feed(spark, landed_feed(spark, sf)).filter("raw IS NULL")
     return R.parse_feed(items, REFERENCE).withColumn("published", F.col("published").cast("timestamp_ntz"))
 
 
-@query("model_reply_parse", """
-    SELECT doc_id, source AS overall_risk, CAST(n_chars % 101 AS INTEGER) AS overall_score, CAST(i AS INTEGER) AS claim_no,
-           'claim ' || (n_chars % 7 + i) AS claim_text, CASE WHEN i = 0 THEN 'HIGH' ELSE 'LOW' END AS risk_level
-    FROM documents, (SELECT unnest([0, 1]) AS i) WHERE doc_id % 4 IN (0, 1)""")
-def model_reply_parse(spark, sf):
-    """Replies are rendered from the documents: fenced JSON, JSON inside prose, malformed, empty."""
-    d = A.table(spark, sf, "documents").select("doc_id", "n_chars", "source")
-    k, n = F.col("doc_id"), F.col("n_chars")
-    body = F.to_json(F.struct(
-        F.col("source").alias("overall_risk"), (n % 101).cast("int").alias("overall_score"),
-        F.array(*[F.struct(F.concat(F.lit("claim "), n % 7 + i).alias("claim_text"), F.lit(r).alias("risk_level"))
-                  for i, r in ((0, "HIGH"), (1, "LOW"))]).alias("claims")))
-    reply = (F.when(k % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-             .when(k % 4 == 1, F.concat(F.lit("Here is my answer:\n"), body, F.lit("\nHope it helps.")))
-             .when(k % 4 == 2, F.lit("{\"overall_risk\": ")).otherwise(F.lit("")))
-    parsed = d.select("doc_id", R.parse_reply(reply).alias("r")).filter(F.col("r").isNotNull())
-    return parsed.select("doc_id", "r.overall_risk", "r.overall_score", F.posexplode("r.claims").alias("claim_no", "c")) \
-        .select("doc_id", "overall_risk", "overall_score", "claim_no", "c.claim_text", "c.risk_level")
+@query("article_feed_quality", """
+    SELECT CASE WHEN event_id % 211 = 0 THEN 'malformed' ELSE 'parsed' END AS status, count(*) AS n FROM events GROUP BY 1""")
+def article_feed_quality(spark, sf):
+    """Items that were read and items that are no XML: none is lost."""
+    items = R.read_feed(spark, landed_feed(spark, sf))
+    return items.groupBy(F.when(F.col("raw").isNotNull(), "malformed").otherwise("parsed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def landed_feed(spark, sf) -> str:
+    """Feed files rendered from the events: markup in titles, missing sources, unreadable dates, broken items."""
+    e = A.table(spark, sf, "events")
+    k = F.col("event_id")
+    item = F.concat(
+        F.lit('<item company="'), "user_id", F.lit('" no="'), k, F.lit('"><title>&lt;b&gt;'), "event_type", F.lit("&lt;/b&gt; headline</title>"),
+        F.when(k % 40 != 0, F.concat(F.lit("<source>"), "event_type", F.lit("</source>"))).otherwise(""), F.lit("<link>u"), k, F.lit("</link><pubDate>"),
+        F.when(k % 50 == 0, "no date").otherwise(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss")),
+        F.when(k % 211 == 0, "</item>").otherwise("</pubDate></item>"))  # a tag left open breaks the item
+    folder = scratch(spark)
+    e.select(item.alias("value")).write.text(folder)
+    return folder
 
 
 # ------------------------------------------------------------------ cleaning

@@ -78,16 +78,37 @@ def age_hours(published: Column, reference: Column) -> Column:
     return (F.unix_micros(reference) - F.unix_micros(published)) / 3.6e9
 
 
-REPLY_SCHEMA = "overall_risk STRING, overall_score INT, claims ARRAY<STRUCT<claim_text: STRING, risk_level: STRING>>"
+#: fields of a feed item; attributes have a leading underscore
+FEED_ITEM = "_company LONG, _no LONG, title STRING, source STRING, link STRING, pubDate STRING, _corrupt_record STRING"
+
+
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Items of landed XML feeds, whatever stands around them; an item that is no XML keeps its text in ``raw``.
+
+    Files are cut at the start of every item, so a feed of any size is read by many tasks and a broken item spoils no
+    other one. What stands before the first item of a file is no item.
+    """
+    pieces = spark.read.text(path, lineSep="<item").filter(F.col("value").rlike(r"^[\s/>]") & ~F.col("value").rlike(r"^\s*(<|$)"))
+    closed = F.coalesce(F.nullif(F.regexp_extract("value", r"(?s)^.*?</item>", 0), F.lit("")), F.nullif(F.regexp_extract("value", r"^[^>]*/>", 0), F.lit("")), F.col("value"))
+    text = F.concat(F.lit("<item"), closed)
+    # the constant explode keeps the optimiser from parsing once for every field
+    items = pieces.select(F.from_xml(text, FEED_ITEM, {"mode": "PERMISSIVE", "rowTag": "item"}).alias("i")).select(F.explode(F.array("i")).alias("i"))
+    return items.select(F.col("i._company").alias("company_id"), F.col("i._no").alias("item_no"), "i.title", "i.source", "i.link",
+                        F.col("i.pubDate").alias("pub_date"), F.col("i._corrupt_record").alias("raw"))
+
+
+# fixed values: fields of a reply and of its claims
+REPLY_FIELDS = {"company_name": "string", "overall_risk": "string", "overall_score": "int", "summary": "string",
+                "claims": "array<struct<claim_text:string,category:string,risk_level:string,issue:string,explanation:string,evidence_type:string>>",
+                "red_flags": "array<string>", "positive_signals": "array<string>", "recommendations": "array<string>"}
 
 
 def parse_reply(reply: Column) -> Column:
-    """Strip code fences and parse; else parse the outermost ``{...}``; else NULL (callers then use the rule-based arm)."""
+    """A reply without its code fences as a variant, else the outermost ``{...}`` of it, else NULL."""
     bare = F.trim(F.regexp_replace(reply, "```(?:json)?", ""))
-    span = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0)))
 
-    def good(t: Column) -> Column:
-        parsed = F.from_json(t, REPLY_SCHEMA)
-        return F.when(parsed["overall_risk"].isNotNull(), parsed)
 
-    return F.coalesce(good(bare), good(span))
+def reply_fields(parsed: Column) -> dict[str, Column]:
+    """Typed fields of a parsed reply; one that is missing or of another type is NULL."""
+    return {name: F.try_variant_get(parsed, f"$.{name}", kind) for name, kind in REPLY_FIELDS.items()}
