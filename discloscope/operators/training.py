@@ -246,41 +246,77 @@ def isolation_forest(df: DataFrame, features: Sequence[str], trees: int = 300, s
 
 
 # ------------------------------------------------------------------ nearest neighbours
-def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, max_labelled: int = 20_000, rows: int = 512) -> DataFrame:
+def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int = 5, max_labelled: int | None = None, tile: int = 20_000, rows: int = 512) -> DataFrame:
     """The k nearest training rows of every query; inputs have ``id`` and ``vec``, the training side ``label`` too.
 
-    A classifier fitted on at most ``max_labelled`` labelled rows (those with the smallest hash of their id), which
-    is the bound of what goes to the tasks; all queries are then answered in one map-side pass without a shuffle.
-    A matrix product finds candidates, and their distances are taken again from the differences, so ties are exact.
+    All training rows count or, with ``max_labelled``, those with so many smallest hashes of their ids. Up to ``tile``
+    of them go to the tasks, which answer all queries in one map-side pass. More are hashed into tiles that every query
+    meets, and each query keeps k rows a tile; these merge a bounded number of tiles at a time. A matrix product finds
+    candidates, and their distances are taken again from the differences, so ties are exact and go to the smaller id.
     """
-    held = train.orderBy(F.xxhash64("id"), "id").limit(max_labelled).orderBy("id").select(
-        "id", F.col("vec").cast("array<double>").alias("vec"), "label").toPandas()
-    if held.empty:
-        return train.sparkSession.createDataFrame([], "qid long, tid long, label int, d2 double")
-    x = np.array(held["vec"].tolist(), dtype=float)
-    data = train.sparkSession.sparkContext.broadcast((x, (x * x).sum(1), held["id"].to_numpy(), held["label"].to_numpy()))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, norms, ids, labels = data.value
-        near = min(len(x), k) - 1
-        for pdf in batches:
-            for at in range(0, len(pdf), rows):
-                part = pdf.iloc[at:at + rows]
-                q = np.array(part["vec"].tolist(), dtype=float)
-                rough = norms[None] - 2.0 * (q @ x.T)
-                # every row as near as the k-th, give or take rounding, is a candidate
-                edge = np.partition(rough, near, axis=1)[:, near] + 1e-6 * (1.0 + np.abs(rough).max(axis=1))
-                found = []
-                for i in range(len(q)):
-                    c = np.flatnonzero(rough[i] <= edge[i])
-                    d2 = ((q[i] - x[c]) ** 2).sum(-1)
-                    order = np.argsort(d2, kind="stable")[:k]
-                    found.append((c[order], d2[order]))
-                c = np.concatenate([f[0] for f in found])
-                yield pd.DataFrame({"qid": np.repeat(part["id"].to_numpy(), [len(f[0]) for f in found]), "tid": ids[c], "label": labels[c],
-                                    "d2": np.concatenate([f[1] for f in found])})
-
-    return queries.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(best, "qid long, tid long, label int, d2 double")
+    # aliases keep the two sides apart where both come from one table
+    held = train.select(F.col("id").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col("label").alias("label"))
+    if max_labelled is not None:
+        held = held.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    asked = queries.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    n = held.count()
+    if n <= tile:
+        local = held.orderBy("id").toPandas()  # at most ``tile`` rows
+        if local.empty:
+            return train.sparkSession.createDataFrame([], "qid long, tid long, label int, d2 double")
+        data = train.sparkSession.sparkContext.broadcast(local)
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            near = _Labelled(data.value, k, rows)
+            for pdf in batches:
+                yield from near.of(pdf)
+
+        return asked.mapInPandas(best, "qid long, tid long, label int, d2 double")
+
+    tiles = -(-n // tile)
+    left = asked.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+    right = held.withColumn("tile", F.pmod(F.xxhash64("id", "vec"), F.lit(tiles)))
+
+    def meet(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        parts = list(_Labelled(known.sort_values("id"), k, rows).of(pdf)) if len(pdf) and len(known) else []
+        out = pd.concat(parts) if parts else pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("qid", "int64"), ("tid", "int64"), ("label", "int32"), ("d2", "float64"))})
+        return out.assign(tile=pdf["tile"].iloc[0] if len(pdf) else 0)
+
+    found = left.groupBy("tile").cogroup(right.groupBy("tile")).applyInPandas(meet, "qid long, tid long, label int, d2 double, tile long")
+    listed, count = found.select("qid", "tile", F.struct("d2", "tid", "label").alias("hit")), tiles
+    while True:
+        count = -(-count // 64)
+        listed = listed.groupBy("qid", F.floor(F.col("tile") / 64).alias("tile")).agg(F.slice(F.sort_array(F.collect_list("hit")), 1, k).alias("hits"))
+        listed = listed.select("qid", "tile", F.explode("hits").alias("hit"))
+        if count <= 1:
+            return listed.select("qid", "hit.tid", "hit.label", "hit.d2")
+
+
+class _Labelled:
+    """Labelled rows in order of id, asked for the k nearest of each row of a batch."""
+
+    def __init__(self, known: pd.DataFrame, k: int, rows: int):
+        self.x = np.array(known["vec"].tolist(), dtype=float)
+        self.norms, self.ids, self.labels = (self.x * self.x).sum(1), known["id"].to_numpy(), known["label"].to_numpy()
+        self.k, self.rows = k, rows
+
+    def of(self, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        near = min(len(self.x), self.k) - 1
+        for at in range(0, len(pdf), self.rows):
+            part = pdf.iloc[at:at + self.rows]
+            q = np.array(part["vec"].tolist(), dtype=float)
+            rough = self.norms[None] - 2.0 * (q @ self.x.T)
+            # every row as near as the k-th, give or take rounding, is a candidate
+            edge = np.partition(rough, near, axis=1)[:, near] + 1e-6 * (1.0 + np.abs(rough).max(axis=1))
+            found = []
+            for i in range(len(q)):
+                c = np.flatnonzero(rough[i] <= edge[i])
+                d2 = ((q[i] - self.x[c]) ** 2).sum(-1)
+                order = np.argsort(d2, kind="stable")[:self.k]
+                found.append((c[order], d2[order]))
+            c = np.concatenate([f[0] for f in found])
+            yield pd.DataFrame({"qid": np.repeat(part["id"].to_numpy(), [len(f[0]) for f in found]), "tid": self.ids[c], "label": self.labels[c],
+                                "d2": np.concatenate([f[1] for f in found])})
 
 
 def knn_vote(neighbours: DataFrame) -> DataFrame:

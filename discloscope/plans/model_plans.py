@@ -98,12 +98,15 @@ def soft_vote(spark, sf):
 
 
 @query("cv_summary", cte("""
-    SELECT model, avg(acc) AS accuracy_mean, stddev_pop(acc) AS accuracy_std FROM (
-        SELECT model, id % 5 AS fold, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0 END) AS acc FROM pred_long GROUP BY model, id % 5) GROUP BY model""", "pred_long"), "accuracy_mean accuracy_std")
+    , r AS (SELECT *, id % 5 AS fold, rank() OVER (PARTITION BY model, id % 5 ORDER BY p) + (count(*) OVER (PARTITION BY model, id % 5, p) - 1) / 2.0 AS rk,
+                   CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS h FROM pred_long),
+    f AS (SELECT model, fold, avg(CASE WHEN h = y THEN 1.0 ELSE 0 END) AS acc, coalesce(2 * sum(h * y) / nullif(sum(h) + sum(y), 0), 0) AS f1,
+                 (sum(rk) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * (count(*) - sum(y)), 0) AS auc FROM r GROUP BY model, fold)
+    SELECT model, avg(acc) AS accuracy_mean, stddev_pop(acc) AS accuracy_std, avg(f1) AS f1_mean, stddev_pop(f1) AS f1_std, avg(auc) AS roc_auc_mean, stddev_pop(auc) AS roc_auc_std
+    FROM f GROUP BY model""", "pred_long"), "accuracy_mean accuracy_std f1_mean f1_std roc_auc_mean roc_auc_std")
 def cv_summary(spark, sf):
-    folds = A.predictions_long(spark, sf).groupBy("model", (F.col("id") % 5).alias("fold")).agg(
-        F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"))
-    return E.cv_summary(folds, ["accuracy"])
+    folds = E.classification_metrics(A.predictions_long(spark, sf).withColumn("fold", F.col("id") % 5), ["model", "fold"])
+    return E.cv_summary(folds, ["accuracy", "f1", "roc_auc"])
 
 
 @query("leaderboard", cte("SELECT split, model, roc_auc, CAST(row_number() OVER (PARTITION BY split ORDER BY roc_auc DESC, model) AS INTEGER) AS rank FROM metrics", "metrics"), "roc_auc")
@@ -127,18 +130,32 @@ RUNS = 20
     SELECT id, avg(p) AS mc_mean, stddev_pop(p) AS mc_std, quantile_cont(p, 0.025) AS ci_low, quantile_cont(p, 0.975) AS ci_high
     FROM (SELECT id, least(1, p1 + ((id * 31 + r * 17) % 41) / 400.0) AS p FROM pred, (SELECT unnest(range(0, {RUNS})) AS r)) GROUP BY id""", "pred"), "mc_mean mc_std ci_low ci_high")
 def bootstrap_summary(spark, sf):
+    return E.summarize_array(resampled(A.predictions(spark, sf), "id"), "ps").drop("ps")
+
+
+def resampled(predictions, *keep):
+    """Scores of ``RUNS`` models a row, as resampling would give them."""
     each = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.least(F.lit(1.0), F.col("p1") + ((F.col("id") * 31 + r * 17) % 41) / 400.0))
-    return E.summarize_array(A.predictions(spark, sf).select("id", each.alias("ps")), "ps").drop("ps")
+    return predictions.select(*keep, each.alias("ps"))
+
+
+RESAMPLES = f"(SELECT id, least(1, p1 + ((id * 31 + r * 17) % 41) / 400.0) AS p FROM pred, (SELECT unnest(range(0, {RUNS})) AS r))"
 
 
-@query("predictions_table", cte("""
-    SELECT id, y, split, p1, p2, 0.2 * p1 + 0.8 * p2 AS blend, CASE WHEN 0.2 * p1 + 0.8 * p2 >= 0.5 THEN 1 ELSE 0 END AS predicted, std AS uncertainty
-    FROM pred JOIN (SELECT id, stddev_pop(p) AS std FROM pred_long GROUP BY id) USING (id)""", "pred_long"), "p1 p2 blend uncertainty")
+@query("predictions_table", cte(f"""
+    SELECT id, y, split, p1, p2, 0.2 * p1 + 0.8 * p2 AS blend, CASE WHEN 0.2 * p1 + 0.8 * p2 >= 0.5 THEN 1 ELSE 0 END AS predicted, mc_std AS uncertainty, mc_mean, ci_low, ci_high,
+           CASE WHEN mc_std < 0.05 THEN 'stable' WHEN mc_std < 0.15 THEN 'moderate' ELSE 'manual review' END AS band, coalesce(s.gw_proxy_score, 0) AS gw_proxy_score
+    FROM pred JOIN (SELECT id, avg(p) AS mc_mean, stddev_pop(p) AS mc_std, quantile_cont(p, 0.025) AS ci_low, quantile_cont(p, 0.975) AS ci_high FROM {RESAMPLES} GROUP BY id) USING (id)
+    LEFT JOIN labelled s ON s.company_id = id""", "pred", "labelled"), "p1 p2 blend uncertainty mc_mean ci_low ci_high")
 def predictions_table(spark, sf):
-    p = A.predictions(spark, sf)
-    spread = A.predictions_long(spark, sf).groupBy("id").agg(F.stddev_pop("p").alias("uncertainty"))
+    """Scores, blend, summary of the resampled models, its band, and the proxy score of the company."""
+    from discloscope.operators.rules import uncertainty_band
     blend = F.col("p1") * 0.2 + F.col("p2") * 0.8
-    return p.join(spread, "id").select("id", "y", "split", "p1", "p2", blend.alias("blend"), (blend >= 0.5).cast("int").alias("predicted"), "uncertainty")
+    told = E.summarize_array(resampled(A.predictions(spark, sf), "id", "y", "split", "p1", "p2"), "ps")
+    proxies = scored(spark, sf).select(F.col("company_id").alias("id"), "gw_proxy_score")
+    return told.join(proxies, "id", "left").select(
+        "id", "y", "split", "p1", "p2", blend.alias("blend"), (blend >= 0.5).cast("int").alias("predicted"), F.col("mc_std").alias("uncertainty"),
+        "mc_mean", "ci_low", "ci_high", uncertainty_band(F.col("mc_std")).alias("band"), F.coalesce("gw_proxy_score", F.lit(0)).alias("gw_proxy_score"))
 
 
 # ------------------------------------------------------------------ attribution
@@ -399,13 +416,16 @@ def tree_attribution_checks(spark, sf):
                                                  (F.max(F.abs(F.col("total") - F.col("margin"))) < 1e-9).alias("adds_up"))
 
 
-WHATIF = ["total_esg_risk_score", "controversy_score", "vague_language_count"]
+def most_important(model, spark, most=15):
+    """Features of a fitted model by importance, the largest first."""
+    ranked = TR.feature_importance(model, FEATURES, spark).orderBy(F.desc("importance"), "feature").limit(most)
+    return [r["feature"] for r in ranked.collect()]  # at most ``most`` names
 
 
 @query("counterfactual_search")
 def counterfactual_search(spark, sf):
     rows, model = fitted(spark, sf, "logistic_regression")
-    return X.counterfactuals(rows.select("company_id", *FEATURES), model, FEATURES, WHATIF)
+    return X.counterfactuals(rows.select("company_id", *FEATURES), model, FEATURES, most_important(model, spark))
 
 
 @query("what_if_scenarios")
@@ -418,7 +438,7 @@ def what_if_scenarios(spark, sf):
 @query("sensitivity_sweep")
 def sensitivity_sweep(spark, sf):
     rows, model = fitted(spark, sf, "logistic_regression")
-    return X.sensitivity(rows.select("company_id", *FEATURES), model, FEATURES, WHATIF)
+    return X.sensitivity(rows.select("company_id", *FEATURES), model, FEATURES, most_important(model, spark))
 
 
 # ------------------------------------------------------------------ live articles

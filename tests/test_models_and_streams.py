@@ -158,14 +158,14 @@ def test_isolation_forest_finds_outliers(spark):
     assert out.loc[out["company_id"] < 20, "is_anomaly"].mean() > 0.9
 
 
-@pytest.mark.parametrize("rows", [512, 37])
-def test_neighbours_match_brute_force(spark, rows):
+@pytest.mark.parametrize("rows, tile", [(512, 20_000), (37, 20_000), (512, 100), (64, 5)])
+def test_neighbours_match_brute_force(spark, rows, tile):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 8))
     x[:200] = x[0] + rng.normal(scale=0.01, size=(200, 8))  # a third of the rows in one spot
     lab = rng.integers(0, 3, 600)
     df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, lab))], "id long, vec array<double>, label int")
-    got = T.nearest_neighbours(df.filter("id % 4 <> 0"), df.filter("id % 4 = 0"), k=5, rows=rows)
+    got = T.nearest_neighbours(df.filter("id % 4 <> 0"), df.filter("id % 4 = 0"), k=5, rows=rows, tile=tile)
     got = got.groupBy("qid").agg(F.sort_array(F.collect_list("tid")).alias("t")).toPandas().set_index("qid")["t"]
     train = np.array([i for i in range(600) if i % 4])
     for q in range(0, 600, 4):
@@ -173,6 +173,24 @@ def test_neighbours_match_brute_force(spark, rows):
         assert list(got[q]) == sorted(train[np.argsort(d, kind="stable")[:5]])
 
 
+def test_votes_agree_with_the_sql_beyond_one_tile(spark):
+    """25,000 rows: the query and its SQL see the same neighbours."""
+    import duckdb
+
+    from discloscope.plans.catalog import QUERIES
+    folder = f"{staging_dir(spark)}/{uuid.uuid4().hex}"
+    rng = np.random.default_rng(9)
+    # few distinct values, so that ties abound
+    x = np.concatenate([rng.integers(0, 3, (25_000, 3)) / 2, np.zeros((25_000, 61))], axis=1)
+    pdf = pd.DataFrame({"vec_id": range(25_000), "embedding": list(x.astype("float32")), "label": rng.integers(0, 4, 25_000).astype("int32")})
+    pdf = pdf[(pdf["vec_id"] % 5 != 4) | (pdf["vec_id"] % 500 == 4)]
+    spark.createDataFrame(pdf, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    got = {r.id: r.predicted for r in QUERIES["knn_vote"].run(spark, folder).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    assert got == dict(con.execute(QUERIES["knn_vote"].sql).fetchall()) and len(got) == 50
+
+
 def test_neighbours_of_a_bounded_sample(spark):
     df = spark.createDataFrame([(i, [float(i)], i % 2) for i in range(50)], "id long, vec array<double>, label int")
     got = T.nearest_neighbours(df, df, k=3, max_labelled=10).toPandas()
