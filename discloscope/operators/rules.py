@@ -15,6 +15,32 @@ QUANTILES = {"esg_controversy_divergence": (0.75, 0.5), "controversy_risk_ratio"
              "combined_anomaly_score": (0.75, 0.75), "text_polarity": (0.85, 0.85)}
 
 
+# fixed values: per rule and severity the column that is named, what it is held against, and the text. A limit is a number,
+# a population quantile "column|p75", a multiple of a mean "mean_imbalance*1.5", or another column, moved by a number.
+DETAILS: dict[str, dict[str, tuple[str, object, str]]] = {
+    "divergence": {"critical": ("esg_controversy_divergence", "esg_controversy_divergence|p75", "Controversy is far above what the stated risk suggests"),
+                   "warning": ("esg_controversy_divergence", "esg_controversy_divergence|p50", "Stated risk and controversy differ somewhat"),
+                   "good": ("esg_controversy_divergence", "esg_controversy_divergence|p50", "Stated risk and controversy agree")},
+    "controversy_ratio": {"critical": ("controversy_risk_ratio", "controversy_risk_ratio|p75", "Controversy is high for this risk score"),
+                          "warning": ("controversy_risk_ratio", "controversy_risk_ratio|p50", "Controversy is raised for this risk score")},
+    "wording": {"critical": ("greenwashing_signal_score", "greenwashing_signal_score|p75", "The wording promises more than it shows"),
+                "warning": ("vague_language_count", ("concrete_evidence_count", 0.0), "Vague terms outnumber concrete ones"),
+                "good": ("concrete_evidence_count", ("vague_language_count", 0.0), "Concrete terms outnumber vague ones")},
+    "imbalance": {"warning": ("pillar_imbalance_score", "mean_imbalance*1.5", "Pillar scores lie far apart"),
+                  "good": ("pillar_imbalance_score", "mean_imbalance*1.5", "Pillar scores are balanced")},
+    "mismatch": {"critical": ("risk_controversy_mismatch", 0.0, "A low risk score goes with high controversy")},
+    "anomaly": {"warning": ("combined_anomaly_score", "combined_anomaly_score|p75", "The scores are an unusual combination")},
+    "positive_tone": {"warning": ("text_polarity", "text_polarity|p85", "The tone is unusually positive")},
+    "readiness": {"critical": ("regulatory_readiness_score", 0.15, "Policy is spoken of without readiness"), "good": ("regulatory_readiness_score", 0.4, "Texts show readiness for regulation")},
+    "narrative": {"warning": ("promotional_dominance_score", 0.6, "Promotion without a credible account"), "good": ("narrative_credibility_index", 0.6, "The account is credible")},
+    "commitment": {"warning": ("temporal_greenwashing_signal", 0.7, "Commitments are distant and thin"), "good": ("commitment_credibility_score", 0.7, "Commitments are credible")},
+    "text_score": {"critical": ("aggregate_esg_nlp_score", 30.0, "Texts score low"), "good": ("aggregate_esg_nlp_score", 70.0, "Texts score high")},
+    "peers": {"critical": ("peer_rank", 3.0, "Among the riskiest of its sector"), "warning": ("risk_score", ("peer_mean", 10.0), "Riskier than its sector"),
+              "good": ("risk_score", ("peer_mean", -10.0), "Less risky than its sector")},
+    "proxy": {"critical": ("gw_proxy_score", 3.0, "Three indicators or more are raised"), "warning": ("gw_proxy_score", 2.0, "Two indicators are raised")},
+}
+
+
 def population_limits(df: DataFrame) -> dict[str, float | None]:
     out = column_quantiles(df, list(QUANTILES), {"p50": 0.5, "p75": 0.75, "p85": 0.85})
     out["mean_imbalance"] = df.agg(F.avg("pillar_imbalance_score")).first()[0]
@@ -22,7 +48,7 @@ def population_limits(df: DataFrame) -> dict[str, float | None]:
 
 
 def reasons(df: DataFrame, limits: dict[str, float | None]) -> DataFrame:
-    """One row per triggered rule: (rule_no, rule, severity). Needs peer columns and the text packs."""
+    """One row per triggered rule: (rule_no, rule, severity, detail, value, threshold). Needs peer columns and the text packs."""
     def q(col: str, p: str) -> Column:
         return F.lit(limits[f"{col}_{p}"])
 
@@ -53,8 +79,22 @@ def reasons(df: DataFrame, limits: dict[str, float | None]) -> DataFrame:
                          .when(score > F.col("peer_mean") + 10, "warning").when(score < F.col("peer_mean") - 10, "good"))),
         ("proxy", F.when(proxy >= 3, "critical").when(proxy == 2, "warning")),
     ]
+
+    def limit(spec) -> Column:
+        if isinstance(spec, tuple):
+            return F.col(spec[0]).cast("double") + spec[1]
+        if isinstance(spec, str):
+            name, _, factor = spec.partition("*")
+            return F.lit(limits[name.replace("|", "_")]) * float(factor or 1)
+        return F.lit(float(spec))
+
+    def shown(name: str, sev: Column, part) -> Column:
+        return F.coalesce(*[F.when(sev == s, part(d)) for s, d in DETAILS[name].items()])
+
     fired = F.array_compact(F.array(*[
-        F.when(sev.isNotNull(), F.struct(F.lit(i).alias("rule_no"), F.lit(name).alias("rule"), sev.alias("severity")))
+        F.when(sev.isNotNull(), F.struct(
+            F.lit(i).alias("rule_no"), F.lit(name).alias("rule"), sev.alias("severity"), shown(name, sev, lambda d: F.lit(d[2])).alias("detail"),
+            shown(name, sev, lambda d: F.col(d[0]).cast("double")).alias("value"), shown(name, sev, lambda d: limit(d[1])).alias("threshold")))
         for i, (name, sev) in enumerate(rules)]))
     return df.select("company_id", F.explode(fired).alias("r")).select("company_id", "r.*")
 

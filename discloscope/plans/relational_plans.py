@@ -16,7 +16,7 @@ from discloscope.operators import rules as U
 from discloscope.plans import text_plans  # noqa: F401  (registers the claim CTEs)
 from discloscope.plans.cleaning_plans import PADDED, PADDED_SQL, PILLARS, accusations, clean_companies, padded, scratch
 from discloscope.plans.feature_plans import scored, score_inputs
-from discloscope.plans.registry import CTES, cte, query, text_list, unpivot_sql
+from discloscope.plans.registry import CTES, cte, query, text, text_list, unpivot_sql
 from discloscope.session import materialize
 from discloscope.sources import adapters as A
 from discloscope.sources import readers as RD
@@ -416,8 +416,28 @@ RULES = [
 CTES["fullrows"] = (("allrows",), "SELECT *, rank() OVER (PARTITION BY sector ORDER BY risk_score DESC) AS rk, count(*) OVER (PARTITION BY sector) AS pn, avg(risk_score) OVER (PARTITION BY sector) AS pm FROM allrows")
 
 
-@query("reason_engine", cte("SELECT company_id, rule_no, rule, severity FROM (" + " UNION ALL ".join(
-    f"SELECT company_id, {i} AS rule_no, '{n}' AS rule, {sql} AS severity FROM fullrows" for i, (n, sql) in enumerate(RULES)) + ") WHERE severity IS NOT NULL", "fullrows"))
+SQL_NAMES = {"peer_rank": "rk", "peer_mean": "pm"}
+
+
+def shown_sql(name, part):
+    return "CASE severity " + " ".join(f"WHEN '{s}' THEN {part(d)}" for s, d in U.DETAILS[name].items()) + " END"
+
+
+def limit_sql(spec):
+    if isinstance(spec, tuple):
+        return f"CAST({SQL_NAMES.get(spec[0], spec[0])} + {spec[1]} AS DOUBLE)"
+    if isinstance(spec, str):
+        if spec.startswith("mean_imbalance"):
+            return f"{spec.partition('*')[2]} * (SELECT avg(pillar_imbalance_score) FROM fullrows)"
+        column, _, p = spec.partition("|p")
+        return over(column, int(p) / 100)
+    return f"{float(spec)}::DOUBLE"
+
+
+@query("reason_engine", cte("SELECT company_id, rule_no, rule, severity, detail, value, threshold FROM (" + " UNION ALL ".join(
+    f"""SELECT company_id, {i} AS rule_no, '{n}' AS rule, severity, {shown_sql(n, lambda d: text(d[2]))} AS detail,
+        {shown_sql(n, lambda d: f"CAST({SQL_NAMES.get(d[0], d[0])} AS DOUBLE)")} AS value, {shown_sql(n, lambda d: limit_sql(d[1]))} AS threshold
+        FROM (SELECT *, {sql} AS severity FROM fullrows)""" for i, (n, sql) in enumerate(RULES)) + ") WHERE severity IS NOT NULL", "fullrows"), "value threshold")
 def reason_engine(spark, sf):
     df = full_rows(spark, sf)
     return U.reasons(R.peer_rank(df), U.population_limits(df))
