@@ -156,6 +156,11 @@ def duplicate_columns(df: DataFrame, row_id: str, columns: Sequence[str]) -> lis
     for c in columns:
         by_print.setdefault(prints[c], []).append(c)
     suspects = [(g[i], g[j]) for g in by_print.values() for i in range(len(g)) for j in range(i + 1, len(g))]
+    return equal_pairs(df, suspects)
+
+
+def equal_pairs(df: DataFrame, suspects: Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The pairs of columns that are equal on every row, from one pass."""
     if not suspects:
         return []
     same = df.agg(*[F.count_if(~F.col(a).eqNullSafe(F.col(b))).alias(f"{a}|{b}") for a, b in suspects]).first()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from discloscope.operators import matrix as X
 from discloscope.plans.cleaning_plans import clean_companies, scratch
 from discloscope.plans.registry import CTES, cte, query
@@ -25,9 +23,22 @@ CTES["per_feature"] = (("long_matrix",), """
        "mean std min max", 4)
 def feature_matrix(spark, sf):
     """Builds, checks and writes the matrix with its correlated pairs; returns the registry of all features."""
+    kept, dropped, profile = checked(spark, sf)
+    write_tables({"matrix": kept, "correlated": X.correlated(kept, profile)}, scratch(spark))
+    return X.registry(kept, dropped, profile).drop("dtype")
+
+
+def checked(spark, sf):
     texts = A.profile(spark, sf).select("company_id", "description")
-    kept, dropped = X.quality_pass(X.build(A.material_issues(clean_companies(spark, sf)), texts))
-    paths = write_tables({"matrix": kept}, scratch(spark))
-    matrix = spark.read.parquet(paths["matrix"])
-    write_tables({"correlated": X.correlated(matrix)}, scratch(spark))
-    return X.registry(matrix, dropped).drop("dtype")
+    return X.quality_pass(X.build(A.material_issues(clean_companies(spark, sf)), texts))
+
+
+@query("correlated_features", cte("""
+    , s AS (SELECT no, feature FROM (SELECT *, row_number() OVER (PARTITION BY print ORDER BY no) AS rn FROM per_feature WHERE NOT constant) WHERE rn = 1),
+    k AS (SELECT no, feature, company_id, coalesce(v, 0) AS v FROM long_matrix JOIN s USING (no, feature))
+    SELECT l.feature AS left, r.feature AS right, corr(l.v, r.v) AS r FROM k l JOIN k r ON l.company_id = r.company_id AND l.no < r.no GROUP BY l.feature, r.feature HAVING abs(corr(l.v, r.v)) > 0.98""",
+                                "per_feature"), "r", 4)
+def correlated_features(spark, sf):
+    """Pairs of kept features whose correlation is above 0.98 in either direction."""
+    kept, _, profile = checked(spark, sf)
+    return X.correlated(kept, profile)

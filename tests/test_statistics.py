@@ -137,3 +137,28 @@ def test_split_shares(spark):
     df = spark.range(1000).withColumn("y", (F.col("id") % 3 == 0).cast("int"))
     n = {(r["y"], r["split"]): r["count"] for r in E.stratified_split(df, "id", "y", {"train": 0.8, "test": 0.2}).groupBy("y", "split").count().collect()}
     assert n == {(0, "train"): 532, (0, "test"): 134, (1, "train"): 267, (1, "test"): 67}
+
+
+def test_profile_in_one_sweep(spark):
+    """Against pandas: unknown values, large means, constants, copies, and any layout of the rows."""
+    import pandas as pd
+
+    from discloscope.operators.profile import column_profile
+    rng = np.random.default_rng(8)
+    n = 900
+    pdf = pd.DataFrame({"id": range(n), "a": rng.normal(size=n) + 1e7, "b": rng.normal(size=n), "seven": 7.0, "k": rng.integers(0, 5, n)})
+    pdf["a2"], pdf["line"], pdf["gaps"], pdf["zero"] = pdf["a"], 3 * pdf["b"] + 1, np.where(rng.random(n) < 0.3, np.nan, pdf["b"] + 0.1 * rng.normal(size=n)), -0.0
+    pdf["none"], pdf["plus"] = np.nan, 0.0
+    names = [c for c in pdf.columns if c != "id"]
+    df = spark.createDataFrame(pdf)
+    one, two = column_profile(df.repartition(5), "id", names), column_profile(df.orderBy(F.desc("b")).coalesce(2), "id", names)
+    assert (one.columns["print"] == two.columns["print"]).all() and one.constant() == two.constant() == ["seven", "zero", "none", "plus"]
+    assert one.alike(["a", "b", "a2", "line", "gaps"]) == [("a", "a2")] and one.alike(["zero", "plus"]) == [("zero", "plus")]
+    want = pdf[names].agg(["count", "mean", "std", "min", "max"]).T
+    for c in ("a", "b", "k", "line", "gaps"):
+        assert one.columns.loc[c, ["count", "mean", "std", "min", "max"]].astype(float).tolist() == pytest.approx(want.loc[c].tolist(), rel=1e-9)
+    assert one.columns["null_count"].tolist() == pdf[names].isna().sum().tolist()
+    some = ["a", "b", "k", "line", "gaps"]
+    assert np.allclose(one.r.loc[some, some], pdf[some].corr(), atol=1e-9)
+    assert ("b", "line") in [p[:2] for p in one.correlated(some, 0.98)]
+    assert column_profile(df.limit(0), "id", names).constant() == names
