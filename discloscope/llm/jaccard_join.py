@@ -9,7 +9,7 @@ common order. Each element is a region; its smallest class is the pivot, and dis
 * the border (at most 2 t): replicated into comparisons with the ball, as the triangle inequality demands;
 * the rest (beyond 2 t): cannot link with the ball and is joined on its own.
 
-Regions that already lie in one component are done. Small ones are joined inside the windows. Members of large ones
+Large regions are first cut by set size, as linked sets are of similar size. Regions that already lie in one component are done. Small ones and blocks of middling ones are joined inside the windows. Members of large ones
 recur as a corpus of their own, in an order that puts the elements that many of them hold last, which takes shared passages
 out of play.
 """
@@ -17,28 +17,30 @@ out of play.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from discloscope.llm.common import portions, row_key
 from discloscope.llm.components import connected_components
 from discloscope.llm.shingles import lists, parity, shingle_sets
 from discloscope.session import materialize
 
-#: members up to which a region is joined directly
+#: members up to which the rows of a region are joined; beyond, its blocks are
 SMALL_REGION = 48
 #: times that large regions recur; what is then left is joined in blocks
 LEVELS = 2
-#: members of a region that meet in one join key
+#: members of a region that meet in one task; larger regions recur
 BLOCK = 1000
 #: comparisons for which large regions do not recur
-FEW_COMPARISONS = 2_000_000
+FEW_COMPARISONS = 200_000_000
 #: for distances, which are quotients; links are decided in whole numbers
 SLACK = 1e-9
 #: ids or elements up to which a filter is broadcast (8 bytes each)
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 2_000_000
 
 
 class Measure:
@@ -73,21 +75,21 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id``, ``n`` (set size), ``cls`` (fingerprint of the set), ``sketch`` and ``prefix`` (its first elements)."""
+    """``doc_id``, ``row_key``, ``n`` (set size), ``cls`` (fingerprint of the set), ``sketch`` and ``prefix`` (its first elements)."""
     def build(batches):
         sets = shingle_sets(words)
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, "text")):
             ids, sizes, classes, sketches, prefixes = batch.column("doc_id"), [], [], [], []
             for s in sets(batch.column("text")):
                 n = len(s)
                 sizes.append(n)
                 classes.append(fingerprint(s) if n else None)
                 sketches.append(parity(s) if n else s)
-                prefixes.append(s[:n - -(-n * percent // 100) + 1] if n else s)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), lists(sketches), lists(prefixes)],
-                                             names=["doc_id", "n", "cls", "sketch", "prefix"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        build, "doc_id long, n int, cls long, sketch array<long>, prefix array<long>")
+                prefixes.append(s[:n - -(-n * percent // 100) + 1].copy())  # not a view, which would keep the whole set
+            yield pa.RecordBatch.from_arrays([ids, batch.column("row_key"), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), lists(sketches), lists(prefixes)],
+                                             names=["doc_id", "row_key", "n", "cls", "sketch", "prefix"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text").mapInArrow(
+        build, "doc_id long, row_key long, n int, cls long, sketch array<long>, prefix array<long>")
 
 
 def _of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, at_most: int, words: int, part=None) -> DataFrame:
@@ -100,7 +102,7 @@ def _of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, at_most:
 
     def build(batches):
         sets = shingle_sets(words)
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, "text")):
             found = list(sets(batch.column("text")))
             # an id that several texts share also brings texts of other classes
             own = [i for i, cls in enumerate(batch.column("cls").to_pylist()) if fingerprint(found[i]) == cls]
@@ -113,12 +115,25 @@ def _of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, at_most:
 def _regions(prefixes: DataFrame, own: DataFrame) -> DataFrame:
     """Members of every element that two classes or more hold in their prefix: ``token``, ``cls``, ``pivot``.
 
-    The pivot is the member with the fewest elements of its own, which is the most central one.
+    The pivot is the member with the fewest elements of its own, which is the most central one. Most elements are held
+    by one class alone; only those that are shared meet their members again.
     """
-    ranked = prefixes.join(own, "cls", "left").groupBy("token").agg(
-        F.min_by("cls", F.struct(F.coalesce("own", F.lit(0)), "cls")).alias("pivot"), F.min("cls").alias("_lo"), F.max("cls").alias("_hi"))
-    shared = ranked.filter("_lo <> _hi").select("token", "pivot")
-    return materialize(prefixes.join(shared, "token").groupBy("token", "cls").agg(F.first("pivot").alias("pivot")))
+    shared = materialize(prefixes.groupBy("token").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi")).filter("_lo <> _hi").select("token"))
+    few = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
+    members = materialize(prefixes.join(few, "token").select("token", "cls").distinct())
+    pivots = members.join(own, "cls", "left").groupBy("token").agg(F.min_by("cls", F.struct(F.coalesce("own", F.lit(0)), "cls")).alias("pivot"))
+    return members.join(pivots, "token")
+
+
+def _by_size(regions: DataFrame, classes: DataFrame, own: DataFrame, small: int, percent: int) -> DataFrame:
+    """Large regions cut by set size: linked sets are of one or of neighbouring size cells, so each member goes to its
+    own cell and the next one, and two that may link meet in one of them."""
+    large = regions.groupBy("token").agg(F.count(F.lit(1)).alias("_members")).filter(F.col("_members") > small).select("token")
+    # cells are a little wider than sizes within reach of each other, so rounding cannot part them
+    cell = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent))
+    cells = regions.join(large, "token").join(classes.select("cls", "n"), "cls").select("token", "cls", F.explode(F.array(cell, cell + 1)).alias("_cell"))
+    cut = _regions(cells.select(F.xxhash64("token", "_cell").alias("token"), "cls"), own)
+    return materialize(regions.join(large, "token", "left_anti").unionByName(cut))
 
 
 def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -145,7 +160,7 @@ def _label(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFram
 
 
 def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small: int = SMALL_REGION) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``.
+    """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, and ``row_key``, which tells rows of one id apart.
 
     Documents are linked when the Jaccard similarity of their sets of distinct ``words``-word shingles reaches
     ``percent`` hundredths. ``component_id`` is the smallest ``doc_id`` reachable by links, itself included. Shingles
@@ -191,9 +206,10 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
         return materialize(named.join(several, "token"))
 
     for level in range(LEVELS + 1):
-        regions = _regions(prefixes, own)
+        regions = materialize(_regions(prefixes, own))
         if regions.isEmpty():
             break
+        regions = _by_size(regions, classes, own, small, percent)
         spokes = materialize(regions.filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct())
         # spokes that may join components; then those of regions that still hold several, where windows need every distance
         for wave in ("open", "mixed"):
@@ -219,14 +235,16 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
         sizes = sizes.filter(F.when(F.col("has_border"), F.col("lo") < F.col("hi")).otherwise(F.col("lo_out") < F.col("hi_out")))
         sizes = sizes.select("token", "has_border", F.when(F.col("has_border"), F.col("all")).otherwise(F.col("outside")).alias("members"))
         left = materialize(held.join(sizes, "token").filter((F.col("kind") != "ball") | F.col("has_border")))
-        large = left.filter(F.col("members") > small)
+        large = left.filter(F.col("members") > BLOCK)
         # members of a row's region summed over the rows: the comparisons that joining the large ones now would take
         work = large.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).first()["n"]
         wanted = materialize(large.select("cls").distinct())
         n = wanted.count()
         last = level == LEVELS or work <= FEW_COMPARISONS or 2 * n > before
         before = n
-        pairs = _window_pairs(left if last else left.filter(F.col("members") <= small), percent)
+        pairs = _window_pairs(left.filter(F.col("members") <= small), percent)
+        blocks = left.filter(F.col("members") > small)
+        pairs = pairs.union(_block_pairs(blocks if last else blocks.filter(F.col("members") <= BLOCK), classes, percent)).distinct()
         found = verify(pairs.join(known, ["a", "b"], "left_anti"))
         known, links, labels = merge(found, known, links, labels)
         if last:
@@ -237,28 +255,75 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
     least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = comps.join(least, "comp").select("cls", "component_id")
     return table.join(named, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                                                   F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+                                                   F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "row_key")
 
 
 def _window_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a region from different components that the triangle inequality and the sizes leave open.
+    """Pairs of a small region from different components that the triangle inequality and the sizes leave open.
 
     Elements that one class alone holds are in no intersection, so such a pair differs in all of them and in the
-    difference of the other parts at least. Regions of more than ``BLOCK`` members are cut, and pairs of blocks are
-    the join key: also what recursion could not break up is joined in pieces.
+    difference of the other parts at least.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    cut = members.withColumn("_block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
-    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cut = cut.withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other"))
-    side = [cut.select("token", "_lo", "_hi", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp", "near", "kind", "n", "own")]) for s in "ab"]
-    met = side[0].join(side[1], ["token", "_lo", "_hi"]).filter("cls_a < cls_b and comp_a <> comp_b")
+    side = [members.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp", "near", "kind", "n", "own")]) for s in "ab"]
+    met = side[0].join(side[1], "token").filter("cls_a < cls_b and comp_a <> comp_b")
     apart = ((F.col("kind_a") == "ball") & (F.col("kind_b") == "rest")) | ((F.col("kind_a") == "rest") & (F.col("kind_b") == "ball"))
     far = F.coalesce(F.abs(F.col("near_a") - F.col("near_b")) > 1 - percent / 100 + SLACK, F.lit(False))
     alone = F.col("own_a") + F.col("own_b")
     differ = alone + F.abs((F.col("n_a") - F.col("own_a")) - (F.col("n_b") - F.col("own_b")))
     near = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    return met.filter(near & ~apart & ~far).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    return met.filter(near & ~apart & ~far).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+
+
+def _block_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The same for regions beyond that, joined block by block inside tasks, where sketches decide before a pair is made.
+
+    Members fall into blocks of about ``BLOCK``; every two blocks of a region meet in one task.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    cut = members.join(classes.select("cls", "sketch"), "cls").withColumn("_block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other"))
+    kinds = F.when(F.col("kind") == "ball", 0).when(F.col("kind") == "border", 1).otherwise(2)
+    cut = cut.select("token", "_lo", "_hi", "_block", "cls", "comp", F.coalesce("near", F.lit(float("nan"))).alias("near"), kinds.alias("kind"), "n", "own", "sketch")
+
+    def join(t: pa.Table) -> pa.Table:
+        cls, comp, near, kind, n, own, block = (t[c].to_numpy() for c in ("cls", "comp", "near", "kind", "n", "own", "_block"))
+        n = n.astype(np.int64)
+        column = t["sketch"].combine_chunks()
+        flat, ends = column.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+        lengths = np.diff(ends)
+        folded = {int(x): {} for x in np.unique(lengths)}  # by own length: sketches of these rows, folded to shorter ones
+        rows = {x: np.flatnonzero(lengths == x) for x in folded}
+        place = np.empty(len(cls), np.int64)
+        for x, at in rows.items():
+            place[at] = np.arange(len(at))
+            s = np.stack([flat[ends[i]:ends[i + 1]] for i in at])
+            while s.shape[1] >= min(folded):
+                folded[x][s.shape[1]] = s
+                if s.shape[1] == 1:
+                    break
+                s = s[:, :s.shape[1] // 2] ^ s[:, s.shape[1] // 2:]
+        within = t["_lo"][0].as_py() == t["_hi"][0].as_py()
+        a, b = [], []
+        for i in range(len(cls)):
+            both = n + n[i]
+            least = own + own[i] + np.abs((n - own) - (n[i] - own[i]))
+            open_ = (comp != comp[i]) & (least * (100 + percent) <= both * (100 - percent)) & (cls > cls[i]) & ((kind + kind[i] != 2) | (kind == kind[i]))
+            open_ &= ~(np.abs(near - near[i]) > 1 - percent / 100 + SLACK)
+            open_ &= within | (block != block[i])
+            left = np.flatnonzero(open_)
+            for x in np.unique(lengths[left]) if len(left) else ():
+                j = left[lengths[left] == x]
+                width = int(min(x, lengths[i]))
+                mine, theirs = folded[int(lengths[i])][width][place[i]], folded[int(x)][width][place[j]]
+                differ = np.bitwise_count(theirs ^ mine).sum(axis=1).astype(np.int64)
+                j = j[differ * (100 + percent) <= both[j] * (100 - percent)]
+                a.append(np.full(len(j), cls[i]))
+                b.append(cls[j])
+        found = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return cut.groupBy("token", "_lo", "_hi").applyInArrow(join, "a long, b long")
 
 
 def _rare_prefixes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int, words: int, percent: int, often: int) -> tuple[DataFrame, DataFrame]:
@@ -267,10 +332,14 @@ def _rare_prefixes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: in
 
     Should there be more than ``BROADCAST_IDS`` frequent elements, the most frequent go last; any common order is exact.
     """
-    counts = materialize(_of_classes(docs, classes, wanted, n, words).select("cls", F.explode("items").alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("count"), F.min("cls").alias("cls")).filter(f"count = 1 or count > {often}"))
-    own = materialize(counts.filter("count = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("own")))
-    common = counts.filter(F.col("count") > often).orderBy(F.desc("count"), "token").limit(BROADCAST_IDS).select("token").toArrow()
+    tokens = _of_classes(docs, classes, wanted, n, words).select("cls", F.explode("items").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("count"), F.min("cls").alias("cls"))
+    # elements that one class alone holds are summed up by class at once, so they are never written one by one
+    frequent = F.col("count") > often
+    counts = materialize(tokens.filter(frequent | (F.col("count") == 1)).groupBy(frequent.alias("frequent"), F.when(frequent, F.col("token")).otherwise(F.col("cls")).alias("key")).agg(
+        F.count(F.lit(1)).alias("own"), F.max("count").alias("count")))
+    own = counts.filter("not frequent").select(F.col("key").alias("cls"), "own")
+    common = counts.filter("frequent").orderBy(F.desc("count"), "key").limit(BROADCAST_IDS).select(F.col("key").alias("token")).toArrow()
     late = docs.sparkSession.sparkContext.broadcast(np.sort(common["token"].to_numpy()))
 
     def first(s: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 LENGTH_BITS = 7
 
 
-def shingle_sets(size: int, chunk: int = 1 << 22) -> Callable[[pa.Array], Iterator[np.ndarray]]:
+def shingle_sets(size: int, chunk: int = 1 << 18) -> Callable[[pa.Array], Iterator[np.ndarray]]:
     """A function from a string array to one sorted array of distinct shingle hashes a row.
 
     Words are maximal runs of bytes other than ASCII white space, A-Z lower-cased. A text of fewer than ``size``

@@ -91,6 +91,17 @@ def test_join_against_all_pairs(spark, small):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_join_by_blocks_and_recursion(spark, monkeypatch, few):
+    """Regions beyond a block recur, and what is left is joined block by block; ids too many to broadcast meet by shuffle."""
+    from discloscope.llm import jaccard_join
+    for name, value in (("BLOCK", 6), ("FEW_COMPARISONS", few), ("BROADCAST_IDS", 3)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = list(enumerate(near_texts()))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), small=2).collect()}
+    assert got == brute(rows)
+
+
 def test_join_odd_rows(spark):
     long = " ".join(f"v{i}" for i in range(30))
     rows = [(5, long), (5, long), (None, long), (None, None), (7, long + " end"), (7, "other words are here now"), (2, "other words are here now")]
