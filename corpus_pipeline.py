@@ -26,10 +26,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest id, and of repeated rows one."""
-    copies = ngram_jaccard_join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    plain = without(docs, "_copy", "_row")
-    kept = plain.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti").withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
+    """Keeps of each group of near copies the row with the smallest id, and of repeated rows one.
+
+    Rows go by id and row key, so a row that shares its id with a copy stays. A row with a null id goes if another
+    text with an id has its set of shingles; texts without words have no copies.
+    """
+    found = materialize(ngram_jaccard_join(docs).filter("n_shingles > 0 and component_id is not null").select("doc_id", "component_id", "row_key"))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first"))
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
+    copies = found.join(first, "component_id").filter(~F.coalesce(own, F.lit(False))).select(F.col("doc_id").alias("_copy"), F.col("row_key").alias("_copy_row")).distinct()
+    plain = without(docs, "_copy", "_copy_row", "_row").withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
+    kept = plain.join(copies, (F.col("_row") == F.col("_copy_row")) & F.col("doc_id").eqNullSafe(F.col("_copy")), "left_anti")
     return kept.dropDuplicates(["doc_id", "_row"]).drop("_row")
 
 
