@@ -19,12 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from discloscope.llm.common import without
+from discloscope.llm.common import PORTION, portions, without
 
-#: bytes of text that a task takes at a time
-PORTION = 1 << 20
 #: distinct words, and characters of them, that a task remembers before it starts anew
 WORDS, LETTERS = 1 << 18, 1 << 24
 #: fixed value: how the byte-level vocabulary cuts a text into words
@@ -228,17 +226,6 @@ def _gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[n
     return flat[np.repeat(starts - ends + counts, counts) + np.arange(total)], counts
 
 
-def portions(batch: pa.RecordBatch, column: str, at_most: int = PORTION) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about so many bytes of text, one row at least."""
-    sizes = batch.column(column).cast(pa.large_binary()).fill_null(b"")
-    ends = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset:sizes.offset + len(sizes) + 1] if len(sizes) else np.zeros(1, np.int64)
-    at = 0
-    while at < len(sizes):
-        end = max(at + 1, int(np.searchsorted(ends, ends[at] + at_most, "right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "text") -> DataFrame:
     """All rows with all columns but ``column``, and ``ids`` (array of int), the token ids of its whole text.
 
@@ -266,30 +253,27 @@ def decode(docs: DataFrame, vocabulary: Vocabulary, column: str = "ids", name: s
     Bytes that are not UTF-8 become U+FFFD. Null ids give null; no ids give the empty text; ids outside the vocabulary
     and null ids in a list stand for nothing. An input column of the new name gives way.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    docs = without(docs, name)
-
-    @F.arrow_udf("string")
-    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = [*shared.value.bytes, b""]
-        flat = np.frombuffer(b"".join(tokens), np.uint8)
-        sizes = np.array([len(t) for t in tokens], np.int64)
+    kept = without(docs, name, "_ids")
+    given = kept.withColumn("_ids", F.col(f"`{column}`").cast("array<int>"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = [*shared.value, b""]
+        flat, sizes = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
         starts = np.cumsum(sizes) - sizes
         for batch in batches:
-            out = []
-            # as many rows at a time as hold a bounded number of ids
-            rows = batch.cast(pa.large_list(pa.int32())) if not isinstance(batch, pa.ChunkedArray) else batch.combine_chunks()
-            bounds, at = np.asarray(rows.offsets), 0
-            while at < len(rows):
-                end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PORTION, "right")) - 1)
-                ids = rows.values.slice(bounds[at], bounds[end] - bounds[at]).fill_null(-1).to_numpy().astype(np.int64)
+            lists = batch.column("_ids")
+            bounds, at = np.asarray(lists.offsets), 0
+            while at < len(lists):
+                end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PORTION // 4, "right")) - 1)
+                ids = lists.values.slice(bounds[at], bounds[end] - bounds[at]).fill_null(-1).to_numpy().astype(np.int64)
                 ids[(ids < 0) | (ids >= len(tokens))] = len(tokens) - 1
                 data, counts = _gather(flat, starts[ids], sizes[ids])
                 ends = np.concatenate(([0], np.cumsum(counts)))[bounds[at:end + 1] - bounds[at]]
-                for lo, hi in zip(ends[:-1], ends[1:]):
-                    out.append(data[lo:hi].tobytes().decode("utf-8", "replace"))
+                part = batch.slice(at, end - at)
+                texts = [data[lo:hi].tobytes().decode("utf-8", "replace") if known else None
+                         for lo, hi, known in zip(ends[:-1], ends[1:], part.column("_ids").is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*part.schema.names[:-1], name])
                 at = end
-            valid = rows.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.array([t if ok else None for t, ok in zip(out, valid)], pa.string())
 
-    return docs.withColumn(name, texts(F.col(f"`{column}`").cast("array<int>")))
+    return given.mapInArrow(run, StructType([*kept.schema.fields, StructField(name, StringType())]))
