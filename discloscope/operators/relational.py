@@ -142,3 +142,19 @@ def peer_rank(df: DataFrame, group: str = "sector", score: str = "risk_score") -
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "metric", value: str = "value") -> DataFrame:
     return df.select(*ids, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(list(ids), list(values), name, value)
+
+
+def comparison(df: DataFrame, entities: DataFrame, metrics: Sequence[str], labels: Sequence[str], slots: Sequence[int]) -> DataFrame:
+    """One row per metric: ``company_<slot>`` for the ``entities`` (``company_id``, ``slot``), numbers with the average of
+    the sector of slot 1, and ``label_<slot>`` for metrics whose value is a text. A slot without an entity is NULL."""
+    wide = attach_group(df, entities, ["company_id"])
+    home = F.col("sector") == wide.filter(F.col("slot") == slots[0]).select(F.first("sector").alias("s")).scalar()
+
+    def at(slot: int, value: str) -> Column:
+        return F.max(F.when(F.col("slot") == slot, F.col(value)))
+
+    numbers = melt(wide.withColumn("_home", home), ["slot", "_home"], metrics).groupBy("metric").agg(
+        *[at(i, "value").alias(f"company_{i}") for i in slots], F.avg(F.when(F.col("_home"), F.col("value"))).alias("sector_avg"))
+    named = wide.filter(F.col("slot").isNotNull()).select("slot", *[F.col(c).cast("string").alias(c) for c in labels])
+    texts = named.unpivot(["slot"], list(labels), "metric", "label").groupBy("metric").agg(*[at(i, "label").alias(f"label_{i}") for i in slots])
+    return numbers.unionByName(texts, allowMissingColumns=True)

@@ -352,23 +352,52 @@ def pivot(spark, sf):
 
 CMP = ["risk_score", T, "controversy_score", "gw_proxy_score", *PILLARS, "pillar_imbalance_score", "controversy_risk_ratio", "esg_controversy_divergence",
        "greenwashing_signal_score", "vague_language_count", "concrete_evidence_count", "text_polarity", "combined_anomaly_score"]
+#: metrics that the text packs add, and those whose value is a text
+CMP_TEXTS = ["flesch_reading_ease", "aggregate_esg_nlp_score", "regulatory_readiness_score", "policy_esg_gap", "narrative_credibility_index",
+             "commitment_credibility_score", "multi_signal_greenwashing_score", "temporal_greenwashing_signal", "news_greenwashing_signal"]
+CMP_LABELS = ["risk_tier"]
+SLOTS = (1, 2, 3)
+CTES["compared"] = (("scored", "nlp"), f"SELECT scored.*, {', '.join('nlp.' + c for c in CMP_TEXTS)} FROM scored JOIN nlp USING (company_id)")
+PICK = "SELECT company_id, sector, CAST(row_number() OVER (ORDER BY risk_score DESC, company_name) AS INTEGER) AS slot FROM scored ORDER BY slot LIMIT 3"
 
 
 @query("comparison_table", cte(f"""
-    , l AS ({unpivot_sql('scored', 'company_id, company_name, sector, risk_score AS s', CMP, 'metric', 'value')}),
-    pick AS (SELECT company_id, sector, row_number() OVER (ORDER BY risk_score DESC, company_name) AS slot FROM scored ORDER BY slot LIMIT 3)
-    SELECT metric, max(value) FILTER (WHERE slot = 1) AS company_1, max(value) FILTER (WHERE slot = 2) AS company_2, max(value) FILTER (WHERE slot = 3) AS company_3,
-           avg(value) FILTER (WHERE l.sector = (SELECT sector FROM pick WHERE slot = 1)) AS sector_avg
-    FROM l LEFT JOIN pick USING (company_id) GROUP BY metric""", "scored"), "company_1 company_2 company_3 sector_avg")
+    , l AS ({unpivot_sql('compared', 'company_id, company_name, sector, risk_score AS s', CMP + CMP_TEXTS, 'metric', 'value')}), pick AS ({PICK}),
+    t AS (SELECT company_id, 'risk_tier' AS metric, CAST(risk_tier AS VARCHAR) AS label FROM compared)
+    SELECT metric, {', '.join(f"max(value) FILTER (WHERE slot = {i}) AS company_{i}" for i in SLOTS)},
+           avg(value) FILTER (WHERE l.sector = (SELECT sector FROM pick WHERE slot = 1)) AS sector_avg, {', '.join(f"NULL::VARCHAR AS label_{i}" for i in SLOTS)}
+    FROM l LEFT JOIN pick USING (company_id) GROUP BY metric
+    UNION ALL SELECT metric, {', '.join('NULL::DOUBLE' for _ in SLOTS)}, NULL::DOUBLE, {', '.join(f"max(label) FILTER (WHERE slot = {i})" for i in SLOTS)} FROM t JOIN pick USING (company_id) GROUP BY metric""", "compared"),
+       "company_1 company_2 company_3 sector_avg")
 def comparison_table(spark, sf):
-    """Metrics of the three riskiest companies side by side, with the first one's sector average."""
-    df = scored(spark, sf).select("company_id", "company_name", "sector", *CMP)
-    chosen = df.orderBy(F.desc("risk_score"), "company_name").limit(3).select("company_id", "sector").collect()
-    slot = F.coalesce(*[F.when(F.col("company_id") == r["company_id"], F.lit(i + 1)) for i, r in enumerate(chosen)])
-    long = R.melt(df.withColumn("slot", slot), ["slot", "sector"], CMP)
-    return long.groupBy("metric").agg(
-        *[F.max(F.when(F.col("slot") == i, F.col("value"))).alias(f"company_{i}") for i in (1, 2, 3)],
-        F.avg(F.when(F.col("sector") == chosen[0]["sector"], F.col("value"))).alias("sector_avg"))
+    """All metrics of the three riskiest companies side by side, numbers and labels, with the first one's sector average."""
+    texts = N.all_nlp(A.profile(spark, sf).select("company_id", "description")).select("company_id", *CMP_TEXTS)
+    df = materialize(scored(spark, sf).select("company_id", "company_name", "sector", *CMP, *CMP_LABELS).join(texts, "company_id"))
+    return R.comparison(df, riskiest(df), CMP + CMP_TEXTS, CMP_LABELS, SLOTS)
+
+
+def riskiest(df):
+    """The companies to compare, as a table with the place of each."""
+    from pyspark.sql import Window
+    order = [F.desc("risk_score"), "company_name"]
+    top = df.orderBy(*order).limit(len(SLOTS))
+    return top.select("company_id", F.row_number().over(Window.orderBy(*order)).alias("slot"))  # three rows
+
+
+@query("status_pivot", cte(f"""
+    , pick AS ({PICK}), i AS ({unpivot_sql('scored', 'company_id', ['controversy_risk_ratio', 'esg_controversy_divergence', 'greenwashing_signal_score'], 'indicator', 'value')}),
+    q AS (SELECT indicator, quantile_cont(value, 0.75) AS threshold FROM i GROUP BY indicator)
+    SELECT indicator, {', '.join(f"max(CASE WHEN value > threshold THEN 'HIGH' ELSE 'Normal' END) FILTER (WHERE slot = {i}) AS company_{i}" for i in SLOTS)}
+    FROM i JOIN q USING (indicator) JOIN pick USING (company_id) GROUP BY indicator""", "scored"))
+def status_pivot(spark, sf):
+    """A pivot of texts: which indicators of the compared companies are high."""
+    indicators = ["controversy_risk_ratio", "esg_controversy_divergence", "greenwashing_signal_score"]
+    df = scored(spark, sf).select("company_id", "company_name", "risk_score", *indicators)
+    limits = RK.column_quantiles(df, indicators, {"p75": 0.75})
+    table = U.indicator_table(df, {c: limits[f"{c}_p75"] for c in indicators}, indicators)
+    named = RK.attach_group(table, riskiest(df), ["company_id"]).filter("slot IS NOT NULL")
+    wide = named.groupBy("indicator").pivot("slot", list(SLOTS)).agg(F.max("status"))
+    return wide.withColumnsRenamed({str(i): f"company_{i}" for i in SLOTS})
 
 
 @query("batch_entity_export", cte("SELECT company_id, sector, risk_score, quality FROM scored LEFT JOIN labels ON doc_id = company_id WHERE controversy_score >= 4", "scored"), "risk_score")
