@@ -242,11 +242,15 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
         n = wanted.count()
         last = level == LEVELS or work <= FEW_COMPARISONS or 2 * n > before
         before = n
-        pairs = _window_pairs(left.filter(F.col("members") <= small), percent)
-        blocks = left.filter(F.col("members") > small)
-        pairs = pairs.union(_block_pairs(blocks if last else blocks.filter(F.col("members") <= BLOCK), classes, percent)).distinct()
-        found = verify(pairs.join(known, ["a", "b"], "left_anti"))
+        found = verify(_window_pairs(left.filter(F.col("members") <= small), percent).distinct().join(known, ["a", "b"], "left_anti"))
         known, links, labels = merge(found, known, links, labels)
+        blocks = left.filter(F.col("members") > small)
+        blocks = blocks if last else blocks.filter(F.col("members") <= BLOCK)
+        # a spanning forest of likely links first: in a group of near copies it leaves few pairs of different components
+        for forest in (True, False):
+            pairs = _block_pairs(_label(blocks.drop("comp"), labels, "cls", "comp"), classes, percent, forest).distinct()
+            found = verify(pairs.join(known, ["a", "b"], "left_anti"))
+            known, links, labels = merge(found, known, links, labels)
         if last:
             break
         prefixes, own = _rare_prefixes(docs, classes, wanted, n, words, percent, small)
@@ -274,10 +278,11 @@ def _window_pairs(members: DataFrame, percent: int) -> DataFrame:
     return met.filter(near & ~apart & ~far).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
 
 
-def _block_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(members: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
     """The same for regions beyond that, joined block by block inside tasks, where sketches decide before a pair is made.
 
-    Members fall into blocks of about ``BLOCK``; every two blocks of a region meet in one task.
+    Members fall into blocks of about ``BLOCK``; every two blocks of a region meet in one task. Of all pairs that are
+    left, a ``forest`` keeps those that connect what earlier ones do not, the likeliest of a member first.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     cut = members.join(classes.select("cls", "sketch"), "cls").withColumn("_block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
@@ -304,9 +309,9 @@ def _block_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFr
                     break
                 s = s[:, :s.shape[1] // 2] ^ s[:, s.shape[1] // 2:]
         within = t["_lo"][0].as_py() == t["_hi"][0].as_py()
-        a, b = [], []
+        a, b, root = [], [], np.unique(comp, return_inverse=True)[1]
         for i in range(len(cls)):
-            both = n + n[i]
+            both, near_by, apart = n + n[i], [], []
             least = own + own[i] + np.abs((n - own) - (n[i] - own[i]))
             open_ = (comp != comp[i]) & (least * (100 + percent) <= both * (100 - percent)) & (cls > cls[i]) & ((kind + kind[i] != 2) | (kind == kind[i]))
             open_ &= ~(np.abs(near - near[i]) > 1 - percent / 100 + SLACK)
@@ -317,9 +322,22 @@ def _block_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFr
                 width = int(min(x, lengths[i]))
                 mine, theirs = folded[int(lengths[i])][width][place[i]], folded[int(x)][width][place[j]]
                 differ = np.bitwise_count(theirs ^ mine).sum(axis=1).astype(np.int64)
-                j = j[differ * (100 + percent) <= both[j] * (100 - percent)]
-                a.append(np.full(len(j), cls[i]))
-                b.append(cls[j])
+                fits = differ * (100 + percent) <= both[j] * (100 - percent)
+                near_by.append(j[fits])
+                apart.append(differ[fits] / both[j[fits]])
+            if not near_by:
+                continue
+            j, apart = np.concatenate(near_by), np.concatenate(apart)
+            if forest:
+                chosen = []
+                while len(j) and (other := root[j] != root[i]).any():
+                    j, apart = j[other], apart[other]
+                    best = j[apart.argmin()]
+                    chosen.append(best)
+                    root[root == root[best]] = root[i]
+                j = np.array(chosen, dtype=np.int64)
+            a.append(np.full(len(j), cls[i]))
+            b.append(cls[j])
         found = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
