@@ -21,6 +21,8 @@ from discloscope.session import materialize
 ROWS_PER_SLICE = 1_000_000
 SLICES = (8, 256)
 SMALL_SIDE_ROWS = 20_000
+#: counted tables of at most so many rows take Spark's exact percentile, which holds a column's distinct values in one task
+EXACT_ROWS = 100_000
 
 
 def cut_points(df: DataFrame, value: str, rows_per_slice: int = ROWS_PER_SLICE) -> list[float]:
@@ -119,25 +121,42 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dic
     return agg.select(*groups, *out)
 
 
-def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float], accuracy: int = 10_000,
-                     gather: int = 2_000) -> dict[str, float | None]:
-    """Exact quantiles of whole columns, as ``{"<column>_<name>": value}``.
-
-    Selection by narrowing: a sketch proposes two values around each wanted order
-    statistic, one aggregate counts what lies below and at them, and the statistic is
-    either one of the two or strictly inside one of the intervals they cut. Once an
-    interval holds at most ``gather`` rows its values are fetched. Rows are never
-    shuffled. Every pass removes the proposed values themselves, so repeated values
-    cannot stall it, and shrinks the interval about ``accuracy``-fold: very large
-    inputs need two or three passes.
+def figures(df: DataFrame, quantiles: dict[str, dict[str, float]], sums: dict[str, Column] | None = None, rows: int | None = None,
+            accuracy: int = 10_000, gather: int = 2_000, gather_all: int = 40_000) -> dict:
+    """All population figures of one level together: exact quantiles ``"<column>_<name>"`` and the aggregates ``sums``.
+
+    ``quantiles`` maps columns to named probabilities. Where an earlier level has counted ``rows`` and they are few,
+    the exact ``percentile`` aggregate gives everything in one pass. Otherwise selection by narrowing: the first pass
+    counts, takes the sums and sketches two values around each wanted order statistic; the second counts what lies
+    below and at them and fetches the values next to them, so the statistic is one of these or strictly inside one
+    of the intervals they cut. An interval of at most ``gather`` rows (``gather_all`` over all of them) is fetched.
+    Rows are never shuffled. Every pass removes the proposed values themselves, so repeated values cannot stall it,
+    and shrinks the interval about ``accuracy``-fold: very large inputs need two or three passes.
     """
-    cols = list(dict.fromkeys(columns))
-    vals = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
-    sizes = vals.agg(*[F.count(c).alias(c) for c in cols]).first()
-    positions = {(c, name): p * (sizes[c] - 1) for c in cols for name, p in probs.items() if sizes[c]}
-    ranks = {(c, k) for (c, _), pos in positions.items() for k in (math.floor(pos), math.ceil(pos))}
-    # per order statistic: open interval (lo, hi), rows below it, rows inside it
-    spans = {f"{c}|{k}": {"col": c, "k": k, "lo": None, "hi": None, "below": 0, "m": sizes[c]} for c, k in sorted(ranks)}
+    cols, sums = list(quantiles), dict(sums or {})
+    src = df.withColumns({f"_q{i}": F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for i, c in enumerate(cols)})
+    at_col = {c: f"_q{i}" for i, c in enumerate(cols)}
+    wanted = [(c, name, float(p)) for c in cols for name, p in quantiles[c].items()]
+    if rows is not None and rows <= EXACT_ROWS:
+        row = src.agg(*[F.percentile(at_col[c], p).alias(f"p{i}") for i, (c, _, p) in enumerate(wanted)],
+                      *[a.alias(n) for n, a in sums.items()]).first()
+        return {**{f"{c}_{name}": row[f"p{i}"] for i, (c, name, _) in enumerate(wanted)}, **{n: row[n] for n in sums}}
+
+    slack = 2.0 / accuracy
+    first = src.agg(
+        *[F.count(at_col[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(at_col[c], [max(0.0, p - slack), min(1.0, p + slack)], accuracy).alias(f"p{i}") for i, (c, _, p) in enumerate(wanted)],
+        *[a.alias(n) for n, a in sums.items()]).first()
+    result: dict = {f"{c}_{name}": None for c, name, _ in wanted}
+    sizes = {c: first[f"n{i}"] for i, c in enumerate(cols)}
+    positions = {(c, name): p * (sizes[c] - 1) for c, name, p in wanted if sizes[c]}
+    # per order statistic: open interval (lo, hi), rows below it, rows inside it, first proposal
+    spans = {}
+    for i, (c, name, _) in enumerate(wanted):
+        if sizes[c]:
+            for k in (math.floor(positions[c, name]), math.ceil(positions[c, name])):
+                spans.setdefault(f"{c}|{k}", {"col": at_col[c], "k": k, "lo": None, "hi": None, "below": 0, "m": sizes[c], "guess": first[f"p{i}"]})
+    gather = min(gather, max(100, gather_all // max(1, len(spans))))
     found: dict[str, float] = {}
 
     def inside(t: dict) -> Column:
@@ -154,40 +173,53 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, flo
             at, slack = (t["k"] - t["below"] + 0.5) / t["m"], 1.0 / accuracy + 1.0 / t["m"]
             return [max(0.0, at - slack), min(1.0, at + slack)]
 
-        guess = vals.agg(*[F.percentile_approx(inside(t), around(t), accuracy).alias(key) for key, t in pending]).first()
-        counts = vals.agg(*[x for key, t in pending for i in (0, 1) for x in (
-            F.count_if(F.col(t["col"]) < F.lit(guess[key][i])).alias(f"{key}|lt{i}"),
-            F.count_if(F.col(t["col"]) <= F.lit(guess[key][i])).alias(f"{key}|le{i}"))]).first()
+        open_ = [(key, t) for key, t in pending if t["guess"] is None]
+        if open_:
+            guess = src.agg(*[F.percentile_approx(inside(t), around(t), accuracy).alias(f"g{i}") for i, (_, t) in enumerate(open_)]).first()
+            for i, (_, t) in enumerate(open_):
+                t["guess"] = guess[f"g{i}"]
+        marks = {(t["col"], g): i for i, (t, g) in enumerate((t, g) for _, t in pending for g in t["guess"])}
+        counts = src.agg(*[x.alias(f"{kind}{i}") for (c, g), i in marks.items() for kind, x in (
+            ("lt", F.count_if(F.col(c) < F.lit(g))), ("le", F.count_if(F.col(c) <= F.lit(g))),
+            ("before", F.max(F.when(F.col(c) < F.lit(g), F.col(c)))), ("after", F.min(F.when(F.col(c) > F.lit(g), F.col(c)))))]).first()
         for key, t in pending:
-            top = t["below"] + t["m"]
             edges = [(t["below"], t["lo"])]
-            for i in (0, 1):
-                lt, le = counts[f"{key}|lt{i}"], counts[f"{key}|le{i}"]
+            for g in t["guess"]:
+                lt, le, before, after = (counts[f"{kind}{marks[t['col'], g]}"] for kind in ("lt", "le", "before", "after"))
                 if lt <= t["k"] < le:
-                    found[key] = guess[key][i]
-                edges += [(lt, guess[key][i]), (le, guess[key][i])]
-            edges.append((top, t["hi"]))
+                    found[key] = g
+                elif t["k"] == lt - 1:
+                    found[key] = before
+                elif t["k"] == le:
+                    found[key] = after
+                edges += [(lt, g), (le, g)]
+            edges.append((t["below"] + t["m"], t["hi"]))
             if key not in found:
                 t["below"], t["lo"] = max((e for e in (edges[0], edges[2], edges[4]) if e[0] <= t["k"]), key=lambda e: e[0])
                 end, t["hi"] = min((e for e in (edges[1], edges[3], edges[5]) if e[0] > t["k"]), key=lambda e: e[0])
-                t["m"] = end - t["below"]
+                t["m"], t["guess"] = end - t["below"], None
 
     fetch = {key: t for key, t in spans.items() if key not in found}
     if fetch:
-        pairs = vals.select(F.explode(F.array(*[
+        pairs = src.select(F.explode(F.array(*[
             F.struct(F.lit(key).alias("key"), inside(t).alias("v")) for key, t in fetch.items()])).alias("s")).select("s.*")
         at = {key: t["below"] for key, t in fetch.items()}
-        rows = pairs.filter("v is not null").groupBy("key", "v").count().collect()
-        for r in sorted(rows, key=lambda r: (r["key"], r["v"])):
+        some = pairs.filter("v is not null").groupBy("key", "v").count().collect()
+        for r in sorted(some, key=lambda r: (r["key"], r["v"])):
             key = r["key"]
             if at[key] <= fetch[key]["k"] < at[key] + r["count"]:
                 found[key] = r["v"]
             at[key] += r["count"]
-    result: dict[str, float | None] = {f"{c}_{name}": None for c in cols for name in probs}
     for (c, name), pos in positions.items():
         lo, hi = found[f"{c}|{math.floor(pos)}"], found[f"{c}|{math.ceil(pos)}"]
         result[f"{c}_{name}"] = lo + (hi - lo) * (pos - math.floor(pos))
-    return result
+    return {**result, **{n: first[n] for n in sums}}
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float], accuracy: int = 10_000,
+                     gather: int = 2_000, rows: int | None = None) -> dict[str, float | None]:
+    """Exact quantiles of whole columns, as ``{"<column>_<name>": value}``; see ``figures``."""
+    return figures(df, {c: probs for c in dict.fromkeys(columns)}, rows=rows, accuracy=accuracy, gather=gather)
 
 
 def per_column(df: DataFrame, columns: Sequence[str], figures, chunk: int = 24) -> DataFrame:

@@ -68,9 +68,11 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
-def median_impute(df: DataFrame, columns: Sequence[str], base: DataFrame | None = None) -> DataFrame:
-    """NULL becomes the exact column median; all medians come from one pass over ``base``, the same rows from a narrower source."""
-    filled = with_globals(df, column_quantiles(df if base is None else base, columns, {"p50": 0.5}), "_med")
+def median_impute(df: DataFrame, columns: Sequence[str], base: DataFrame | None = None, medians: dict | None = None) -> DataFrame:
+    """NULL becomes the exact column median; all medians come from one round over ``base``, the same rows from a narrower
+    source, or are given as ``medians`` under the names ``<column>_p50``."""
+    medians = column_quantiles(df if base is None else base, columns, {"p50": 0.5}) if medians is None else medians
+    filled = with_globals(df, {f"{c}_p50": medians[f"{c}_p50"] for c in columns}, "_med")
     return filled.select(*[
         F.coalesce(F.col(c), F.col(f"_med.{c}_p50")).alias(c) if c in columns else F.col(c) for c in df.columns])
 

@@ -7,19 +7,27 @@ from pyspark.sql import functions as F
 
 from discloscope.functions import fixed_values as V
 from discloscope.functions.exprs import clip, cut, total, with_globals
-from discloscope.functions.ranking import column_quantiles
+from discloscope.functions.ranking import figures
 
 QUANTILE_INDICATORS = {
     "gw_indicator_1": "esg_controversy_divergence", "gw_indicator_2": "greenwashing_signal_score",
     "gw_indicator_4": "controversy_risk_ratio", "gw_indicator_5": "combined_anomaly_score"}
+RANGED = ("esg_controversy_divergence", "controversy_risk_ratio")
 MISMATCH_INDICATOR = ("gw_indicator_3", "risk_controversy_mismatch")
 WEIGHTS = {"comp_proxy": 0.40, "comp_linguistic": 0.15, "comp_divergence": 0.15, "comp_credibility_inv": 0.15,
            "comp_controversy_ratio": 0.15}
 
 
+def score_figures(df: DataFrame, rows: int | None = None) -> dict[str, float | None]:
+    """Population 75th percentiles of the four graded indicators and ends of the min-max inputs, in one round."""
+    graded = [c for c in QUANTILE_INDICATORS.values() if c in df.columns]
+    ends = {n: a for c in RANGED if c in df.columns for n, a in ((f"{c}_lo", F.min(c)), (f"{c}_hi", F.max(c)))}
+    return figures(df, {c: {"p75": 0.75} for c in graded}, ends, rows)
+
+
 def thresholds(df: DataFrame) -> dict[str, float | None]:
     """Population 75th percentiles of the four graded indicators."""
-    return column_quantiles(df, [c for c in QUANTILE_INDICATORS.values() if c in df.columns], {"p75": 0.75})
+    return {k: v for k, v in score_figures(df).items() if k.endswith("_p75")}
 
 
 def proxy_labels(df: DataFrame, limits: dict | None = None) -> DataFrame:
@@ -37,11 +45,14 @@ def proxy_labels(df: DataFrame, limits: dict | None = None) -> DataFrame:
     return out.withColumns({"gw_label_binary": (score >= 2).cast("int"), "gw_label_multiclass": cut(score, [-1, 1, 3, 5], [0, 1, 2])})
 
 
-def component_scores(df: DataFrame) -> DataFrame:
-    """Each component on 0-100; 50 where its input column is absent, 0 where a min-max input is constant."""
-    ranged = [c for c in ("esg_controversy_divergence", "controversy_risk_ratio") if c in df.columns]
-    out = df
-    if ranged:
+def component_scores(df: DataFrame, ends: dict | None = None) -> DataFrame:
+    """Each component on 0-100; 50 where its input column is absent, 0 where a min-max input is constant.
+
+    ``ends``: the figures of ``score_figures`` where they are known already.
+    """
+    ranged = [c for c in RANGED if c in df.columns]
+    out = df if ends is None else with_globals(df, ends, "_ends")
+    if ranged and ends is None:
         ends = df.agg(*[a.alias(n) for c in ranged for a, n in ((F.min(c), f"{c}_lo"), (F.max(c), f"{c}_hi"))])
         out = with_globals(df, ends, "_ends")
 

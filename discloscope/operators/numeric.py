@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from discloscope.functions.exprs import EPS, eps_ratio, row_mean, row_std, row_var, total, with_globals
-from discloscope.functions.ranking import attach_group, average_percentile, column_quantiles, with_value_ranks
+from discloscope.functions.ranking import attach_group, average_percentile, column_quantiles, figures, with_value_ranks
 
 PILLARS = ["env_risk_score", "social_risk_score", "gov_risk_score"]
 TOTAL, CONTROVERSY = "total_esg_risk_score", "controversy_score"
@@ -39,11 +39,16 @@ def risk_decomposition(df: DataFrame) -> DataFrame:
         "risk_concentration_index": total([x * x for x in shares])})
 
 
+def moment_sums(columns: Sequence[str] = (TOTAL, CONTROVERSY)) -> dict[str, Column]:
+    return {n: a for c in columns for n, a in ((f"{c}_mean", F.avg(c)), (f"{c}_std", F.stddev_samp(c)))}
+
+
 def population_moments(df: DataFrame, columns: Sequence[str] = (TOTAL, CONTROVERSY)) -> DataFrame:
-    return df.agg(*[a.alias(n) for c in columns for a, n in ((F.avg(c), f"{c}_mean"), (F.stddev_samp(c), f"{c}_std"))])
+    return df.agg(*[a.alias(n) for n, a in moment_sums(columns).items()])
 
 
-def statistical_moments(df: DataFrame) -> DataFrame:
+def statistical_moments(df: DataFrame, moments: dict | None = None) -> DataFrame:
+    """``moments``: the figures of ``moment_sums`` where they are known already."""
     p = _pillars()
     mean = row_mean(p)
     m2 = row_var(p, sample=False)
@@ -51,7 +56,7 @@ def statistical_moments(df: DataFrame) -> DataFrame:
     # bias-corrected skew for n = 3: sqrt(n(n-1))/(n-2) = sqrt(6)
     skew = F.when(m2 > 1e-14, F.sqrt(F.lit(6.0)) * m3 / F.pow(m2, 1.5)).otherwise(0.0)
     z = {c: (F.col(c) - F.col(f"_mom.{c}_mean")) / (F.col(f"_mom.{c}_std") + EPS) for c in (TOTAL, CONTROVERSY)}
-    return with_globals(df, population_moments(df), "_mom").withColumns({
+    return with_globals(df, population_moments(df) if moments is None else moments, "_mom").withColumns({
         "esg_pillar_mean": mean, "esg_pillar_variance": row_var(p, sample=True), "esg_pillar_skewness": skew,
         "esg_pillar_cv": eps_ratio(row_std(p, sample=True), mean),
         "esg_score_zscore": z[TOTAL], "controversy_zscore": z[CONTROVERSY],
@@ -67,15 +72,25 @@ def interactions(df: DataFrame) -> DataFrame:
         "env_dominance_flag": F.coalesce((e == F.greatest(e, s, g)).cast("int"), F.lit(0))})
 
 
+QUARTILES = {"q1": 0.25, "med": 0.5, "q3": 0.75}
+
+
+def deviation_stats(df: DataFrame, medians: dict, columns: Sequence[str] = (TOTAL, CONTROVERSY), rows: int | None = None) -> dict:
+    """Median absolute deviation per column, around known medians."""
+    deviations = df.select(*[F.abs(F.col(c) - F.lit(medians[f"{c}_med"])).alias(c) for c in columns])
+    return column_quantiles(deviations, columns, {"mad": 0.5}, rows=rows)
+
+
 def robust_stats(df: DataFrame, columns: Sequence[str] = (TOTAL, CONTROVERSY)) -> dict[str, float | None]:
     """Exact quartiles, median and median absolute deviation per column."""
-    quart = column_quantiles(df, columns, {"q1": 0.25, "med": 0.5, "q3": 0.75})
-    deviations = df.select(*[F.abs(F.col(c) - F.lit(quart[f"{c}_med"])).alias(c) for c in columns])
-    return {**quart, **column_quantiles(deviations, columns, {"mad": 0.5})}
+    found = figures(df, {c: QUARTILES for c in columns}, {"rows": F.count(F.lit(1))})
+    rows = found.pop("rows")
+    return {**found, **deviation_stats(df, found, columns, rows)}
 
 
-def anomaly(df: DataFrame, with_rank: bool = True, base: DataFrame | None = None) -> DataFrame:
-    """Needs the z-scores of ``statistical_moments``. ``base``: the same rows with a shorter lineage, for the statistics."""
+def anomaly(df: DataFrame, with_rank: bool = True, base: DataFrame | None = None, robust: dict | None = None) -> DataFrame:
+    """Needs the z-scores of ``statistical_moments``. ``base``: the same rows with a shorter lineage, for the statistics;
+    ``robust``: the figures of ``robust_stats`` where they are known already."""
     base = df if base is None else base
     t, c = F.col(TOTAL), F.col(CONTROVERSY)
 
@@ -88,7 +103,7 @@ def anomaly(df: DataFrame, with_rank: bool = True, base: DataFrame | None = None
 
     # a zero IQR on the controversy scale falls back to "differs from the median"
     controversy_out = F.when(q(CONTROVERSY, "q3") - q(CONTROVERSY, "q1") > 0, outside(c, CONTROVERSY)).otherwise(c != q(CONTROVERSY, "med"))
-    out = with_globals(df, robust_stats(base), "_r").withColumns({
+    out = with_globals(df, robust_stats(base) if robust is None else robust, "_r").withColumns({
         "esg_iqr_outlier": F.coalesce(outside(t, TOTAL).cast("int"), F.lit(0)),
         "controversy_iqr_outlier": F.coalesce(controversy_out.cast("int"), F.lit(0)),
         "esg_mad_score": eps_ratio(F.abs(t - q(TOTAL, "med")), q(TOTAL, "mad")),

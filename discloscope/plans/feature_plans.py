@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from discloscope.functions.exprs import with_globals
+from discloscope.functions.ranking import figures
 from discloscope.operators import categorical as K
 from discloscope.operators import labels as L
 from discloscope.operators import nlp as N
 from discloscope.operators import numeric as M
+from discloscope.operators.cleaning import median_impute as median_impute_rows
 from discloscope.plans import sql_features as S
 from discloscope.plans.cleaning_plans import clean_companies
 from discloscope.plans.registry import cte, query
@@ -111,21 +113,39 @@ INPUTS = ["company_id", "company_name", "sector", "industry", "source", "total_e
 TEXT_INPUTS = ["greenwashing_signal_score", "vague_language_count", "hedge_language_count", "concrete_evidence_count", "text_polarity"]
 
 
-def score_inputs(spark, sf):
-    """Label and score inputs, staged once because several global statistics read them.
+def population(spark, sf):
+    """Label and score inputs, staged once, and the number of companies.
 
-    Texts are read once, straight from the scan, and leave four numbers a company; nothing staged holds text.
+    Two rounds of figures over the narrow scan come first (medians, quartiles and moments; then deviations), so every
+    other step is row by row. Texts are read once, straight from the scan, and leave five numbers a company.
     """
-    base = materialize(clean_companies(spark, sf))
-    df = base.transform(M.pillar_ratios).transform(M.risk_decomposition).transform(M.statistical_moments)
-    df = M.anomaly(df, with_rank=False, base=base).transform(K.risk_bins).withColumn("risk_controversy_mismatch", K.mismatch_flag())
+    plain = A.companies(spark, sf)
+    known = figures(plain, {**{p: {"p50": 0.5} for p in M.PILLARS}, **{c: M.QUARTILES for c in (M.TOTAL, M.CONTROVERSY)}},
+                    {**M.moment_sums(), "rows": F.count(F.lit(1))})
+    rows = known.pop("rows")
+    robust = {**known, **M.deviation_stats(plain, known, rows=rows)}
+    df = median_impute_rows(plain, M.PILLARS, medians=known).transform(M.pillar_ratios).transform(M.risk_decomposition)
+    df = df.transform(M.statistical_moments, moments=known).transform(M.anomaly, with_rank=False, robust=robust)
+    df = df.transform(K.risk_bins).withColumn("risk_controversy_mismatch", K.mismatch_flag())
     texts = N.linguistic_pack(N.polarity_pack(N.prepare(A.profile(spark, sf).select("company_id", "description")))).select("company_id", *TEXT_INPUTS)
-    return materialize(df.join(texts, "company_id").select(*INPUTS))
+    return materialize(df.join(texts, "company_id").select(*INPUTS)), rows
+
+
+def score_inputs(spark, sf):
+    return population(spark, sf)[0]
+
+
+def labelled(spark, sf):
+    """Inputs with proxy labels, and the population figures that components need too."""
+    df, rows = population(spark, sf)
+    known = L.score_figures(df, rows)
+    return L.proxy_labels(df, known), known
 
 
 def scored(spark, sf):
-    """Scores with everything that led to them; staged, since most callers read it more than once."""
-    return materialize(L.final_score(L.component_scores(L.proxy_labels(score_inputs(spark, sf)))))
+    """Scores with everything that led to them: a projection of the staged inputs under one round of figures."""
+    df, known = labelled(spark, sf)
+    return L.final_score(L.component_scores(df, known))
 
 
 LABELS = [*[f"gw_indicator_{i}" for i in range(1, 6)], "gw_proxy_score", "gw_label_binary", "gw_label_multiclass"]
@@ -134,12 +154,12 @@ COMPONENTS = list(L.WEIGHTS)
 
 @query("proxy_labels", cte(f"SELECT company_id, {', '.join(LABELS)} FROM labelled", "labelled"))
 def proxy_labels(spark, sf):
-    return L.proxy_labels(score_inputs(spark, sf)).select("company_id", *LABELS)
+    return labelled(spark, sf)[0].select("company_id", *LABELS)
 
 
 @query("component_scores", cte(f"SELECT company_id, {', '.join(COMPONENTS)} FROM comps", "comps"), " ".join(COMPONENTS))
 def component_scores(spark, sf):
-    return L.component_scores(L.proxy_labels(score_inputs(spark, sf))).select("company_id", *COMPONENTS)
+    return L.component_scores(*labelled(spark, sf)).select("company_id", *COMPONENTS)
 
 
 @query("final_score_tier", cte("SELECT company_id, risk_score, risk_tier FROM scored", "scored"), "risk_score")

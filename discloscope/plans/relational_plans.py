@@ -15,7 +15,7 @@ from discloscope.operators import relational as R
 from discloscope.operators import rules as U
 from discloscope.plans import text_plans  # noqa: F401  (registers the claim CTEs)
 from discloscope.plans.cleaning_plans import PADDED, PADDED_SQL, PILLARS, accusations, clean_companies, padded, scratch
-from discloscope.plans.feature_plans import scored, score_inputs
+from discloscope.plans.feature_plans import labelled, scored, score_inputs
 from discloscope.plans.registry import CTES, cte, query, text, text_list, unpivot_sql
 from discloscope.session import materialize
 from discloscope.sources import adapters as A
@@ -252,7 +252,7 @@ def group_quartiles(spark, sf):
 
 @query("proxy_distribution", cte("SELECT CAST(v AS INTEGER) AS gw_proxy_score, count(company_id) AS n, count(company_id) / (SELECT count(*) FROM labelled) * 100 AS pct FROM (SELECT unnest(range(0, 6)) AS v) LEFT JOIN labelled ON gw_proxy_score = v GROUP BY v", "labelled"), "pct")
 def proxy_distribution(spark, sf):
-    return R.value_distribution(L.proxy_labels(score_inputs(spark, sf)), "gw_proxy_score", range(6))
+    return R.value_distribution(labelled(spark, sf)[0], "gw_proxy_score", range(6))
 
 
 @query("distinct_summary", """
@@ -556,5 +556,7 @@ def risk_pipeline(spark, sf):
     metrics = D.claim_metrics(docs.select("company_id"), D.extract_claims(docs, "company_id", "description"), "company_id")
     df = score_inputs(spark, sf).join(metrics.select("company_id", "claim_credibility_score"), "company_id", "left") \
         .na.fill(0.0, ["claim_credibility_score"])
-    out = L.final_score(L.component_scores(L.proxy_labels(materialize(df))))
+    staged = materialize(df)
+    known = L.score_figures(staged)
+    out = L.final_score(L.component_scores(L.proxy_labels(staged, known), known))
     return out.select("company_id", "sector", "risk_score", "risk_tier")

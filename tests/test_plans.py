@@ -30,3 +30,15 @@ def test_global_rank_has_no_single_task_window_over_rows(spark, sf):
     for line in specs:
         # a window without a slice key may only run over the per-slice totals
         assert all(w.startswith("_slice#") for w in re.findall(r"windowspecdefinition\(([^)]*)", line)) or "_tot_cnt" in line
+
+
+def jobs_of(spark, run):
+    tracker, group = spark.sparkContext.statusTracker(), "count-" + str(id(run))
+    spark.sparkContext.setJobGroup(group, "jobs of one query")
+    run().collect()
+    return len(tracker.getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("name,most", [("final_score_tier", 18), ("risk_leaderboard", 22)])
+def test_scores_take_few_jobs(spark, sf, name, most):
+    assert jobs_of(spark, lambda: QUERIES[name].run(spark, sf)) <= most

@@ -72,6 +72,26 @@ def test_empty_column_quantile(spark):
     assert R.column_quantiles(df, ["v"], {"m": 0.5}) == {"v_m": None}
 
 
+@pytest.mark.parametrize("rows", [None, 10, 10**9])
+def test_figures_of_one_level(skewed, rows):
+    pdf, df = skewed
+    got = R.figures(df, {"v": {"q1": 0.25, "q3": 0.75}, "id": {"mid": 0.5}}, {"n": F.count(F.lit(1)), "top": F.max("id")}, rows, 50, 20)
+    assert (got["n"], got["top"]) == (len(pdf), pdf["id"].max())
+    for name, want in {"v_q1": pdf["v"].quantile(0.25), "v_q3": pdf["v"].quantile(0.75), "id_mid": pdf["id"].quantile(0.5)}.items():
+        assert got[name] == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("rows", [None, 0])
+def test_figures_of_nothing(spark, rows):
+    empty = spark.createDataFrame([], "v double")
+    assert R.figures(empty, {"v": {"m": 0.5}}, {"n": F.count(F.lit(1))}, rows) == {"v_m": None, "n": 0}
+
+
+def test_quantiles_skip_missing_values(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),), (3.0,), (1.0,)], "v double")
+    assert R.column_quantiles(df, ["v"], {"m": 0.5}) == R.column_quantiles(df, ["v"], {"m": 0.5}, rows=4) == {"v_m": 2.0}
+
+
 def test_ordered_positions(skewed):
     pdf, df = skewed
     got = R.ordered_positions(df, [F.desc_nulls_last("v"), F.asc("id")], {"x": "id"}).toPandas().sort_values("position")
