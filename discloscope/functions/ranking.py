@@ -138,24 +138,27 @@ def figures(df: DataFrame, quantiles: dict[str, dict[str, float]], sums: dict[st
     at_col = {c: f"_q{i}" for i, c in enumerate(cols)}
     wanted = [(c, name, float(p)) for c in cols for name, p in quantiles[c].items()]
     if rows is not None and rows <= EXACT_ROWS:
-        row = src.agg(*[F.percentile(at_col[c], p).alias(f"p{i}") for i, (c, _, p) in enumerate(wanted)],
+        row = src.agg(*[F.percentile(v, list(quantiles[c].values())).alias(v) for c, v in at_col.items()],
                       *[a.alias(n) for n, a in sums.items()]).first()
-        return {**{f"{c}_{name}": row[f"p{i}"] for i, (c, name, _) in enumerate(wanted)}, **{n: row[n] for n in sums}}
+        exact = {f"{c}_{name}": x for c, v in at_col.items() for name, x in zip(quantiles[c], row[v] or [None] * len(quantiles[c]))}
+        return {**exact, **{n: row[n] for n in sums}}
 
     slack = 2.0 / accuracy
     first = src.agg(
         *[F.count(at_col[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.percentile_approx(at_col[c], [max(0.0, p - slack), min(1.0, p + slack)], accuracy).alias(f"p{i}") for i, (c, _, p) in enumerate(wanted)],
+        *[F.percentile_approx(v, [x for p in quantiles[c].values() for x in (max(0.0, p - slack), min(1.0, p + slack))], accuracy).alias(v)
+          for c, v in at_col.items()],
         *[a.alias(n) for n, a in sums.items()]).first()
     result: dict = {f"{c}_{name}": None for c, name, _ in wanted}
     sizes = {c: first[f"n{i}"] for i, c in enumerate(cols)}
     positions = {(c, name): p * (sizes[c] - 1) for c, name, p in wanted if sizes[c]}
     # per order statistic: open interval (lo, hi), rows below it, rows inside it, first proposal
     spans = {}
-    for i, (c, name, _) in enumerate(wanted):
-        if sizes[c]:
+    for c in cols:
+        for i, name in enumerate(quantiles[c] if sizes[c] else ()):
+            guess = first[at_col[c]][2 * i:2 * i + 2]
             for k in (math.floor(positions[c, name]), math.ceil(positions[c, name])):
-                spans.setdefault(f"{c}|{k}", {"col": at_col[c], "k": k, "lo": None, "hi": None, "below": 0, "m": sizes[c], "guess": first[f"p{i}"]})
+                spans.setdefault(f"{c}|{k}", {"col": at_col[c], "k": k, "lo": None, "hi": None, "below": 0, "m": sizes[c], "guess": guess})
     gather = min(gather, max(100, gather_all // max(1, len(spans))))
     found: dict[str, float] = {}
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from discloscope.functions.exprs import EPS, eps_ratio, row_mean, row_std, row_var, total, with_globals
 from discloscope.functions.ranking import attach_group, average_percentile, column_quantiles, figures, with_value_ranks
+from discloscope.session import materialize
 
 PILLARS = ["env_risk_score", "social_risk_score", "gov_risk_score"]
 TOTAL, CONTROVERSY = "total_esg_risk_score", "controversy_score"
@@ -147,8 +148,8 @@ def _scale_by(df: DataFrame, columns: Sequence[str], stats, center: str, width)
         / F.when(width(c) == 0, F.lit(1.0)).otherwise(width(c)) for c in columns}).drop("_s")
 
 
-def scale(df: DataFrame, columns: Sequence[str], method: str = "robust") -> DataFrame:
-    """Append ``<column>_scaled``; NULL counts as 0, a zero width divides by 1."""
+def scale(df: DataFrame, columns: Sequence[str], method: str = "robust", rows: int | None = None) -> DataFrame:
+    """Append ``<column>_scaled``; NULL counts as 0, a zero width divides by 1. ``rows``: the row count where it is known."""
     columns = [c for c in columns if c in df.columns]
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
     if method == "standard":
@@ -158,7 +159,7 @@ def scale(df: DataFrame, columns: Sequence[str], method: str = "robust") -> Data
         stats = filled.agg(*[a.alias(n) for c in columns for a, n in ((F.min(c), f"{c}_lo"), (F.max(c), f"{c}_hi"))])
         return _scale_by(df, columns, stats, "lo", lambda c: F.col(f"_s.{c}_hi") - F.col(f"_s.{c}_lo"))
     if method == "robust":
-        stats = column_quantiles(filled, columns, {"q1": 0.25, "med": 0.5, "q3": 0.75})
+        stats = column_quantiles(filled, columns, QUARTILES, rows=rows)
         return _scale_by(df, columns, stats, "med", lambda c: F.col(f"_s.{c}_q3") - F.col(f"_s.{c}_q1"))
     if method == "power":
         return power_scale(df, columns)
@@ -224,7 +225,16 @@ FEATURES = {
 ALL_FEATURES = [f for fs in FEATURES.values() for f in fs]
 
 
+def known_figures(df: DataFrame, quantiles: dict[str, dict[str, float]] | None = None) -> tuple[dict, int]:
+    """Moments, quartiles and deviations of both scores, with further ``quantiles``, in two rounds; and the row count."""
+    known = figures(df, {**(quantiles or {}), TOTAL: QUARTILES, CONTROVERSY: QUARTILES}, {**moment_sums(), "rows": F.count(F.lit(1))})
+    rows = known.pop("rows")
+    return {**known, **deviation_stats(df, known, rows=rows)}, rows
+
+
 def all_numeric(df: DataFrame, scaled: bool = True) -> DataFrame:
-    out = (df.transform(pillar_ratios).transform(risk_decomposition).transform(statistical_moments)
-           .transform(interactions).transform(anomaly, base=df).transform(group_zscores, base=df).transform(group_ranks, base=df))
-    return scale(out, ALL_FEATURES, "robust") if scaled else out
+    """Every numeric feature and, with ``scaled``, its robust-scaled copy; the features are staged for their quartiles."""
+    known, rows = known_figures(df)
+    out = (df.transform(pillar_ratios).transform(risk_decomposition).transform(statistical_moments, moments=known)
+           .transform(interactions).transform(anomaly, base=df, robust=known).transform(group_zscores, base=df).transform(group_ranks, base=df))
+    return scale(materialize(out), ALL_FEATURES, "robust", rows) if scaled else out

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from discloscope.functions.exprs import with_globals
-from discloscope.functions.ranking import figures
 from discloscope.operators import categorical as K
 from discloscope.operators import labels as L
 from discloscope.operators import nlp as N
@@ -48,7 +47,17 @@ pack_query("group_zscore", ["esg_sector_mean", "esg_sector_std", "esg_vs_sector_
            "num", lambda s, d: M.group_zscores(num_base(s, d)))
 pack_query("group_rank_min", ["sector_rank"], "num", lambda s, d: M.group_ranks(num_base(s, d)))
 pack_query("group_percentile", ["sector_percentile"], "num", lambda s, d: M.group_ranks(num_base(s, d)))
-pack_query("all_numeric", M.ALL_FEATURES, "num", lambda s, d: M.all_numeric(materialize(num_base(s, d)), scaled=False))
+
+
+@query("all_numeric", cte(f"""
+    , q AS (SELECT {', '.join(f"quantile_cont(coalesce(CAST({f} AS DOUBLE), 0), [0.25, 0.5, 0.75]) AS {f}" for f in M.ALL_FEATURES)} FROM num)
+    SELECT company_id, {', '.join(f"num.{f}" for f in M.ALL_FEATURES)}, {', '.join(
+        f"(coalesce(CAST(num.{f} AS DOUBLE), 0) - q.{f}[2]) / (CASE WHEN q.{f}[3] = q.{f}[1] THEN 1 ELSE q.{f}[3] - q.{f}[1] END) AS {f}_scaled"
+        for f in M.ALL_FEATURES)} FROM num, q""", "num"), doubles_of(M.ALL_FEATURES) + " " + " ".join(f"{f}_scaled" for f in M.ALL_FEATURES))
+def all_numeric(spark, sf):
+    return M.all_numeric(materialize(num_base(spark, sf))).select("company_id", *M.ALL_FEATURES, *[f"{f}_scaled" for f in M.ALL_FEATURES])
+
+
 pack_query("risk_bins", K.FEATURES["risk_bins"], "bins", lambda s, d: K.risk_bins(num_base(s, d)))
 pack_query("cross_features", [*K.FEATURES["cross"], "esg_controversy_segment"], "cat",
            lambda s, d: K.cross_features(K.risk_bins(num_base(s, d))))
@@ -120,12 +129,9 @@ def population(spark, sf):
     other step is row by row. Texts are read once, straight from the scan, and leave five numbers a company.
     """
     plain = A.companies(spark, sf)
-    known = figures(plain, {**{p: {"p50": 0.5} for p in M.PILLARS}, **{c: M.QUARTILES for c in (M.TOTAL, M.CONTROVERSY)}},
-                    {**M.moment_sums(), "rows": F.count(F.lit(1))})
-    rows = known.pop("rows")
-    robust = {**known, **M.deviation_stats(plain, known, rows=rows)}
+    known, rows = M.known_figures(plain, {p: {"p50": 0.5} for p in M.PILLARS})
     df = median_impute_rows(plain, M.PILLARS, medians=known).transform(M.pillar_ratios).transform(M.risk_decomposition)
-    df = df.transform(M.statistical_moments, moments=known).transform(M.anomaly, with_rank=False, robust=robust)
+    df = df.transform(M.statistical_moments, moments=known).transform(M.anomaly, with_rank=False, robust=known)
     df = df.transform(K.risk_bins).withColumn("risk_controversy_mismatch", K.mismatch_flag())
     texts = N.linguistic_pack(N.polarity_pack(N.prepare(A.profile(spark, sf).select("company_id", "description")))).select("company_id", *TEXT_INPUTS)
     return materialize(df.join(texts, "company_id").select(*INPUTS)), rows
