@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from discloscope.functions.exprs import total
-from discloscope.functions.ranking import _join_keys, attach_group, value_ranks
+from discloscope.functions.ranking import _join_keys, attach_group, figures, value_ranks
+
+#: up to so many labels are handled as literals
+MANY_LABELS = 64
 
 
 def split_hash(key: Column, seed: int = 42) -> Column:
@@ -27,14 +31,65 @@ def _label_ranks(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
     return ranked.withColumn("_rank", F.col("below") + tie).drop("_h", "cnt", "below")
 
 
-def stratified_split(df: DataFrame, key: str, label: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """Exact shares inside each label by rank of the hashed id."""
-    names, out, edge = list(shares), None, 0.0
+def label_sizes(df: DataFrame, key: str, label: str) -> list[Row] | None:
+    """Rows and rows with a key of every label, or None beyond ``MANY_LABELS`` labels."""
+    found = df.groupBy(F.col(label).alias("label")).agg(F.count(key).alias("n"), F.count(F.lit(1)).alias("rows")).limit(MANY_LABELS + 1).collect()
+    return found if len(found) <= MANY_LABELS else None
+
+
+def _label_cuts(hashed: DataFrame, label: str, sizes: list[Row], edges: Sequence[float]) -> list[list[float]] | None:
+    """Per label the hash values that cut its rows at ``edges``; None where rows on both sides of a cut share their hash."""
+    wanted: dict[str, dict[str, float]] = {}
+    marked = hashed
+    for i, s in enumerate(sizes):
+        for j, edge in enumerate(edges):
+            taken = math.floor(s["n"] * edge)
+            if 0 < taken < s["n"]:
+                # two values between the last row taken and the first one left; equal only if these two are
+                wanted.setdefault(f"_h{i}", {}).update({f"{side}{j}": (taken - at) / (s["n"] - 1) for side, at in (("a", 0.75), ("b", 0.25))})
+        if f"_h{i}" in wanted:
+            marked = marked.withColumn(f"_h{i}", F.when(F.col(label).eqNullSafe(F.lit(s["label"])), F.col("_h")))
+    known = figures(marked, wanted, rows=sum(s["rows"] for s in sizes)) if wanted else {}
+    cuts = []
+    for i, s in enumerate(sizes):
+        row = []
+        for j, edge in enumerate(edges):
+            low, high = known.get(f"_h{i}_a{j}"), known.get(f"_h{i}_b{j}")
+            if low is None:
+                row.append(-1.0 if math.floor(s["n"] * edge) <= 0 else float("inf"))
+            elif low == high:
+                return None
+            else:
+                row.append((low + high) / 2.0)
+        cuts.append(row)
+    return cuts
+
+
+def stratified_split(df: DataFrame, key: str, label: str, shares: dict[str, float], seed: int = 42, sizes: list[Row] | None = None) -> DataFrame:
+    """Exact shares inside each label by rank of the hashed id; rows without an id go to the last part.
+
+    The few hashes where a label's parts meet are selected as order statistics, so no row is shuffled. Very many labels,
+    or ids that share their hash on both sides of a cut, are ranked instead. ``sizes``: the ``label_sizes`` where known.
+    """
+    names, edges = list(shares), []
     for name in names[:-1]:
-        edge += shares[name]
-        test = F.col("_rank") < F.floor(F.col("n") * F.lit(edge))
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return _label_ranks(df, key, label, seed).withColumn("split", out.otherwise(names[-1])).drop("_rank", "n")
+        edges.append(shares[name] + (edges[-1] if edges else 0.0))
+    sizes = label_sizes(df, key, label) if sizes is None else sizes
+    hashed = df.withColumn("_h", split_hash(F.col(key), seed).cast("double"))
+    cuts = _label_cuts(hashed, label, sizes, edges) if sizes else None
+    if cuts is None:
+        out = None
+        for name, edge in zip(names, edges):
+            test = F.col("_rank") < F.floor(F.col("n") * F.lit(edge))
+            out = F.when(test, name) if out is None else out.when(test, name)
+        return _label_ranks(df, key, label, seed).withColumn("split", F.lit(names[-1]) if out is None else out.otherwise(names[-1])).drop("_rank", "n")
+    split = F.lit(names[-1])
+    for s, row in zip(sizes, cuts):
+        part = F.lit(names[-1])
+        for name, cut in reversed(list(zip(names, row))):
+            part = F.when(F.col("_h") <= F.lit(cut), name).otherwise(part)
+        split = F.when(F.col(label).eqNullSafe(F.lit(s["label"])), part).otherwise(split)
+    return hashed.withColumn("split", split).drop("_h")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed: int = 7) -> DataFrame:
@@ -42,12 +97,19 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, seed:
     return _label_ranks(df, key, label, seed).withColumn("fold", (F.col("_rank") % folds).cast("int")).drop("_rank", "n")
 
 
-def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """n / (classes * class size)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    whole = counts.agg(F.sum("_nc").alias("n"), F.count(F.lit(1)).alias("k"))
-    row = whole.select((F.col("n") / F.col("k")).alias("r")).scalar()
-    return attach_group(df, counts, [label]).withColumn("weight", row / F.col("_nc")).drop("_nc")
+def balanced_weights(df: DataFrame, label: str, sizes: list[Row] | None = None) -> DataFrame:
+    """n / (classes * class size); a missing label has no weight. ``sizes``: the ``label_sizes`` where known."""
+    sizes = label_sizes(df, label, label) if sizes is None else sizes
+    if sizes is None:
+        counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+        whole = counts.agg(F.sum("_nc").alias("n"), F.count(F.lit(1)).alias("k"))
+        row = whole.select((F.col("n") / F.col("k")).alias("r")).scalar()
+        return attach_group(df, counts, [label]).withColumn("weight", row / F.col("_nc")).drop("_nc")
+    share = sum(s["rows"] for s in sizes) / max(1, len(sizes))
+    weight = F.lit(None).cast("double")
+    for s in sizes:
+        weight = F.when(F.col(label) == F.lit(s["label"]), F.lit(share / s["rows"])).otherwise(weight)
+    return df.withColumn("weight", weight)
 
 
 def log_loss(y: Column, p: Column, eps: float = 1e-7) -> Column:

@@ -236,8 +236,9 @@ def training_rows(spark, sf):
     """Clean feature rows with label, split and fold, staged once."""
     df = scored(spark, sf).withColumn("label", F.col("gw_label_binary").cast("double"))
     rows = TR.prepare(df, FEATURES, ["company_id", "label"])
-    rows = E.stratified_split(rows, "company_id", "label", {"train": 0.8, "test": 0.2})
-    rows = E.balanced_weights(rows, "label")
+    sizes = E.label_sizes(rows, "company_id", "label")
+    rows = E.stratified_split(rows, "company_id", "label", {"train": 0.8, "test": 0.2}, sizes=sizes)
+    rows = E.balanced_weights(rows, "label", sizes)
     return materialize(rows.withColumn("fold", (E.split_hash(F.col("company_id"), 7) % 5).cast("int")))
 
 

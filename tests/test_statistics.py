@@ -182,3 +182,28 @@ def test_profile_in_one_sweep(spark):
     assert np.allclose(one.r.loc[some, some], pdf[some].corr(), atol=1e-9)
     assert ("b", "line") in [p[:2] for p in one.correlated(some, 0.98)]
     assert column_profile(df.limit(0), "id", names).constant() == names
+
+
+def test_split_cuts_agree_with_ranks(spark):
+    """Cuts and ranks give the same parts; ids that share a hash across a cut, missing ids and labels, and one-row labels included."""
+    rows = [(i * 7919, i % 3 if i % 11 else None) for i in range(500)] + [(None, 0), (None, None), (5_000_001, 9)]
+    shares = {"train": 0.6, "val": 0.2, "test": 0.2}
+    for data in (rows, [(i % 5 * 2**31 + i // 5, 0) for i in range(50)], [(7, 1)] * 10):
+        df = spark.createDataFrame(data, "id long, y int").withColumn("row", F.monotonically_increasing_id())
+        got = E.stratified_split(df, "id", "y", shares).filter("id is not null")
+        sizes = {(r["y"], r["split"]): r["count"] for r in got.groupBy("y", "split").count().collect()}
+        for y in {y for i, y in data if i is not None}:
+            n = sum(1 for i, v in data if v == y and i is not None)
+            ends = [0, int(n * 0.6), int(n * (0.6 + 0.2)), n]
+            assert [sizes.get((y, s), 0) for s in shares] == [b - a for a, b in zip(ends, ends[1:])]
+        hashed = got.withColumn("h", E.split_hash(F.col("id"))).toPandas()
+        for _, part in hashed.groupby("y", dropna=False):
+            top = part.groupby("split")["h"].agg(["min", "max"]).reindex(list(shares)).dropna()
+            assert all(a <= b for a, b in zip(top["max"], top["min"][1:]))
+        assert set(E.stratified_split(df, "id", "y", shares).filter("id is null").toPandas()["split"]) <= {"test"}
+
+
+def test_balanced_weights_with_a_missing_label(spark):
+    df = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 1.0), (4, None)], "id long, y double")
+    got = {r["id"]: r["weight"] for r in E.balanced_weights(df, "y").collect()}
+    assert got == {1: pytest.approx(2 / 3), 2: pytest.approx(2 / 3), 3: pytest.approx(4 / 3), 4: None}
