@@ -37,16 +37,17 @@ def risk_history(panel: DataFrame) -> DataFrame:
 
 def linear_forecast(series: DataFrame, keys: Sequence[str], value: str, years: int = 3, floor: float | None = 0.0,
                     ceiling: float | None = 100.0) -> DataFrame:
-    """Least squares on year (3 points or more), next years with a 1.96-sigma band from the residuals."""
+    """Least squares on year (3 points or more), next years with a 1.96-sigma band from the residuals.
+
+    The squared residuals come from the sums of squares, which combine before the shuffle, so no series is collected;
+    what rounding leaves of a perfect fit counts as 0. Rows without a value or a year take no part in the fit.
+    """
+    y, x = F.col(value), F.col("year")
     fit = series.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.regr_slope(F.col(value), F.col("year")).alias("slope"),
-        F.regr_intercept(F.col(value), F.col("year")).alias("intercept"), F.max("year").alias("last_year"),
-        F.collect_list(F.struct("year", F.col(value).alias("v"))).alias("pts")).filter("n >= 3")
-    fitted = F.transform("pts", lambda p: p["v"] - (F.col("intercept") + F.col("slope") * p["year"]))
-    fit = fit.withColumn("res", fitted)
-    mean = F.aggregate("res", F.lit(0.0), lambda a, x: a + x) / F.size("res")
-    fit = fit.withColumn("m", mean)
-    sigma = F.sqrt(F.aggregate("res", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))) / F.size("res"))
+        F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+        F.max("year").alias("last_year"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy")).filter("n >= 3")
+    left = F.col("syy") - F.col("slope") * F.col("sxy")
+    sigma = F.sqrt(F.when(left > F.col("syy") * 1e-13, left).otherwise(F.when(left.isNotNull(), 0.0)) / F.col("n"))
     out = fit.withColumn("sigma", sigma).withColumn(
         "year", F.explode(F.sequence(F.col("last_year") + 1, F.col("last_year") + F.lit(years))))
     point = F.col("intercept") + F.col("slope") * F.col("year")

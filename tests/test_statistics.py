@@ -207,3 +207,18 @@ def test_balanced_weights_with_a_missing_label(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 1.0), (4, None)], "id long, y double")
     got = {r["id"]: r["weight"] for r in E.balanced_weights(df, "y").collect()}
     assert got == {1: pytest.approx(2 / 3), 2: pytest.approx(2 / 3), 3: pytest.approx(4 / 3), 4: None}
+
+
+def test_forecast_band_is_that_of_the_residuals(spark):
+    from discloscope.operators import timeseries as S
+    rows = [("a", 2000 + i, v) for i, v in enumerate([3.0, 5.5, 4.0, 9.0])] + [("b", 2000 + i, 2.0 * i) for i in range(5)]
+    rows += [("c", 2001, 1.0), ("c", 2002, 1.0), ("d", 2000, 1.0), ("d", 2001, None), ("d", 2002, 4.0), ("d", 2003, 4.0), ("e", 2000, None)]
+    got = S.linear_forecast(spark.createDataFrame(rows, "k string, year int, v double"), ["k"], "v", 1, floor=None).toPandas().set_index("k")
+    assert set(got.index) == {"a", "b", "d"}
+    for k in got.index:
+        x, y = np.array([(t, v) for g, t, v in rows if g == k and v is not None], dtype=float).T
+        slope, start = np.polyfit(x - 2000, y, 1)
+        spread = np.std(y - start - slope * (x - 2000))
+        point = start + slope * (got.loc[k, "year"] - 2000)
+        assert got.loc[k, ["forecast", "lower_bound", "upper_bound"]].astype(float).tolist() == pytest.approx(
+            [point, point - 1.96 * spread, point + 1.96 * spread], abs=1e-6)
