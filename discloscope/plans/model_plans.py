@@ -512,24 +512,43 @@ def article_timeline(spark, sf):
 SLICES, LATE = 6, "3 days"
 
 
-def landed(spark, sf):
-    """The events as a stream of files that land in order of time; the feed delivers some of them twice."""
-    folder = scratch(spark)
-    events = A.table(spark, sf, "events")
+#: rows of a slice that are worth a file, and so a reading task, of their own
+FILE_ROWS = 10_000
+
+
+def land(events, folder, n):
+    """Writes the slices of ``events`` in order of time, ``n`` files each; returns the files of every slice."""
     ends = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    files = []
     for i in range(SLICES):
         lo, hi = (ends["lo"] + (ends["hi"] - ends["lo"]) * (i + j) / SLICES for j in (0, 1))
         inside = (F.col("ts") >= lo) & ((F.col("ts") < hi) if i < SLICES - 1 else F.lit(True))
-        events.filter(inside).write.mode("append").parquet(folder)
-    files = spark.read.parquet(folder).inputFiles()
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, len(files) // SLICES)).parquet(folder)
+        events.filter(inside).repartition(n).write.parquet(f"{folder}/{i}")
+        files.append(len(events.sparkSession.read.parquet(f"{folder}/{i}").inputFiles()))
+    return files
+
+
+def landed(spark, sf):
+    """The events as a stream of files that land in order of time; the feed delivers some of them twice.
+
+    A micro-batch has to be one slice: rows of a slice that came after its newest ones would be late. So all slices have
+    the same number of files, one each if a slice is too small to fill more.
+    """
+    events = A.table(spark, sf, "events")
+    most = min(4 * spark.sparkContext.defaultParallelism, events.count() // (SLICES * FILE_ROWS))
+    for n in ([most, 1] if most > 1 else [1]):
+        folder = scratch(spark)
+        files = land(events, folder, n)
+        if set(files) == {n}:
+            break
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", n).parquet(folder)
     return A.deliveries(A.articles(stream))
 
 
 def replayed(spark, sf):
     """Folder of the changes that a run over all landed events has written."""
-    changes = scratch(spark)
-    L.incremental_scoring(landed(spark, sf), changes, scratch(spark), LATE).awaitTermination()
+    changes, busy = scratch(spark), L.busy_companies(articles(spark, sf))
+    L.incremental_scoring(landed(spark, sf), changes, scratch(spark), LATE, busy).awaitTermination()
     return changes
 
 

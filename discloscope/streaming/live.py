@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -112,67 +111,95 @@ def merge_totals(old: DataFrame, new: DataFrame) -> DataFrame:
                        (F.coalesce("o.n", F.lit(0)) + F.coalesce("w.n", F.lit(0))).alias("n"), as_of.alias("as_of"))
 
 
-#: parts of a company whose state is kept apart, so that one with a third of all articles is no hot spot
+#: parts of a busy company whose state is kept apart, so that one with a third of all articles is no hot spot
 PARTS = 8
+#: a company with more than this share of all articles is busy; there can be no more of them than one over it
+BUSY_SHARE = 1.0 / 256
 CHANGES = "company_id long, part int, weighted_sum double, n long, as_of timestamp"
+_CHANGED = CHANGES.replace("timestamp", "long")
 _SCORE_STATE = "weighted_sum double, n long, as_of long, urls array<long>, seen array<long>"
+_DECAY_MICROS = 3.6e9 * DECAY_HOURS
 
 
 class DecayedScore(StatefulProcessor):
     """Keyed state of one part of a company: its decayed sum, and the articles that may still come again.
 
     An article counts once: its URL is remembered until the watermark has passed its time, when a repeat would be late
-    and is not taken. A timer drops what is remembered of companies that no longer get articles.
+    and is not taken. A timer drops what is remembered of companies that no longer get articles; a key waits for one
+    timer at a time. Rows are taken as they come: most keys get one or two a batch, for which a frame each is costly.
     """
 
     def init(self, handle) -> None:
         self.handle, self.state = handle, handle.getValueState("score", _SCORE_STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         late = timerValues.getCurrentWatermarkInMs() * 1000
-        total, n, as_of, urls, seen = self.state.get() if self.state.exists() else (0.0, 0, None, [], [])
-        known = dict(zip(urls, seen))
-        new = new[(new["at"] >= late) & ~new["url_hash"].isin(known.keys())].drop_duplicates("url_hash")
-        if not len(new):
+        held = self.state.get()
+        total, n, as_of, urls, seen = (0.0, 0, None, [], []) if held is None else held
+        known, new = dict(zip(urls, seen)), {}
+        for r in rows:
+            if r["at"] is not None and r["at"] >= late and r["url_hash"] not in known and r["url_hash"] not in new:
+                new[r["url_hash"]] = r["at"], r["sentiment"]
+        if not new:
             return
-        at, newest = new["at"].to_numpy(), int(new["at"].max())
+        newest = max(at for at, _ in new.values())
         newest = newest if as_of is None else max(newest, as_of)
-        hours = 3.6e9 * DECAY_HOURS
-        total = (0.0 if as_of is None else total * float(np.exp((as_of - newest) / hours))) + float((new["sentiment"].to_numpy() * np.exp((at - newest) / hours)).sum())
+        total = (0.0 if as_of is None else total * math.exp((as_of - newest) / _DECAY_MICROS)) + math.fsum(
+            s * math.exp((at - newest) / _DECAY_MICROS) for at, s in new.values())
         n += len(new)
-        known |= dict(zip(new["url_hash"].tolist(), at.tolist()))
+        if not known:  # else the timer of those still waits
+            self._wait(max(at for at, _ in new.values()))
+        known |= {u: at for u, (at, _) in new.items()}
         known = {u: t for u, t in known.items() if t >= late}
         self.state.update((total, n, newest, list(known), list(known.values())))
-        self.handle.registerTimer(max(known.values()) // 1000 + 1)
-        yield pd.DataFrame({"company_id": [key[0]], "part": [key[1]], "weighted_sum": [total], "n": [n], "as_of": [pd.Timestamp(newest, unit="us")]})
+        yield Row(company_id=key[0], part=key[1], weighted_sum=total, n=n, as_of=newest)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def _wait(self, newest: int) -> None:
+        self.handle.registerTimer(newest // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         late = timerValues.getCurrentWatermarkInMs() * 1000
-        if self.state.exists():
-            total, n, as_of, urls, seen = self.state.get()
+        held = self.state.get()
+        if held is not None:
+            total, n, as_of, urls, seen = held
             known = {u: t for u, t in zip(urls, seen) if t >= late}
             self.state.update((total, n, as_of, list(known), list(known.values())))
+            if known:
+                self._wait(max(known.values()))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def incremental_scoring(stream: DataFrame, state_dir: str, checkpoint: str, delay: str):
+def busy_companies(articles: DataFrame) -> list[int]:
+    """Companies of a known batch of articles, such as the history of a feed, that have more than ``BUSY_SHARE`` of them."""
+    per = articles.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = articles.count()
+    return sorted(r["company_id"] for r in per.filter((F.col("n") > BUSY_SHARE * whole) & F.col("company_id").isNotNull()).collect())
+
+
+def incremental_scoring(stream: DataFrame, state_dir: str, checkpoint: str, delay: str, busy: Sequence[int] | None = None):
     """Score only newly arrived articles and fold them into a per-company decayed sum.
 
     The sums are keyed state of the running query; what each micro-batch changes is written, and nothing else, to a
     folder of that batch, so a batch that is repeated after a failure replaces its own rows. ``delay`` is the late-data
     rule: an article, or its repeat, counts if it comes within that event time of the newest one seen.
+
+    A call per key and batch is what costs, so only the companies in ``busy`` are kept in parts; without a list all are.
+    The list has to stay the same for the life of a checkpoint, since a repeat is known to its own part only.
     """
     spark = stream.sparkSession
     # timers and state per key need the key-value state store
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    part = F.pmod(F.xxhash64("url"), F.lit(PARTS)).cast("int")
+    if busy is not None:
+        part = F.when(F.col("company_id").isin(list(busy)), part).otherwise(0)
     rows = score_articles(stream.withWatermark("published", delay)).select(
-        "company_id", F.pmod(F.xxhash64("url"), F.lit(PARTS)).cast("int").alias("part"), F.xxhash64("company_id", "url").alias("url_hash"),
-        "published", F.unix_micros("published").alias("at"), "sentiment")
-    changed = rows.groupBy("company_id", "part").transformWithStateInPandas(DecayedScore(), CHANGES, "Update", "EventTime")
+        "company_id", part.alias("part"), F.xxhash64("company_id", "url").alias("url_hash"),
+        F.unix_micros("published").alias("at"), "sentiment")
+    changed = rows.groupBy("company_id", "part").transformWithState(DecayedScore(), _CHANGED, "Update", "EventTime")
+    changed = changed.withColumn("as_of", F.timestamp_micros("as_of"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")

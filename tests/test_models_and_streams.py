@@ -310,3 +310,41 @@ def test_decay_composes(spark):
 def test_no_articles_keep_base_out_of_the_result(spark):
     empty = spark.createDataFrame([], "company_id long, title string, published timestamp")
     assert L.entity_delta(L.score_articles(empty), dt.datetime(2024, 1, 1)).count() == 0
+
+
+def test_landed_batches_are_slices(spark, monkeypatch):
+    """A slice of several files is one micro-batch, however the table is cut: rows after the newest of a slice would be late."""
+    from discloscope.plans import model_plans as M
+    monkeypatch.setattr(M, "FILE_ROWS", 10)
+    folder = f"{staging_dir(spark)}/{uuid.uuid4().hex}"
+    t = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600)
+    events = spark.range(0, 720, 1, 5).select(F.col("id").alias("event_id"), t.cast("timestamp_ntz").alias("ts"), (F.col("id") % 7).alias("user_id"),
+                                              F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    events.write.parquet(f"{folder}/events.parquet")
+    seen = []
+
+    def note(batch, _):
+        seen.append(batch.select(F.min("published"), F.max("published"), F.count_distinct("article_id")).first())
+
+    M.landed(spark, folder).writeStream.foreachBatch(note).option("checkpointLocation", f"{folder}/mark").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == M.SLICES and sum(s[2] for s in seen) == 720
+    assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+
+
+def test_only_busy_companies_are_kept_in_parts(spark):
+    """A key and batch cost a call of its own, so a company with few articles is one key; sums do not depend on it."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [(0 if i % 2 else i, f"u{i}", "growth", t + dt.timedelta(minutes=i)) for i in range(1, 1200)]
+    folder, state, mark = (f"{staging_dir(spark)}/{uuid.uuid4().hex}" for _ in range(3))
+    schema = "company_id long, url string, title string, published timestamp"
+    articles = spark.createDataFrame(rows, schema)
+    busy = L.busy_companies(articles)
+    assert busy == [0]
+    articles.write.parquet(folder)
+    L.incremental_scoring(spark.readStream.schema(schema).parquet(folder), state, mark, "2 days", busy).awaitTermination()
+    changes = spark.read.schema(f"{L.CHANGES}, batch int").parquet(state)
+    assert changes.filter("company_id = 0").select("part").distinct().count() == L.PARTS
+    assert changes.filter("company_id <> 0").count() == 599
+    got, whole = (d.select("company_id", "n", "as_of", F.round("weighted_sum", 9)).orderBy("company_id").collect()
+                  for d in (L.latest_state(spark, state), L.batch_totals(L.score_articles(articles))))
+    assert got == whole
