@@ -1,5 +1,8 @@
 """Text rules on hand-written rows, one per branch."""
 
+import itertools
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +83,20 @@ def test_reply_parsing(spark):
 def test_word_lists():
     assert all(t == t.lower() for t in V.KEY_ENV + V.VAGUE + V.POLICY_PARIS)
     assert len(V.CLAIM_PATTERNS) == 19
+
+
+def test_claim_hints_lose_no_match(spark):
+    """Whatever a claim pattern matches holds one of its hints; patterns without hints find the same claims."""
+    found = []
+    for name, rx, *_ in V.CLAIM_PATTERNS:
+        words = re.findall(r"[a-z0-9]+", re.sub(r"\\[sw]|\[[^]]*\]|\{[^}]*\}", " ", rx))
+        texts = [sep.join(f"{w}{end}" for w in t) for n in (1, 2, 3) for t in itertools.islice(itertools.product(words, repeat=n), 3000)
+                 for sep in (" ", "-", "") for end in ("", "x")]
+        hits = [t for t in texts if re.search(rx, t)]
+        assert hits and all(any(h in t for h in V.CLAIM_HINTS[name]) for t in hits), name
+        found += [f"We say {t} Here." for t in hits[::97]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(found)], "id long, t string")
+    other = [(f"_{p[0]}", *p[1:]) for p in V.CLAIM_PATTERNS]
+    got, plain = ([tuple(r) for r in D.extract_claims(rows, "id", "t", p).select("id", "sentence", "claim_description", "matched_text").orderBy("id").collect()]
+                  for p in (None, other))
+    assert got == plain and len(got) == len(found)
