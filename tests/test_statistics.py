@@ -81,6 +81,24 @@ def test_figures_of_one_level(skewed, rows):
         assert got[name] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("gather_all", [40_000, 30])
+def test_figures_of_many_columns(spark, monkeypatch, gather_all):
+    rng, n = np.random.default_rng(1), 3000
+    pdf = pd.DataFrame({
+        "a": rng.normal(size=n), "b": rng.integers(0, 5, n) * 1.0, "c": np.where(rng.random(n) < 0.4, 3.25, rng.normal(size=n) * 1e-300),
+        "d": rng.exponential(size=n) * 1e12, "e": np.where(rng.random(n) < 0.3, np.nan, rng.random(n)), "f": -rng.random(n), "g": 0.0,
+        "h": np.nan, "i": np.where(rng.random(n) < 0.5, -0.0, 0.0), "j": 1 + rng.integers(0, 2000, n) * 2.0**-52, "k": np.arange(n) * 1.0})
+    probs = {"z": 0.0, "q1": 0.25, "m": 0.5, "x": 0.999, "o": 1.0}
+    # statistics of many columns take no sketches: thousands of aggregates would be one row's work
+    monkeypatch.setattr(R.F, "percentile_approx", None)
+    got = R.figures(spark.createDataFrame(pdf).repartition(3), {c: probs for c in pdf}, {"n": F.count(F.lit(1))}, gather_all=gather_all)
+    assert got.pop("n") == n
+    for c in pdf:
+        for name, p in probs.items():
+            want = pdf[c].quantile(p)
+            assert got[f"{c}_{name}"] is None if np.isnan(want) else got[f"{c}_{name}"] == pytest.approx(want, rel=1e-12, abs=1e-320)
+
+
 @pytest.mark.parametrize("rows", [None, 0])
 def test_figures_of_nothing(spark, rows):
     empty = spark.createDataFrame([], "v double")
