@@ -9,7 +9,7 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from discloscope.functions.exprs import with_globals
@@ -177,22 +177,47 @@ def _with_value(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.col("target") == c, F.col("test_value")).otherwise(F.col(c)) for c in features})
 
 
+def _linear(model) -> bool:
+    """Whether the margin of a fitted pipeline is a linear function of each feature, with the usual limit at 0."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.feature import StandardScalerModel, VectorAssembler
+    *first, last = getattr(model, "stages", [model])
+    return (isinstance(last, LogisticRegressionModel) and last.numClasses == 2 and last.getThreshold() == 0.5
+            and all(isinstance(s, (VectorAssembler, StandardScalerModel)) for s in first))
+
+
+def _margin(column: str = "rawPrediction") -> Column:
+    from pyspark.ml.functions import vector_to_array
+    return F.get(vector_to_array(column), F.lit(1))
+
+
 def counterfactuals(df: DataFrame, model, features: Sequence[str], candidates: Sequence[str], steps: int = 30,
                     key: str = "company_id") -> DataFrame:
     """First of ``steps`` even moves toward the column minimum (flagged) or maximum (not flagged) that flips the class.
 
     Steps are generated next to their row and reduced map-side, so only one row per
-    entity and feature is shuffled.
+    entity and feature is shuffled. Where the margin is linear in each feature, its values at the row and at the goal say
+    at which step it changes its sign; the model then tries this step and its neighbours instead of all steps.
     """
+    linear = _linear(model)
     ends = df.agg(*[x for c in candidates for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"), F.stddev_samp(c).alias(f"{c}_sd"))])
-    now = model.transform(df).select(*df.columns, F.col("prediction").alias("current"))
+    now = model.transform(df).select(*df.columns, F.col("prediction").alias("current"), *([_margin().alias("_m0")] if linear else []))
     wide = with_globals(now, ends, "_e")
     goals = F.array(*[F.struct(
         F.lit(c).alias("target"), F.col(c).cast("double").alias("current_value"),
         F.when(F.col("current") == 1, F.col(f"_e.{c}_lo")).otherwise(F.col(f"_e.{c}_hi")).cast("double").alias("goal"),
         F.coalesce(F.nullif(F.col(f"_e.{c}_sd"), F.lit(0.0)), F.lit(1.0)).alias("sd")) for c in candidates])
-    rows = wide.withColumn("g", F.explode(goals)).select(*df.columns, "current", "g.*")
-    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps - 1))))
+    rows = wide.withColumn("g", F.explode(goals)).select(*df.columns, "current", "g.*", *(["_m0"] if linear else []))
+    tries = F.sequence(F.lit(1), F.lit(steps - 1))
+    if linear:
+        kept = rows.columns
+        rows = model.transform(_with_value(rows.withColumn("test_value", F.col("goal")), features)) \
+            .select(*[F.col(c) for c in kept if c not in features], *[F.when(F.col("target") == c, F.col("current_value")).otherwise(F.col(c)).alias(c) for c in features],
+                    _margin().alias("_m1"))
+        share = -F.col("_m0") / F.nullif(F.col("_m1") - F.col("_m0"), F.lit(0.0))
+        rows = rows.withColumn("_at", F.ceil(share * (steps - 1))).filter((F.col("_at") >= 0) & (F.col("_at") <= steps))
+        tries = F.filter(tries, lambda s: (s >= F.col("_at") - 1) & (s <= F.col("_at") + 1))
+    rows = rows.withColumn("step", F.explode(tries)).drop("_m0", "_m1", "_at")
     rows = rows.withColumn("test_value", F.col("current_value") + (F.col("goal") - F.col("current_value")) * F.col("step") / float(steps - 1))
     tried = _probability(model.transform(_with_value(rows, features)))
     flips = tried.filter(F.col("prediction") != F.col("current"))

@@ -348,3 +348,22 @@ def test_only_busy_companies_are_kept_in_parts(spark):
     got, whole = (d.select("company_id", "n", "as_of", F.round("weighted_sum", 9)).orderBy("company_id").collect()
                   for d in (L.latest_state(spark, state), L.batch_totals(L.score_articles(articles))))
     assert got == whole
+
+
+def test_linear_counterfactuals_try_the_crossing_only(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"company_id": [*range(299), 0], "a": rng.normal(size=300), "b": rng.integers(0, 6, 300), "c": np.round(rng.normal(size=300), 1), "k": 2.0})
+    pdf["label"] = (pdf["a"] + 0.4 * pdf["b"] - 0.7 * pdf["c"] + rng.normal(size=300) > 1).astype(float)
+    names = ["a", "b", "c", "k"]
+    df = spark.createDataFrame(pdf)
+    model = T.pipeline(T.estimators()["logistic_regression"], names).fit(df)
+    tree = T.pipeline(T.estimators()["random_forest"], names).fit(df)
+    assert A._linear(model) and not A._linear(tree)
+
+    def found():
+        out = A.counterfactuals(df.drop("label"), model, names, names).toPandas()
+        return out.sort_values(["company_id", "feature"]).reset_index(drop=True)
+    few = found()
+    monkeypatch.setattr(A, "_linear", lambda m: False)  # every step is tried
+    assert len(few) > 100
+    pd.testing.assert_frame_equal(few, found(), check_exact=True)
