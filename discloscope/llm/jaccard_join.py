@@ -40,7 +40,9 @@ FEW_COMPARISONS = 200_000_000
 #: for distances, which are quotients; links are decided in whole numbers
 SLACK = 1e-9
 #: ids or elements up to which a filter is broadcast (8 bytes each)
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
+#: pairs up to which they are broadcast (32 bytes each)
+BROADCAST_PAIRS = 100_000
 
 
 class Measure:
@@ -97,8 +99,9 @@ def _of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, at_most:
 
     There are ``at_most`` so many of them; that decides whether their ids are broadcast.
     """
-    ids = classes.join(wanted.select("cls").distinct(), "cls", "left_semi").select("cls", "rep")
-    keep = F.broadcast(ids) if at_most <= BROADCAST_IDS else ids
+    few = at_most <= BROADCAST_IDS
+    ids = classes.join(F.broadcast(wanted.select("cls")) if few else wanted.select("cls").distinct(), "cls", "left_semi").select("cls", "rep")
+    keep = F.broadcast(ids) if few else ids
 
     def build(batches):
         sets = shingle_sets(words)
@@ -112,27 +115,38 @@ def _of_classes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, at_most:
     return texts.mapInArrow(build, "cls long, items array<long>")
 
 
-def _regions(prefixes: DataFrame, own: DataFrame) -> DataFrame:
+def _regions(prefixes: DataFrame, own: DataFrame | None) -> DataFrame:
     """Members of every element that two classes or more hold in their prefix: ``token``, ``cls``, ``pivot``.
 
     The pivot is the member with the fewest elements of its own, which is the most central one. Most elements are held
-    by one class alone; only those that are shared meet their members again.
+    by one class alone; only those that are shared meet their members again. Near copies share many elements, so of all
+    elements with the same members one is enough: members are told by the smallest, the largest, the XOR and a sum of
+    their fingerprints, which repeated rows of a class do not blur, as they bring every element of it equally often.
     """
-    shared = materialize(prefixes.groupBy("token").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi")).filter("_lo <> _hi").select("token"))
+    held = prefixes.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.bit_xor("cls").alias("mix"),
+                                         F.sum(F.col("cls").bitwiseAND(F.lit(0xFFFFFFFF))).alias("total")).filter("lo <> hi")
+    shared = materialize(held.groupBy("lo", "hi", "mix", "total").agg(F.min("token").alias("token")).select("token", F.col("lo").alias("pivot")))
     few = F.broadcast(shared) if shared.count() <= BROADCAST_IDS else shared
-    members = materialize(prefixes.join(few, "token").select("token", "cls").distinct())
+    members = prefixes.join(few, "token").select("token", "cls", "pivot").distinct()
+    if own is None:
+        return members
+    members = materialize(members.drop("pivot"))
     pivots = members.join(own, "cls", "left").groupBy("token").agg(F.min_by("cls", F.struct(F.coalesce("own", F.lit(0)), "cls")).alias("pivot"))
     return members.join(pivots, "token")
 
 
-def _by_size(regions: DataFrame, classes: DataFrame, own: DataFrame, small: int, percent: int) -> DataFrame:
+def _by_size(regions: DataFrame, classes: DataFrame, own: DataFrame | None, small: int, percent: int) -> DataFrame:
     """Large regions cut by set size: linked sets are of one or of neighbouring size cells, so each member goes to its
     own cell and the next one, and two that may link meet in one of them."""
-    large = regions.groupBy("token").agg(F.count(F.lit(1)).alias("_members")).filter(F.col("_members") > small).select("token")
+    large = materialize(regions.groupBy("token").agg(F.count(F.lit(1)).alias("_members")).filter(F.col("_members") > small).select("token"))
+    n = large.count()
+    if n == 0:
+        return regions
+    large = F.broadcast(large) if n <= BROADCAST_IDS else large
     # cells are a little wider than sizes within reach of each other, so rounding cannot part them
     cell = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent))
     cells = regions.join(large, "token").join(classes.select("cls", "n"), "cls").select("token", "cls", F.explode(F.array(cell, cell + 1)).alias("_cell"))
-    cut = _regions(cells.select(F.xxhash64("token", "_cell").alias("token"), "cls"), own)
+    cut = _regions(materialize(cells.select(F.xxhash64("token", "_cell").alias("token"), "cls")), own)
     return materialize(regions.join(large, "token", "left_anti").unionByName(cut))
 
 
@@ -143,9 +157,10 @@ def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a``, ``b`` and the shared elements of each pair, counted exactly."""
-    one = pairs.select("a", "b", "n_a", "n_b").join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a")
+def _measured(pairs: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
+    """``a``, ``b`` and the shared elements of each pair, counted exactly; ``few`` pairs are broadcast."""
+    asked = pairs.select("a", "b", "n_a", "n_b")
+    one = (F.broadcast(asked) if few else asked).join(sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b")), "b")
     return two.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("items_a", "items_b")).alias("common"))
 
@@ -154,7 +169,9 @@ def _distance(common: Column, n: Column, m: Column) -> Column:
     return 1 - common / (n + m - common)
 
 
-def _label(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+def _label(df: DataFrame, labels: DataFrame | None, column: str, name: str) -> DataFrame:
+    if labels is None:
+        return df.withColumn(name, F.col(column))
     named = labels.select(F.col("node").alias(column), F.col("component").alias("_c"))
     return df.join(named, column, "left").withColumn(name, F.coalesce("_c", F.col(column))).drop("_c")
 
@@ -175,58 +192,57 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
     table = materialize(shingle_table(docs, words, percent))
     full = table.filter("n > 0 and doc_id is not null")
     classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    none = docs.sparkSession.createDataFrame([], "a long, b long, distance double, linked boolean")
-    known = none.drop("linked")
-    labels = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     prefixes = full.select("cls", F.explode("prefix").alias("token"))
-    own, before = classes.select("cls", F.lit(0).cast("long").alias("own")).limit(0), float("inf")
-
-    def verify(pairs: DataFrame, least: int = percent) -> DataFrame:
-        """Distances of the pairs of which sizes and sketches leave open whether they reach ``least``."""
-        reach = materialize(_with_classes(pairs, classes).filter(measure.possible(
+    known = labels = own = None  # pairs measured so far, the components that the linked ones make, elements of one class alone
+    measured, before = 0, float("inf")
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        if known is None:
+            return pairs
+        old = known.select("a", "b")
+        return pairs.join(F.broadcast(old) if measured <= BROADCAST_PAIRS else old, ["a", "b"], "left_anti")
+
+    def verify(pairs: DataFrame, least: int = percent) -> None:
+        """Measures the new pairs of which sizes and sketches leave open whether they reach ``least``; links join components."""
+        nonlocal known, labels, measured
+        reach = materialize(_with_classes(fresh(pairs), classes).filter(measure.possible(
             F.col("n_a"), F.col("n_b"), _differ(F.col("sketch_a"), F.col("sketch_b")), least)).select("a", "b", "n_a", "n_b"))
         n = reach.count()
         if n == 0:
-            return none
+            return
         sets = materialize(_of_classes(docs, classes, reach.select(F.col("a").alias("cls")).union(reach.select("b")), 2 * n, words))
-        found = _measured(reach, sets).dropDuplicates(["a", "b"])
-        return materialize(found.select("a", "b", _distance(F.col("common"), F.col("n_a"), F.col("n_b")).alias("distance"),
-                                        (F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).alias("linked")))
-
-    def merge(found: DataFrame, known: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        fresh = found.filter("linked").select("a", "b")
-        known, links = known.union(found.drop("linked")), links.union(fresh)
-        return known, links, labels if fresh.isEmpty() else connected_components(links)
-
-    def regions_of(regions: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members of the regions that hold more than one component."""
-        named = materialize(_label(regions, labels, "cls", "comp"))
-        several = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-        return materialize(named.join(several, "token"))
+        found = _measured(reach, sets, n <= BROADCAST_PAIRS).dropDuplicates(["a", "b"])
+        found = materialize(found.select("a", "b", _distance(F.col("common"), F.col("n_a"), F.col("n_b")).alias("distance"),
+                                         (F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).alias("linked")))
+        known, measured = found if known is None else known.union(found), measured + n
+        if not found.filter("linked").isEmpty():
+            labels = connected_components(known.filter("linked").select("a", "b"))
 
     for level in range(LEVELS + 1):
         regions = materialize(_regions(prefixes, own))
         if regions.isEmpty():
             break
         regions = _by_size(regions, classes, own, small, percent)
-        spokes = materialize(regions.filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct())
-        # spokes that may join components; then those of regions that still hold several, where windows need every distance
-        for wave in ("open", "mixed"):
-            if wave == "mixed":
-                mixed = regions_of(regions, labels)
-                asked = mixed.filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-            else:
-                asked = _label(_label(spokes, labels, "a", "c_a"), labels, "b", "c_b").filter("c_a <> c_b").select("a", "b")
-            found = verify(asked.join(known, ["a", "b"], "left_anti"), measure.twice if wave == "mixed" else percent)
-            known, links, labels = merge(found, known, links, labels)
+        # spokes of the regions that hold more than one component, up to where windows need their distance
+        mixed = regions
+        if labels is not None:
+            named = materialize(_label(regions, labels, "cls", "comp"))
+            several = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+            mixed = materialize(named.join(several, "token").drop("comp"))
+        verify(mixed.filter("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct(), measure.twice)
 
         # windows: what is left of each region beside its ball; a spoke without a distance is beyond 2 t
-        held = mixed.join(known.withColumnsRenamed({"a": "cls", "b": "pivot"}), ["cls", "pivot"], "left").withColumn(
-            "near", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
+        mixed = _label(mixed, labels, "cls", "comp")
+        if known is None:
+            held = mixed.withColumn("distance", F.lit(None).cast("double"))
+        else:
+            far = known.select(F.col("a").alias("cls"), F.col("b").alias("pivot"), "distance")
+            held = mixed.join(F.broadcast(far) if measured <= BROADCAST_PAIRS else far, ["cls", "pivot"], "left")
+        held = held.withColumn("near", F.when(F.col("cls") == F.col("pivot"), 0.0).otherwise(F.col("distance")))
         t = 1 - percent / 100
         kind = F.when(F.col("near") <= t + SLACK, "ball").when(F.col("near") <= 2 * t + SLACK, "border").otherwise("rest")
-        held = held.join(classes.select("cls", "n"), "cls").join(own, "cls", "left")
+        held = held.join(classes.select("cls", "n"), "cls")
+        held = held.withColumn("own", F.lit(0).cast("long")) if own is None else held.join(own, "cls", "left")
         held = materialize(held.select("token", "cls", "comp", "near", kind.alias("kind"), "n", F.coalesce("own", F.lit(0)).alias("own")))
         sizes = held.groupBy("token").agg(F.max(F.col("kind") == "border").alias("has_border"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                           F.min(F.when(F.col("kind") != "ball", F.col("comp"))).alias("lo_out"),
@@ -235,25 +251,22 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
         sizes = sizes.filter(F.when(F.col("has_border"), F.col("lo") < F.col("hi")).otherwise(F.col("lo_out") < F.col("hi_out")))
         sizes = sizes.select("token", "has_border", F.when(F.col("has_border"), F.col("all")).otherwise(F.col("outside")).alias("members"))
         left = materialize(held.join(sizes, "token").filter((F.col("kind") != "ball") | F.col("has_border")))
-        large = left.filter(F.col("members") > BLOCK)
+        in_large = F.col("members") > BLOCK
         # members of a row's region summed over the rows: the comparisons that joining the large ones now would take
-        work = large.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).first()["n"]
-        wanted = materialize(large.select("cls").distinct())
-        n = wanted.count()
-        last = level == LEVELS or work <= FEW_COMPARISONS or 2 * n > before
-        before = n
-        found = verify(_window_pairs(left.filter(F.col("members") <= small), percent).distinct().join(known, ["a", "b"], "left_anti"))
-        known, links, labels = merge(found, known, links, labels)
-        blocks = left.filter(F.col("members") > small)
-        blocks = blocks if last else blocks.filter(F.col("members") <= BLOCK)
-        # a spanning forest of likely links first: in a group of near copies it leaves few pairs of different components
-        for forest in (True, False):
-            pairs = _block_pairs(_label(blocks.drop("comp"), labels, "cls", "comp"), classes, percent, forest).distinct()
-            found = verify(pairs.join(known, ["a", "b"], "left_anti"))
-            known, links, labels = merge(found, known, links, labels)
+        now = left.agg(F.coalesce(F.sum(F.when(in_large, F.col("members"))), F.lit(0)).alias("work"), F.count_distinct(F.when(in_large, F.col("cls"))).alias("wanted"),
+                       F.count(F.when(F.col("members") > small, 1)).alias("blocks")).first()
+        last = level == LEVELS or now["work"] <= FEW_COMPARISONS or 2 * now["wanted"] > before
+        before = now["wanted"]
+        pairs = _window_pairs(left.filter(F.col("members") <= small), percent)
+        if now["blocks"]:
+            blocks = left.filter((F.col("members") > small) & (F.lit(last) | ~in_large))
+            # a spanning forest of likely links first: in a group of near copies it leaves few pairs of different components
+            verify(pairs.union(_block_pairs(blocks, classes, percent, True)).distinct())
+            pairs = _block_pairs(_label(blocks.drop("comp"), labels, "cls", "comp"), classes, percent, False)
+        verify(pairs.distinct())
         if last:
             break
-        prefixes, own = _rare_prefixes(docs, classes, wanted, n, words, percent, small)
+        prefixes, own = _rare_prefixes(docs, classes, materialize(left.filter(in_large).select("cls").distinct()), before, words, percent, small)
 
     comps = _label(classes.select("cls", "rep"), labels, "cls", "comp")
     least = comps.groupBy("comp").agg(F.min("rep").alias("component_id"))
