@@ -9,7 +9,7 @@ common order. Each element is a region; its smallest class is the pivot, and dis
 * the border (at most 2 t): replicated into comparisons with the ball, as the triangle inequality demands;
 * the rest (beyond 2 t): cannot link with the ball and is joined on its own.
 
-Large regions are first cut by set size, as linked sets are of similar size. Regions that already lie in one component are done. Small ones and blocks of middling ones are joined inside the windows. Members of large ones
+Large regions are first cut by set size, as linked sets are of similar size. Regions that already lie in one component are done. The smallest ones and blocks of middling ones are joined inside the windows. Members of large ones
 recur as a corpus of their own, in an order that puts the elements that many of them hold last, which takes shared passages
 out of play.
 """
@@ -29,8 +29,10 @@ from discloscope.llm.components import connected_components
 from discloscope.llm.shingles import lists, parity, shingle_sets
 from discloscope.session import materialize
 
-#: members up to which the rows of a region are joined; beyond, its blocks are
+#: members beyond which a region is cut by set size, and beyond which an element counts as frequent
 SMALL_REGION = 48
+#: members up to which the rows of a region are joined; beyond, its blocks are, where a sketch goes once to a region, not to every pair
+PAIRED_REGION = 8
 #: times that large regions recur; what is then left is joined in blocks
 LEVELS = 2
 #: members of a region that meet in one task; larger regions recur
@@ -194,7 +196,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
     classes = materialize(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     prefixes = full.select("cls", F.explode("prefix").alias("token"))
     known = labels = own = None  # pairs measured so far, the components that the linked ones make, elements of one class alone
-    measured, before = 0, float("inf")
+    measured, before, paired = 0, float("inf"), min(small, PAIRED_REGION)
 
     def fresh(pairs: DataFrame) -> DataFrame:
         if known is None:
@@ -254,16 +256,23 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, small
         in_large = F.col("members") > BLOCK
         # members of a row's region summed over the rows: the comparisons that joining the large ones now would take
         now = left.agg(F.coalesce(F.sum(F.when(in_large, F.col("members"))), F.lit(0)).alias("work"), F.count_distinct(F.when(in_large, F.col("cls"))).alias("wanted"),
-                       F.count(F.when(F.col("members") > small, 1)).alias("blocks")).first()
+                       F.count(F.when(F.col("members") > paired, 1)).alias("blocks")).first()
         last = level == LEVELS or now["work"] <= FEW_COMPARISONS or 2 * now["wanted"] > before
         before = now["wanted"]
-        pairs = _window_pairs(left.filter(F.col("members") <= small), percent)
+        pairs = _window_pairs(left.filter(F.col("members") <= paired), percent)
+        rest = True
         if now["blocks"]:
-            blocks = left.filter((F.col("members") > small) & (F.lit(last) | ~in_large))
+            blocks = left.filter((F.col("members") > paired) & (F.lit(last) | ~in_large))
             # a spanning forest of likely links first: in a group of near copies it leaves few pairs of different components
-            verify(pairs.union(_block_pairs(blocks, classes, percent, True)).distinct())
-            pairs = _block_pairs(_label(blocks.drop("comp"), labels, "cls", "comp"), classes, percent, False)
-        verify(pairs.distinct())
+            forest = materialize(_block_pairs(blocks, classes, percent, True))
+            verify(pairs.union(forest.select("a", "b")).distinct())
+            again = materialize(forest.filter("more").select("token").distinct())
+            n = again.count()
+            rest = n > 0
+            blocks = blocks.join(F.broadcast(again) if n <= BROADCAST_IDS else again, "token", "left_semi")
+            pairs = _block_pairs(_label(blocks.drop("comp"), labels, "cls", "comp"), classes, percent, False).select("a", "b")
+        if rest:
+            verify(pairs.distinct())
         if last:
             break
         prefixes, own = _rare_prefixes(docs, classes, materialize(left.filter(in_large).select("cls").distinct()), before, words, percent, small)
@@ -295,7 +304,8 @@ def _block_pairs(members: DataFrame, classes: DataFrame, percent: int, forest: b
     """The same for regions beyond that, joined block by block inside tasks, where sketches decide before a pair is made.
 
     Members fall into blocks of about ``BLOCK``; every two blocks of a region meet in one task. Of all pairs that are
-    left, a ``forest`` keeps those that connect what earlier ones do not, the likeliest of a member first.
+    left, a ``forest`` keeps those that connect what earlier ones do not, the likeliest of a member first; ``more`` then
+    says whether their blocks have others. Returns ``token``, ``a``, ``b``, ``more``.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     cut = members.join(classes.select("cls", "sketch"), "cls").withColumn("_block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
@@ -322,7 +332,7 @@ def _block_pairs(members: DataFrame, classes: DataFrame, percent: int, forest: b
                     break
                 s = s[:, :s.shape[1] // 2] ^ s[:, s.shape[1] // 2:]
         within = t["_lo"][0].as_py() == t["_hi"][0].as_py()
-        a, b, root = [], [], np.unique(comp, return_inverse=True)[1]
+        a, b, root, more = [], [], np.unique(comp, return_inverse=True)[1], False
         for i in range(len(cls)):
             both, near_by, apart = n + n[i], [], []
             least = own + own[i] + np.abs((n - own) - (n[i] - own[i]))
@@ -342,19 +352,22 @@ def _block_pairs(members: DataFrame, classes: DataFrame, percent: int, forest: b
                 continue
             j, apart = np.concatenate(near_by), np.concatenate(apart)
             if forest:
-                chosen = []
+                chosen, all_ = [], len(j)
                 while len(j) and (other := root[j] != root[i]).any():
                     j, apart = j[other], apart[other]
                     best = j[apart.argmin()]
                     chosen.append(best)
                     root[root == root[best]] = root[i]
                 j = np.array(chosen, dtype=np.int64)
+                more |= len(j) < all_
             a.append(np.full(len(j), cls[i]))
             b.append(cls[j])
         found = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
-        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+        n = len(found[0])
+        return pa.table({"token": pa.array(np.full(n, t["token"][0].as_py()), pa.int64()), "a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64()),
+                         "more": pa.array(np.full(n, more), pa.bool_())})
 
-    return cut.groupBy("token", "_lo", "_hi").applyInArrow(join, "a long, b long")
+    return cut.groupBy("token", "_lo", "_hi").applyInArrow(join, "token long, a long, b long, more boolean")
 
 
 def _rare_prefixes(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int, words: int, percent: int, often: int) -> tuple[DataFrame, DataFrame]:

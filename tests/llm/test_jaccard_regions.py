@@ -24,3 +24,13 @@ def test_components_in_one_task_and_in_rounds(spark, monkeypatch, few):
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, -3: -3, 70: -3, 80: -3, 2**62: -3}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_forest_tells_blocks_with_other_pairs(spark):
+    """Three near copies need two links of a forest and have a third pair; two need one and have none left."""
+    rows = [(t, c, c, None, "rest", 100, 0, 9) for t, members in {1: [1, 2, 3], 2: [4, 5], 3: [6, 7]}.items() for c in members]
+    members = spark.createDataFrame(rows, "token long, cls long, comp long, near double, kind string, n int, own long, members int")
+    classes = spark.createDataFrame([(c, [c if c < 6 else -(c % 2)] * 8) for c in range(1, 8)], "cls long, sketch array<long>")
+    forest = {(r.token, r.more) for r in jaccard_join._block_pairs(members, classes, 80, True).collect()}
+    assert forest == {(1, True), (2, False)}
+    assert {(r.a, r.b) for r in jaccard_join._block_pairs(members, classes, 80, False).collect()} == {(1, 2), (1, 3), (2, 3), (4, 5)}
