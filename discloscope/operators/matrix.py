@@ -20,10 +20,10 @@ DECLARED = [(f, m) for m, fs in MODULES.items() for f in fs]
 def build(plain: DataFrame, texts: DataFrame, key: str = "company_id", scaled: bool = False) -> DataFrame:
     """All packs: numeric and categorical ones on the narrow ``plain``, text packs on ``texts`` (key and description).
 
-    Only the narrow side is staged before the packs; texts are read once, from their scan, and the two halves meet in
-    one join on the key.
+    Only the narrow side is staged before the packs, spread by key, as its scan may have few splits, or one that holds most
+    rows; texts are read once, from their scan, and the two halves meet in one join on the key.
     """
-    base = materialize(plain)
+    base = materialize(plain.repartition(key))
     numbers = K.all_categorical(M.all_numeric(base, scaled=scaled), key, base)
     return materialize(numbers.join(N.all_nlp(texts).drop("description"), key))
 

@@ -72,8 +72,15 @@ def column_profile(df: DataFrame, row_id: str, columns: Sequence[str]) -> Profil
                 ids = part.column(0).to_numpy().view(np.uint64)
                 bits = np.where(known, x + 0.0, 0.0).view(np.uint64) ^ np.where(known, np.uint64(0), np.uint64(0x9E3779B97F4A7C15))
                 marks ^= np.bitwise_xor.reduce(_mixed(_mixed(bits) + ids[:, None]), axis=0)
-                d, m = np.where(known, x - shift, 0.0), known.astype(float)
-                n, s, q, p = n + m.T @ m, s + d.T @ m, q + (d * d).T @ m, p + d.T @ d
+                d = np.where(known, x - shift, 0.0)
+                p += d.T @ d
+                if known.all():  # sums by column then hold for all pairs
+                    n += len(x)
+                    s += d.sum(axis=0)[:, None]
+                    q += (d * d).sum(axis=0)[:, None]
+                else:
+                    m = known.astype(float)
+                    n, s, q = n + m.T @ m, s + d.T @ m, q + (d * d).T @ m
         if rows:
             i, j = (a.ravel() for a in np.meshgrid(range(k), range(k), indexing="ij"))
             own = i == j

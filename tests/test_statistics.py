@@ -43,6 +43,17 @@ def test_cut_points_do_not_change_ranks(skewed):
     pd.testing.assert_frame_equal(one, many)
 
 
+def test_ranks_of_few_values_meet_their_rows_without_a_shuffle(spark):
+    """A shuffle by few values puts most rows into few tasks, which grow with the rows."""
+    df = spark.createDataFrame([(i, None if i % 11 == 0 else i % 2, float(i % 3)) for i in range(200)], "i int, g int, v double")
+    ranked = R.with_value_ranks(df, ["g"], "v")
+    assert "rightHint=(strategy=broadcast)" in ranked._jdf.queryExecution().optimizedPlan().toString()
+    rows = df.collect()
+    for r in ranked.collect():
+        same = [x.v for x in rows if x.g == r.g]
+        assert (r.cnt, r.below, r.n) == (same.count(r.v), sum(v < r.v for v in same), len(same))
+
+
 def test_group_quantiles(skewed):
     pdf, df = skewed
     got = R.exact_quantiles(df, ["g"], "v", {"a": 0.1, "b": 0.75}).toPandas().set_index("g").sort_index()

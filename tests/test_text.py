@@ -100,6 +100,31 @@ def test_empty_text_packs(spark):
         assert r["total_word_count"] == 0 and r["greenwashing_signal_score"] == 0.5 and 0 <= r["aggregate_esg_nlp_score"] <= 100
 
 
+def test_text_packs_like_plain_python(spark):
+    """One scan counts words, pieces and tokens; word by word in the JVM this took most of the matrix's time."""
+    texts = ["Beautiful rhythm, queue! x1 _y co2 a_b in 2019; 19991 \u00e9t\u00e9 na\u00efve. \u00c9cole Ab. A", "one two two three three three? Yes!! No... 12\u00a03x \u2003 \u0661z", "  ", "\x1c9\x1ca",
+             " ".join(f"w{'abcdefghijkl'[i % 12]} " * (i % 5 + 1) for i in range(40)) + " success failure " + "word " * 35 + ". \U0001d400b B"]
+    df = spark.createDataFrame(list(enumerate(texts)), "company_id int, description string")
+    scanned = N.all_nlp(df)
+    for r in scanned.collect():
+        raw, low = texts[r["company_id"]], texts[r["company_id"]].lower()
+        words, tokens = re.findall(r"(?<!\w)[a-z]+(?!\w)", low), raw.split()
+        counts = sorted((words.count(w) for w in set(words)), reverse=True)
+        n, pieces = max(1, len(words)), [len(p.split()) for p in re.split("[.!?]+", raw) if len(p.strip()) > 3] or [0]
+        vowels = [len(re.findall("[aeiouy]+", w)) for w in words]
+        want = {"total_word_count": len(words), "unique_word_count": len(counts), "hapax_legomena_ratio": counts.count(1) / n, "top_word_concentration": sum(counts[:10]) / n,
+                "avg_word_length": sum(map(len, words)) / n, "syllable_ratio": sum(v > 2 for v in vowels) / n, "long_word_ratio": sum(len(w) > 5 for w in words) / n,
+                "text_positive_ratio": sum(w in V.PACK_POSITIVE for w in words) / n, "year_mention_density": len(re.findall(r"(?<!\w)(?:19|20)[0-9]{2}(?!\w)", low)) / n,
+                "sentence_count": len(pieces), "short_sentence_ratio": sum(x < 10 for x in pieces) / len(pieces), "long_sentence_ratio": sum(x > 30 for x in pieces) / len(pieces),
+                "sentence_length_variance": sum((x - sum(pieces) / len(pieces)) ** 2 for x in pieces) / len(pieces),
+                "number_density": len(re.findall(r"\d\S*", raw)) / max(1, len(tokens)), "capitalized_word_ratio": sum(t[0].isupper() for t in tokens) / max(1, len(tokens))}
+        assert {k: r[k] for k in want} == pytest.approx(want)
+        if words:
+            sentences = max(1, sum(len(p.strip()) > 5 for p in re.split("[.!?]+", raw)))
+            assert r["flesch_reading_ease"] == pytest.approx(206.835 - 1.015 * n / sentences - 84.6 * sum(max(1, v) for v in vowels) / n)
+    assert "regexp" not in scanned._jdf.queryExecution().optimizedPlan().toString() and "lambda" not in scanned._jdf.queryExecution().optimizedPlan().toString().replace("lambda x_", "")
+
+
 def test_reply_parsing(spark):
     good = '{"overall_risk": "HIGH", "overall_score": 7, "claims": [{"claim_text": "a", "risk_level": "LOW"}]}'
     for text, ok in ((f"```json\n{good}\n```", True), (f"Sure:\n{good}\nbye", True), ('{"overall_risk": ', False), ("", False)):
