@@ -39,6 +39,8 @@ LEVELS = 2
 BLOCK = 1000
 #: comparisons for which large regions do not recur
 FEW_COMPARISONS = 200_000_000
+#: bits of a sketch up to which a forest takes it whole
+BLOCK_CELLS = 512
 #: for distances, which are quotients; links are decided in whole numbers
 SLACK = 1e-9
 #: ids or elements up to which a filter is broadcast (8 bytes each)
@@ -61,17 +63,23 @@ class Measure:
         return sizes & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
 
+def _folded(x: Column) -> Column:
+    """A sketch of half the cells."""
+    half = (F.size(x) / 2).cast("int")
+    return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda i, j: i.bitwiseXOR(j))
+
+
+def _halved(x: Column) -> Column:
+    return F.when(F.size(x) * 64 > BLOCK_CELLS, _folded(x)).otherwise(x)
+
+
 def _differ(a: Column, b: Column) -> Column:
     """Bits in which two sketches differ; the longer one is folded to the length of the other."""
     def bits(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda s, i: s + i)
 
-    def folded(x: Column) -> Column:
-        half = (F.size(x) / 2).cast("int")
-        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda i, j: i.bitwiseXOR(j))
-
     # sizes within reach of each other have sketches of equal length or of twice the length
-    return F.when(F.size(a) == F.size(b), bits(a, b)).when(F.size(a) > F.size(b), bits(folded(a), b)).otherwise(bits(a, folded(b)))
+    return F.when(F.size(a) == F.size(b), bits(a, b)).when(F.size(a) > F.size(b), bits(_folded(a), b)).otherwise(bits(a, _folded(b)))
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -306,9 +314,12 @@ def _block_pairs(members: DataFrame, classes: DataFrame, percent: int, forest: b
     Members fall into blocks of about ``BLOCK``; every two blocks of a region meet in one task. Of all pairs that are
     left, a ``forest`` keeps those that connect what earlier ones do not, the likeliest of a member first; ``more`` then
     says whether their blocks have others. Returns ``token``, ``a``, ``b``, ``more``.
+
+    Sketches go to every region of a set, so those of a forest have half the cells, or ``BLOCK_CELLS``: it holds few pairs in
+    any case, and whole sketches decide on them, and on the other pairs of the blocks left.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    cut = members.join(classes.select("cls", "sketch"), "cls").withColumn("_block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    cut = members.join(classes.select("cls", (_halved(F.col("sketch")) if forest else F.col("sketch")).alias("sketch")), "cls").withColumn("_block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other"))
     kinds = F.when(F.col("kind") == "ball", 0).when(F.col("kind") == "border", 1).otherwise(2)

@@ -1,6 +1,7 @@
 """What the Jaccard join does before it compares: regions, and components of its links."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from discloscope.llm import components, jaccard_join
 
@@ -34,3 +35,17 @@ def test_forest_tells_blocks_with_other_pairs(spark):
     forest = {(r.token, r.more) for r in jaccard_join._block_pairs(members, classes, 80, True).collect()}
     assert forest == {(1, True), (2, False)}
     assert {(r.a, r.b) for r in jaccard_join._block_pairs(members, classes, 80, False).collect()} == {(1, 2), (1, 3), (2, 3), (4, 5)}
+
+
+def test_forest_takes_half_of_a_long_sketch(spark):
+    """Sketches go to every region of a set, which is most of the shuffle; other pairs of a block still need whole ones."""
+    rows = [(1, c, c, None, "rest", 400, 0, 9) for c in (1, 2, 3)]
+    members = spark.createDataFrame(rows, "token long, cls long, comp long, near double, kind string, n int, own long, members int")
+    # the last one differs from the others in 128 bits, of which folded halves show none: too far apart for 800 elements
+    sketches = {1: [5] * 16, 2: [5] * 16, 3: [5 ^ 0xFF] * 8 + [5 ^ 0xFF] * 8}
+    classes = spark.createDataFrame(list(sketches.items()), "cls long, sketch array<long>")
+    found = {forest: {(r.a, r.b) for r in jaccard_join._block_pairs(members, classes, 80, forest).collect()} for forest in (True, False)}
+    assert found == {True: {(1, 2), (1, 3)}, False: {(1, 2)}}
+    halves = {r.cls: r.s for r in classes.select("cls", jaccard_join._halved(F.col("sketch")).alias("s")).collect()}
+    assert halves == {c: [0] * 8 for c in sketches}
+    assert spark.createDataFrame([([3] * 8,)], "s array<long>").select(jaccard_join._halved(F.col("s")).alias("s")).first().s == [3] * 8
