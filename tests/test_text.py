@@ -1,7 +1,9 @@
 """Text rules on hand-written rows, one per branch."""
 
+import collections
 import itertools
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from discloscope.functions import text as X
 from discloscope.operators import documents as D
 from discloscope.operators import nlp as N
 from discloscope.operators import sentiment as S
+from discloscope.plans.catalog import QUERIES
 from discloscope.sources import readers as R
 
 
@@ -94,6 +97,55 @@ def test_claims(spark):
     assert m[2]["total_claims"] == 0 and m[1]["past_claim_ratio"] == 1.0
 
 
+def test_claim_report_holds_every_section(spark, tmp_path):
+    """Besides the distribution: total, strength figures, and the ten strongest and weakest claims with their sentences."""
+    long = "We reduced water use " + "and kept the recycling plants " * 8 + "running."
+    texts = ["We reduced carbon emissions by 25% compared to the 2019 baseline, verified in 2023.", "We will buy solar power. Our board oversight is strong.",
+             "Nothing to see in this sentence.", None, long, "We achieved ethics training, audited annually."]
+    rows = [(i % 30, texts[i % 6], "en", "web") for i in range(36)]  # six ids come twice
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    claims = QUERIES["claim_extract"].run(spark, str(tmp_path)).select("doc_id", "sentence_no", "sentence", "pillar").collect()
+    assert len(claims) > 30 and len(set(claims)) < len(claims)
+    low = spark.createDataFrame([(r.sentence, r.sentence.lower()) for r in claims], "s string, l string").distinct()
+    score = {r.s: r.x for r in low.select("s", D.claim_strength(F.col("l")).alias("x")).collect()}
+    got = QUERIES["claim_report"].run(spark, str(tmp_path)).collect()
+
+    def section(name):
+        return [r for r in got if r.dimension == name]
+
+    assert [(r.value, r.n) for r in section("total")] == [("claims", len(claims))]
+    assert {r.value: r.n for r in section("pillar")} == collections.Counter(r.pillar for r in claims)
+    for d in ("pillar", "claim_type", "temporal"):
+        assert sum(r.n for r in section(d)) == len(claims) and sum(r.pct for r in section(d)) == pytest.approx(100)
+    all_scores = [score[r.sentence] for r in claims]
+    want = {"mean": statistics.fmean(all_scores), "median": statistics.median(all_scores), "std": statistics.stdev(all_scores), "min": min(all_scores), "max": max(all_scores)}
+    assert {r.value: r.strength_score for r in section("strength")} == pytest.approx(want, abs=1e-5)
+    for name, sign in (("strongest", -1), ("weakest", 1)):
+        first = sorted(claims, key=lambda r: (sign * score[r.sentence], r.doc_id, r.sentence_no, r.sentence))[:10]
+        found = sorted(section(name), key=lambda r: r.position)
+        assert [(r.position, r.doc_id, r.sentence_no, r.sentence, r.value) for r in found] == [(i, r.doc_id, r.sentence_no, r.sentence, r.pillar) for i, r in enumerate(first, 1)]
+        assert [r.strength_score for r in found] == pytest.approx([score[r.sentence] for r in first], abs=1e-5)
+    assert len(got) == 1 + 5 + 20 + sum(len(section(d)) for d in ("pillar", "claim_type", "temporal"))
+
+
+def test_claim_report_of_no_and_one_claim(spark):
+    def rows(t, *ids, top_n=10):
+        found = D.extract_claims(spark.createDataFrame([(i, t) for i in ids], "id int, t string"), "id", "t")
+        return D.claim_report(found, "id", top_n).collect()
+
+    def report(t):
+        return [(r.dimension, r.value, r.n, r.strength_score, r.sentence) for r in rows(t, 1)]
+
+    assert report("Nothing to see in this sentence.") == [("total", "claims", 0, None, None)]
+    one = "Our board oversight is strong."
+    assert set(report(one)) == {
+        ("total", "claims", 1, None, None), ("pillar", "Governance", 1, None, None), ("claim_type", "performance", 1, None, None),
+        ("temporal", "unspecified", 1, None, None), ("strength", "std", None, None, None), *[("strength", x, None, 0.0, None) for x in ("mean", "median", "min", "max")],
+        ("strongest", "Governance", None, 0.0, one), ("weakest", "Governance", None, 0.0, one)}
+    ends = [(r.dimension, r.position, r.id) for r in rows(one, 3, None, 2, 3, top_n=3) if r.position]
+    assert sorted(ends, key=lambda r: r[:2]) == [(d, i, x) for d in ("strongest", "weakest") for i, x in ((1, None), (2, 2), (3, 3))]
+
+
 def test_empty_text_packs(spark):
     row = N.all_nlp(spark.createDataFrame([(1, None), (2, "")], "company_id int, description string")).orderBy("company_id").collect()
     for r in row:
